@@ -50,9 +50,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, n each."""
     global _pow, _inv
     if len(_pow) < n:
-        size = 1 << (n - 1).bit_length()
-        _pow = np.cumprod(np.concatenate([[1], np.full(size - 1, _PRIME, dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
-        _inv = np.cumprod(np.concatenate([[1], np.full(size - 1, pow(_PRIME, -1, 1 << 64), dtype=np.uint64)]).astype(np.uint64), dtype=np.uint64)
+        size, made = 1 << (n - 1).bit_length(), []
+        for number in (_PRIME, pow(_PRIME, -1, 1 << 64)):
+            factors = np.full(size, number, dtype=np.uint64)
+            factors[0] = 1
+            made.append(np.cumprod(factors, dtype=np.uint64))
+        _pow, _inv = made
     return _pow[:n], _inv[:n]
 
 
