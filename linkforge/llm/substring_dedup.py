@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import groupby
 
 import numpy as np
@@ -26,8 +27,6 @@ _SLICE = 2 << 20
 _LAST = (1 << 63) - 1
 _PRIME = 0x9E3779B97F4A7C15
 _U = np.uint64
-#: A packed super-k-mer: minimiser, document, its text's hash, first window, bytes.
-_HEAD = np.dtype([("h", "<u8"), ("doc", "<i8"), ("fp", "<i8"), ("pos", "<i4"), ("n", "<i4")])
 #: Windows known to be repeated: document, its text's hash, first window, number of windows.
 _MARK = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("pos", "<i4"), ("n", "<i4")])
 #: Windows sorted at once in a bucket.
@@ -61,12 +60,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, hash) of each space-separated word of ``flat``; equal words have equal hashes."""
+    return _word_hashes(flat)[:3]
+
+
+def _word_hashes(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same, with the running sums and factors that make a hash of any other part of ``flat``."""
     codes = np.frombuffer(flat, dtype=np.uint8)
     gaps = np.flatnonzero(codes == 32)
     starts, ends = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(flat)]])
     up, down = _powers(len(flat) + 1)
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((codes.astype(np.uint64) + _U(1)) * up[:-1], dtype=np.uint64)])
-    return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts])
+    return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts]), sums, down
 
 
 def minimisers(words: np.ndarray, k: int, m: int) -> np.ndarray:
@@ -82,66 +86,118 @@ def minimisers(words: np.ndarray, k: int, m: int) -> np.ndarray:
     return least
 
 
-def super_kmers(docs: list[tuple[int, int, list[bytes]]], k: int, m: int) -> Iterator[tuple[int, int, int, int, int, bytes]]:
-    """(minimiser, doc, fp, first window, windows, packed string) of each document's runs of windows with one minimiser.
-
-    The words of all documents are hashed together; runs end with their document.
-    """
-    docs = [d for d in docs if len(d[2]) >= k]
-    if not docs:
-        return
-    flat = b" ".join(b" ".join(d[2]) for d in docs)
-    starts, ends, hashes = word_hashes(flat)
-    least = minimisers(hashes, k, m)
-    at = 0
-    for doc, fp, words in docs:
-        n = len(words) - k + 1
-        own = least[at : at + n]
-        cuts = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [n]])
-        low, high = starts[at + cuts[:-1]].tolist(), ends[at + cuts[1:] - 1 + k - 1].tolist()
-        for h, p, q, i, j in zip(own[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), low, high):
-            yield h, doc, fp, p, q - p, flat[i:j]
-        at += len(words)
-
-
-def _pack(heads: list[tuple], strings: list[bytes], marks: list[tuple]) -> bytes:
-    head, mark = np.array(heads, dtype=_HEAD), np.array(marks, dtype=_MARK)
-    sizes = np.array([len(head), len(mark)], dtype="<i8")
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([sizes.tobytes(), head.tobytes(), mark.tobytes(), *strings]))
-
-
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, bytes]:
+@dataclass
+class SuperKmers:
+    """Those of some documents: their parts of ``flat`` (words joined by blanks), documents, first windows, window counts."""
+
+    flat: bytes
+    h: np.ndarray
+    owner: np.ndarray  # place of the document in the list
+    pos: np.ndarray
+    n: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    key: np.ndarray  # a hash of the bytes from low to high
+
+    def packed(self, x: int) -> bytes:
+        return self.flat[self.low[x] : self.high[x]]
+
+
+def super_kmers(docs: list[list[bytes]], k: int, m: int) -> SuperKmers | None:
+    """Each document's runs of windows with one minimiser; the words of all documents are hashed together."""
+    sizes = np.array([len(d) for d in docs], dtype=np.int64)
+    flat = b" ".join(b" ".join(d) for d in docs if d)
+    if not flat or sizes.max() < k:
+        return None
+    starts, ends, words, sums, down = _word_hashes(flat)
+    if len(words) < k:
+        return None
+    least = minimisers(words, k, m)
+    owner = np.repeat(np.arange(len(docs)), sizes)
+    # windows within one document, and the first ones of their runs
+    inside = owner[: len(least)] == owner[k - 1 :]
+    first = inside.copy()
+    first[1:] &= (least[1:] != least[:-1]) | ~inside[:-1] | (owner[1 : len(least)] != owner[: len(least) - 1])
+    at = np.flatnonzero(first)
+    if not len(at):
+        return None
+    # a run ends before the next one, or with its document's last window
+    last = np.cumsum(sizes) - k
+    stop = np.minimum(np.append(at[1:], len(least)) - 1, last[owner[at]])
+    low, high = starts[at], ends[stop + k - 1]
+    begin = np.cumsum(sizes) - sizes
+    return SuperKmers(flat, least[at], owner[at], at - begin[owner[at]], stop - at + 1, low, high, _mix((sums[high] - sums[low]) * down[low]))
+
+
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from low[i] on, size[i] of them, for each i in turn."""
+    shift = np.cumsum(size) - size
+    return np.repeat(low - shift, size) + np.arange(size.sum())
+
+
+def _merge(found: SuperKmers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(kept, marked): of equal super-k-mers those in the smallest document are kept; the others' windows are repeated."""
+    order = np.argsort(found.key, kind="stable")
+    same = found.key[order][1:] == found.key[order][:-1]
+    drop = np.zeros(len(order), dtype=bool)
+    if same.any():
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            own = order[a : b + 1]
+            least: dict[bytes, int] = {}
+            strings = [found.packed(x) for x in own.tolist()]
+            for s, d in zip(strings, doc[own].tolist()):
+                if d < least.get(s, d + 1):
+                    least[s] = d
+            drop[own] = [d > least[s] for s, d in zip(strings, doc[own].tolist())]
+    return np.flatnonzero(~drop), np.flatnonzero(drop)
+
+
+def _pack(found: SuperKmers, rows: np.ndarray, doc: np.ndarray, fp: np.ndarray, marks: np.ndarray, flat: np.ndarray) -> bytes:
+    """Columns one after the other, ids as differences, then the strings with their separators: for the compressor."""
+    text = b""
+    if len(rows):
+        size = found.high[rows] - found.low[rows] + 1
+        codes = flat[_ranges(found.low[rows], size)]
+        codes[np.cumsum(size) - 1] = 10
+        text = codes.tobytes()
+    head = [np.array([len(rows), len(marks)], dtype="<i8"), np.diff(doc[rows], prepend=0).astype("<i8"), fp[rows].astype("<i8"), (found.h[rows] >> _U(32)).astype("<u4"), found.pos[rows].astype("<i4")]
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([*(x.tobytes() for x in head), marks.tobytes(), text]))
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    """(doc, fp, h, pos, marks, strings)"""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    a, b = np.frombuffer(raw, dtype="<i8", count=2)
-    head = np.frombuffer(raw, dtype=_HEAD, count=a, offset=16)
-    mark = np.frombuffer(raw, dtype=_MARK, count=b, offset=16 + head.nbytes)
-    return head, mark, raw[16 + head.nbytes + mark.nbytes :]
+    a, b = np.frombuffer(raw, dtype="<i8", count=2).tolist()
+    doc = np.cumsum(np.frombuffer(raw, dtype="<i8", count=a, offset=16))
+    fp = np.frombuffer(raw, dtype="<i8", count=a, offset=16 + 8 * a)
+    h = np.frombuffer(raw, dtype="<u4", count=a, offset=16 + 16 * a)
+    pos = np.frombuffer(raw, dtype="<i4", count=a, offset=16 + 20 * a)
+    marks = np.frombuffer(raw, dtype=_MARK, count=b, offset=16 + 24 * a)
+    return doc, fp, h, pos, marks, raw[16 + 24 * a + marks.nbytes :]
 
 
 def _scatter(k: int, m: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", _SLICE):
-            docs = [(d, f, t.as_py().encode().split()) for d, f, t in zip(part.column("doc").to_pylist(), part.column("fp").to_pylist(), part.column("text")) if t.is_valid]
-            best: dict[bytes, list[tuple]] = {}  # the occurrences in the smallest document
-            marks: list[list[tuple]] = [[] for _ in range(buckets)]
-            for h, doc, fp, pos, n, packed in super_kmers(docs, k, m):
-                own = best.setdefault(packed, [])
-                if own and own[0][1] < doc:
-                    marks[doc % buckets].append((doc, fp, pos, n))
-                    continue
-                if own and doc < own[0][1]:
-                    for _, *mark in own:
-                        marks[mark[0] % buckets].append(tuple(mark))
-                    own.clear()
-                own.append((h, doc, fp, pos, n))
-            heads: list[list[tuple]] = [[] for _ in range(buckets)]
-            strings: list[list[bytes]] = [[] for _ in range(buckets)]
-            for packed, own in best.items():
-                for h, doc, fp, pos, _ in own:
-                    heads[b := h % buckets].append((h, doc, fp, pos, len(packed)))
-                    strings[b].append(packed)
-            full = [b for b in range(buckets) if heads[b] or marks[b]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([_pack(heads[b], strings[b], marks[b]) for b in full], pa.binary())], ["bucket", "blob"])
+            found = super_kmers([t.as_py().encode().split() if t.is_valid else [] for t in part.column("text")], k, m)
+            if found is None:
+                continue
+            doc = part.column("doc").to_numpy()[found.owner]
+            fp = part.column("fp").to_numpy()[found.owner]
+            kept, marked = _merge(found, doc)
+            marks = np.zeros(len(marked), dtype=_MARK)
+            marks["doc"], marks["fp"], marks["pos"], marks["n"] = doc[marked], fp[marked], found.pos[marked], found.n[marked]
+            to = (found.h[kept] % _U(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            kept, cuts = kept[order], np.searchsorted(to[order], np.arange(buckets + 1))
+            to = marks["doc"] % buckets
+            order = np.argsort(to, kind="stable")
+            marks, mark_cuts = marks[order], np.searchsorted(to[order], np.arange(buckets + 1))
+            flat = np.frombuffer(found.flat + b"\n", dtype=np.uint8)
+            full = [b for b in range(buckets) if cuts[b + 1] > cuts[b] or mark_cuts[b + 1] > mark_cuts[b]]
+            blobs = [_pack(found, kept[cuts[b] : cuts[b + 1]], doc, fp, marks[mark_cuts[b] : mark_cuts[b + 1]], flat) for b in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -186,12 +242,13 @@ def _part_of(rows: list[tuple], k: int, most: int) -> Iterator[list[tuple]]:
 def _gather(k: int):
     def run(key, table):
         parts = [_unpack(b.as_py()) for b in table.column("blob")]
-        head = np.concatenate([p[0] for p in parts])
-        marks = [p[1] for p in parts if len(p[1])]
-        raw = b"".join(p[2] for p in parts)
-        ends = np.cumsum(head["n"], dtype=np.int64)
-        order = np.argsort(head["h"], kind="stable")
-        h = head["h"][order]
+        doc, fp, all_h, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        marks = [p[4] for p in parts if len(p[4])]
+        raw = b"".join(p[5] for p in parts)
+        ends = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        order = np.argsort(all_h, kind="stable")
+        h = all_h[order]
         cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
         runs = np.flatnonzero(np.diff(cuts) > 1)
         found: list[tuple] = []
@@ -204,12 +261,12 @@ def _gather(k: int):
 
         for run in runs.tolist():
             own = order[cuts[run] : cuts[run + 1]]
-            if (head["doc"][own] == head["doc"][own[0]]).all():
+            if (doc[own] == doc[own[0]]).all():
                 continue
             if held + len(own) > _SORTED // 8 and rows:
                 flush()
                 rows, held = [], 0
-            rows += [(d, f, p, raw[e - n : e]) for d, f, p, n, e in zip(head["doc"][own].tolist(), head["fp"][own].tolist(), head["pos"][own].tolist(), head["n"][own].tolist(), ends[own].tolist())]
+            rows += [(d, f, p, raw[a:b]) for d, f, p, a, b in zip(doc[own].tolist(), fp[own].tolist(), pos[own].tolist(), starts[own].tolist(), ends[own].tolist())]
             held += len(own)
         if rows:
             flush()
@@ -251,7 +308,7 @@ def _strip(k: int):
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 5, bucket_bytes: int = 32 << 20) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, bucket_bytes: int = 32 << 20) -> DataFrame:
     """``(id_col, n_words, n_removed, kept_sha256, kept_text)`` of every row.
 
     Words are runs of bytes other than \\x20 and \\x09-\\x0D. Each word covered by a window of ``k``
@@ -264,7 +321,11 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(text).alias("fp"), text.alias("text"))
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))
+    # where ids are unique they tell rows apart; else the text's hash does too
+    unique = docs.groupBy(doc.alias("doc")).count().where("count > 1").isEmpty()
+    fp = F.lit(0).cast("long") if unique else F.xxhash64(text)
+    base = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), fp.alias("fp"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // bucket_bytes))
     sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets), "bucket int, blob binary")
