@@ -29,8 +29,8 @@ _PRIME = 0x9E3779B97F4A7C15
 _U = np.uint64
 #: Windows known to be repeated: document, its text's hash, first window, number of windows.
 _MARK = np.dtype([("doc", "<i8"), ("fp", "<i8"), ("pos", "<i4"), ("n", "<i4")])
-#: Windows sorted at once in a bucket.
-_SORTED = 200_000
+#: Bytes of strings whose windows are hashed at once, and sorted at once.
+_CHUNK, _PASS = 1 << 20, 24 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -202,78 +202,93 @@ def _scatter(k: int, m: int, buckets: int):
     return run
 
 
-def repeated_windows(rows: list[tuple[int, int, int, bytes]], k: int) -> Iterator[tuple[int, int, int, int]]:
-    """Marks for the windows of super-k-mers ``(doc, fp, pos, packed)`` whose words also start in a smaller document: windows are sorted on their bytes."""
-    windows, owners = [], []
-    for r, (_, _, _, packed) in enumerate(rows):
-        words = packed.split(b" ")
-        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-        for i, (a, b) in enumerate(zip([0, *ends], ends[k - 1 :])):
-            windows.append(packed[a : b - 1])
-            owners.append((r, i))
-    order = sorted(range(len(windows)), key=windows.__getitem__)
-    for _, same in groupby(order, key=windows.__getitem__):
-        same = list(same)
-        if len(same) > 1:
-            least = min(rows[owners[x][0]][0] for x in same)
-            for x in same:
-                r, i = owners[x]
-                if rows[r][0] > least:
-                    yield rows[r][0], rows[r][1], rows[r][2] + i, 1
-
-
-def _part_of(rows: list[tuple], k: int, most: int) -> Iterator[list[tuple]]:
-    """The rows in parts that windows can't match across: by the hash of each window's words, where there are more than ``most`` of them."""
-    n = sum(p.count(b" ") + 2 - k for *_, p in rows)
-    parts = -(-n // most)
-    if parts < 2:
-        yield rows
-        return
-    for part in range(parts):
-        own = []
-        for doc, fp, pos, packed in rows:
-            words = packed.split(b" ")
-            for i in range(len(words) - k + 1):
-                if hash(window := b" ".join(words[i : i + k])) % parts == part:
-                    own.append((doc, fp, pos + i, window))
-        yield own
+def _windows(codes: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(hash, row, place in the row, first byte, end) of all windows of the strings ``rows``, in chunks of about _CHUNK bytes."""
+    sizes = ends[rows] - starts[rows] + 1  # each with its separator
+    part = np.cumsum(sizes) // _CHUNK
+    for own in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(part)) + 1):
+        if not len(own):
+            continue
+        low, size = starts[rows[own]], sizes[own]
+        text = codes[_ranges(low, size)]
+        gaps = np.flatnonzero((text == 32) | (text == 10))
+        begin = np.concatenate([[0], gaps[:-1] + 1])
+        up, down = _powers(len(text) + 1)
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((text.astype(np.uint64) + _U(1)) * up[:-1], dtype=np.uint64)])
+        first_byte = np.cumsum(size) - size
+        row = np.searchsorted(first_byte, begin, side="right") - 1
+        if len(row) < k:
+            continue
+        at = np.flatnonzero(row[: len(row) - k + 1] == row[k - 1 :])
+        a, b = begin[at], gaps[at + k - 1]
+        first_word = np.searchsorted(row, row[at])
+        shift = low[row[at]] - first_byte[row[at]]
+        yield _mix((sums[b] - sums[a]) * down[a]), rows[own][row[at]], at - first_word, a + shift, b + shift
+
+
+def repeated_windows(raw: bytes, doc: np.ndarray, rows: np.ndarray, starts: np.ndarray, ends: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, window of the row) of the windows whose words also start in a smaller document.
+
+    Windows are sorted by a hash of their bytes and, where they meet, compared on the bytes. If there are
+    many they are taken in several passes, each with its own hash values, so memory is bounded.
+    """
+    codes = np.frombuffer(raw, dtype=np.uint8)
+    passes = int((ends[rows] - starts[rows]).sum() // _PASS) + 1
+    for turn in range(passes):
+        taken = []
+        for found in _windows(codes, rows, starts, ends, k):
+            own = np.flatnonzero(found[0] % _U(passes) == turn) if passes > 1 else slice(None)
+            taken.append([x[own] for x in found])
+        if not taken:
+            return
+        h, row, place, low, high = (np.concatenate(x) for x in zip(*taken))
+        order = np.argsort(h, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1, [len(h)]])
+        owner = doc[row[order]]
+        if not len(owner):
+            continue
+        least = np.minimum.reduceat(owner, cuts[:-1])
+        mixed = np.flatnonzero(least < np.maximum.reduceat(owner, cuts[:-1]))
+        hits = []
+        for g in mixed.tolist():
+            same = order[cuts[g] : cuts[g + 1]]
+            lows, highs = low[same].tolist(), high[same].tolist()
+            first = raw[lows[0] : highs[0]]
+            if all(raw[a:b] == first for a, b in zip(lows, highs)):
+                hits.append(same[owner[cuts[g] : cuts[g + 1]] > least[g]])
+            else:  # different words with one hash
+                strings = [raw[a:b] for a, b in zip(lows, highs)]
+                for _, equal in groupby(sorted(range(len(same)), key=strings.__getitem__), key=strings.__getitem__):
+                    equal = same[list(equal)]
+                    hits.append(equal[doc[row[equal]] > doc[row[equal]].min()])
+        if hits:
+            hits = np.concatenate(hits)
+            yield row[hits], place[hits]
 
 
 def _gather(k: int):
     def run(key, table):
         parts = [_unpack(b.as_py()) for b in table.column("blob")]
-        doc, fp, all_h, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        marks = [p[4] for p in parts if len(p[4])]
+        doc, fp, h, pos = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        marks = [p[4] for p in parts]
         raw = b"".join(p[5] for p in parts)
+        del parts
         ends = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10)
         starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
-        order = np.argsort(all_h, kind="stable")
-        h = all_h[order]
-        cuts = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
-        runs = np.flatnonzero(np.diff(cuts) > 1)
-        found: list[tuple] = []
-        rows: list[tuple] = []
-        held = 0
-
-        def flush() -> None:
-            for part in _part_of(rows, k, _SORTED):
-                found.extend(repeated_windows(part, k))
-
-        for run in runs.tolist():
-            own = order[cuts[run] : cuts[run + 1]]
-            if (doc[own] == doc[own[0]]).all():
-                continue
-            if held + len(own) > _SORTED // 8 and rows:
-                flush()
-                rows, held = [], 0
-            rows += [(d, f, p, raw[a:b]) for d, f, p, a, b in zip(doc[own].tolist(), fp[own].tolist(), pos[own].tolist(), starts[own].tolist(), ends[own].tolist())]
-            held += len(own)
-        if rows:
-            flush()
-        marks.append(np.array(found, dtype=_MARK))
-        mark = np.sort(np.concatenate(marks), order=["doc", "fp", "pos"])
+        order = np.argsort(h, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(h[order])) + 1, [len(h)]])
+        if len(h):  # minimisers that several documents have
+            owner = doc[order]
+            several = np.minimum.reduceat(owner, cuts[:-1]) < np.maximum.reduceat(owner, cuts[:-1])
+            rows = order[np.repeat(several, np.diff(cuts))]
+            for row, place in repeated_windows(raw, doc, rows, starts, ends, k):
+                found = np.zeros(len(row), dtype=_MARK)
+                found["doc"], found["fp"], found["pos"], found["n"] = doc[row], fp[row], pos[row] + place, 1
+                marks.append(found)
+        mark = np.concatenate(marks)
         if not len(mark):
             return pa.table({"doc": pa.array([], pa.int64()), "fp": pa.array([], pa.int64()), "marks": pa.array([], pa.binary())})
+        mark = mark[np.lexsort((mark["pos"], mark["fp"], mark["doc"]))]
         cuts = np.concatenate([[0], np.flatnonzero((mark["doc"][1:] != mark["doc"][:-1]) | (mark["fp"][1:] != mark["fp"][:-1])) + 1, [len(mark)]])
         spans = np.ascontiguousarray(np.stack([mark["pos"], mark["n"]], axis=1))
         return pa.table({"doc": mark["doc"][cuts[:-1]], "fp": mark["fp"][cuts[:-1]], "marks": pa.array([spans[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())})
@@ -281,12 +296,21 @@ def _gather(k: int):
     return run
 
 
+def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Compressed texts, to halve what the join with the marks shuffles."""
+    press = zstandard.ZstdCompressor(level=3)
+    for part in text_slices(batches, "text", _SLICE):
+        packed = [press.compress(t.as_py().encode()) if t.is_valid else None for t in part.column("text")]
+        yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc"), part.column("fp"), pa.array(packed, pa.binary())], ["id", "doc", "fp", "packed"])
+
+
 def _strip(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text", _SLICE):
+        unpack = zstandard.ZstdDecompressor()
+        for part in text_slices(batches, "packed", _SLICE // 4):
             total, gone, digests, kept_texts = [], [], [], []
-            for text, marks in zip(part.column("text"), part.column("marks")):
-                words = text.as_py().encode().split() if text.is_valid else []
+            for packed, marks in zip(part.column("packed"), part.column("marks")):
+                words = unpack.decompress(packed.as_py()).split() if packed.is_valid else []
                 removed = 0
                 if marks.is_valid:
                     cover = np.zeros(len(words) + 1, dtype=np.int32)
@@ -331,5 +355,6 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets), "bucket int, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_gather(k), "doc long, fp long, marks binary")
     marks = marks.groupBy("doc", "fp").agg(F.collect_list("marks").alias("marks"))  # at most as long as the document
-    joined = base.join(marks.hint("shuffle_hash"), ["doc", "fp"], "left").select("id", "text", "marks")
+    texts = base.mapInArrow(_pressed, f"id {kind}, doc long, fp long, packed binary")
+    joined = texts.join(marks.hint("shuffle_hash"), ["doc", "fp"], "left").select("id", "packed", "marks")
     return joined.mapInArrow(_strip(k), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
