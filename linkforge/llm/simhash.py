@@ -205,53 +205,66 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 5, segments: int = 3, seeds: int = 2) -> DataFrame:
+def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 3, seeds: int = 4, bucket_cap: int = 32) -> DataFrame:
     """``(id_col, component_id)`` for every non-null id: near-duplicate groups by SimHash tables and an exact check.
 
     Candidates are texts whose word fingerprints differ in up to ``radius`` bits for one of the
     seeds; a link needs a Jaccard similarity of ``similarity`` on ``width``-word shingles. Texts
-    with the same words are one node. First every node is checked against the leader of each
-    segment bucket it touches; then against the members of its buckets that are still in another
-    component. So a dense group costs a few checks a member, yet no candidate that could join two
-    components goes unchecked. Null ids are left out, null and wordless texts group as copies.
+    with the same words are one node. In segment buckets of up to ``bucket_cap`` nodes all candidates are
+    checked. In larger ones every node that touches the bucket is checked against its leader, and then against
+    the members that are still in another component. So a dense group costs a few checks a
+    member, yet no candidate that could join two components goes unchecked. Null ids are left
+    out, null and wordless texts group as copies; repeated rows are kept.
     """
     rows = staged(word_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, seeds), "word-fingerprints")
+    unique = rows.groupBy(id_col).count().where("count > 1").isEmpty()
     fps = [f"fp{s}" for s in range(seeds)]
     nodes = staged(rows.groupBy("copy").agg(F.min(id_col).cast("long").alias("node"), *(F.first(f).alias(f) for f in fps)), "copy-nodes")
     plan = segment_plan(radius, segments)
     n_keys = len(plan) * seeds
 
-    def keyed(base: DataFrame, balls: bool, *carry: str) -> DataFrame:
+    def keyed(base: DataFrame, balls: bool) -> DataFrame:
         keys = []
         for s, f in enumerate(fps):
             for t, (low, mask, ball) in enumerate(plan):
                 value = F.shiftrightunsigned(F.col(f), low).bitwiseAND(F.lit(mask))
-                keys += [F.struct((value.bitwiseXOR(F.lit(flips)) * n_keys + (s * len(plan) + t)).alias("key"), F.col(f).alias("fp")) for flips in (ball if balls else ball[:1])]
-        return base.select("node", *carry, F.explode(F.array(*keys)).alias("k")).select("node", *carry, "k.key", "k.fp")
-
-    near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= radius
-    ordered = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    first = F.min(F.struct(F.xxhash64("node", F.col("key").bitwiseAND(F.lit(7))).alias("h"), F.col("node").alias("hub"), F.col("fp").alias("hub_fp")))
-    leaders = keyed(nodes, False).groupBy("key").agg(first.alias("x")).select("key", "x.hub", "x.hub_fp")
-    stars = staged(keyed(nodes, True).join(leaders, "key").where((F.col("node") != F.col("hub")) & near("fp", "hub_fp")).select(*ordered("node", "hub")).distinct(), "leader-pairs")
-    # every node with a candidate is in a leader pair, for it is itself a leader or touches one within its bucket
+                flips = F.array(*map(F.lit, ball if balls else ball[:1]))
+                keys.append((value, flips, s * len(plan) + t, f))
+        each = [F.struct((value * n_keys + c).alias("base"), F.col(f).alias("fp"), flips.cast("array<long>").alias("flips")) for value, flips, c, f in keys]
+        out = base.select("node", F.explode(F.array(*each)).alias("k")).select("node", "k.fp", "k.base", F.explode("k.flips").alias("flip"))
+        # base is value*n_keys + c, so the flip applies to its quotient
+        value, c = F.expr(f"base div {n_keys}"), F.col("base") % n_keys
+        return out.select("node", "fp", (value.bitwiseXOR(F.col("flip")) * n_keys + c).alias("key"))
+
+    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius
+    ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    table = keyed(nodes, False).select(F.col("node").alias("other"), F.col("fp").alias("other_fp"), "key")
+    leader = F.min(F.struct(F.xxhash64("other", F.col("key").bitwiseAND(F.lit(7))), "other", "other_fp")).alias("x")
+    large = table.groupBy("key").agg(leader, F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_cap)
+    large = staged(large.select("key", "x.other", "x.other_fp"), "large-buckets")
+    targets = table.join(large.select("key"), "key", "left_anti").select("key", "other", "other_fp", F.lit(False).alias("lead"))
+    targets = targets.unionByName(large.withColumn("lead", F.lit(True)))
+    hits = keyed(nodes, True).join(targets, "key").where((F.col("node") != F.col("other")) & (near | F.col("lead")))
+    hits = staged(hits.select("node", "fp", "key", "other", "lead", near.alias("near")), "bucket-hits")
+
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-        return staged(shingle_sets(docs.join(wanted, id_col, "left_semi").dropDuplicates([id_col]), id_col, text_col, width), "shingle-sets")
+        texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi")
+        return staged(shingle_sets(texts if unique else texts.dropDuplicates([id_col]), id_col, text_col, width), "shingle-sets")
 
-    linked = staged(_similar(stars, sets_of(stars), similarity), "links")
+    pairs = staged(hits.where("near").select(*ordered).distinct(), "pairs")
+    linked = staged(_similar(pairs, sets_of(pairs), similarity), "links")
     roots = connected_components(linked)
-    part = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-    table = keyed(part, False, "root").join(leaders.select("key", "hub"), "key").join(part.select(F.col("node").alias("hub"), F.col("root").alias("main")), "hub").drop("hub")
-    table = table.select(F.col("node").alias("other"), F.col("root").alias("other_root"), "key", F.col("fp").alias("other_fp"), "main")
-    # a bucket's main component is its leader's: its members need no check against one another
-    probe = keyed(part, True, "root")
-    outside = table.where("other_root <> main")
-    mains = table.where("other_root = main")
-    cross = lambda t: probe.join(t, "key").where((F.col("root") != F.col("other_root")) & near("fp", "other_fp")).select(*ordered("node", "other"))
-    rest = staged(cross(outside).unionByName(cross(mains)).distinct(), "cross-pairs")
-    if not rest.isEmpty():
-        linked = linked.unionByName(_similar(rest, sets_of(rest), similarity))
-        roots = connected_components(linked)
+    if not large.isEmpty():
+        # a large bucket's main component is its leader's; members of it need no check against one another
+        part = staged(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        main = large.select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
+        members = table.join(main, "key").join(part.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other")
+        probes = hits.where("lead").select("node", "fp", "key").join(part, "node").join(main, "key")
+        cross = lambda p, m: p.drop("main").join(m.drop("main"), "key").where((F.col("root") != F.col("other_root")) & near).select(*ordered)
+        rest = cross(probes, members.where("other_root <> main")).unionByName(cross(probes.where("root <> main"), members.where("other_root = main")))
+        rest = staged(rest.distinct(), "cross-pairs")
+        if not rest.isEmpty():
+            roots = connected_components(linked.unionByName(_similar(rest, sets_of(rest), similarity)))
     grouped = nodes.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
     return rows.join(grouped, "copy").select(id_col, "component_id")
