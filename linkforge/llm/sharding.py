@@ -16,13 +16,18 @@ from linkforge.llm.common import staged
 _FIRST = -(1 << 63)
 
 
-def _between(splitters: list[tuple[int, int]], low: int, high: int) -> F.Column:
-    """Number of splitters up to (h, i), as a balanced tree of comparisons."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    h, i = splitters[mid]
-    return F.when((F.col("h") < h) | ((F.col("h") == h) & (F.col("i") < i)), _between(splitters, low, mid)).otherwise(_between(splitters, mid + 1, high))
+def _below(splitters: list[tuple[int, int]]) -> F.Column:
+    """Number of splitters up to (h, i), by binary descent in a literal array: small code, however many there are."""
+    n = len(splitters)
+    hs, ids = F.lit([h for h, _ in splitters]), F.lit([i for _, i in splitters])
+    steps = F.lit([1 << b for b in range(n.bit_length() - 1, -1, -1)])
+
+    def descend(count, step):
+        h, i = F.element_at(hs, count + step), F.element_at(ids, count + step)
+        passed = F.when(count + step <= n, (h < F.col("h")) | ((h == F.col("h")) & (i <= F.col("i")))).otherwise(F.lit(False))
+        return F.when(passed, count + step).otherwise(count)
+
+    return F.aggregate(steps, F.lit(0), descend)
 
 
 def sampled_splitters(keys: DataFrame, total: int, ranges: int, sample: int, seed: int) -> list[tuple[int, int]]:
@@ -63,7 +68,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", tex
     total = slim.agg(F.sum("size")).first()[0] or 0
     splitters = sampled_splitters(slim, total, ranges, sample, seed) if total else []
     if splitters:
-        base = base.withColumn("range", _between(splitters, 0, len(splitters)))
+        base = base.withColumn("range", _below(splitters))
     else:
         base = base.withColumn("range", F.lit(0))
     whole = F.col("bytes") <= keep_whole * total / shards
