@@ -143,7 +143,7 @@ def _meet(top: int):
     return run
 
 
-def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, leaf_rows: int = 64, most_leaves: int = 2048, sample: int = 65_536, calibration: int = 100) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, leaf_rows: int = 1024, most_leaves: int = 2048, sample: int = 65_536, calibration: int = 100) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every usable row where ``is_query`` holds, the ``k`` others with the largest inner product found.
 
     score is the inner product of the stored vectors in double precision; ties go to the smaller id.
@@ -165,7 +165,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     entries = staged(ranked.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")), "vectors")
     n = entries.count()
     leaves = min(most_leaves, max(1, n // leaf_rows))
-    drawn = entries.select("v").where(F.rand(7) < 1.0) if n <= sample else entries.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
+    drawn = entries.select("v") if n <= sample else entries.select("v").where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int((1 << 30) * sample / n))
     points = _matrix(drawn.toArrow().column("v"))
     points = points[np.lexsort(points.T[:3])]
     tree = fit_tree(points, max(1, len(points) // leaves))
