@@ -11,9 +11,6 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Separators of words: one or more of \x20 and \x09-\x0D.
-WORD_GAP = r"[\x20\x09-\x0D]+"
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
@@ -43,8 +40,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def n_words(text) -> F.Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` runs; null text has none."""
-    bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+", "")
-    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(F.rtrim(F.translate(bare, "\t\n\x0b\f\r", "     ")), " +")))
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
