@@ -205,13 +205,13 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 3, seeds: int = 4, bucket_cap: int = 32) -> DataFrame:
+def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 3, seeds: int = 4, bucket_cap: int = 32, leaders: int = 4) -> DataFrame:
     """``(id_col, component_id)`` for every non-null id: near-duplicate groups by SimHash tables and an exact check.
 
     Candidates are texts whose word fingerprints differ in up to ``radius`` bits for one of the
     seeds; a link needs a Jaccard similarity of ``similarity`` on ``width``-word shingles. Texts
     with the same words are one node. In segment buckets of up to ``bucket_cap`` nodes all candidates are
-    checked. In larger ones every node that touches the bucket is checked against its leader, and then against
+    checked. In larger ones every node that touches the bucket is checked against ``leaders`` of them, and then against
     the members that are still in another component. So a dense group costs a few checks a
     member, yet no candidate that could join two components goes unchecked. Null ids are left
     out, null and wordless texts group as copies; repeated rows are kept.
@@ -239,13 +239,14 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius
     ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
     table = keyed(nodes, False).select(F.col("node").alias("other"), F.col("fp").alias("other_fp"), "key")
-    leader = F.min(F.struct(F.xxhash64("other", F.col("key").bitwiseAND(F.lit(7))), "other", "other_fp")).alias("x")
-    large = table.groupBy("key").agg(leader, F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_cap)
-    large = staged(large.select("key", "x.other", "x.other_fp"), "large-buckets")
-    targets = table.join(large.select("key"), "key", "left_anti").select("key", "other", "other_fp", F.lit(False).alias("lead"))
-    targets = targets.unionByName(large.withColumn("lead", F.lit(True)))
-    hits = keyed(nodes, True).join(targets, "key").where((F.col("node") != F.col("other")) & (near | F.col("lead")))
-    hits = staged(hits.select("node", "fp", "key", "other", "lead", near.alias("near")), "bucket-hits")
+    large = staged(table.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_cap).select("key"), "large-buckets")
+    place = "row_number() over (partition by key order by xxhash64(other, key & 7), other)"
+    lead = staged(table.join(large, "key").withColumn("place", F.expr(place)).where(F.col("place") <= leaders), "leaders")
+    targets = table.join(large, "key", "left_anti").select("key", "other", "other_fp", F.lit(0).alias("place"))
+    targets = targets.unionByName(lead)
+    # what touches a large bucket is kept once for the second check, beside the first leader
+    hits = keyed(nodes, True).join(targets, "key").where((F.col("place") == 1) | ((F.col("node") != F.col("other")) & near))
+    hits = staged(hits.select("node", "fp", "key", "other", "place", ((F.col("node") != F.col("other")) & near).alias("near")), "bucket-hits")
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
@@ -258,13 +259,19 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not large.isEmpty():
         # a large bucket's main component is its leader's; members of it need no check against one another
         part = staged(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-        main = large.select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
+        main = lead.where("place = 1").select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
+        probes = hits.where("place = 1").select("node", "fp", "key").join(part, "node").join(main, "key")
         members = table.join(main, "key").join(part.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other")
-        probes = hits.where("lead").select("node", "fp", "key").join(part, "node").join(main, "key")
-        cross = lambda p, m: p.drop("main").join(m.drop("main"), "key").where((F.col("root") != F.col("other_root")) & near).select(*ordered)
+        # the exact check is part of the join's condition, so that only links come out of it
+        sets = sets_of(probes.select(F.col("node").alias("a"), F.col("node").alias("b")))
+        probes = probes.join(sets.select("node", F.col("shingles").alias("sa")), "node")
+        members = members.join(sets.select(F.col("node").alias("other"), F.col("shingles").alias("sb")), "other")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        alike = shared >= similarity * (F.size("sa") + F.size("sb") - shared)
+        cross = lambda p, m: p.drop("main").join(m.drop("main"), "key").where((F.col("root") != F.col("other_root")) & near & alike).select(*ordered)
         rest = cross(probes, members.where("other_root <> main")).unionByName(cross(probes.where("root <> main"), members.where("other_root = main")))
-        rest = staged(rest.distinct(), "cross-pairs")
+        rest = staged(rest.distinct(), "cross-links")
         if not rest.isEmpty():
-            roots = connected_components(linked.unionByName(_similar(rest, sets_of(rest), similarity)))
+            roots = connected_components(linked.unionByName(rest))
     grouped = nodes.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
     return rows.join(grouped, "copy").select(id_col, "component_id")
