@@ -205,7 +205,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 3, seeds: int = 4, bucket_cap: int = 32, leaders: int = 4) -> DataFrame:
+def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 3, seeds: int = 4, bucket_cap: int = 32, leaders: int = 1) -> DataFrame:
     """``(id_col, component_id)`` for every non-null id: near-duplicate groups by SimHash tables and an exact check.
 
     Candidates are texts whose word fingerprints differ in up to ``radius`` bits for one of the
