@@ -336,7 +336,7 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, max_words: int = 40_000, carry: tuple[str, ...] | None = None) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 200, max_words: int = 25_000, carry: tuple[str, ...] | None = None) -> DataFrame:
     """Fit on the rows that aren't held out, predict every row.
 
     The classifier is fitted on a bounded sample: at most ``per_language`` texts, and about
