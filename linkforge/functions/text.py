@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: The suffix words that mark a legal form.
 LEGAL_FORMS = ("co", "company", "corp", "corporation", "inc", "incorporated", "llc", "llp", "ltd", "limited", "private", "pvt", "plc", "sa", "sas", "sarl", "eurl", "snc", "cie")
@@ -21,20 +22,20 @@ def _fold(text: str) -> str:
     return "".join(c for c in folded if not unicodedata.combining(c))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Compatibility-composed, case-folded, without combining marks; equal texts of a batch are folded once."""
     known = {t: t.casefold().strip() if t.isascii() else _fold(t) for t in texts.dropna().unique()}
     return texts.map(known)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold_country(texts: pd.Series) -> pd.Series:
     known = {t: " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for t in texts.dropna().unique()}
     return texts.map(known)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def character_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of each pair, in this argument order; equal pairs of a batch are compared once."""
     seen: dict[tuple[str, str], float] = {}
@@ -49,7 +50,7 @@ def character_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 def stable_fraction(ids: Column, seed: int) -> Column:
     """A fixed place of each id in [0, 1): 64 bits of BLAKE2b over ``seed:id``."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def place(values: pd.Series) -> pd.Series:
         return values.map(lambda x: int.from_bytes(hashlib.blake2b(f"{seed}:{x}".encode(), digest_size=8).digest(), "big") / 2**64)
 
