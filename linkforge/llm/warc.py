@@ -131,6 +131,8 @@ def _plain_record(source: _Bytes, at: int) -> Record:
         if not colon:
             raise Damaged("header without a colon")
         headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
+    if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
+        raise Damaged("a mandatory header is missing")
     if not (size := headers.get("content-length", "")).isdigit():
         raise Damaged("no length")
     start = at + end + 4
