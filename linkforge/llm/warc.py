@@ -165,15 +165,13 @@ def _member(source: _Bytes, at: int) -> tuple[bytes, int]:
 
 
 def _next_plain(source: _Bytes, at: int) -> int:
-    """Where the next valid record begins: at a version line that starts a line and whose record passes its checks."""
+    """Where the next valid record begins: at a version line whose record passes its checks, whatever stands before it."""
     while (at := source.find(b"WARC/", at)) >= 0:
-        if not at or source.read(at - 1, 1) == b"\n":
-            try:
-                _plain_record(source, at)
-                return at
-            except Damaged:
-                pass
-        at += 1
+        try:
+            _plain_record(source, at)
+            return at
+        except Damaged:
+            at += 1
     return source.size
 
 
