@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,14 +41,62 @@ def top_k(scores: DataFrame, k: int, prefix: str) -> DataFrame:
     return ranked.withColumnsRenamed({"similarity": f"{prefix}_similarity", "place": f"{prefix}_rank"})
 
 
+#: Postings that one group of the index holds, and queries that meet it at once.
+_BLOCK_DOCS, _BLOCK_QUERIES = 20_000, 2_000
+
+
+def _score_block(k: int):
+    """Top-k of each query within one block of documents: postings of its grams summed in an array over the block."""
+
+    def run(key, left, right):
+        out = {"source1_entity_id": [], "candidate_entity_id": [], "similarity": []}
+        if left.num_rows and right.num_rows:
+            docs = right.column("id").combine_chunks().dictionary_encode()
+            grams = right.column("gram").combine_chunks().dictionary_encode()
+            order = np.argsort(grams.indices.to_numpy(), kind="stable")
+            names, place = docs.dictionary.to_pylist(), docs.indices.to_numpy()[order]
+            value = right.column("w").to_numpy()[order]
+            cuts = np.searchsorted(grams.indices.to_numpy()[order], np.arange(len(grams.dictionary) + 1))
+            number = {g: i for i, g in enumerate(grams.dictionary.to_pylist())}
+            queries: dict[str, list[tuple[int, float]]] = {}
+            for q, g, w in zip(*(left.column(c).to_pylist() for c in ("id", "gram", "w"))):
+                if g in number:
+                    queries.setdefault(q, []).append((number[g], w))
+            for q, terms in queries.items():
+                spans = [slice(cuts[g], cuts[g + 1]) for g, _ in terms]
+                dots = np.bincount(np.concatenate([place[x] for x in spans]), np.concatenate([value[x] * w for x, (_, w) in zip(spans, terms)]), len(names)).round(9)
+                near = np.flatnonzero(dots > 0)
+                if len(near) > k:  # all that tie with the k-th stay
+                    near = near[dots[near] >= np.partition(dots[near], len(near) - k)[len(near) - k]]
+                best = sorted((-dots[x], names[x]) for x in near.tolist())[:k]
+                out["source1_entity_id"] += [q] * len(best)
+                out["candidate_entity_id"] += [x for _, x in best]
+                out["similarity"] += [-s for s, _ in best]
+        return pa.table({"source1_entity_id": pa.array(out["source1_entity_id"], pa.string()), "candidate_entity_id": pa.array(out["candidate_entity_id"], pa.string()), "similarity": pa.array(out["similarity"], pa.float64())})
+
+    return run
+
+
 def retrieve(source: DataFrame, feed: DataFrame, column: str, k: int, prefix: str, config: LinkConfig) -> DataFrame:
-    """Top-K by TF-IDF cosine within the country: an equi-join on grams and a sum; queries meet only grams of the feed's vocabulary."""
+    """Top-K by TF-IDF cosine within the country.
+
+    The feed's weights are cut into blocks of documents and the queries into blocks of their own; each pair of
+    blocks of a country meets in one task, which returns only its top K, so no row is made for a pair of records.
+    """
     docs = gram_counts(feed.where(F.col(column) != ""), column, config)
     vocab = vocabulary(docs, feed.where(F.col(column) != ""), config)
-    right = weights(docs, vocab).select(F.col("entity_id").alias("candidate_entity_id"), "country", "gram", F.col("w").alias("wd"))
-    left = weights(gram_counts(source, column, config), vocab).select(F.col("entity_id").alias("source1_entity_id"), "country", "gram", "w")
-    dots = left.join(right, ["country", "gram"]).groupBy("source1_entity_id", "candidate_entity_id").agg(F.sum(F.col("w") * F.col("wd")).alias("similarity"))
-    return top_k(dots, k, prefix)
+    right = weights(docs, vocab).select(F.col("entity_id").alias("id"), "country", "gram", "w")
+    left = weights(gram_counts(source, column, config), vocab).select(F.col("entity_id").alias("id"), "country", "gram", "w")
+    # two single figures fix the number of blocks; a country's share of them is smaller still
+    many = lambda frame, each: max(1, -(-frame.count() // each))
+    doc_blocks, query_blocks = many(feed, _BLOCK_DOCS), many(source, _BLOCK_QUERIES)
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("q", block(query_blocks)).withColumn("d", spread(doc_blocks))
+    right = right.withColumn("d", block(doc_blocks)).withColumn("q", spread(query_blocks))
+    keys = ["country", "q", "d"]
+    kinds = "source1_entity_id string, candidate_entity_id string, similarity double"
+    return top_k(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_score_block(k), kinds), k, prefix)
 
 
 def address_keys(records: DataFrame, config: LinkConfig) -> DataFrame:
