@@ -21,6 +21,7 @@ from linkforge.operators import model as M
 from linkforge.operators import sampling as S
 from linkforge.operators import submission as O
 from linkforge.operators import tfidf as V
+from linkforge.plans import stages
 from linkforge.sources import records as IO
 
 CONFIG = LinkConfig(posting_cap=20, name_token_df=10, address_token_df=5, candidate_k=10, tfidf_k=10, address_k=5, pool_cap=30, numeric_max_df=10, rare_token_max_df=10, prefix_max_df=20, fallback_max_df=20)
@@ -164,13 +165,17 @@ def blend(spark, d):
     return E.blend_sweep(ids(spark, d), IO.document_truth(spark, d), rows, "rule_score", "other", [0.0, 0.5, 1.0], [0.5, 0.8, 0.9])
 
 
+def _stage(name):
+    return lambda spark, d: stages.STAGES[name](*sides(spark, d), IO.document_truth(spark, d).persist(), CONFIG)
+
+
 CATALOG = {
     "normalize_names": lambda s, d: records(s, d).select("entity_id", "name_full", "name_core", "name_sorted", "name_acronym"),
     "normalize_addresses": lambda s, d: records(s, d).select("entity_id", "address_full", "country_norm"),
     "legal_forms": lambda s, d: records(s, d).groupBy("legal_form").agg(F.count(F.lit(1)).alias("n")),
     "numeric_tokens": lambda s, d: records(s, d).select("entity_id", F.array_join("address_numeric_tokens", " ").alias("numbers")),
     "postcode_extract": lambda s, d: records(s, d).select("entity_id", "postcode"),
-    "informative_tokens": lambda s, d: records(s, d).select("entity_id", F.array_join(T.informative(F.col("name_tokens")), " ").alias("words")),
+    "informative_tokens": lambda s, d: records(s, d).select("entity_id", F.array_join(F.array_sort(T.informative(F.col("name_tokens"))), " ").alias("words")),
     "char_ngrams": lambda s, d: V.gram_counts(sides(s, d)[0], "name_core", CONFIG).groupBy("country", "gram").agg(F.sum("tf").alias("n")),
     "source_violations": lambda s, d: IO.source_violations(sides(s, d)[1], "S2-"),
     "truth_explode": lambda s, d: IO.explode_truth(truth_lists(s, d)),
@@ -240,6 +245,8 @@ CATALOG = {
     "submission_candidates": lambda s, d: O.result_frame(ids(s, d), candidates(s, d, 5), "cheap_rank", "candidate_entity_ids"),
     "submission_violations": broken_results,
     "gbt_scores": gbt,
+    "stage_rules": _stage("evaluate"),
+    "stage_token_policies": _stage("e2.2"),
 }
 
 

@@ -207,7 +207,11 @@ def oracle_sql() -> dict[str, str]:
         "legal_forms": _sql("select legal_form, count(*) as n from norm group by 1"),
         "numeric_tokens": _sql("select entity_id, array_to_string(numbers, ' ') as numbers from norm"),
         "postcode_extract": _sql("select entity_id, postcode from norm"),
-        "informative_tokens": None,
+        "informative_tokens": _sql(f"select entity_id, array_to_string(list_sort({_informative('name_tokens')}), ' ') as words from norm"),
+        "tfidf_blocking_merge": _sql(f"""select {_P}, block_name_tfidf, cheap_rank from (select *, row_number() over (partition by source1_entity_id order by s desc, candidate_entity_id) as cheap_rank from (
+  select coalesce(c.source1_entity_id, n.source1_entity_id) as source1_entity_id, coalesce(c.candidate_entity_id, n.candidate_entity_id) as candidate_entity_id, (n.place is not null)::bigint as block_name_tfidf,
+    (coalesce(cheap_score, 0)::double - 0.5 * coalesce(same_country_block, 0)::double + 0.5 * (case when n.place is not null then 1 else coalesce(same_country_block, 0) end) + 4.0::double * coalesce(similarity, 0))::float as s
+  from scores c full join near n using (source1_entity_id, candidate_entity_id))) where cheap_rank <= 10"""),
         "char_ngrams": _sql(f"select country_norm as country, gram, count(*) as n from (select country_norm, unnest({_grams('name_core')}) as gram from s1) group by all"),
         "source_violations": _sql("select unnest(['empty_id', 'wrong_prefix', 'duplicate_id']) as problem, unnest([count(*) filter (entity_id = ''), count(*) filter (entity_id not like 'S2-%'), count(*) - count(distinct entity_id)]) as rows from feed"),
         "truth_explode": _sql("select * from truth"),
