@@ -24,6 +24,7 @@ from linkforge.llm.common import connected_components, staged, text_slices
 
 BITS = 64
 _SLICE = 4 << 20
+_SKETCH = 1024
 #: Eight byte lanes of a word, lane i holding bit i of the index.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], dtype=np.uint64)
 
@@ -197,6 +198,30 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
     return docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def odd_sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """``(node, size, sketch)``: how many distinct ``width``-word shingles each text has, and the parity of their number in each of 1,024 hash buckets.
+
+    What two texts share cancels out, so the bits in which their sketches differ are never more than
+    the shingles in which the texts differ.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "t", _SLICE):
+            sets = [shingle_hashes(t.as_py().encode(), width, distinct=True) if t.is_valid else [] for t in part.column("t")]
+            odd = [np.bincount(np.array(x, dtype=np.uint64).astype(np.int64) & (_SKETCH - 1), minlength=_SKETCH) & 1 for x in sets]
+            sketches = [np.packbits(x.astype(np.uint8), bitorder="little").view(np.int64) for x in odd]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([len(x) for x in sets], pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], ["node", "size", "sketch"])
+
+    return docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, "node long, size int, sketch array<long>")
+
+
+def _may_be_similar(least: float) -> F.Column:
+    """False only where ``size, sketch`` and ``other_size, other_sketch`` rule out a Jaccard similarity of ``least``: at that, the texts differ in at most (1-least)/(1+least) of the sum of their sizes."""
+    most = (F.col("size") + F.col("other_size")) * ((1 - least) / (1 + least)) + 1e-6
+    apart = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other_sketch")[i])) for i in range(_SKETCH // 64)), F.lit(0))
+    return (F.abs(F.col("size") - F.col("other_size")) <= most) & (apart <= most)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingle sets have a Jaccard similarity of at least ``least``."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -212,7 +237,8 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seeds; a link needs a Jaccard similarity of ``similarity`` on ``width``-word shingles. Texts
     with the same words are one node. In segment buckets of up to ``bucket_cap`` nodes all candidates are
     checked. In larger ones every node that touches the bucket is checked against its leader, and then against
-    the members that are still in another component. So a dense group costs a few checks a
+    the members that are still in another component, where their odd sketches allow the similarity;
+    the sketches rule out only what the exact check would. So a dense group costs a few checks a
     member, yet no candidate that could join two components goes unchecked. Null ids are left
     out, null and wordless texts group as copies; repeated rows are kept.
     """
@@ -247,10 +273,12 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hits = keyed(nodes, True).join(targets, "key").where((F.col("node") != F.col("other")) & (near | F.col("lead")))
     hits = staged(hits.select("node", "fp", "key", "other", "lead", near.alias("near")), "bucket-hits")
 
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        texts = docs.select(id_col, text_col).join(wanted.select(F.col("node").alias(id_col)).distinct(), id_col, "left_semi")
+        return texts if unique else texts.dropDuplicates([id_col])
+
     def sets_of(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias(id_col)).distinct()
-        texts = docs.select(id_col, text_col).join(wanted, id_col, "left_semi")
-        return staged(shingle_sets(texts if unique else texts.dropDuplicates([id_col]), id_col, text_col, width), "shingle-sets")
+        return staged(shingle_sets(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), id_col, text_col, width), "shingle-sets")
 
     pairs = staged(hits.where("near").select(*ordered).distinct(), "pairs")
     linked = staged(_similar(pairs, sets_of(pairs), similarity), "links")
@@ -261,7 +289,12 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         main = large.select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
         members = table.join(main, "key").join(part.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other")
         probes = hits.where("lead").select("node", "fp", "key").join(part, "node").join(main, "key")
-        cross = lambda p, m: p.drop("main").join(m.drop("main"), "key").where((F.col("root") != F.col("other_root")) & near).select(*ordered)
+        # every text that meets a large bucket, members among them
+        sketches = staged(odd_sketches(texts_of(probes), id_col, text_col, width), "odd-sketches")
+        probes = probes.join(sketches, "node")
+        members = members.join(sketches.select(F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch")), "other")
+        apart = (F.col("root") != F.col("other_root")) & near & _may_be_similar(similarity)
+        cross = lambda p, m: p.drop("main").join(m.drop("main"), "key").where(apart).select(*ordered)
         rest = cross(probes, members.where("other_root <> main")).unionByName(cross(probes.where("root <> main"), members.where("other_root = main")))
         rest = staged(rest.distinct(), "cross-pairs")
         if not rest.isEmpty():

@@ -115,6 +115,46 @@ def test_simhash_groups(spark, odd, none):
     assert sorted(r.component_id for r in simhash.verified_groups(odd.select("doc_id", "text")).where("doc_id = 6").collect()) == [5]
 
 
+def near_copies(n, size=80):
+    """Copies of a text with 0 to 6 replaced words each, and some other texts."""
+    rng, base, rows = np.random.default_rng(8), [f"b{i}" for i in range(size)], []
+    for d in range(n):
+        own = list(base)
+        for p in rng.choice(size, d % 7, replace=False):
+            own[p] = f"x{rng.integers(1000)}"
+        rows.append((d, " ".join(own) if d % 5 else words(d, size)))
+    return rows
+
+
+def shingled(text, k=5):
+    w = text.lower().split()
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+
+def test_odd_sketches(spark):
+    rows = near_copies(60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketches = simhash.odd_sketches(docs, "doc_id", "text", 5)
+    assert {r.node: r["size"] for r in sketches.collect()} == {d: len(shingled(t)) for d, t in rows}
+    other = sketches.select(F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch"))
+    passed = {(r.node, r.other) for r in sketches.join(other, F.col("node") < F.col("other")).where(simhash._may_be_similar(0.8)).collect()}
+    alike = {(a, b) for (a, s), (b, t) in itertools.combinations(rows, 2) if len(shingled(s) & shingled(t)) >= 0.8 * len(shingled(s) | shingled(t))}
+    assert alike and alike <= passed and len(passed - alike) < 0.1 * 60 * 59 / 2
+
+
+def test_verified_groups_in_large_buckets(spark):
+    """Buckets that hold a large group give the components that checking all their pairs gives, and only true links."""
+    rows = near_copies(90)
+    docs = spark.createDataFrame([*rows, *((d + 200, t) for d, t in rows[:20])], "doc_id long, text string")
+    runs = [{r.doc_id: r.component_id for r in simhash.verified_groups(docs, bucket_cap=cap).collect()} for cap in (2, 1 << 20)]
+    assert runs[0] == runs[1] and len(set(runs[0].values())) < 60 and all(runs[0][d + 200] == runs[0][d] for d in range(20))
+    texts = dict(rows)
+    for d, c in runs[0].items():  # each member of a group has a partner in it
+        own = shingled(texts[d % 200])
+        mates = [texts[x % 200] for x, y in runs[0].items() if y == c and x != d]
+        assert not mates or any(len(own & shingled(t)) >= 0.8 * len(own | shingled(t)) for t in mates)
+
+
 def test_sharding(spark, odd, none):
     got = sharding.shard_by_bytes(odd, 3).collect()
     assert len(got) == len(ODD) and sum(r["size"] for r in got) == sum(len((r[1] or "").encode()) + 1 for r in ODD)
