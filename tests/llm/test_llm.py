@@ -147,7 +147,7 @@ def test_verified_groups_in_large_buckets(spark):
     rows = near_copies(90)
     docs = spark.createDataFrame([*rows, *((d + 200, t) for d, t in rows[:20])], "doc_id long, text string")
     runs = [{r.doc_id: r.component_id for r in simhash.verified_groups(docs, bucket_cap=cap).collect()} for cap in (2, 1 << 20)]
-    assert runs[0] == runs[1] and len(set(runs[0].values())) < 60 and all(runs[0][d + 200] == runs[0][d] for d in range(20))
+    assert runs[0] == runs[1] and len(set(runs[0].values())) < 80 and all(runs[0][d + 200] == runs[0][d] for d in range(20))
     texts = dict(rows)
     for d, c in runs[0].items():  # each member of a group has a partner in it
         own = shingled(texts[d % 200])
