@@ -11,6 +11,7 @@ compared pair by pair: their members meet at the points halfway between them (se
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -151,42 +152,6 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
-def word_fingerprints(docs: DataFrame, id_col: str, text_col: str, seeds: int) -> DataFrame:
-    """``(id_col, copy, fp0..)``: one fingerprint a seed over a text's words, each weighing the square root of its count.
-
-    copy is the XXH3-128 digest of the lower-cased words: equal for texts with the same words in the same order.
-    """
-    kind = docs.schema[id_col].dataType
-    names = [f"fp{s}" for s in range(seeds)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "t", _SLICE // 2):
-            bits = np.zeros((seeds, part.num_rows), dtype=np.uint64)
-            copies = []
-            for row, text in enumerate(part.column("t")):
-                words = text.as_py().encode().lower().split() if text.is_valid else []
-                copies.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                if words:
-                    bits[:, row] = _weighted_bits(words, seeds)
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(copies, pa.binary()), *(pa.array(b.view(np.int64)) for b in bits)], ["i", "copy", *names])
-
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {kind.simpleString()}, copy binary, " + ", ".join(f"{n} long" for n in names)).withColumnRenamed("i", id_col)
-
-
-def _weighted_bits(words: list[bytes], seeds: int) -> np.ndarray:
-    counts: dict[bytes, int] = {}
-    for w in words:
-        counts[w] = counts.get(w, 0) + 1
-    weight = np.sqrt(np.fromiter(counts.values(), dtype=np.float32))
-    out = np.empty(seeds, dtype=np.uint64)
-    for s in range(seeds):
-        hashes = np.array([xxhash.xxh64_intdigest(w, s) for w in counts], dtype=np.uint64)
-        ones = weight @ np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-        out[s] = np.packbits(2 * ones > weight.sum(), bitorder="little").view(np.uint64)[0]
-    return out
-
-
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``(node, shingles)``: the sorted distinct XXH64 values of each text's ``width``-word shingles."""
 
@@ -230,74 +195,96 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 3, segments: int = 3, seeds: int = 4, bucket_cap: int = 32) -> DataFrame:
-    """``(id_col, component_id)`` for every non-null id: near-duplicate groups by SimHash tables and an exact check.
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sample: int = 4096, least: int = 8, most: int = 100_000) -> list[tuple[int, int]]:
+    """``(hash, texts)`` of the shingles in at least ``least`` of about ``sample`` texts. They only set the order in which prefixes are cut, so no link depends on them."""
+    part = max(1, docs.count() // sample)
+    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(part)) == 0)
+    counts = shingle_sets(some.select(F.col(id_col).alias("node"), text_col), "node", text_col, width).select(F.explode("shingles").alias("h")).groupBy("h").count()
+    return [(r.h, r["count"]) for r in counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).collect()]
+
+
+def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
+    """``(id_col, copy, size, sketch, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
 
-    Candidates are texts whose word fingerprints differ in up to ``radius`` bits for one of the
-    seeds; a link needs a Jaccard similarity of ``similarity`` on ``width``-word shingles. Texts
-    with the same words are one node. In segment buckets of up to ``bucket_cap`` nodes all candidates are
-    checked. In larger ones every node that touches the bucket is checked against its leader, and then against
-    the members that are still in another component, where their odd sketches allow the similarity;
-    the sketches rule out only what the exact check would. So a dense group costs a few checks a
-    member, yet no candidate that could join two components goes unchecked. Null ids are left
-    out, null and wordless texts group as copies; repeated rows are kept.
+    Two texts with a Jaccard similarity of at least ``similarity`` share ``similarity`` of either's n shingles,
+    so they share one of the first n - ceil(similarity * n) + 1. copy is the XXH3-128 digest of the
+    lower-cased words; for size and sketch see ``odd_sketches``.
     """
-    rows = staged(word_fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, seeds), "word-fingerprints")
+    kind = docs.schema[id_col].dataType
+    hashes = np.array(sorted(h for h, _ in common), dtype=np.int64)
+    texts = np.array([n for _, n in sorted(common)], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "t", _SLICE // 2):
+            copies, sizes, sketches, keys = [], [], [], []
+            for text in part.column("t"):
+                data = text.as_py().encode() if text.is_valid else b""
+                own = np.unique(np.array(shingle_hashes(data, width), dtype=np.uint64).view(np.int64))
+                copies.append(xxhash.xxh3_128_digest(b" ".join(data.lower().split())))
+                sizes.append(len(own))
+                odd = np.bincount(own & (_SKETCH - 1), minlength=_SKETCH) & 1
+                sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                if len(hashes) and len(own):
+                    at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+                    own = own[np.argsort(np.where(hashes[at] == own, texts[at], 0), kind="stable")]
+                # the small number keeps rounding from cutting a prefix short
+                keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1] if len(own) else own)
+            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "copy", "size", "sketch", "keys"])
+
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
+    return rows.mapInArrow(run, f"i {kind.simpleString()}, copy binary, size int, sketch array<long>, keys array<long>").withColumnRenamed("i", id_col)
+
+
+def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bucket_cap: int = 32) -> DataFrame:
+    """``(id_col, component_id)`` for every non-null id: groups of texts whose Jaccard similarity on ``width``-word shingles is at least ``similarity``.
+
+    Candidates are texts that share a shingle of their prefixes (see ``prefix_rows``), which every similar pair
+    does, whatever was replaced, cut or added; sizes, places in the prefix and odd sketches rule out only
+    what the exact check would. Texts with the same words are one node. In buckets of up to
+    ``bucket_cap`` nodes all candidates are checked. In larger ones every node is checked against the
+    bucket's leader, and then against the members that are still in another component. So a dense
+    group costs a few checks a member, yet no pair that could join two components goes unchecked. Null ids
+    are left out, null and wordless texts group as copies; repeated rows are kept.
+    """
+    docs = docs.where(F.col(id_col).isNotNull())
+    rows = staged(prefix_rows(docs, id_col, text_col, width, similarity, common_shingles(docs, id_col, text_col, width)), "prefixes")
     unique = rows.groupBy(id_col).count().where("count > 1").isEmpty()
-    fps = [f"fp{s}" for s in range(seeds)]
-    nodes = staged(rows.groupBy("copy").agg(F.min(id_col).cast("long").alias("node"), *(F.first(f).alias(f) for f in fps)), "copy-nodes")
-    plan = segment_plan(radius, segments)
-    n_keys = len(plan) * seeds
-
-    def keyed(base: DataFrame, balls: bool) -> DataFrame:
-        keys = []
-        for s, f in enumerate(fps):
-            for t, (low, mask, ball) in enumerate(plan):
-                value = F.shiftrightunsigned(F.col(f), low).bitwiseAND(F.lit(mask))
-                flips = F.array(*map(F.lit, ball if balls else ball[:1]))
-                keys.append((value, flips, s * len(plan) + t, f))
-        each = [F.struct((value * n_keys + c).alias("base"), F.col(f).alias("fp"), flips.cast("array<long>").alias("flips")) for value, flips, c, f in keys]
-        out = base.select("node", F.explode(F.array(*each)).alias("k")).select("node", "k.fp", "k.base", F.explode("k.flips").alias("flip"))
-        # base is value*n_keys + c, so the flip applies to its quotient
-        value, c = F.expr(f"base div {n_keys}"), F.col("base") % n_keys
-        return out.select("node", "fp", (value.bitwiseXOR(F.col("flip")) * n_keys + c).alias("key"))
-
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other_fp"))) <= radius
+    nodes = staged(rows.groupBy("copy").agg(F.min(id_col).cast("long").alias("node"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys"))), "copy-nodes")
+    table = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
+    table = staged(table.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1"), "postings")
+    other = lambda df: df.select(*(c if c == "key" else F.col(c).alias("other" if c == "node" else f"other_{c}") for c in df.columns))
     ordered = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    table = keyed(nodes, False).select(F.col("node").alias("other"), F.col("fp").alias("other_fp"), "key")
-    leader = F.min(F.struct(F.xxhash64("other", F.col("key").bitwiseAND(F.lit(7))), "other", "other_fp")).alias("x")
-    large = table.groupBy("key").agg(leader, F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket_cap)
-    large = staged(large.select("key", "x.other", "x.other_fp"), "large-buckets")
-    targets = table.join(large.select("key"), "key", "left_anti").select("key", "other", "other_fp", F.lit(False).alias("lead"))
-    targets = targets.unionByName(large.withColumn("lead", F.lit(True)))
-    hits = keyed(nodes, True).join(targets, "key").where((F.col("node") != F.col("other")) & (near | F.col("lead")))
-    hits = staged(hits.select("node", "fp", "key", "other", "lead", near.alias("near")), "bucket-hits")
+    # so many shingles two texts share at least; from their first shared one on, no more than either has left
+    share = (F.col("size") + F.col("other_size")) * (similarity / (1 + similarity)) - 1e-6
+    sizes = F.least("size", "other_size") >= share
+    fits = sizes & (F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos")) >= share)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         texts = docs.select(id_col, text_col).join(wanted.select(F.col("node").alias(id_col)).distinct(), id_col, "left_semi")
         return texts if unique else texts.dropDuplicates([id_col])
 
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        return staged(shingle_sets(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), id_col, text_col, width), "shingle-sets")
-
-    pairs = staged(hits.where("near").select(*ordered).distinct(), "pairs")
-    linked = staged(_similar(pairs, sets_of(pairs), similarity), "links")
+    def links_of(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(nodes.select(F.col("node").alias("a"), "size", "sketch"), "a").join(other(nodes.select("node", "size", "sketch")).withColumnRenamed("other", "b"), "b")
+        left = staged(both.where(_may_be_similar(similarity)).select("a", "b"), "pairs")
+        sets = staged(shingle_sets(texts_of(left.select(F.explode(F.array("a", "b")).alias("node"))), id_col, text_col, width), "shingle-sets")
+        return staged(_similar(left, sets, similarity), "links")
+
+    small, large = table.where(F.col("n") <= bucket_cap), table.where(F.col("n") > bucket_cap).drop("n")
+    pairs = small.drop("n").join(other(small.drop("n")), "key").where((F.col("node") < F.col("other")) & fits).select(*ordered)
+    leader = F.min(F.struct(F.xxhash64("node", F.col("key").bitwiseAND(F.lit(7))).alias("h"), F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("x")
+    leaders = staged(large.groupBy("key").agg(leader).select("key", "x.other", "x.other_size"), "leaders")
+    led = large.join(leaders, "key").where((F.col("node") != F.col("other")) & sizes).select(*ordered)
+    linked = links_of(pairs.unionByName(led).distinct())
     roots = connected_components(linked)
-    if not large.isEmpty():
+    if not leaders.isEmpty():
         # a large bucket's main component is its leader's; members of it need no check against one another
-        part = staged(nodes.select("node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
-        main = large.select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
-        members = table.join(main, "key").join(part.select(F.col("node").alias("other"), F.col("root").alias("other_root")), "other")
-        probes = hits.where("lead").select("node", "fp", "key").join(part, "node").join(main, "key")
-        # every text that meets a large bucket, members among them
-        sketches = staged(odd_sketches(texts_of(probes), id_col, text_col, width), "odd-sketches")
-        probes = probes.join(sketches, "node")
-        members = members.join(sketches.select(F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("sketch").alias("other_sketch")), "other")
-        apart = (F.col("root") != F.col("other_root")) & near & _may_be_similar(similarity)
-        cross = lambda p, m: p.drop("main").join(m.drop("main"), "key").where(apart).select(*ordered)
-        rest = cross(probes, members.where("other_root <> main")).unionByName(cross(probes.where("root <> main"), members.where("other_root = main")))
+        part = staged(nodes.select("node", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        main = leaders.select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
+        members = staged(large.join(part, "node").join(main, "key"), "members")
+        apart = (F.col("root") != F.col("other_root")) & fits & _may_be_similar(similarity)
+        rest = members.where("root <> main").drop("main").join(other(members.drop("main")), "key").where(apart).select(*ordered)
         rest = staged(rest.distinct(), "cross-pairs")
         if not rest.isEmpty():
-            roots = connected_components(linked.unionByName(_similar(rest, sets_of(rest), similarity)))
-    grouped = nodes.join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
-    return rows.join(grouped, "copy").select(id_col, "component_id")
+            roots = connected_components(linked.unionByName(links_of(rest)))
+    grouped = nodes.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
+    return rows.select(id_col, "copy").join(grouped, "copy").select(id_col, "component_id")

@@ -3,6 +3,7 @@
 import hashlib
 import io
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -155,6 +156,58 @@ def test_verified_groups_in_large_buckets(spark):
         assert not mates or any(len(own & shingled(t)) >= 0.8 * len(own | shingled(t)) for t in mates)
 
 
+def edits(n):
+    """(kind, text, edited text): one edit of each kind of n texts."""
+    rng = np.random.default_rng(12)
+    new = lambda k: [f"n{x}" for x in rng.integers(1 << 40, size=k)]
+    for _ in range(n):
+        base = [f"v{x}" for x in rng.integers(1 << 40, size=int(rng.integers(60, 300)))]
+        for share in (0.9, 0.85, 0.82):
+            own = new(len(base))
+            cut = math.ceil(share * len(own))
+            yield f"cut {share}", own, own[:cut]
+            own = new(cut)
+            yield f"extended {share}", own, own + new(len(base) - cut)
+        own = new(len(base))
+        yield "inserted", own, own[:30] + new(len(own) // 8) + own[30:]
+        own = new(len(base))
+        at = set(rng.choice(len(own), len(own) // 60, replace=False).tolist())
+        yield "replaced", own, [f"r{i}" if i in at else w for i, w in enumerate(own)]
+
+
+def test_verified_groups_find_every_edit(spark):
+    cases = [(kind, " ".join(a), " ".join(b)) for kind, a, b in edits(8)]
+    similar = [len(shingled(a) & shingled(b)) >= 0.8 * len(shingled(a) | shingled(b)) for _, a, b in cases]
+    rows = [(2 * i + j, t) for i, (_, *both) in enumerate(cases) for j, t in enumerate(both)]
+    found = {r.doc_id: r.component_id for r in simhash.verified_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(similar) > 50
+    assert [found[2 * i + 1] == 2 * i for i in range(len(cases))] == similar
+
+
+def test_verified_groups_with_common_passages(spark):
+    """Shingles that many texts share decide only the order of the prefixes."""
+    rng, line = np.random.default_rng(5), [f"c{i}" for i in range(30)]
+    rows = []
+    for d in range(80):
+        own = [f"o{x}" for x in rng.integers(1 << 40, size=int(rng.integers(8, 40)))]
+        rows += [(2 * d, " ".join(line + own)), (2 * d + 1, " ".join(own[: len(own) // 2] + line))]
+    want = brute_components_of_texts(dict(rows))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert simhash.common_shingles(docs, "doc_id", "text", 5)
+    for cap in (4, 1 << 20):
+        assert {r.doc_id: r.component_id for r in simhash.verified_groups(docs, bucket_cap=cap).collect()} == want
+
+
+def brute_components_of_texts(texts):
+    sets = {d: shingled(t) for d, t in texts.items()}
+    root = {d: d for d in texts}
+    for a, b in itertools.combinations(sorted(texts), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            low, high = sorted((root[a], root[b]))
+            root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
 def test_sharding(spark, odd, none):
     got = sharding.shard_by_bytes(odd, 3).collect()
     assert len(got) == len(ODD) and sum(r["size"] for r in got) == sum(len((r[1] or "").encode()) + 1 for r in ODD)
