@@ -111,9 +111,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     source, the last; null ids are ids like others; an empty table gives an empty result; columns of
     ``docs`` named like new ones are replaced. The driver collects one row a source.
     """
+    keep = _kept(docs.columns if carry is None else carry)
+    return _taken(docs, id_col, text_col, source_col, weights, share, most, blocks, seed, carry, rows_a_bucket).select(*keep, "size", "source_size", "target", "taken")
+
+
+def _kept(columns: list[str]) -> list[str]:
+    return [c for c in columns if c.lower() not in {"size", "source_size", "target", "taken"}]
+
+
+def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, blocks: int, seed: int, carry: list[str] | None, rows_a_bucket: int) -> DataFrame:
+    """The rows of ``mix`` with the number of their source, their bucket on its line, and the hashes of id and text."""
     spark = docs.sparkSession
-    new = {"size", "source_size", "target", "taken"}
-    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
+    keep = _kept(docs.columns if carry is None else carry)
     text = F.col(text_col).cast("string")
     base = docs.select(*keep, F.col(source_col).cast("string").alias("_source"), n_words(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"), F.xxhash64(text).alias("_fp"))
     if carry is not None:
@@ -136,10 +145,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         " least(_p + size, ((b + 1) * source_size + _n - 1) div _n) - greatest(_p, (b * source_size + _n - 1) div _n), 0L))"
     )
     taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("_full") * F.col("size") + F.when(F.col("_rest") > 0, extra).otherwise(F.lit(0).cast("long")))
-    return placed.select(*keep, "size", "source_size", "target", taken.alias("taken"))
+    return placed.select(*keep, "size", "source_size", "target", taken.alias("taken"), "_ix", "_bucket", "_h", "_fp")
+
 
+def materialise(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, rows_a_bucket: int = 2000) -> DataFrame:
+    """Whole documents of a mix, wordless ones once.
 
-def materialise(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """Whole documents of a mix: each as often as its taken words fill it, rounded half up; wordless ones once."""
-    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int")
-    return mixed.withColumn("_times", times).where("_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*columns)
+    A document of a share taken/size is due that many copies. The shares are summed along the source's line, by
+    size within a bucket, from a seeded start below 1, and a document has as many copies as its share
+    passes whole numbers: its share rounded down or up, on average its share, whatever its length.
+    """
+    unit = 1 << 30  # integer shares, so that sums don't depend on their order
+    rows = _taken(docs, id_col, text_col, source_col, weights, share, most, blocks, seed, None, rows_a_bucket)
+    rows = rows.withColumn("_due", F.expr(f"if(size = 0, 0L, (taken * {unit}L + size div 2) div size)"))
+    sums = rows.groupBy("_ix", "_bucket").agg(F.sum("_due").alias("_sum"))
+    starts = sums.select("_ix", "_bucket", F.expr(f"sum(_sum) over (partition by _ix order by _bucket) - _sum + pmod(xxhash64(_ix, {seed}L), {unit}L)").alias("_start"))
+    rows = rows.withColumn("_to", F.expr("sum(_due) over (partition by _ix, _bucket order by size, _h, _fp rows between unbounded preceding and current row)")).join(starts, ["_ix", "_bucket"])
+    times = F.expr(f"if(size = 0, 1, int((_start + _to) div {unit}L - (_start + _to - _due) div {unit}L))")
+    return rows.withColumn("_times", times).where("_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*columns)

@@ -238,6 +238,25 @@ def test_mixing(spark, odd, none):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def test_materialise(spark):
+    """Sources' words come near their targets when all documents are much longer than a block."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(i, words(i, 200 + 7 * (i % 40)), "en", f"s{i % 4}", 1) for i in range(600)], DOCS)
+    docs = docs.unionByName(spark.createDataFrame([(1000, None, "en", "s0", 0)], DOCS))
+    target = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    rows = corpus_pipeline.mix(spark, docs, "").collect()
+    got, copies = dict.fromkeys(target, 0), {}
+    for r in rows:
+        got[r.source] += len((r.text or "").split())
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert copies[1000] == 1 and max(copies.values()) == 2
+    for s, t in target.items():
+        assert abs(got[s] - t) <= 0.03 * t
+    again = corpus_pipeline.mix(spark, docs.repartition(7), "").collect()
+    assert sorted(r.doc_id for r in again) == sorted(r.doc_id for r in rows)
+
+
 def test_sainte_lague():
     def slow(weights, seats):
         out = [0] * len(weights)
