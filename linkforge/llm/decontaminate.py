@@ -1,6 +1,7 @@
 """Benchmark decontamination: rare n-gram seeds, then local alignment.
 
-Seeds are the word n-grams of the test items, without those that too many items share. A
+Seeds are the word n-grams of the test items, without those that too many items share where
+an item has enough others. A
 passage of a training text that holds several seeds of an item is aligned with the item by
 Smith-Waterman on words, so that copies with replaced, inserted or missing words still score.
 """
@@ -17,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import text_slices
+from linkforge.llm.common import staged, text_slices
 from linkforge.llm.substring_dedup import _mix, word_hashes
 
 _SLICE = 2 << 20
@@ -43,9 +44,13 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 
 
 class Seeds:
-    """Seed table of some items: sorted hashes and, for each, the items and places that have it."""
+    """Seed table of some items: sorted hashes and, for each, the items and places that have it.
 
-    def __init__(self, items: list[tuple[int, str]], n: int, most_items: int) -> None:
+    An item does without its ``shared`` seeds only if as many replaced words as a score of ``threshold``
+    allows, each of which breaks n seeds, leave ``least_seeds`` of the others; if not, it keeps all.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], n: int, shared: set[int], least_seeds: int, threshold: float) -> None:
         self.n, self.items = n, [(i, _hashes(words_of(t or ""))) for i, t in items]
         places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words) in enumerate(self.items):
@@ -53,10 +58,11 @@ class Seeds:
             if width == n:
                 for p, h in enumerate(_grams(words, n).tolist()):
                     places[h].append((k, p))
-        shared = {h for h, at in places.items() if len({k for k, _ in at}) > most_items}
-        rare = {k for h, at in places.items() if h not in shared for k, _ in at}
-        # an item all of whose seeds are shared keeps them: nothing is left out
-        kept = {h: [x for x in at if h not in shared or x[0] not in rare] for h, at in places.items()}
+        rare = Counter(k for h, at in places.items() if h not in shared for k, _ in at)
+        enough = {k for k, r in rare.items() if r - n * int(len(self.items[k][1]) * (1 - threshold) / 2) >= least_seeds}
+        kept = {h: [x for x in at if h not in shared or x[0] not in enough] for h, at in places.items()}
+        count = Counter(k for at in kept.values() for k, _ in at)
+        self.need = [min(least_seeds, count[k]) for k in range(len(self.items))]
         self.keys = np.array(sorted(h for h, at in kept.items() if at), dtype=np.uint64)
         self.places = [kept[h] for h in self.keys.tolist()]
         self.short = [(k, words) for k, (_, words) in enumerate(self.items) if 0 < len(words) < n]
@@ -83,7 +89,7 @@ def align(passages: list[np.ndarray], items: list[np.ndarray], match: float = 1.
     return best, end
 
 
-def _passages(words: np.ndarray, seeds: Seeds, least_seeds: int) -> Iterator[tuple[int, int, int, int]]:
+def _passages(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int, int]]:
     """(item, seeds, from, to) of the stretches of a text to align: runs of an item's seed hits on one diagonal band."""
     grams = _grams(words, seeds.n)
     if len(grams) and len(seeds.keys):
@@ -94,15 +100,14 @@ def _passages(words: np.ndarray, seeds: Seeds, least_seeds: int) -> Iterator[tup
             for k, q in seeds.places[at[p]]:
                 hits[k].append((p, q))
         for k, own in hits.items():
-            size = len(seeds.items[k][1])
-            need = min(least_seeds, max(1, size - seeds.n + 1))
+            size, need = len(seeds.items[k][1]), seeds.need[k]
             run: list[tuple[int, int]] = []
             for p, q in [*sorted(own), (1 << 60, 0)]:
                 if run and p - run[-1][0] > size:
                     if len({x for x, _ in run}) >= need:
                         # split what is longer than the item could be aligned with
-                        begin = run[0][0] - run[0][1] - size // 4 - 2
-                        finish = run[-1][0] + size - run[-1][1] + size // 4 + 2
+                        begin = min(x - y for x, y in run) - size // 4 - 2
+                        finish = max(x - y for x, y in run) + size + size // 4 + 2
                         yield k, len({x for x, _ in run}), max(0, begin), min(len(words), max(finish, run[-1][0] + seeds.n))
                     run = []
                 run.append((p, q))
@@ -112,7 +117,7 @@ def _passages(words: np.ndarray, seeds: Seeds, least_seeds: int) -> Iterator[tup
                 yield k, 1, p, p + len(item)
 
 
-def _scan(seeds: Seeds, least_seeds: int, threshold: float):
+def _scan(seeds: Seeds, threshold: float):
     names = ["doc", "item_id", "seeds", "score", "start_word", "end_word"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +129,7 @@ def _scan(seeds: Seeds, least_seeds: int, threshold: float):
             for doc, words in zip(part.column("i").to_pylist(), texts):
                 own = flat[at : at + len(words)]
                 at += len(words)
-                todo += [(doc, k, n, a, b, own[a:b]) for k, n, a, b in _passages(own, seeds, least_seeds)]
+                todo += [(doc, k, n, a, b, own[a:b]) for k, n, a, b in _passages(own, seeds)]
             todo.sort(key=lambda x: (len(x[5]), len(seeds.items[x[1]][1])))
             while todo:  # batches of similar lengths, of bounded size
                 longest = max(64, len(todo[-1][5]))
@@ -142,11 +147,37 @@ def _scan(seeds: Seeds, least_seeds: int, threshold: float):
     return run
 
 
+def _distinct_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+
+
+def shared_grams(items: DataFrame, id_col: str, text_col: str, n: int, most_items: int) -> DataFrame:
+    """``(h)``: the hashes of word ``n``-grams that more than ``most_items`` of all items hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "t", _SLICE):
+            grams = [np.unique(_grams(_hashes(words_of(t.as_py())), n)) for t in part.column("t")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64))], ["h"])
+
+    rows = _distinct_items(items, id_col, text_col).mapInArrow(run, "h long")
+    return rows.groupBy("h").count().where(F.col("count") > most_items).select("h")
+
+
+def _shared_in(block: list[tuple[int, str]], shared: DataFrame, n: int) -> set[int]:
+    """Those of ``shared`` that the block's items hold, so the driver has no more of them than the block has."""
+    own = np.unique(np.concatenate([_grams(_hashes(words_of(t)), n) for _, t in block])).view(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            yield part.filter(pa.array(np.isin(part.column("h").to_numpy(), own)))
+
+    return {r.h % (1 << 64) for r in shared.mapInArrow(run, "h long").collect()}
+
+
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """The items in blocks of at most about ``block_bytes`` of text: what one broadcast holds, whatever their number."""
-    rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
     block, held = [], 0
-    for r in rows.orderBy("i", "t").toLocalIterator():
+    for r in _distinct_items(items, id_col, text_col).orderBy("i", "t").toLocalIterator():
         if held and held + len(r.t) * 2 > block_bytes:
             yield block
             block, held = [], 0
@@ -161,13 +192,14 @@ def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
     score is the alignment's score over that of a perfect copy (1 a matching word, -1 a replaced, extra or
     missing one); pairs below ``threshold`` are not returned. Seeds are word ``n``-grams; those in more than
-    ``most_items`` items are dropped where an item has others. The items are scanned for in blocks of
+    ``most_items`` of all items are dropped where an item has enough others (see ``Seeds``). The items are scanned for in blocks of
     ``block_bytes``, each a pass over the texts without a shuffle of them. Null texts, null items and null ids of
     items match nothing; a null document id is returned as null; repeated rows of one id are one result.
     """
     found = None
+    shared = staged(shared_grams(items, item_id, item_text, n, most_items), "shared-grams")
     for block in item_blocks(items, item_id, item_text, block_bytes):
-        own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(_scan(Seeds(block, n, most_items), least_seeds, threshold), "doc long, item_id long, seeds long, score double, start_word long, end_word long")
+        own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(_scan(Seeds(block, n, _shared_in(block, shared, n), least_seeds, threshold), threshold), "doc long, item_id long, seeds long, score double, start_word long, end_word long")
         found = own if found is None else found.unionByName(own)
     if found is None:
         return docs.sparkSession.createDataFrame([], f"{id_col} long, item_id long, seeds long, score double, start_word long, end_word long")

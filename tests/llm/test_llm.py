@@ -363,6 +363,26 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.remove_contaminated(odd, items.limit(0)).count() == len(ODD)
 
 
+def test_decontaminate_templated_items(spark):
+    """Items that differ in one word are found in exact and in edited copies, however they are dealt to blocks."""
+    ends = ["france", "spain", "italy", "peru", "chad", "oman"]
+    first = {i: f"what is the capital city of {w}" for i, w in enumerate(ends)}
+    inner = {10 + i: f"please tell me in a few words why the people of {w} still like to eat their bread with some olive oil" for i, w in enumerate(ends)}
+    items = spark.createDataFrame([*first.items(), *inner.items()], "item_id long, text string")
+    rows, want = [], {}
+    for i, t in [*first.items(), *inner.items()]:
+        edited = t.replace("capital", "main") if i < 10 else t.replace("the people of", "a people from")
+        for d, own in ((100 + 2 * i, t), (101 + 2 * i, edited)):
+            rows.append((d, f"{words(d, 30)} {own} {words(d + 500, 30)}"))
+            want[d] = i
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_bytes in (4 << 20, 150):
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(docs, items, block_bytes=block_bytes).collect()}
+        assert all((d, i) in got for d, i in want.items())
+        assert all(got[d, i] == 1.0 for d, i in want.items() if d % 2 == 0)
+        assert all(got[d, i] >= max(s for (x, _), s in got.items() if x == d) for d, i in want.items())
+
+
 def test_url_rules(spark):
     urls = [(1, "HTTPS://Bad.Example.com/x/9"), (2, "http://good.example.org/y"), (3, None), (4, "nothing"), (5, "http://www.example.com/en/1"), (6, "http://a.example.com/en/?q"), (7, "http://example.net")]
     rows = [(100 + i, f"http://bad.example.com/spam/{i}" if i % 2 else f"http://fine.example.org/y/{i}") for i in range(40)]
