@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from linkforge.llm.common import n_words, staged
 
 WEIGHTS = (5, 2, 1)
+#: A source whose target is fewer common blocks than this is cut into finer ones of its own.
+_LEAST_BLOCKS = 512
 #: The source table is broadcast up to this many rows, and joined by shuffle beyond.
 _BROADCAST_ROWS = 10_000
 
@@ -77,28 +79,43 @@ class SourcePlan:
     quota: int  # blocks taken, repeats counted
     step: int  # block b is number (b*step + shift) mod blocks in the order of selection
     shift: int
+    fine: bool = False  # the source has blocks of its own width
 
 
 def plan_sources(sizes: list[tuple[str | None, int]], weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3) -> list[SourcePlan]:
-    """The quota and block order of each source; sources by code point, null last."""
+    """The quota and block order of each source; sources by code point, null last.
+
+    Sources with a target of fewer than ``_LEAST_BLOCKS`` blocks have as many blocks of their own width, or one a
+    word, and a quota by their own target, so a small source beside large ones is mixed as exactly as they are.
+    """
     sizes = sorted(sizes, key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in sizes], weights, share, most)
     width = max(1.0, sum(goal) / blocks)
-    parts = [max(1, round(n / width)) if n else 0 for _, n in sizes]
-    quotas = sainte_lague(goal, round(sum(goal) / width), [int(most * p) for p in parts])
+    fine = [t < _LEAST_BLOCKS * width for t in goal]
+    parts = [max(1, round(n / (max(1.0, t / _LEAST_BLOCKS) if f else width))) if n else 0 for (_, n), t, f in zip(sizes, goal, fine)]
+    parts = [min(p, max(1, (1 << 62) // max(n, 1))) for p, (_, n) in zip(parts, sizes)]  # place times blocks stays below 2**63
+    caps = [int(most * p) for p in parts]
+    coarse = [0.0 if f else t for t, f in zip(goal, fine)]
+    quotas = sainte_lague(coarse, round(sum(coarse) / width), caps)
+    quotas = [min(c, round(t * p / n)) if f and n else q for (_, n), t, p, q, c, f in zip(sizes, goal, parts, quotas, caps, fine)]
     out = []
     for i, ((source, n), t, p, q) in enumerate(zip(sizes, goal, parts, quotas)):
         step = max(1, int(p * 0.6180339887498949))
         while p and gcd(step, p) > 1:
             step += 1
-        out.append(SourcePlan(source, n, t, p, q, step, (seed * 2654435761 + i * 40503) % max(p, 1)))
+        out.append(SourcePlan(source, n, t, p, q, step, (seed * 2654435761 + i * 40503) % max(p, 1), fine[i]))
     return out
 
 
 def shard_quotas(plans: list[SourcePlan], shards: int) -> list[list[int]]:
-    """Blocks of each source in each shard: the awards in order of quotient, dealt to shards in turn of equal runs; sums to the quotas."""
-    seats, caps = sum(p.quota for p in plans), [p.quota for p in plans]
-    sums = [sainte_lague([p.target for p in plans], seats * s // shards, caps) for s in range(shards + 1)]
+    """Blocks of each source in each shard: the awards in order of quotient, dealt to shards in turn of equal runs; sums to the quotas.
+
+    Sources with finer blocks are dealt evenly by themselves, as a block of theirs isn't worth a common one.
+    """
+    targets_, caps = [0.0 if p.fine else p.target for p in plans], [0 if p.fine else p.quota for p in plans]
+    seats = sum(caps)
+    sums = [sainte_lague(targets_, seats * s // shards, caps) for s in range(shards + 1)]
+    sums = [[p.quota * s // shards if p.fine else x for p, x in zip(plans, own)] for s, own in enumerate(sums)]
     return [[b - a for a, b in zip(x, y)] for x, y in zip(sums, sums[1:])]
 
 
@@ -139,7 +156,7 @@ def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights
     offsets = sums.select("_ix", "_bucket", F.expr("sum(_sum) over (partition by _ix order by _bucket) - _sum").alias("_offset"))
     placed = rows.withColumn("_in", F.expr("sum(size) over (partition by _ix, _bucket order by _h, _fp, size rows between unbounded preceding and current row) - size"))
     placed = placed.join(offsets, ["_ix", "_bucket"]).withColumn("_p", F.col("_offset") + F.col("_in"))
-    # block b holds the words from ceil(b*source_size/n); p*n stays below 2**63 for sources of up to 2**46 words
+    # block b holds the words from ceil(b*source_size/n); p*n stays below 2**63
     extra = F.expr(
         "aggregate(sequence(_p * _n div source_size, (_p + size - 1) * _n div source_size), 0L, (a, b) -> a + if(pmod(b * _step + _shift, _n) < _rest,"
         " least(_p + size, ((b + 1) * source_size + _n - 1) div _n) - greatest(_p, (b * source_size + _n - 1) div _n), 0L))"

@@ -238,6 +238,19 @@ def test_mixing(spark, odd, none):
     assert again == {r.doc_id: r.taken for r in rows}
 
 
+def test_small_sources(spark):
+    """A source far smaller than the others is mixed to its target whatever the width of their blocks."""
+    small = [2000, 5000, 10_000, 13_000, 20_000, 30_000, 1, 77]
+    plans = mixing.plan_sources([(f"s{i:02}", n) for i, n in enumerate([*small, 3_000_000_000, 1_600_000_000])])
+    for p in plans:
+        assert abs(p.quota * p.size / p.blocks - p.target) <= 0.002 * p.target + 0.5
+    quotas = mixing.shard_quotas(plans, 8)
+    assert [sum(q) for q in zip(*quotas)] == [p.quota for p in plans] and all(x >= 0 for q in quotas for x in q)
+    docs = spark.createDataFrame([(i, words(i, 100), "en", "small" if i < 3 else f"t{i % 2}", 1) for i in range(400)], DOCS)
+    rows = mixing.mix(docs, blocks=64, carry=["source"]).where("source = 'small'").collect()
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 0.01 * rows[0].target
+
+
 def test_materialise(spark):
     """Sources' words come near their targets when all documents are much longer than a block."""
     import corpus_pipeline
