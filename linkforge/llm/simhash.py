@@ -187,6 +187,15 @@ def _may_be_similar(least: float) -> F.Column:
     return (F.abs(F.col("size") - F.col("other_size")) <= most) & (apart <= most)
 
 
+def _wide_may_be_similar(least: float) -> F.Column:
+    """``_may_be_similar`` by the sketches ``wide`` and ``other_wide``, the longer one folded to the length of the shorter."""
+    fold = lambda a, b: f"if(size({a}) > size({b}), zip_with(slice({a}, 1, size({b})), slice({a}, size({b}) + 1, size({b})), (x, y) -> x ^ y), {a})"
+    apart = F.expr(f"aggregate(zip_with({fold('wide', 'other_wide')}, {fold('other_wide', 'wide')}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)")
+    # sizes of similar texts are within 4 of 5, so their lengths are equal or one is twice the other
+    known = F.greatest(F.size("wide"), F.size("other_wide")) <= 2 * F.least(F.size("wide"), F.size("other_wide"))
+    return ~known | (apart <= (F.col("size") + F.col("other_size")) * ((1 - least) / (1 + least)) + 1e-6)
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose shingle sets have a Jaccard similarity of at least ``least``."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
@@ -204,11 +213,12 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sam
 
 
 def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
-    """``(id_col, copy, size, sketch, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
+    """``(id_col, copy, size, sketch, wide, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
 
     Two texts with a Jaccard similarity of at least ``similarity`` share ``similarity`` of either's n shingles,
     so they share one of the first n - ceil(similarity * n) + 1. copy is the XXH3-128 digest of the
-    lower-cased words; for size and sketch see ``odd_sketches``.
+    lower-cased words; for size and sketch see ``odd_sketches``. wide is a sketch of at least half as many bits as
+    the text has shingles, as one of 1,024 bits rejects little for long texts.
     """
     kind = docs.schema[id_col].dataType
     hashes = np.array(sorted(h for h, _ in common), dtype=np.int64)
@@ -216,23 +226,25 @@ def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "t", _SLICE // 2):
-            copies, sizes, sketches, keys = [], [], [], []
+            copies, sizes, sketches, wides, keys = [], [], [], [], []
             for text in part.column("t"):
                 data = text.as_py().encode() if text.is_valid else b""
                 own = np.unique(np.array(shingle_hashes(data, width), dtype=np.uint64).view(np.int64))
                 copies.append(xxhash.xxh3_128_digest(b" ".join(data.lower().split())))
                 sizes.append(len(own))
-                odd = np.bincount(own & (_SKETCH - 1), minlength=_SKETCH) & 1
-                sketches.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                bits = max(_SKETCH, 1 << max(0, len(own) // 2 - 1).bit_length())
+                odd = np.bincount(own & (bits - 1), minlength=bits) & 1
+                wides.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                sketches.append(np.bitwise_xor.reduce(wides[-1].reshape(-1, _SKETCH // 64), axis=0))
                 if len(hashes) and len(own):
                     at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
                     own = own[np.argsort(np.where(hashes[at] == own, texts[at], 0), kind="stable")]
                 # the small number keeps rounding from cutting a prefix short
                 keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1] if len(own) else own)
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "copy", "size", "sketch", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "copy", "size", "sketch", "wide", "keys"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {kind.simpleString()}, copy binary, size int, sketch array<long>, keys array<long>").withColumnRenamed("i", id_col)
+    return rows.mapInArrow(run, f"i {kind.simpleString()}, copy binary, size int, sketch array<long>, wide array<long>, keys array<long>").withColumnRenamed("i", id_col)
 
 
 def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bucket_cap: int = 32) -> DataFrame:
@@ -249,7 +261,7 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.where(F.col(id_col).isNotNull())
     rows = staged(prefix_rows(docs, id_col, text_col, width, similarity, common_shingles(docs, id_col, text_col, width)), "prefixes")
     unique = rows.groupBy(id_col).count().where("count > 1").isEmpty()
-    nodes = staged(rows.groupBy("copy").agg(F.min(id_col).cast("long").alias("node"), *(F.first(c).alias(c) for c in ("size", "sketch", "keys"))), "copy-nodes")
+    nodes = staged(rows.groupBy("copy").agg(F.min(id_col).cast("long").alias("node"), *(F.first(c).alias(c) for c in ("size", "sketch", "wide", "keys"))), "copy-nodes")
     table = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     table = staged(table.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1"), "postings")
     other = lambda df: df.select(*(c if c == "key" else F.col(c).alias("other" if c == "node" else f"other_{c}") for c in df.columns))
@@ -264,8 +276,12 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return texts if unique else texts.dropDuplicates([id_col])
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(nodes.select(F.col("node").alias("a"), "size", "sketch"), "a").join(other(nodes.select("node", "size", "sketch")).withColumnRenamed("other", "b"), "b")
-        left = staged(both.where(_may_be_similar(similarity)).select("a", "b"), "pairs")
+        def beside(of: DataFrame, *columns: str) -> DataFrame:
+            own = nodes.select("node", *columns)
+            return of.join(own.withColumnRenamed("node", "a"), "a").join(other(own).withColumnRenamed("other", "b"), "b")
+
+        left = staged(beside(pairs, "size", "sketch").where(_may_be_similar(similarity)).select("a", "b"), "sketched-pairs")
+        left = staged(beside(left, "size", "wide").where(_wide_may_be_similar(similarity)).select("a", "b"), "pairs")
         sets = staged(shingle_sets(texts_of(left.select(F.explode(F.array("a", "b")).alias("node"))), id_col, text_col, width), "shingle-sets")
         return staged(_similar(left, sets, similarity), "links")
 

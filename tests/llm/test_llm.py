@@ -198,6 +198,21 @@ def test_verified_groups_with_common_passages(spark):
         assert {r.doc_id: r.component_id for r in simhash.verified_groups(docs, bucket_cap=cap).collect()} == want
 
 
+def test_wide_sketches(spark):
+    """Sketches of long texts pass all similar pairs, whatever their lengths, and reject others."""
+    rng, rows = np.random.default_rng(6), []
+    base = [f"b{x}" for x in rng.integers(1 << 40, size=4300)]
+    for d, n in enumerate([3500, 3800, 4090, 4110, 4200, 4300]):
+        rows += [(d, " ".join(base[:n])), (d + 100, " ".join(base[:1500] + [f"n{d}x{i}" for i in range(n - 1500)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    own = simhash.prefix_rows(docs, "doc_id", "text", 5, 0.8, []).select(F.col("doc_id").alias("node"), "size", "wide").cache()
+    other = own.select(F.col("node").alias("other"), F.col("size").alias("other_size"), F.col("wide").alias("other_wide"))
+    passed = {(r.node, r.other) for r in own.join(other, F.col("node") < F.col("other")).where(simhash._wide_may_be_similar(0.8)).collect()}
+    sets = {d: shingled(t) for d, t in rows}
+    alike = {(a, b) for a, b in itertools.combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert {len(r.wide) for r in own.collect()} == {32, 64} and alike and passed == alike
+
+
 def brute_components_of_texts(texts):
     sets = {d: shingled(t) for d, t in texts.items()}
     root = {d: d for d in texts}
