@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import connected_components, staged, text_slices
+from linkforge.llm.common import connected_components, discard, staged, text_slices
 
 BITS = 64
 _SLICE = 4 << 20
@@ -207,17 +207,17 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sample: int = 4096, least: int = 8, most: int = 100_000) -> list[tuple[int, int]]:
     """``(hash, texts)`` of the shingles in at least ``least`` of about ``sample`` texts. They only set the order in which prefixes are cut, so no link depends on them."""
     part = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64(id_col), F.lit(part)) == 0)
+    some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(part)) == 0)
     counts = shingle_sets(some.select(F.col(id_col).alias("node"), text_col), "node", text_col, width).select(F.explode("shingles").alias("h")).groupBy("h").count()
     return [(r.h, r["count"]) for r in counts.where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).collect()]
 
 
 def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
-    """``(id_col, copy, size, sketch, wide, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
+    """``(id_col, text_hash, copy, size, sketch, wide, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
 
     Two texts with a Jaccard similarity of at least ``similarity`` share ``similarity`` of either's n shingles,
     so they share one of the first n - ceil(similarity * n) + 1. copy is the XXH3-128 digest of the
-    lower-cased words; for size and sketch see ``odd_sketches``. wide is a sketch of at least half as many bits as
+    lower-cased words, text_hash XXH64 of the text as it is; for size and sketch see ``odd_sketches``. wide is a sketch of at least half as many bits as
     the text has shingles, as one of 1,024 bits rejects little for long texts.
     """
     kind = docs.schema[id_col].dataType
@@ -241,27 +241,33 @@ def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similar
                     own = own[np.argsort(np.where(hashes[at] == own, texts[at], 0), kind="stable")]
                 # the small number keeps rounding from cutting a prefix short
                 keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1] if len(own) else own)
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "copy", "size", "sketch", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "text_hash", "copy", "size", "sketch", "wide", "keys"])
 
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"))
-    return rows.mapInArrow(run, f"i {kind.simpleString()}, copy binary, size int, sketch array<long>, wide array<long>, keys array<long>").withColumnRenamed("i", id_col)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("h"), text.alias("t"))
+    return rows.mapInArrow(run, f"i {kind.simpleString()}, text_hash long, copy binary, size int, sketch array<long>, wide array<long>, keys array<long>").withColumnRenamed("i", id_col)
 
 
 def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bucket_cap: int = 32) -> DataFrame:
-    """``(id_col, component_id)`` for every non-null id: groups of texts whose Jaccard similarity on ``width``-word shingles is at least ``similarity``.
+    """``(id_col, text_hash, component_id, is_first)`` for every row: groups of texts whose Jaccard similarity on ``width``-word shingles is at least ``similarity``.
 
+    component_id is the smallest id of the group, null if it has none. The group's first rows, those with that id
+    and, if it has several texts, with the smallest text_hash, are flagged; so are rows that repeat them.
     Candidates are texts that share a shingle of their prefixes (see ``prefix_rows``), which every similar pair
     does, whatever was replaced, cut or added; sizes, places in the prefix and odd sketches rule out only
-    what the exact check would. Texts with the same words are one node. In buckets of up to
+    what the exact check would. Texts with the same words are one node, whatever their ids. In buckets of up to
     ``bucket_cap`` nodes all candidates are checked. In larger ones every node is checked against the
     bucket's leader, and then against the members that are still in another component. So a dense
     group costs a few checks a member, yet no pair that could join two components goes unchecked. Null ids
-    are left out, null and wordless texts group as copies; repeated rows are kept.
+    are ids like others, after all of them; rows of one id with different texts are rows of their own; null and
+    wordless texts group as copies; other columns are ignored; an empty table gives an empty result.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
+    docs = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     rows = staged(prefix_rows(docs, id_col, text_col, width, similarity, common_shingles(docs, id_col, text_col, width)), "prefixes")
-    unique = rows.groupBy(id_col).count().where("count > 1").isEmpty()
-    nodes = staged(rows.groupBy("copy").agg(F.min(id_col).cast("long").alias("node"), *(F.first(c).alias(c) for c in ("size", "sketch", "wide", "keys"))), "copy-nodes")
+    unique = rows.groupBy(id_col, "text_hash").count().where("count > 1").isEmpty()
+    least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), "text_hash")).alias("least")
+    # the numbers are fixed once the table is written
+    nodes = staged(rows.groupBy("copy").agg(least, *(F.first(c).alias(c) for c in ("size", "sketch", "wide", "keys"))).withColumn("node", F.monotonically_increasing_id()), "copy-nodes")
     table = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     table = staged(table.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1"), "postings")
     other = lambda df: df.select(*(c if c == "key" else F.col(c).alias("other" if c == "node" else f"other_{c}") for c in df.columns))
@@ -272,8 +278,10 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = sizes & (F.least(F.col("size") - F.col("pos"), F.col("other_size") - F.col("other_pos")) >= share)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        texts = docs.select(id_col, text_col).join(wanted.select(F.col("node").alias(id_col)).distinct(), id_col, "left_semi")
-        return texts if unique else texts.dropDuplicates([id_col])
+        some = wanted.distinct().join(nodes.select("node", F.col("least.id").alias("_id"), F.col("least.text_hash").alias("_hash")), "node")
+        same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+        texts = docs.join(some, same).select("node", text_col)
+        return texts if unique else texts.dropDuplicates(["node"])
 
     def links_of(pairs: DataFrame) -> DataFrame:
         def beside(of: DataFrame, *columns: str) -> DataFrame:
@@ -281,9 +289,11 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             return of.join(own.withColumnRenamed("node", "a"), "a").join(other(own).withColumnRenamed("other", "b"), "b")
 
         left = staged(beside(pairs, "size", "sketch").where(_may_be_similar(similarity)).select("a", "b"), "sketched-pairs")
-        left = staged(beside(left, "size", "wide").where(_wide_may_be_similar(similarity)).select("a", "b"), "pairs")
-        sets = staged(shingle_sets(texts_of(left.select(F.explode(F.array("a", "b")).alias("node"))), id_col, text_col, width), "shingle-sets")
-        return staged(_similar(left, sets, similarity), "links")
+        near = staged(beside(left, "size", "wide").where(_wide_may_be_similar(similarity)).select("a", "b"), "pairs")
+        sets = staged(shingle_sets(texts_of(near.select(F.explode(F.array("a", "b")).alias("node"))), "node", text_col, width), "shingle-sets")
+        found = staged(_similar(near, sets, similarity), "links")
+        discard(left, near, sets)
+        return found
 
     small, large = table.where(F.col("n") <= bucket_cap), table.where(F.col("n") > bucket_cap).drop("n")
     pairs = small.drop("n").join(other(small.drop("n")), "key").where((F.col("node") < F.col("other")) & fits).select(*ordered)
@@ -300,7 +310,12 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         apart = (F.col("root") != F.col("other_root")) & fits & _may_be_similar(similarity)
         rest = members.where("root <> main").drop("main").join(other(members.drop("main")), "key").where(apart).select(*ordered)
         rest = staged(rest.distinct(), "cross-pairs")
+        discard(part, members)
         if not rest.isEmpty():
             roots = connected_components(linked.unionByName(links_of(rest)))
-    grouped = nodes.select("copy", "node").join(roots, "node", "left").select("copy", F.coalesce("root", "node").alias("component_id"))
-    return rows.select(id_col, "copy").join(grouped, "copy").select(id_col, "component_id")
+    discard(table, leaders)
+    rooted = nodes.select("copy", "node", "least").join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    grouped = rooted.join(first, "root").select("copy", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("_first"))
+    is_first = F.col(id_col).cast("long").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("_first"))
+    return rows.select(id_col, "text_hash", "copy").join(grouped, "copy").select(id_col, "text_hash", "component_id", is_first.alias("is_first"))
