@@ -8,17 +8,20 @@ Smith-Waterman on words, so that copies with replaced, inserted or missing words
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter, defaultdict
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import staged, text_slices
+from linkforge.llm.common import discard, shared_dir, staged, text_slices
 from linkforge.llm.substring_dedup import _mix, word_hashes
 
 _SLICE = 2 << 20
@@ -43,29 +46,60 @@ def _hashes(words: list[bytes]) -> np.ndarray:
     return word_hashes(b" ".join(words))[2] if words else np.zeros(0, dtype=np.uint64)
 
 
+@dataclass
 class Seeds:
-    """Seed table of some items: sorted hashes and, for each, the items and places that have it.
+    """Seed table of some items, in flat arrays: sorted hashes, and from ``first[i]`` on the items and places that have hash i.
 
-    An item does without its ``shared`` seeds only if as many replaced words as a score of ``threshold``
-    allows, each of which breaks n seeds, leave ``least_seeds`` of the others; if not, it keeps all.
+    Items shorter than a seed are in ``short``, by their length: sorted hashes of the whole items, and the items.
     """
 
-    def __init__(self, items: list[tuple[int, str]], n: int, shared: set[int], least_seeds: int, threshold: float) -> None:
-        self.n, self.items = n, [(i, _hashes(words_of(t or ""))) for i, t in items]
-        places: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, (_, words) in enumerate(self.items):
-            width = min(n, len(words))  # an item shorter than a seed is one seed itself
-            if width == n:
-                for p, h in enumerate(_grams(words, n).tolist()):
-                    places[h].append((k, p))
-        rare = Counter(k for h, at in places.items() if h not in shared for k, _ in at)
-        enough = {k for k, r in rare.items() if r - n * int(len(self.items[k][1]) * (1 - threshold) / 2) >= least_seeds}
-        kept = {h: [x for x in at if h not in shared or x[0] not in enough] for h, at in places.items()}
-        count = Counter(k for at in kept.values() for k, _ in at)
-        self.need = [min(least_seeds, count[k]) for k in range(len(self.items))]
-        self.keys = np.array(sorted(h for h, at in kept.items() if at), dtype=np.uint64)
-        self.places = [kept[h] for h in self.keys.tolist()]
-        self.short = [(k, words) for k, (_, words) in enumerate(self.items) if 0 < len(words) < n]
+    n: int
+    ids: list[int | None]
+    words: np.ndarray  # of all items, one after the other
+    starts: np.ndarray
+    need: np.ndarray  # seeds that a passage must hold
+    keys: np.ndarray
+    first: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
+
+    def text(self, k: int) -> np.ndarray:
+        return self.words[self.starts[k] : self.starts[k + 1]]
+
+    def size(self, k: int) -> int:
+        return int(self.starts[k + 1] - self.starts[k])
+
+
+def seed_table(items: list[tuple[int | None, str]], n: int, shared: np.ndarray, least_seeds: int, threshold: float) -> Seeds:
+    """The seeds of ``items(id, text)``; ``shared`` are the sorted hashes that too many of all items hold.
+
+    An item does without its shared seeds only if as many replaced words as a score of ``threshold``
+    allows, each of which breaks n seeds, leave ``least_seeds`` of the others; if not, it keeps all. So an item's
+    seeds depend on itself and on ``shared`` only, not on the items that it is filed with.
+    """
+    texts = [_hashes(words_of(t)) for _, t in items]
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    grams = [_grams(t, n) for t in texts]
+    keys = np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)
+    owner = np.repeat(np.arange(len(items), dtype=np.int32), [len(g) for g in grams])
+    place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, dtype=np.int32)
+    rare = ~np.isin(keys, shared)
+    allowed = n * (sizes * (1 - threshold) / 2).astype(np.int64)
+    enough = np.bincount(owner[rare], minlength=len(items)) - allowed >= least_seeds
+    kept = np.flatnonzero(rare | ~enough[owner])
+    kept = kept[np.argsort(keys[kept], kind="stable")]
+    found, first = np.unique(keys[kept], return_index=True)
+    short = {}
+    for w in range(1, n):
+        own = np.flatnonzero(sizes == w)
+        whole = np.array([_grams(texts[k], w)[0] for k in own], dtype=np.uint64)
+        order = np.argsort(whole, kind="stable")
+        if len(own):
+            short[w] = whole[order], own[order]
+    need = np.minimum(least_seeds, np.bincount(owner[kept], minlength=len(items)))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    return Seeds(n, [i for i, _ in items], np.concatenate(texts) if texts else keys, starts, need, found, np.append(first, len(kept)), owner[kept], place[kept], short)
 
 
 def align(passages: list[np.ndarray], items: list[np.ndarray], match: float = 1.0, mismatch: float = -1.0, gap: float = -1.0) -> tuple[np.ndarray, np.ndarray]:
@@ -97,10 +131,10 @@ def _passages(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int,
         at[at == len(seeds.keys)] = 0
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for p in np.flatnonzero(seeds.keys[at] == grams).tolist():
-            for k, q in seeds.places[at[p]]:
-                hits[k].append((p, q))
+            for x in range(seeds.first[at[p]], seeds.first[at[p] + 1]):
+                hits[int(seeds.item[x])].append((p, int(seeds.place[x])))
         for k, own in hits.items():
-            size, need = len(seeds.items[k][1]), seeds.need[k]
+            size, need = seeds.size(k), seeds.need[k]
             run: list[tuple[int, int]] = []
             for p, q in [*sorted(own), (1 << 60, 0)]:
                 if run and p - run[-1][0] > size:
@@ -111,44 +145,84 @@ def _passages(words: np.ndarray, seeds: Seeds) -> Iterator[tuple[int, int, int,
                         yield k, len({x for x, _ in run}), max(0, begin), min(len(words), max(finish, run[-1][0] + seeds.n))
                     run = []
                 run.append((p, q))
-    for k, item in seeds.short:
-        if len(words) >= len(item):
-            for p in np.flatnonzero(_grams(words, len(item)) == _grams(item, len(item))[0])[:1].tolist():
-                yield k, 1, p, p + len(item)
+    for width, (keys, items) in seeds.short.items():
+        grams, places = np.unique(_grams(words, width), return_index=True)
+        low, high = np.searchsorted(keys, grams, "left"), np.searchsorted(keys, grams, "right")
+        for g in np.flatnonzero(high > low).tolist():
+            for k in items[low[g] : high[g]].tolist():
+                yield k, 1, int(places[g]), int(places[g]) + width
+
+
+def _aligned(texts: list[np.ndarray], seeds: Seeds, threshold: float) -> Iterator[tuple[int, int, int, float, int, int]]:
+    """(text, item, seeds, score, first word, end) of the passages that score at least the threshold."""
+    todo = [(d, k, n, a, words[a:b]) for d, words in enumerate(texts) for k, n, a, b in _passages(words, seeds)]
+    todo.sort(key=lambda x: (len(x[4]), seeds.size(x[1])))
+    while todo:  # batches of similar lengths, of bounded size
+        longest = max(64, len(todo[-1][4]))
+        now, todo = todo[-max(1, 400_000 // longest) :], todo[: -max(1, 400_000 // longest)]
+        items = [seeds.text(x[1]) for x in now]
+        best, end = align([x[4] for x in now], items)
+        share = best / np.array([len(i) for i in items])
+        good = np.flatnonzero(share >= threshold).tolist()
+        if good:  # the start is where the reversed alignment ends
+            _, back = align([now[g][4][: end[g] + 1][::-1] for g in good], [items[g][::-1] for g in good])
+            for g, s in zip(good, back.tolist()):
+                d, k, n, a, _ = now[g]
+                yield d, k, n, float(share[g]), a + int(end[g] - s), a + int(end[g]) + 1
+
+
+def _texts(column) -> list[np.ndarray]:
+    """The word hashes of each text; null ones have none."""
+    split = [words_of(t.as_py()) if t.is_valid else [] for t in column.cast(pa.string())]
+    flat, ends = _hashes([w for t in split for w in t]), np.cumsum([len(t) for t in split])
+    return [flat[e - len(t) : e] for t, e in zip(split, ends)]
+
+
+def _tables(paths: list[str], most: int = 4):
+    """A function that gives the seed tables of the files, of which a task holds ``most`` at once."""
+    held: dict[str, Seeds] = {}
+
+    def load(path: str) -> Seeds:
+        if path not in held:
+            if len(held) >= most:
+                held.clear()
+            system, inner = pafs.FileSystem.from_uri(path)
+            with system.open_input_file(inner) as file:
+                held[path] = Seeds(**pickle.loads(file.read()))
+        return held[path]
+
+    return lambda: map(load, paths)
+
+
+def _scan(paths: list[str], threshold: float):
+    names = ["doc", "item_id", "seeds", "score", "start_word", "end_word"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(paths)
+        for part in text_slices(batches, "t", _SLICE * min(8, len(paths))):
+            texts, docs = _texts(part.column("t")), part.column("i").to_pylist()
+            rows = [(docs[d], seeds.ids[k], *x) for seeds in tables() for d, k, *x in _aligned(texts, seeds, threshold)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
 
+    return run
 
-def _scan(seeds: Seeds, threshold: float):
-    names = ["doc", "item_id", "seeds", "score", "start_word", "end_word"]
 
+def _clean(paths: list[str], threshold: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "t", _SLICE):
-            texts = [words_of(t.as_py()) if t.is_valid else [] for t in part.column("t")]
-            flat = _hashes([w for t in texts for w in t])
-            rows, at = [], 0
-            todo: list[tuple] = []
-            for doc, words in zip(part.column("i").to_pylist(), texts):
-                own = flat[at : at + len(words)]
-                at += len(words)
-                todo += [(doc, k, n, a, b, own[a:b]) for k, n, a, b in _passages(own, seeds)]
-            todo.sort(key=lambda x: (len(x[5]), len(seeds.items[x[1]][1])))
-            while todo:  # batches of similar lengths, of bounded size
-                longest = max(64, len(todo[-1][5]))
-                now, todo = todo[-max(1, 400_000 // longest) :], todo[: -max(1, 400_000 // longest)]
-                items = [seeds.items[x[1]][1] for x in now]
-                best, end = align([x[5] for x in now], items)
-                share = best / np.array([len(i) for i in items])
-                good = np.flatnonzero(share >= threshold).tolist()
-                if good:  # the start is where the reversed alignment ends
-                    _, back = align([now[g][5][: end[g] + 1][::-1] for g in good], [items[g][::-1] for g in good])
-                    rows += [(now[g][0], seeds.items[now[g][1]][0], now[g][2], float(share[g]), now[g][3] + int(end[g] - s), now[g][3] + int(end[g]) + 1) for g, s in zip(good, back.tolist())]
-            columns = list(zip(*rows)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names)
+        tables = _tables(paths)
+        for part in text_slices(batches, text_col, _SLICE * min(8, len(paths))):
+            texts, clean = _texts(part.column(text_col)), np.ones(part.num_rows, dtype=bool)
+            for seeds in tables():
+                left = np.flatnonzero(clean)
+                clean[left[[d for d, *_ in _aligned([texts[i] for i in left], seeds, threshold)]]] = False
+            yield part.filter(pa.array(clean))
 
     return run
 
 
 def _distinct_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null").distinct()
+    return items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("t is not null").distinct()
 
 
 def shared_grams(items: DataFrame, id_col: str, text_col: str, n: int, most_items: int) -> DataFrame:
@@ -163,19 +237,19 @@ def shared_grams(items: DataFrame, id_col: str, text_col: str, n: int, most_item
     return rows.groupBy("h").count().where(F.col("count") > most_items).select("h")
 
 
-def _shared_in(block: list[tuple[int, str]], shared: DataFrame, n: int) -> set[int]:
-    """Those of ``shared`` that the block's items hold, so the driver has no more of them than the block has."""
+def _shared_in(block: list[tuple[int | None, str]], shared: DataFrame, n: int) -> np.ndarray:
+    """Those of ``shared`` that the block's items hold, sorted, so the driver has no more of them than the block has."""
     own = np.unique(np.concatenate([_grams(_hashes(words_of(t)), n) for _, t in block])).view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             yield part.filter(pa.array(np.isin(part.column("h").to_numpy(), own)))
 
-    return {r.h % (1 << 64) for r in shared.mapInArrow(run, "h long").collect()}
+    return np.array(sorted(r.h % (1 << 64) for r in shared.mapInArrow(run, "h long").collect()), dtype=np.uint64)
 
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most about ``block_bytes`` of text: what one broadcast holds, whatever their number."""
+    """The items in blocks of at most about ``block_bytes`` of text: what the driver holds at once, whatever their number."""
     block, held = [], 0
     for r in _distinct_items(items, id_col, text_col).orderBy("i", "t").toLocalIterator():
         if held and held + len(r.t) * 2 > block_bytes:
@@ -187,27 +261,45 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield block
 
 
+def seed_files(items: DataFrame, id_col: str, text_col: str, n: int, most_items: int, least_seeds: int, threshold: float, block_bytes: int) -> list[str]:
+    """Write the items' seed tables, one of at most about ``block_bytes`` of text at a time, to the shared folder; returns the paths."""
+    folder = f"{shared_dir(items.sparkSession)}/seeds-{uuid.uuid4().hex}"
+    shared, paths = staged(shared_grams(items, id_col, text_col, n, most_items), "shared-grams"), []
+    for block in item_blocks(items, id_col, text_col, block_bytes):
+        table = seed_table(block, n, _shared_in(block, shared, n), least_seeds, threshold)
+        system, top = pafs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        system.create_dir(top, recursive=True)
+        with system.open_output_stream(f"{top}/{len(paths):05d}") as file:
+            file.write(pickle.dumps(vars(table)))
+        paths.append(f"{folder if '://' in folder else 'file://' + folder}/{len(paths):05d}")
+    discard(shared)
+    return paths
+
+
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, most_items: int = 3, least_seeds: int = 2, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
     """``(id_col, item_id, seeds, score, start_word, end_word)``: the best alignment of each text with each item it holds.
 
     score is the alignment's score over that of a perfect copy (1 a matching word, -1 a replaced, extra or
     missing one); pairs below ``threshold`` are not returned. Seeds are word ``n``-grams; those in more than
-    ``most_items`` of all items are dropped where an item has enough others (see ``Seeds``). The items are scanned for in blocks of
-    ``block_bytes``, each a pass over the texts without a shuffle of them. Null texts, null items and null ids of
-    items match nothing; a null document id is returned as null; repeated rows of one id are one result.
+    ``most_items`` of all items are dropped where an item has enough others (see ``seed_table``). One pass over the texts, without a
+    shuffle of them, meets all items: their seed tables are files of ``block_bytes`` of text each, of which a task
+    holds a few at once. The result doesn't depend on ``block_bytes``. Null texts and null items match nothing; null ids of documents and of items
+    are returned as null, as one id; repeated rows of one id are one result; an empty table gives an empty result.
     """
-    found = None
-    shared = staged(shared_grams(items, item_id, item_text, n, most_items), "shared-grams")
-    for block in item_blocks(items, item_id, item_text, block_bytes):
-        own = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(_scan(Seeds(block, n, _shared_in(block, shared, n), least_seeds, threshold), threshold), "doc long, item_id long, seeds long, score double, start_word long, end_word long")
-        found = own if found is None else found.unionByName(own)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], f"{id_col} long, item_id long, seeds long, score double, start_word long, end_word long")
+    kinds = "item_id long, seeds long, score double, start_word long, end_word long"
+    paths = seed_files(items, item_id, item_text, n, most_items, least_seeds, threshold, block_bytes)
+    if not paths:
+        return docs.sparkSession.createDataFrame([], f"{id_col} long, {kinds}")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    found = rows.mapInArrow(_scan(paths, threshold), f"doc long, {kinds}")
     best = F.max(F.struct("score", "seeds", (-F.col("start_word")).alias("s"), "end_word")).alias("b")
     return found.groupBy("doc", "item_id").agg(best).select(F.col("doc").alias(id_col), "item_id", "b.seeds", "b.score", (-F.col("b.s")).alias("start_word"), "b.end_word")
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the rows that hold a copy, exact or edited, of an item."""
-    bad = matches(docs, items, id_col, **options).select(F.col(id_col).alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long") == F.col("_bad"), "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 3, most_items: int = 3, least_seeds: int = 2, threshold: float = 0.5, block_bytes: int = 4 << 20) -> DataFrame:
+    """``docs``, all columns, without the rows whose text holds a copy, exact or edited, of an item (see ``matches``).
+
+    Every row is judged by its own text as it streams by, so there is no join: null and repeated ids are rows like others.
+    """
+    paths = seed_files(items, item_id, item_text, n, most_items, least_seeds, threshold, block_bytes)
+    return docs.mapInArrow(_clean(paths, threshold, text_col), docs.schema) if paths else docs
