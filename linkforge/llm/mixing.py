@@ -123,60 +123,62 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``carry`` columns (by default all) with ``size, source_size, target, taken`` of every row.
 
     size counts words, null text none; taken is how many of the row's words, repeats counted, lie in taken
-    blocks, at most ``most`` times its size. The order of a source's rows is a hash of the id and
-    the text, so reruns agree; rows equal in both are interchangeable. Null sources are one
+    blocks, at most ``most`` times its size. A source's rows are ordered by classes of sizes and hashes of id and
+    text, so reruns agree; rows equal in both are interchangeable. Null sources are one
     source, the last; null ids are ids like others; an empty table gives an empty result; columns of
     ``docs`` named like new ones are replaced. The driver collects one row a source.
     """
-    keep = _kept(docs.columns if carry is None else carry)
-    return _taken(docs, id_col, text_col, source_col, weights, share, most, blocks, seed, carry, rows_a_bucket).select(*keep, "size", "source_size", "target", "taken")
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {"size", "source_size", "target", "taken"}]
+    rows = _taken(docs, keep, carry is not None, id_col, text_col, source_col, weights, share, most, blocks, seed, rows_a_bucket)
+    return rows.select(*(F.col("carry")[c].alias(c) for c in keep), "size", "source_size", "target", "taken")
 
 
-def _kept(columns: list[str]) -> list[str]:
-    return [c for c in columns if c.lower() not in {"size", "source_size", "target", "taken"}]
+def _taken(docs: DataFrame, keep: list[str], stage: bool, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, blocks: int, seed: int, rows_a_bucket: int) -> DataFrame:
+    """The rows of ``mix``, ``keep`` packed into one column, with the number of their source, their bucket on its line, and their order in it.
 
-
-def _taken(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float, blocks: int, seed: int, carry: list[str] | None, rows_a_bucket: int) -> DataFrame:
-    """The rows of ``mix`` with the number of their source, their bucket on its line, and the hashes of id and text."""
+    A bucket holds rows of one source with sizes of a class (within a factor of 2 of each other), dealt by a hash of id and text; there are as many of a
+    class as give about ``rows_a_bucket`` rows at most, up to 65,536. Rows are ordered by size in it, up and down in turn.
+    """
     spark = docs.sparkSession
-    keep = _kept(docs.columns if carry is None else carry)
     text = F.col(text_col).cast("string")
-    base = docs.select(*keep, F.col(source_col).cast("string").alias("_source"), n_words(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), F.lit(seed)).alias("_h"), F.xxhash64(text).alias("_fp"))
-    if carry is not None:
+    base = docs.select(F.struct(*(F.col(c) for c in keep)).alias("carry"), F.col(source_col).cast("string").alias("source"), n_words(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), text, F.lit(seed)).alias("h"))
+    if stage:
         base = staged(base, "sizes")
-    totals = base.groupBy("_source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
-    plans = plan_sources([(r._source, r["size"]) for r in totals], weights, share, most, blocks, seed)
-    many = min(1 << 16, -(-sum(r.n for r in totals) // rows_a_bucket) or 1)
-    table = spark.createDataFrame([(p.source, i, p.size, p.target, p.blocks, p.quota // max(p.blocks, 1), p.quota % max(p.blocks, 1), p.step, p.shift) for i, p in enumerate(plans)], "_s string, _ix int, source_size long, target double, _n long, _full long, _rest long, _step long, _shift long")
+    totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
+    plans = plan_sources([(r.source, r["size"]) for r in totals], weights, share, most, blocks, seed)
+    many = {r.source: min(1 << 16, -(-r.n // rows_a_bucket)) for r in totals}
+    table = spark.createDataFrame([(p.source, i, p.size, p.target, p.blocks, p.quota // max(p.blocks, 1), p.quota % max(p.blocks, 1), p.step, p.shift, many[p.source]) for i, p in enumerate(plans)], "s string, ix int, source_size long, target double, n long, full long, rest long, step long, shift long, many long")
     if len(plans) <= _BROADCAST_ROWS:
         table = F.broadcast(table)
-    rows = base.join(table, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.pmod(F.col("_h"), F.lit(many)))
+    rows = base.join(table, F.col("source").eqNullSafe(F.col("s")))
+    rows = rows.withColumn("bucket", F.expr("length(bin(size)) * 65536L + pmod(h, many)")).withColumn("by", F.expr("if(pmod(bucket, 2) = 0, size, -size)"))
     # a row's place on its source's line: the buckets before its own, then the rows before it there
-    sums = rows.groupBy("_ix", "_bucket").agg(F.sum("size").alias("_sum"))
-    offsets = sums.select("_ix", "_bucket", F.expr("sum(_sum) over (partition by _ix order by _bucket) - _sum").alias("_offset"))
-    placed = rows.withColumn("_in", F.expr("sum(size) over (partition by _ix, _bucket order by _h, _fp, size rows between unbounded preceding and current row) - size"))
-    placed = placed.join(offsets, ["_ix", "_bucket"]).withColumn("_p", F.col("_offset") + F.col("_in"))
+    sums = rows.groupBy("ix", "bucket").agg(F.sum("size").alias("sum"))
+    offsets = sums.select("ix", "bucket", F.expr("sum(sum) over (partition by ix order by bucket) - sum").alias("offset"))
+    placed = rows.withColumn("in", F.expr("sum(size) over (partition by ix, bucket order by by, h rows between unbounded preceding and current row) - size"))
+    placed = placed.join(offsets, ["ix", "bucket"]).withColumn("p", F.col("offset") + F.col("in"))
     # block b holds the words from ceil(b*source_size/n); p*n stays below 2**63
     extra = F.expr(
-        "aggregate(sequence(_p * _n div source_size, (_p + size - 1) * _n div source_size), 0L, (a, b) -> a + if(pmod(b * _step + _shift, _n) < _rest,"
-        " least(_p + size, ((b + 1) * source_size + _n - 1) div _n) - greatest(_p, (b * source_size + _n - 1) div _n), 0L))"
+        "aggregate(sequence(p * n div source_size, (p + size - 1) * n div source_size), 0L, (a, b) -> a + if(pmod(b * step + shift, n) < rest,"
+        " least(p + size, ((b + 1) * source_size + n - 1) div n) - greatest(p, (b * source_size + n - 1) div n), 0L))"
     )
-    taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("_full") * F.col("size") + F.when(F.col("_rest") > 0, extra).otherwise(F.lit(0).cast("long")))
-    return placed.select(*keep, "size", "source_size", "target", taken.alias("taken"), "_ix", "_bucket", "_h", "_fp")
+    taken = F.when(F.col("size") == 0, F.lit(0).cast("long")).otherwise(F.col("full") * F.col("size") + F.when(F.col("rest") > 0, extra).otherwise(F.lit(0).cast("long")))
+    return placed.select("carry", "size", "source_size", "target", taken.alias("taken"), "ix", "bucket", "by", "h")
 
 
-def materialise(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, rows_a_bucket: int = 2000) -> DataFrame:
-    """Whole documents of a mix, wordless ones once.
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, rows_a_bucket: int = 2000) -> DataFrame:
+    """``docs``, whole rows of a mix, all their columns; wordless ones once.
 
-    A document of a share taken/size is due that many copies. The shares are summed along the source's line, by
-    size within a bucket, from a seeded start below 1, and a document has as many copies as its share
-    passes whole numbers: its share rounded down or up, on average its share, whatever its length.
+    A document of a share taken/size is due that many copies. The shares are summed along the source's line,
+    from a seeded start below 1, and a document has as many copies as its share
+    passes whole numbers: its share rounded down or up, on average its share, whatever its length. As neighbours on the line are of similar
+    size, a document left out is made up for by the next, and the source's words come near its target.
     """
     unit = 1 << 30  # integer shares, so that sums don't depend on their order
-    rows = _taken(docs, id_col, text_col, source_col, weights, share, most, blocks, seed, None, rows_a_bucket)
-    rows = rows.withColumn("_due", F.expr(f"if(size = 0, 0L, (taken * {unit}L + size div 2) div size)"))
-    sums = rows.groupBy("_ix", "_bucket").agg(F.sum("_due").alias("_sum"))
-    starts = sums.select("_ix", "_bucket", F.expr(f"sum(_sum) over (partition by _ix order by _bucket) - _sum + pmod(xxhash64(_ix, {seed}L), {unit}L)").alias("_start"))
-    rows = rows.withColumn("_to", F.expr("sum(_due) over (partition by _ix, _bucket order by size, _h, _fp rows between unbounded preceding and current row)")).join(starts, ["_ix", "_bucket"])
-    times = F.expr(f"if(size = 0, 1, int((_start + _to) div {unit}L - (_start + _to - _due) div {unit}L))")
-    return rows.withColumn("_times", times).where("_times > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")).select(*columns)
+    rows = _taken(docs, docs.columns, False, id_col, text_col, source_col, weights, share, most, blocks, seed, rows_a_bucket)
+    rows = rows.withColumn("due", F.expr(f"if(size = 0, 0L, (taken * {unit}L + size div 2) div size)"))
+    sums = rows.groupBy("ix", "bucket").agg(F.sum("due").alias("sum"))
+    starts = sums.select("ix", "bucket", F.expr(f"sum(sum) over (partition by ix order by bucket) - sum + pmod(xxhash64(ix, {seed}L), {unit}L)").alias("start"))
+    rows = rows.withColumn("to", F.expr("sum(due) over (partition by ix, bucket order by by, h rows between unbounded preceding and current row)")).join(starts, ["ix", "bucket"])
+    times = F.expr(f"if(size = 0, 1, int((start + to) div {unit}L - (start + to - due) div {unit}L))")
+    return rows.withColumn("times", times).where("times > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("carry.*")
