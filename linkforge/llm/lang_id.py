@@ -22,6 +22,7 @@ from linkforge.llm.common import text_slices
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SLICE = 2 << 20
+_TEXT = "text to be labelled"
 _U = np.uint64
 
 
@@ -269,34 +270,48 @@ def _expected(scores: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray,
 
 
 def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, per_language: int, max_words: int, seed: int = 5) -> list[tuple[str, str]]:
-    """At most ``per_language`` whole texts of each language, drawn by a hash of the text; texts are taken until ``max_words`` letters-runs a language are reached.
+    """The ``per_language`` distinct texts of each language with the smallest hashes, whole; of them texts are taken until ``max_words`` letter runs a language are reached.
 
-    This is the only data that the driver collects: per_language texts for each language. Languages
-    with no letters in their sample are left out.
+    Hashes under a bound are collected that leaves about four times as many of each language, judged by its number of rows; if copies
+    leave some language short, its bound is raised. So no task sorts a language's rows. The driver collects those hashes and per_language texts
+    for each language, nothing else. Languages with no letters in any text are left out.
     """
     known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    keys = known.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("h"))
-    # distinct hashes, so that copies count once; the window keeps its first rows before the shuffle too
-    least = keys.distinct().withColumn("n", F.expr("row_number() over (partition by lang order by h)")).where(F.col("n") <= per_language)
-    wanted = [(r.lang, r.h) for r in least.select("lang", "h").collect()]
-    texts = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("h"))
-    rows = texts.where(F.col("h").isin([h for _, h in wanted])).dropDuplicates(["lang", "h"]).collect() if wanted else []
+    texts = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col), F.lit(seed)).alias("h"))
+    open_ = {r.lang: min(1.0, 4 * per_language / r["count"]) for r in texts.groupBy("lang").count().collect()}
+    found: dict[str, list[int]] = {}
+    while open_:
+        bounds = texts.sparkSession.createDataFrame([(x, round(p * (1 << 62))) for x, p in open_.items()], "lang string, bound long")
+        few = texts.select("lang", "h").join(F.broadcast(bounds) if len(open_) <= 10_000 else bounds, "lang").where(F.shiftrightunsigned("h", 2) <= F.col("bound")).select("lang", "h").distinct()
+        own: dict[str, list[int]] = {x: [] for x in open_}
+        for r in few.collect():
+            own[r.lang].append(r.h)
+        # unsigned order, as the bound is on the unsigned hash
+        found |= {x: sorted(h, key=lambda v: v % (1 << 64))[:per_language] for x, h in own.items()}
+        open_ = {x: min(1.0, 16 * p) for x, p in open_.items() if p < 1.0 and len(found[x]) < per_language}
+    wanted = [(x, h) for x, own in found.items() for h in own]
+    if not wanted:
+        return []
+    table = texts.sparkSession.createDataFrame(wanted, "lang string, h long")
+    rows = texts.join(F.broadcast(table) if len(wanted) <= 1_000_000 else table, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
     out, held = [], {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
-        if (r.lang, r.h) in set(wanted) and held.get(r.lang, 0) < max_words:
+        if held.get(r.lang, 0) < max_words:
             held[r.lang] = held.get(r.lang, 0) + len(words_of(r.text))
             out.append((r.text, r.lang))
     return out
 
 
 def _label(model: Crf):
+    """Labels the last column's texts; the others go through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab: dict[str, int] = {}
         table = np.zeros((0, len(model.labels)))
-        for part in text_slices(batches, "t", _SLICE):
+        for part in text_slices(batches, _TEXT, _SLICE):
             if len(vocab) > 300_000:
                 vocab, table = {}, table[:0]
-            docs = [words_of(t.as_py()) if t.is_valid else [] for t in part.column("t")]
+            docs = [words_of(t.as_py()) if t.is_valid else [] for t in part.column(_TEXT)]
             fresh = list(dict.fromkeys(w for d in docs for w in d if w not in vocab))
             vocab.update(zip(fresh, range(len(vocab), len(vocab) + len(fresh))))
             table = np.concatenate([table, model.scores(fresh)])
@@ -312,7 +327,7 @@ def _label(model: Crf):
             pick = mean.argmax(axis=1)
             langs = [model.labels[p] if n else UNDETERMINED for p, n in zip(pick.tolist(), lengths.tolist())]
             score = np.clip(np.where(lengths > 0, mean[np.arange(len(docs)), pick], 0.0), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "t"), pa.array(langs), pa.array(score), pa.array(lengths, pa.int64()), pa.array(switches, pa.int64())], [*(c for c in part.schema.names if c != "t"), "lang_pred", "score", "n_letter_runs", "n_switches"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs), pa.array(score), pa.array(lengths, pa.int64()), pa.array(switches, pa.int64())], [*part.schema.names[:-1], "lang_pred", "score", "n_letter_runs", "n_switches"])
 
     return run
 
@@ -322,13 +337,14 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text", carry: tuple[st
 
     lang_pred is the label with the largest mean marginal and score that mean; null texts and texts
     without letters get ``und`` and score 0. Ties go to the first label in code point order.
-    With no training text at all there are no labels, and every text gets ``und``. Repeated rows are kept.
+    With no training text at all there are no labels, and every text gets ``und``. Repeated rows are kept;
+    carried columns may have any name but those of the new ones.
     """
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     new = "lang_pred string, score double, n_letter_runs long, n_switches long"
     if not model.labels:
         return docs.select(*carry, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_letter_runs"), F.lit(0).cast("long").alias("n_switches"))
-    return docs.select(*carry, F.col(text_col).cast("string").alias("t")).mapInArrow(_label(model), f"{kinds}, {new}")
+    return docs.select(*carry, F.col(text_col).cast("string").alias(_TEXT)).mapInArrow(_label(model), f"{kinds}, {new}")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:
