@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -26,7 +27,7 @@ ODD = [(0, None, None, None, None), (1, "", "en", "a", 0), (2, "  \t\x0b ", "en"
 @pytest.fixture
 def odd(spark):
     # further columns, with names that operators use themselves
-    return spark.createDataFrame(ODD, DOCS).withColumns({"size": F.lit("own"), "fp": F.lit("own"), "component_id": F.lit(7), "shard": F.lit("s"), "score": F.lit(1)})
+    return spark.createDataFrame(ODD, DOCS).withColumns({"size": F.lit("own"), "fp": F.lit("own"), "component_id": F.lit(7), "shard": F.lit("s"), "score": F.lit(1), "t": F.lit("own"), "before": F.lit("own"), "range": F.lit("own"), "bucket": F.lit("own"), "_source": F.lit("own"), "h": F.lit("own"), "carry": F.lit("own"), "text_hash": F.lit("own")})
 
 
 @pytest.fixture
@@ -113,7 +114,23 @@ def test_simhash_groups(spark, odd, none):
     found = dict(got)
     assert len(got) == len(ODD) and found[0] == found[1] == found[2] == 0 and found[5] == found[None] == 5
     assert simhash.near_duplicate_groups(none).count() == 0 and simhash.verified_groups(none).count() == 0
-    assert sorted(r.component_id for r in simhash.verified_groups(odd.select("doc_id", "text")).where("doc_id = 6").collect()) == [5]
+    groups = [(r.doc_id, r.component_id, r.is_first) for r in simhash.verified_groups(odd).collect()]
+    assert sorted(groups, key=str) == sorted([(0, 0, True), (1, 0, False), (2, 0, False), (3, 3, True), (4, 4, True), (5, 5, True), (5, 5, True), (6, 5, False), (None, 5, False)], key=str)
+
+
+def test_fingerprints(spark):
+    """The bits of the fingerprint against a direct count over all shingles."""
+    import xxhash
+
+    texts = [None, "", "Ab", "one TWO", words(7, 3), words(8, 40).upper(), "a b a b a b a b", "É\u00a0x\x0by z\x1cw", words(9, 900)]
+    want = {}
+    for i, t in enumerate(texts):
+        own = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        shingles = [" ".join(own[j : j + 3]) for j in range(max(1, len(own) - 2))] if own else []
+        hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+        want[i] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.fp % (1 << 64) for r in simhash.fingerprints(docs).collect()} == want
 
 
 def near_copies(n, size=80):
@@ -455,17 +472,72 @@ def test_search(spark):
     assert ann.search(rows.where("vec_id in (0, 1, 2)"), F.col("vec_id") % 20 == 0).count() == 2
 
 
+def score_all(texts, items, threshold=0.5):
+    """{(doc, item): score} of all pairs by Smith-Waterman, without seeds."""
+    split = lambda t: decontaminate._hashes(decontaminate.words_of(t))
+    pairs = [(d, i, split(t), split(x)) for d, t in texts for i, x in items]
+    out = {}
+    for at in range(0, len(pairs), 200):
+        part = pairs[at : at + 200]
+        best, _ = decontaminate.align([p[2] for p in part], [p[3] for p in part])
+        out |= {(d, i): b / len(x) for (d, i, _, x), b in zip(part, best.tolist()) if b / len(x) >= threshold}
+    return out
+
+
+def test_decontaminate_against_all_pairs(spark):
+    """200 texts, half with an edited item, against an alignment of every text with every item."""
+    rng, vocab = np.random.default_rng(3), [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocab, int(rng.integers(9, 40))))) for i in range(40)]
+    items += [(40 + i, f"a b c d e f u{i} v{i} w{i}") for i in range(5)]
+    rows = []
+    for d in range(200):
+        own = items[d % 45][1].split()
+        for p in rng.choice(len(own), len(own) // 6, replace=False):  # one word in six replaced, dropped or doubled
+            own[p] = [f"x{d}", "", f"{own[p]} y{d}"][d % 3]
+        rows.append((d, " ".join([*rng.choice(vocab, 60), *(own if d % 2 else []), *rng.choice(vocab, 30)])))
+    rows += [(200, "a b c d e f u1"), (201, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = score_all([r for r in rows if r[1]], items)
+    for block_bytes in (4 << 20, 2000, 10):
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.matches(docs, bench, block_bytes=block_bytes).collect()}
+        assert got == pytest.approx(want) and len(want) > 100 and got[200, 41] == pytest.approx(7 / 9)
+
+
+def test_remove_contaminated_rows(spark):
+    """Rows go by their own text: null and repeated ids, and columns named like the operator's, are no matter."""
+    item = "alpha beta gamma delta epsilon zeta eta theta"
+    rows = [(None, item), (None, "clean one"), (1, item), (1, "clean two"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"i": F.lit(1), "t": F.lit("x"), "doc": F.lit(2), "item_id": F.array(F.lit(3))})
+    items = spark.createDataFrame([(None, item), (5, None), (5, "")], "item_id long, text string")
+    left = decontaminate.remove_contaminated(docs, items)
+    assert left.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in left.collect()))) == sorted(map(str, [(None, "clean one"), (1, "clean two"), (2, None), (3, "")]))
+    assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(None, None), (1, None)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi"
-    texts = {1: words(1, 80), 2: words(1, 80) + " more", 3: words(2, 60) + " " + item, 4: "123 456", 5: None, 6: words(6, 70), 7: words(7, 70)}
-    docs = spark.createDataFrame([(i, t, "en", f"s{i % 2}", 1) for i, t in texts.items()], DOCS)
+    texts = [(1, words(1, 80)), (2, words(1, 80) + " more"), (3, words(2, 60) + " " + item), (4, "123 456"), (5, None), (6, words(6, 70)), (7, words(7, 70))]
+    # an id with a copy and with a text of its own, a repeated row, and rows without ids: a copy, an item, and a text of its own
+    texts += [(8, words(1, 80)), (8, words(8, 70)), (7, words(7, 70)), (None, words(6, 70)), (None, words(2, 60) + " " + item), (None, words(10, 70))]
+    docs = spark.createDataFrame([(i, t, "en", f"s{(i or 0) % 2}", 1) for i, t in texts], DOCS)
+    docs = docs.withColumns({"row": F.lit("own"), "_source": F.lit(1), "h": F.lit(2), "before": F.lit(3), "text_hash": F.lit(4), "t": F.lit("x"), "is_first": F.lit("y")})
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now, left = docs, {}
     for name, stage in corpus_pipeline.STAGES:
-        now = common.staged(stage(spark, now, str(tmp_path)), name)
-        left[name] = sorted({r.doc_id for r in now.collect()})
-    assert left["language"] == [1, 2, 3, 6, 7] and left["near_duplicates"] == [1, 3, 6, 7] and left["decontamination"] == [1, 6, 7]
+        was, now = now, common.staged(stage(spark, now, str(tmp_path)), name)
+        assert name == "sharding" or now.columns == was.columns
+        left[name] = sorted([(r.doc_id, r.text) for r in now.collect()], key=str)
+    keep = lambda *gone: sorted([x for n, x in enumerate(texts) if n not in gone], key=str)
+    assert left["language"] == keep(3, 4)
+    assert left["near_duplicates"] == keep(1, 3, 4, 7, 9, 10, 11)
+    assert left["decontamination"] == keep(1, 2, 3, 4, 7, 9, 10, 11)
+    assert set(left["mixing"]) <= set(left["decontamination"])
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = common.staged(stage(spark, none, str(tmp_path)), "none")
+        assert none.count() == 0
