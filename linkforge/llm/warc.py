@@ -11,10 +11,12 @@ import base64
 import hashlib
 import io
 import re
+import tempfile
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import IO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -28,8 +30,12 @@ VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MAGIC = b"\x1f\x8b\x08"
 _CHUNK = 1 << 16
-_MOST_HEADERS = 1 << 20
-_FIRST_LINE = re.compile(rb"WARC/\d+\.\d+\r\n")
+_MOST_HEADERS = 4 << 20
+_FIRST_LINE = re.compile(rb"WARC/[0-9]+\.[0-9]+\r\n")
+_BEGIN = re.compile(rb"WARC/|\x1f\x8b\x08")
+_LENGTH = re.compile(r"[0-9]{1,18}")
+#: Longer URLs are written among the block's HTTP headers, so that no record's own headers pass _MOST_HEADERS.
+_MOST_URL = 1 << 20
 
 
 class Damaged(ValueError):
@@ -68,17 +74,23 @@ def base32_sha1_column(payload) -> F.Column:
     return F.translate(digits, "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def _escaped(value: str) -> str:
+    return value.replace("\r", "%0D").replace("\n", "%0A")
+
+
 def record_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
-    lines = [f"{k}: {v}".replace("\r", "%0D").replace("\n", "%0A") for k, v in headers]
+    lines = [_escaped(f"{k}: {v}") for k, v in headers]
     return VERSION + "\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def page_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
     """The record of one page: ``response`` with its payload, or ``revisit`` with only the HTTP headers."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    far = url is not None and len(url) > _MOST_URL
+    place = f"Content-Location: {_escaped(url)}\r\n".encode() if far else b""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n%bContent-Length: %d\r\n\r\n" % (place, len(payload))
     block = http + payload if refers_to is None else http
     headers = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"), ("WARC-Date", date)]
-    if url is not None:
+    if url is not None and not far:
         headers.append(("WARC-Target-URI", url))
     if refers_to is not None:
         headers += [("WARC-Profile", REVISIT_PROFILE), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
@@ -95,7 +107,7 @@ def gzip_member(data: bytes, level: int = 1) -> bytes:
 
 
 class _Bytes:
-    """Reads of a seekable file by offset, and searches in it chunk by chunk."""
+    """Reads of a seekable file by offset."""
 
     def __init__(self, file) -> None:
         self.file, self.size = file, file.seek(0, io.SEEK_END) or file.tell()
@@ -104,27 +116,18 @@ class _Bytes:
         self.file.seek(at)
         return self.file.read(n)
 
-    def find(self, pattern: bytes, at: int) -> int:
-        """First place of the pattern at or after ``at``, or -1."""
-        while at < self.size:
-            data = self.read(at, _CHUNK * 16 + len(pattern) - 1)
-            if (found := data.find(pattern)) >= 0:
-                return at + found
-            at += _CHUNK * 16
-        return -1
-
 
 def _plain_record(source: _Bytes, at: int) -> Record:
-    """The uncompressed record at ``at``; Damaged if a check fails."""
+    """The uncompressed record at ``at``; Damaged if a check fails. The block is read only if its separator is where it should be."""
     head, end = b"", -1
     while end < 0:
         more = source.read(at + len(head), _CHUNK)
         if not more or len(head) > _MOST_HEADERS:
             raise Damaged("headers don't end")
-        head += more
+        seen, head = max(0, len(head) - 3), head + more
         if not _FIRST_LINE.match(head[:16]):
             raise Damaged("no version line")
-        end = head.find(b"\r\n\r\n")
+        end = head.find(b"\r\n\r\n", seen)
     headers = {}
     for line in head[: end + 2].split(b"\r\n")[1:-1]:
         name, colon, value = line.partition(b":")
@@ -133,15 +136,14 @@ def _plain_record(source: _Bytes, at: int) -> Record:
         headers[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
     if not {"warc-type", "warc-record-id", "warc-date"} <= headers.keys():
         raise Damaged("a mandatory header is missing")
-    if not (size := headers.get("content-length", "")).isdigit():
+    if not _LENGTH.fullmatch(headers.get("content-length", "")):
         raise Damaged("no length")
-    start = at + end + 4
-    if start + int(size) + 4 > source.size:
+    start, size = at + end + 4, int(headers["content-length"])
+    if start + size + 4 > source.size:
         raise Damaged("truncated")
-    block = source.read(start, int(size) + 4)
-    if block[-4:] != b"\r\n\r\n":
+    if source.read(start + size, 4) != b"\r\n\r\n":
         raise Damaged("no separator after the block")
-    record = Record(at, end + 4 + len(block), headers, block[:-4])
+    record = Record(at, end + 4 + size + 4, headers, source.read(start, size))
     for name, data in (("warc-block-digest", record.block), ("warc-payload-digest", record.payload)):
         kind, _, digest = headers.get(name, "").partition(":")
         if kind == "sha1" and not (name == "warc-payload-digest" and headers.get("warc-type") == "revisit") and base32_sha1(data) != digest.upper():
@@ -149,64 +151,68 @@ def _plain_record(source: _Bytes, at: int) -> Record:
     return record
 
 
-def _member(source: _Bytes, at: int) -> tuple[bytes, int]:
-    """(contents, end) of the gzip member at ``at``, with its checksum and length checked."""
-    unpacker, out, end = zlib.decompressobj(31), [], at
+def _member(source: _Bytes, at: int) -> tuple[IO[bytes], int]:
+    """(contents, end) of the gzip member at ``at``, with its checksum and length checked; contents over 32 MiB lie in a temporary file."""
+    unpacker, out, end = zlib.decompressobj(31), tempfile.SpooledTemporaryFile(32 << 20), at
     try:
         while not unpacker.eof:
-            data = source.read(end, _CHUNK)
+            data = unpacker.unconsumed_tail or source.read(end, _CHUNK)
             if not data:
                 raise Damaged("truncated member")
-            out.append(unpacker.decompress(data))
-            end += len(data)
+            end += 0 if unpacker.unconsumed_tail else len(data)
+            out.write(unpacker.decompress(data, 1 << 20))
     except zlib.error as e:
         raise Damaged(f"member: {str(e)[:60]}") from None
-    return b"".join(out), end - len(unpacker.unused_data)
-
-
-def _next_plain(source: _Bytes, at: int) -> int:
-    """Where the next valid record begins: at a version line whose record passes its checks, whatever stands before it."""
-    while (at := source.find(b"WARC/", at)) >= 0:
-        try:
-            _plain_record(source, at)
-            return at
-        except Damaged:
-            at += 1
-    return source.size
+    return out, end - len(unpacker.unused_data)
 
 
-def _next_member(source: _Bytes, at: int) -> int:
-    while (at := source.find(_MAGIC, at)) >= 0:
-        try:
-            if _FIRST_LINE.match(_member(source, at)[0]):
-                return at
-        except Damaged:
-            pass
-        at += 1
+def _valid_at(source: _Bytes, at: int) -> bool:
+    """Whether a record begins here, or a gzip member with a version line first."""
+    try:
+        if source.read(at, 3) != _MAGIC:
+            return bool(_plain_record(source, at))
+        with _member(source, at)[0] as inside:
+            inside.seek(0)
+            return bool(_FIRST_LINE.match(inside.read(16)))
+    except Damaged:
+        return False
+
+
+def _next_valid(source: _Bytes, at: int) -> int:
+    """Where the next valid member or version line begins, whatever stands before it; each byte is searched once."""
+    step = 1 << 14
+    while at < source.size:
+        data = source.read(at, step + 4)
+        for found in _BEGIN.finditer(data):
+            if found.start() < step and _valid_at(source, at + found.start()):
+                return at + found.start()
+        at, step = at + step, min(1 << 20, 2 * step)
     return source.size
 
 
 def salvage(file) -> Iterator[Record | Gap]:
-    """All records of an archive, plain or of gzip members, in order, and the byte gaps between that failed a check."""
+    """All records of an archive, plain or of gzip members, in order, and the byte gaps between that failed a check.
+
+    Records (members, where they are compressed) and gaps cover the archive's bytes without overlap, and no damage raises.
+    """
     source, at = _Bytes(file), 0
     while at < source.size:
-        packed = source.read(at, 3) == _MAGIC
         try:
-            if packed:
-                data, end = _member(source, at)
-                inside = list(salvage(io.BytesIO(data)))
-                for x in inside:
-                    if isinstance(x, Gap):
-                        yield Gap(at, end, f"in member: {x.reason}")
-                    else:
-                        yield Record(at, end - at, x.headers, x.block)
+            if source.read(at, 3) == _MAGIC:
+                inside, end = _member(source, at)
+                with inside:
+                    for x in salvage(inside):
+                        if isinstance(x, Gap):
+                            yield Gap(at, end, f"in member: {x.reason}")
+                        else:
+                            yield Record(at, end - at, x.headers, x.block)
                 at = end
             else:
                 record = _plain_record(source, at)
                 yield record
                 at += record.length
         except Damaged as e:
-            after = min(_next_member(source, at + 1), _next_plain(source, at + 1))
+            after = _next_valid(source, at + 1)
             yield Gap(at, after, str(e))
             at = after
 
@@ -269,8 +275,8 @@ def write_archives(records: DataFrame, folder: str, roll_bytes: int = 64 << 20,
 
 
 def _number(urn: str | None) -> int | None:
-    found = re.fullmatch(r"<urn:page:(-?\d+)>", urn or "")
-    return int(found[1]) if found else None
+    found = re.fullmatch(r"<urn:page:(-?[0-9]{1,19})>", urn or "")
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
 ROWS = "path string, offset long, length long, reason string, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
@@ -281,11 +287,14 @@ def _row(path: str, x: Record | Gap) -> tuple:
         return path, x.start, x.end - x.start, x.reason, None, None, None, None, None, None
     kind, payload = x.headers.get("warc-type"), x.payload
     if kind == "revisit":  # the payload is elsewhere; the HTTP headers tell its length
-        size = re.search(rb"(?i)\r\ncontent-length: *(\d+)", x.block)
+        size = re.search(rb"(?i)\r\ncontent-length: *([0-9]{1,18})\r\n", x.block)
         n, digest = int(size[1]) if size else None, x.headers.get("warc-payload-digest", "").removeprefix("sha1:")
     else:
         n, digest = len(payload), base32_sha1(payload)
-    return path, x.offset, x.length, None, _number(x.headers.get("warc-record-id")), x.headers.get("warc-target-uri"), kind, _number(x.headers.get("warc-refers-to")), n, digest
+    url = x.headers.get("warc-target-uri")
+    if url is None and (place := re.match(rb"(?is)[^\r]*\r\n(?:[^\r]*\r\n)*?content-location: ([^\r]*)\r\n", x.block)):
+        url = place[1].decode("utf-8", "replace")
+    return path, x.offset, x.length, None, _number(x.headers.get("warc-record-id")), url, kind, _number(x.headers.get("warc-refers-to")), n, digest
 
 
 def read_archives(paths: DataFrame, payloads: bool = False) -> DataFrame:

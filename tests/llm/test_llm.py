@@ -367,6 +367,87 @@ def test_salvage(packed):
     assert isinstance(cut[0], warc.Gap) and isinstance(cut[-1], warc.Gap) and sum(isinstance(x, warc.Record) for x in cut) == 5
 
 
+class Counted(io.BytesIO):
+    """Counts the bytes that are read."""
+
+    taken = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.taken += len(data)
+        return data
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_salvage_of_random_damage(packed):
+    """Whatever is flipped, cut or inserted: nothing raises, records and gaps tile the bytes, and untouched records are all found."""
+    rng = np.random.default_rng(packed)
+    for case in range(60):
+        parts = [bytearray(warc.gzip_member(r) if packed else r) for r in records(8)]
+        hurt = set(rng.choice(8, case % 8, replace=False).tolist())
+        for p in hurt:
+            at = int(rng.integers(len(parts[p])))
+            kind = int(rng.integers(4))
+            if kind == 0:
+                parts[p][at] ^= 1 << int(rng.integers(8))
+            elif kind == 1:
+                del parts[p][at:]
+            elif kind == 2:
+                parts[p][at:at] = rng.bytes(int(rng.integers(1, 50)))
+            else:  # headers: lengths that are no numbers, too large, or odd digits
+                length = [b"\xc2\xb2", b"9" * 5000, b"-1", b"99999999", b""][case % 5]
+                parts[p] = bytearray(re.sub(rb"(\r\nContent-Length: )[0-9]+(\r\n\r\nHTTP)", rb"\g<1>" + length + rb"\g<2>", bytes(records(8)[p])))
+                if packed:
+                    parts[p] = bytearray(warc.gzip_member(bytes(parts[p])))
+        raw = b"".join(parts)
+        found = list(warc.salvage(io.BytesIO(raw)))
+        whole = {x.headers["warc-record-id"] for x in found if isinstance(x, warc.Record)}
+        assert {f"<urn:page:{i}>" for i in range(8) if i not in hurt} <= whole
+        at = 0
+        for x in found:
+            low, high = (x.start, x.end) if isinstance(x, warc.Gap) else (x.offset, x.offset + x.length)
+            assert low in (at, was if at else 0) and high >= at  # several gaps of one member share its place
+            was, at = low, high
+        assert at == len(raw) or not raw
+
+
+def test_salvage_is_linear():
+    taken = []
+    for n in (200, 400, 800):
+        pages = [np.random.default_rng(i).bytes(3000) for i in range(n)]
+        parts = [bytearray(warc.gzip_member(warc.page_record(i, "u", x, warc.base32_sha1(x), None, "d"))) for i, x in enumerate(pages)]
+        for p in parts[::2]:
+            p[40] ^= 0x55
+        file = Counted(b"".join(parts))
+        gaps = sum(isinstance(x, warc.Gap) for x in warc.salvage(file))
+        taken.append(file.taken)
+        assert abs(gaps - n // 2) <= 2  # now and then a flip leaves the contents as they were
+    assert taken[1] < 2.2 * taken[0] and taken[2] < 2.2 * taken[1]
+
+
+def test_large_members_and_long_urls(spark):
+    """An archive packed as one member, and URLs of several MiB, are read whole."""
+    packed = warc.gzip_member(b"".join(warc.page_record(i, "u", b"p" * 5_000_000, warc.base32_sha1(b"p" * 5_000_000), None, "d") for i in range(9)))
+    assert [type(x) for x in warc.salvage(io.BytesIO(packed))] == [warc.Record] * 9
+    pages = spark.createDataFrame([(1, "http://a/" + "x" * 5_000_000, "same"), (2, "http://b/" + "y" * (1 << 20), "same"), (3, "c", "other")], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert {i: r.url for i, r in rows.items()} == {r.page_id: r.url for r in pages.collect()} and all(r.reason is None for r in rows.values())
+
+
+def test_warc_rows(spark):
+    """All columns of the query against a direct computation, with copies, revisits and foreign ids."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), f"u{i}", None if i % 9 == 0 else "" if i % 9 == 1 else f"page {rng.integers(12)} é" * int(rng.integers(1, 3))) for i in rng.permutation(150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    first = {}
+    for i, _, html in rows:
+        first[html or ""] = min(first.get(html or "", i), i)
+    want = {(i, len((h or "").encode()), warc.base32_sha1((h or "").encode()), "response" if first[h or ""] == i else "revisit", None if first[h or ""] == i else first[h or ""]) for i, _, h in rows}
+    got = warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert len(got) == 150 and {tuple(r) for r in got} == want
+    assert warc._number("<urn:page:99999999999999999999>") is None and warc._number("<urn:page:\u00b2>") is None
+
+
 def test_warc_round_trip(spark):
     rows = [(3, "http://x/ä", "same"), (1, None, "same"), (2, "u", None), (7, "u", ""), (None, "u", "same"), (9, "a\r\nb", "é" * 70000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("payload", F.lit(1))
