@@ -68,9 +68,27 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_language, op2_warc, op3_substring_dedup, op4_sharding, op5_decontaminate, op6_url_filter, op7_mixing, op8_simhash, op9_chat, op10_ann, pipeline)}
 
 
-_HOST = r"translate(regexp_extract(regexp_extract(coalesce(url, ''), '(?s)\A.*?://(.*)\z', 1), '(?s)\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The twin of op6 knows the explicit rules only: the labels don't depend on the URL, so no rule reaches the confidence, and the others' verdict is allow.
+_URL_FILTER = r"""
+with parts as (
+  select page_id, regexp_extract(coalesce(url, ''), '(?s)\A.*?://(.*)\z', 1) as rest from pages
+), places as (
+  select page_id, translate(regexp_extract(rest, '(?s)\A([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    regexp_extract(rest, '(?s)\A[^/?#]*([^?#]*)', 1) as path
+  from parts
+), rules as (
+  select * from (values ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) as r(kind, h, p)
+), fits as (
+  select page_id, host, path, arg_max(h || p, length(h || p)) filter (h is not null) as rule, arg_max(kind, length(h || p)) filter (h is not null) as kind
+  from places left join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+  group by page_id, host, path
+)
+select p.page_id, p.host, p.path, f.rule, coalesce(f.kind, 'allow') as verdict
+from places p join fits f on p.page_id is not distinct from f.page_id and p.host = f.host and p.path = f.path
+"""
 
 ORACLES = {
+    "op6_url_filter": _URL_FILTER,
     "op9_chat": """
 with turns as (
   select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null

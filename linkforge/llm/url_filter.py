@@ -1,8 +1,9 @@
 """URL filtering by explicit host/path rules and mined association rules.
 
 FP-growth finds the token combinations of labelled URLs; rules token set -> block that
-pass a support and a confidence threshold, and that no smaller rule makes redundant, are kept. An inverted
-index from each rule's rarest token finds the rules that a URL might match; a match holds all tokens.
+pass a support and a confidence threshold, and that no smaller rule makes redundant, are kept. Tokens that
+the same labelled URLs have are one item, so a long path that many URLs share doesn't multiply the combinations. An inverted
+index from each rule's rarest item finds the rules that a URL might match; a match holds a token of every item.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.llm.common import staged
+
 ALLOW, BLOCK = "allow", "block"
 _BLOCKED = "label=block"
 _AZ = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -40,7 +43,7 @@ def rule_of(host, path, rules: list[tuple[str, str, str]]) -> tuple[F.Column, F.
 
 
 def url_tokens(url) -> F.Column:
-    """Distinct tokens: scheme, host suffixes, path segments (numbers as one token), file ending, query keys, fragment."""
+    """Distinct tokens: scheme, host suffixes, path segments (numbers as one token), file ending, query keys, whether there is a fragment."""
     host, path = url_parts(url)
     url = F.coalesce(url, F.lit(""))
     labels = F.split(host, r"\.")
@@ -50,39 +53,55 @@ def url_tokens(url) -> F.Column:
     query = F.regexp_extract(url, r"(?s)\A[^?#]*\?([^#]*)", 1)
     keys = F.transform(F.filter(F.split(query, "&"), lambda s: s != ""), lambda s: F.concat(F.lit("query="), F.substring_index(s, "=", 1)))
     scheme = F.transform(F.regexp_extract_all(url, F.lit(r"\A([A-Za-z][A-Za-z0-9+.-]*)://"), F.lit(1)), lambda s: F.concat(F.lit("scheme="), F.lower(s)))
-    return F.array_distinct(F.concat(scheme, suffixes, segments, ending, keys))
+    fragment = F.when(F.contains(url, F.lit("#")), F.array(F.lit("fragment"))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(scheme, suffixes, segments, ending, keys, fragment))
 
 
-def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "blocked", support: float = 0.01, confidence: float = 0.6) -> DataFrame:
-    """``(tokens, anchor, confidence, support)`` of the rules that call for blocking.
+def mine_rules(labelled: DataFrame, url_col: str = "url", block_col: str = "blocked", support: float = 0.01, confidence: float = 0.6, least_rows: int = 20) -> DataFrame:
+    """``(items, anchor, confidence, support)`` of the rules that call for blocking.
 
-    Support is the share of labelled URLs with the tokens and the label; null labels and URLs without tokens
-    aren't used. A rule is dropped if one with fewer of its tokens is as confident. The anchor is
-    the rule's rarest token.
+    An item is an array of tokens that exactly the same labelled URLs have; a rule matches a URL that has a token of
+    each of its items. Support is the share of labelled URLs with the items and the label, of which there must be
+    ``least_rows`` as well; null labels and URLs without tokens aren't used. A rule is dropped if one with fewer of its items is as
+    confident. The anchor is the rule's rarest item. Tokens that pass the support are at most tokens a URL / ``support``: they are broadcast.
     """
     spark = labelled.sparkSession
-    empty = spark.createDataFrame([], "tokens array<string>, anchor string, confidence double, support double")
-    rows = labelled.where(F.col(block_col).isNotNull()).select(url_tokens(F.col(url_col)).alias("t"), F.col(block_col).alias("b")).where(F.size("t") > 0)
-    items = rows.select(F.when(F.col("b"), F.concat("t", F.array(F.lit(_BLOCKED)))).otherwise(F.col("t")).alias("items"))
-    if items.isEmpty():
+    rows = labelled.where(F.col(block_col).isNotNull()).groupBy(F.col(url_col).alias("url"), F.col(block_col).cast("boolean").alias("b")).agg(F.count(F.lit(1)).alias("m"))
+    rows = staged(rows.withColumn("t", url_tokens(F.col("url"))).where(F.size("t") > 0), "labelled-urls")
+    total = rows.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    least = max(least_rows, int(support * total))
+    mark = [F.sum(F.xxhash64("url", "b", F.lit(seed)).cast("decimal(38,0)")).alias(f"mark{seed}") for seed in (1, 2)]
+    tokens = rows.select("url", "b", "m", F.explode("t").alias("token")).groupBy("token").agg(F.sum("m").alias("freq"), F.sum(F.when(F.col("b"), F.col("m")).otherwise(0)).alias("joint"), *mark)
+    # no rule has an item that is rarer with the label than a rule must be
+    same = tokens.where(F.col("joint") >= least).groupBy("freq", "mark1", "mark2").agg(F.array_sort(F.collect_set("token")).alias("tokens"))
+    same = staged(same.select(F.col("tokens")[0].alias("name"), "tokens", "freq"), "url-items")
+    empty = spark.createDataFrame([], "items array<array<string>>, anchor array<string>, confidence double, support double")
+    if same.isEmpty():
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
-    mined = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCKED))).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("anchor"), "freq")
-    rarest = F.min(F.struct("freq", "anchor")).alias("r")
-    ranked = mined.select("*", F.explode("tokens").alias("anchor")).join(single, "anchor").groupBy("tokens", "confidence", "support").agg(rarest).select("tokens", F.col("r.anchor").alias("anchor"), "confidence", "support")
-    # a smaller rule has its anchor among the larger rule's tokens
-    small = ranked.select(F.col("tokens").alias("s"), F.col("anchor").alias("a"), F.col("confidence").alias("c"))
-    wide = ranked.select("tokens", "confidence", F.explode("tokens").alias("a"))
-    covers = (F.size("s") < F.size("tokens")) & (F.size(F.array_except("s", "tokens")) == 0) & (F.col("c") >= F.col("confidence"))
-    redundant = wide.join(small, "a").where(covers).select("tokens").distinct()
-    return ranked.join(redundant, "tokens", "left_anti")
+    names = F.broadcast(same.select("name", F.explode("tokens").alias("token")))
+    baskets = rows.select("url", "b", "m", F.explode("t").alias("token")).join(names, "token").groupBy("url", "b", "m").agg(F.collect_set("name").alias("items"))
+    baskets = baskets.select(F.when(F.col("b"), F.concat("items", F.array(F.lit(_BLOCKED)))).otherwise(F.col("items")).alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))).alias("copy"))
+    # URLs that have none of the items count in the total too
+    share = least / baskets.count()
+    model = FPGrowth(itemsCol="items", minSupport=share * (1 - 1e-9), minConfidence=confidence).fit(baskets.select("items"))
+    mined = model.associationRules.where(F.col("consequent") == F.array(F.lit(_BLOCKED))).select(F.array_sort("antecedent").alias("names"), "confidence", (F.col("support") * (least / share / total)).alias("support"))
+    rarest = F.min(F.struct("freq", "name")).alias("r")
+    ranked = mined.select("*", F.explode("names").alias("name")).join(F.broadcast(same), "name").groupBy("names", "confidence", "support").agg(rarest, F.collect_list("tokens").alias("items"))
+    ranked = staged(ranked.select("names", "items", F.col("r.name").alias("anchor"), "confidence", "support"), "url-rules")
+    # a smaller rule has its anchor among the larger rule's items
+    small = ranked.select(F.col("names").alias("s"), F.col("anchor").alias("a"), F.col("confidence").alias("c"))
+    wide = ranked.select("names", "confidence", F.explode("names").alias("a"))
+    covers = (F.size("s") < F.size("names")) & (F.size(F.array_except("s", "names")) == 0) & (F.col("c") >= F.col("confidence"))
+    redundant = wide.join(small, "a").where(covers).select("names").distinct()
+    kept = ranked.join(redundant, "names", "left_anti").join(F.broadcast(same.select(F.col("name").alias("anchor"), "tokens")), "anchor")
+    return kept.select("items", F.col("tokens").alias("anchor"), "confidence", "support")
 
 
 def matched_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """``(url, confidence)`` of the distinct URLs that hold all tokens of a rule, with the best rule's confidence."""
+    """``(url, confidence)`` of the distinct URLs that match a rule, with the best rule's confidence."""
     tokens = urls.select(F.col(url_col).alias("url")).where("url is not null").distinct().withColumn("t", url_tokens(F.col("url")))
-    found = tokens.select("url", "t", F.explode("t").alias("anchor")).join(rules, "anchor").where(F.size(F.array_except("tokens", "t")) == 0)
+    index = rules.select("items", "confidence", F.explode("anchor").alias("token"))
+    found = tokens.select("url", "t", F.explode("t").alias("token")).join(index, "token").where(F.forall("items", lambda x: F.arrays_overlap(x, F.col("t"))))
     return found.groupBy("url").agg(F.max("confidence").alias("confidence"))
 
 
@@ -95,13 +114,13 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], labelled: DataFra
     keep = [c for c in pages.columns if c.lower() not in {"host", "path", "rule", "verdict", "confidence"}]
     host, path = url_parts(F.col(url_col))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    mined = mine_rules(labelled, **options).persist()
-    many = mined.count()
-    rows = pages.select(*keep, host.alias("host"), path.alias("path")).select("*", text.alias("rule"), verdict.alias("verdict"))
+    mined = staged(mine_rules(labelled, **options), "mined-rules")
+    many = mined.select(F.explode("anchor")).count()
+    rows = pages.select(F.struct(*keep).alias("row"), F.col(url_col).alias("own"), host.alias("host"), path.alias("path")).select("*", text.alias("rule"), verdict.alias("verdict"))
     if many:
-        hit = matched_urls(pages, F.broadcast(mined) if many <= _BROADCAST_ROWS else mined, url_col).withColumnRenamed("url", "_url")
-        rows = rows.join(hit, F.col(url_col) == F.col("_url"), "left").drop("_url")
+        hit = matched_urls(pages, F.broadcast(mined) if many <= _BROADCAST_ROWS else mined, url_col)
+        rows = rows.join(hit, F.col("own") == F.col("url"), "left")
     else:
         rows = rows.withColumn("confidence", F.lit(None).cast("double"))
     by_rules = F.when(F.col("confidence").isNotNull(), F.lit(BLOCK)).otherwise(F.lit(ALLOW))
-    return rows.withColumn("verdict", F.coalesce("verdict", by_rules)).select(*keep, "host", "path", "rule", "verdict", "confidence")
+    return rows.withColumn("verdict", F.coalesce("verdict", by_rules)).select("row.*", "host", "path", "rule", "verdict", "confidence")

@@ -522,6 +522,33 @@ def test_url_rules(spark):
     assert url_filter.judge(pages, rules, labelled.limit(0)).where("confidence is not null").count() == 0
 
 
+def test_mined_rules(spark):
+    """The rules against all token combinations of a small table, and a long shared path that costs nothing."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(300):
+        site, tail = ["spam.org", "fine.org", "mixed.net"][i % 3], "/".join(rng.choice(["a", "b", "c"], int(rng.integers(1, 3)), replace=False))
+        rows.append((f"http://{site}/{tail}" + "?q=1" * int(rng.integers(2)), bool(site == "spam.org" or (site == "mixed.net" and "b" in tail))))
+    rows += [("http://deep.org/" + "/".join(f"seg{x}x" for x in "abcdefghijklmnopqrstuvw"), True)] * 30 + [("http://x.y/z", None), (None, True)]
+    frame = spark.createDataFrame(rows, "url string, blocked boolean")
+    tokens = {r.url: frozenset(r.t) for r in frame.select("url", url_filter.url_tokens(F.col("url")).alias("t")).distinct().collect()}
+    known = [(tokens[u], b) for u, b in rows if b is not None and tokens[u]]
+    pool = sorted({x for t, _ in known for x in t if "seg" not in x and x != "host=deep.org"})
+    found = {}
+    for n in (1, 2, 3):
+        for own in map(frozenset, itertools.combinations(pool, n)):
+            hit = [b for t, b in known if own <= t]
+            if sum(hit) >= 20 and sum(hit) / len(hit) >= 0.6 and not any(s < own and c >= sum(hit) / len(hit) for s, c in found.items()):
+                found[own] = sum(hit) / len(hit)
+    rules = url_filter.mine_rules(frame).collect()
+    got = {frozenset(c): r.confidence for r in rules for c in itertools.product(*r["items"]) if len(r["items"]) <= 3 and not any("seg" in x or "deep" in x for x in c)}
+    assert got == pytest.approx(found) and found
+    assert max(len(x) for r in rules for x in r["items"]) >= 24  # the shared path and its host are one item
+    urls = spark.createDataFrame([("http://spam.org/new",), ("http://fine.org/a",), ("http://w.mixed.net/b",), ("http://o.org/segax",)], "url string")
+    assert {r.url for r in url_filter.matched_urls(urls, url_filter.mine_rules(frame)).collect()} == {"http://spam.org/new", "http://w.mixed.net/b", "http://o.org/segax"}
+    few = frame.where("blocked").limit(19)
+    assert url_filter.mine_rules(few).count() == 0 and url_filter.mine_rules(frame.limit(0)).count() == 0
+
+
 def test_chat(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (0, 2, "user", "left out"), (1, 0, "user", "other"), (1, 1, "assistant", "b<|im_end|>"), (2, 0, "user", None), (None, 0, "user", "x")]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("chosen", F.lit(1))
