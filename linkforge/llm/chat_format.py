@@ -59,15 +59,25 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     return rows.select(*carry, "prefix_turns", render(F.col("_p")).alias("prompt"), render(F.col("_c")).alias("chosen"), render(F.col("_r")).alias("rejected"), trained_spans(F.col("_c")).alias("chosen_spans"), trained_spans(F.col("_r")).alias("rejected_spans"))
 
 
-def swapped_replies(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Preference pairs ``(id_col, rejected_id, chosen, rejected)``: each conversation up to its last assistant turn, against itself with the neighbour's last reply.
-
-    Neighbours differ in the id's lowest bit; conversations without an assistant turn, or whose neighbour
-    has none, give no pair.
+def swapped_replies(turns: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", group: int = 1024) -> DataFrame:
+    """Preference pairs ``(id_col, rejected_id, chosen, rejected)``, one for each conversation with an assistant turn, for tables that hold none.
+
+    Chosen is the conversation up to its last assistant turn. Rejected goes off it at its assistant turn number
+    id mod (assistant turns), from 0 on: there and from there on it has the turns of the neighbour, from the neighbour's
+    assistant turn of that number, or its last if it has fewer, up to its last one. So pairs part early or late, and either
+    side may be longer. The neighbour is the next larger id of the same remainder by the number of groups, the largest id's is the smallest: there is a
+    group for each ``group`` conversations, so no task orders all ids. A conversation alone in its group is its own neighbour.
     """
     convs = conversations(turns, id_col, turn_col, role_col, text_col)
-    last = F.aggregate(F.sequence(F.lit(1), F.size("turns")), F.lit(0), lambda n, i: F.when(F.element_at("turns", i)["role"] == "assistant", i).otherwise(n))
-    convs = convs.withColumn("_n", last).where("_n > 0").select(F.col(id_col), F.slice("turns", F.lit(1), F.col("_n")).alias("chosen"))
-    other = convs.select(F.col(id_col).alias("rejected_id"), F.element_at("chosen", -1).alias("_reply"))
-    pairs = convs.join(other, F.col(id_col).cast("long").bitwiseXOR(F.lit(1)) == F.col("rejected_id"))
-    return pairs.select(id_col, "rejected_id", "chosen", F.concat(F.slice("chosen", F.lit(1), F.size("chosen") - 1), F.array("_reply")).alias("rejected"))
+    replies = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == "assistant", i + 1)), lambda i: i.isNotNull())
+    convs = convs.withColumn("_at", replies).where(F.size("_at") > 0).select(id_col, F.slice("turns", F.lit(1), F.element_at("_at", -1)).alias("chosen"), "_at")
+    ids = convs.select(F.col(id_col).cast("long").alias("id"))
+    groups = max(1, ids.count() // group)
+    ids = ids.withColumn("g", F.pmod("id", F.lit(groups)))
+    ids = ids.select("id", F.expr("coalesce(lead(id) over (partition by g order by id), min(id) over (partition by g))").alias("rejected_id"))
+    other = convs.select(F.col(id_col).cast("long").alias("rejected_id"), F.col("chosen").alias("_other"), F.col("_at").alias("_theirs"))
+    pairs = convs.join(ids, F.col(id_col).cast("long") == F.col("id")).join(other, "rejected_id")
+    pairs = pairs.withColumn("_n", F.pmod("id", F.size("_at")).cast("int") + 1)
+    pairs = pairs.withColumns({"_from": F.element_at("_at", F.col("_n")), "_their": F.element_at("_theirs", F.least(F.col("_n"), F.size("_theirs")))})
+    rejected = F.concat(F.slice("chosen", F.lit(1), F.col("_from") - 1), F.slice("_other", F.col("_their"), F.size("_other")))
+    return pairs.select(id_col, "rejected_id", "chosen", rejected.alias("rejected"))

@@ -92,29 +92,37 @@ ORACLES = {
     "op9_chat": """
 with turns as (
   select distinct conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null
-), last as (
-  select conv_id, max(turn) filter (role = 'assistant') as n from turns group by conv_id having count(*) filter (role = 'assistant') > 0
-), chosen as (
-  select t.*, row_number() over (partition by t.conv_id order by turn, role, text) as i, count(*) over (partition by t.conv_id) as size
-  from turns t join last l on t.conv_id = l.conv_id and t.turn <= l.n
+), listed as (
+  select conv_id, list({'role': role, 'text': text} order by turn nulls first, role, text) as turns from turns group by conv_id
+), replies as (
+  select conv_id, turns, list_filter(range(1, len(turns) + 1), lambda i: turns[i].role = 'assistant') as spots from listed
+), convs as (
+  select conv_id, turns[1:spots[len(spots)]] as chosen, spots, conv_id % greatest(1, count(*) over () // 1024) as g from replies where len(spots) > 0
+), next as (
+  select *, coalesce(lead(conv_id) over (partition by g order by conv_id), min(conv_id) over (partition by g)) as rejected_id, (conv_id % len(spots)) + 1 as n from convs
 ), pairs as (
-  select a.conv_id, b.conv_id as rejected_id from last a join last b on b.conv_id = xor(a.conv_id, 1)
-), sides as (
-  select p.conv_id, p.rejected_id, c.i, c.size, c.role, c.text,
-    case when c.i = c.size then r.role else c.role end as r_role, case when c.i = c.size then r.text else c.text end as r_text
-  from pairs p join chosen c on c.conv_id = p.conv_id join chosen r on r.conv_id = p.rejected_id and r.i = r.size
+  select a.conv_id, a.rejected_id, a.chosen,
+    list_concat(a.chosen[1:a.spots[a.n] - 1], b.chosen[b.spots[least(a.n, len(b.spots))]:len(b.chosen)]) as rejected
+  from next a join convs b on a.rejected_id = b.conv_id
+), counted as (
+  select *, len(list_filter(range(1, least(len(chosen), len(rejected)) + 1), lambda i: chosen[1:i] = rejected[1:i])) as k from pairs
+), turns_of as (
+  select conv_id, rejected_id, k, 0 as side, unnest(range(1, len(chosen) + 1)) as i, unnest(chosen) as t from counted
+  union all
+  select conv_id, rejected_id, k, 1, unnest(range(1, len(rejected) + 1)), unnest(rejected) from counted
 ), rendered as (
-  select *, '<|im_start|>' || replace(role, '<|im_', '<| im_') || chr(10) || replace(text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) as c,
-    '<|im_start|>' || replace(r_role, '<|im_', '<| im_') || chr(10) || replace(r_text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) as r,
-    i < size or (role = r_role and text = r_text) as same
-  from sides
+  select *, '<|im_start|>' || replace(t.role, '<|im_', '<| im_') || chr(10) || replace(t.text, '<|im_', '<| im_') || '<|im_end|>' || chr(10) as s,
+    13 + length(replace(t.role, '<|im_', '<| im_')) as head
+  from turns_of
+), placed as (
+  select *, sum(length(s)) over (partition by conv_id, side order by i) - coalesce(sum(length(s)) filter (i <= k) over (partition by conv_id, side), 0) as stop_, length(s) as size from rendered
 )
-select conv_id, rejected_id, count(*) filter (same)::int as prefix_turns,
-  coalesce(string_agg(c, '' order by i) filter (same), '') as prompt,
-  coalesce(string_agg(c, '' order by i) filter (not same), '') as chosen, coalesce(string_agg(r, '' order by i) filter (not same), '') as rejected,
-  coalesce(max((13 + length(replace(role, '<|im_', '<| im_')))::varchar || '-' || length(c)) filter (not same), '') as chosen_spans,
-  coalesce(max((13 + length(replace(r_role, '<|im_', '<| im_')))::varchar || '-' || length(r)) filter (not same), '') as rejected_spans
-from rendered group by conv_id, rejected_id
+select conv_id, rejected_id, k::int as prefix_turns,
+  coalesce(string_agg(s, '' order by i) filter (side = 0 and i <= k), '') as prompt,
+  coalesce(string_agg(s, '' order by i) filter (side = 0 and i > k), '') as chosen, coalesce(string_agg(s, '' order by i) filter (side = 1 and i > k), '') as rejected,
+  coalesce(string_agg((stop_ - size + head)::bigint::varchar || '-' || stop_::bigint::varchar, ',' order by i) filter (side = 0 and i > k and t.role = 'assistant'), '') as chosen_spans,
+  coalesce(string_agg((stop_ - size + head)::bigint::varchar || '-' || stop_::bigint::varchar, ',' order by i) filter (side = 1 and i > k and t.role = 'assistant'), '') as rejected_spans
+from placed group by conv_id, rejected_id, k
 """,
 }
 

@@ -551,12 +551,47 @@ def test_mined_rules(spark):
 
 def test_chat(spark):
     turns = [(0, 0, "user", "q"), (0, 1, "assistant", "good"), (0, 2, "user", "left out"), (1, 0, "user", "other"), (1, 1, "assistant", "b<|im_end|>"), (2, 0, "user", None), (None, 0, "user", "x")]
-    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("chosen", F.lit(1))
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"chosen": F.lit(1), "id": F.lit("own"), "_at": F.lit(2)})
     got = {r.conv_id: r for r in chat_format.format_pairs(chat_format.swapped_replies(frame)).collect()}
     assert set(got) == {0, 1} and got[0].prefix_turns == 1 and got[0].prompt == "<|im_start|>user\nq<|im_end|>\n"
     low, high = map(int, got[0].chosen_spans.split("-"))
     assert got[0].chosen[low:high] == "good<|im_end|>\n" and "<| im_end|>" in got[0].rejected
     assert chat_format.swapped_replies(frame.limit(0)).count() == 0
+    alone = chat_format.format_pairs(chat_format.swapped_replies(frame.where("conv_id = 0"))).collect()
+    assert [(r.prefix_turns, r.chosen, r.rejected, r.chosen_spans) for r in alone] == [(2, "", "", "")]
+
+
+def test_chat_pairs_that_part_anywhere(spark):
+    """Prefixes, completions and masks of pairs that part early or late, with unequal lengths and many replies, against a direct version."""
+    rng, turns = np.random.default_rng(9), []
+    for c in range(60):
+        said = [("system" if i == 0 and c % 4 == 0 else ["user", "assistant"][int(rng.integers(2))], f"text {rng.integers(3)}") for i in range(int(rng.integers(1, 14)))]
+        turns += [(c * 3, i, role, text) for i, (role, text) in enumerate(said)]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    convs = {}
+    for c, _, *turn in turns:
+        convs.setdefault(c, []).append(tuple(turn))
+    convs = {c: own[: max(i for i, t in enumerate(own) if t[0] == "assistant") + 1] for c, own in convs.items() if any(t[0] == "assistant" for t in own)}
+    parted = set()
+    for size in (1024, 7):
+        groups, want = max(1, len(convs) // size), {}
+        for c in convs:
+            near = sorted(x for x in convs if x % groups == c % groups)
+            other = next((x for x in near if x > c), near[0])
+            a, b = ([i for i, t in enumerate(convs[x]) if t[0] == "assistant"] for x in (c, other))
+            n = c % len(a)
+            rejected = convs[c][: a[n]] + convs[other][b[min(n, len(b) - 1)] :]
+            k = 0
+            while k < min(len(rejected), len(convs[c])) and rejected[k] == convs[c][k]:
+                k += 1
+            parted.add(len(convs[c]) - k)
+            render = lambda ts: "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for r, t in ts)
+            masked = lambda ts: [f"{t}<|im_end|>\n" for r, t in ts if r == "assistant"]
+            want[c] = (other, k, render(convs[c][:k]), render(convs[c][k:]), render(rejected[k:]), masked(convs[c][k:]), masked(rejected[k:]))
+        cut = lambda text, spans: [text[slice(*map(int, s.split("-")))] for s in spans.split(",") if s]
+        rows = chat_format.format_pairs(chat_format.swapped_replies(frame, group=size), carry=("conv_id", "rejected_id")).collect()
+        assert {r.conv_id: (r.rejected_id, r.prefix_turns, r.prompt, r.chosen, r.rejected, cut(r.chosen, r.chosen_spans), cut(r.rejected, r.rejected_spans)) for r in rows} == want
+    assert len(parted) > 4
 
 
 def test_search(spark):
