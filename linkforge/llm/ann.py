@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from linkforge.llm.common import staged
 
-_PART = 4096  # rows or queries that meet in one task's group
+#: Rows, and queries, that meet in one group of a task; queries are scored against the rows so many at once.
+_PART, _ASKED, _AT_ONCE = 4096, 16_384, 512
 
 
 @dataclass
@@ -90,9 +91,9 @@ def fit_tree(sample: np.ndarray, leaf_size: int, branching: int = 8, rounds: int
     return tree
 
 
-def _matrix(column) -> np.ndarray:
+def _matrix(column, kind=np.float64) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(flat), -1)
 
 
 def usable(rows: DataFrame, id_col: str, vec_col: str, dims: int | None) -> DataFrame:
@@ -120,30 +121,50 @@ def _exact(queries: np.ndarray, top: int):
     return run
 
 
+def _best(queries: np.ndarray, rows: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of at least the ``top`` best rows of each query, ties with the last included; scores are in double precision.
+
+    Single precision finds the rows that can be among them, with room for its error.
+    """
+    n, out = min(top, len(rows)), []
+    slim, longest = rows.astype(np.float32), np.sqrt((rows**2).sum(axis=1).max())
+    for at in range(0, len(queries), _AT_ONCE):
+        own = queries[at : at + _AT_ONCE]
+        scores = own.astype(np.float32) @ slim.T
+        best = np.argpartition(scores, len(rows) - n, axis=1)[:, len(rows) - n :]
+        room = 2.0**-22 * rows.shape[1] * longest * np.sqrt((own**2).sum(axis=1))
+        least = np.take_along_axis(scores, best, axis=1).min(axis=1) - room
+        near = scores >= least[:, None]
+        q, r = np.nonzero(near)
+        for part in np.array_split(np.arange(len(q)), max(1, len(q) // 65_536)):
+            out.append((q[part] + at, r[part], (own[q[part]] * rows[r[part]]).sum(axis=1)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _meet(top: int):
     """Best ``top`` ids of one leaf part for each query that visits it."""
 
     def run(key, left, right):
         if not left.num_rows or not right.num_rows:
             return pa.table({"qid": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        rows, queries = _matrix(left.column("v")), _matrix(right.column("v"))
-        ids, scores = left.column("ids").to_pylist(), queries @ rows.T
-        n = min(top, len(rows))
-        least = np.partition(scores, len(rows) - n, axis=1)[:, len(rows) - n] - 1e-9
-        out_q, out_id, out_s = [], [], []
-        for i, qid in enumerate(right.column("qid").to_pylist()):
-            near = np.flatnonzero(scores[i] >= least[i])
-            exact = (queries[i] * rows[near]).sum(axis=1)  # the same for equal vectors, whatever their place
-            found = sorted((-s, x) for s, r in zip(exact.tolist(), near.tolist()) for x in ids[r])[:top]
-            out_q += [qid] * len(found)
-            out_id += [x for _, x in found]
-            out_s += [-s for s, _ in found]
-        return pa.table({"qid": pa.array(out_q, pa.int64()), "id": pa.array(out_id, pa.int64()), "score": pa.array(out_s, pa.float64())})
+        q, r, score = _best(_matrix(right.column("v")), _matrix(left.column("v")), top)
+        ids = left.column("ids").combine_chunks()
+        starts, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+        many = np.diff(starts)[r]
+        # a row for each id of an entry, then the best of each query, ties to the smaller id
+        place = np.repeat(starts[r] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        q, score, found = np.repeat(q, many), np.repeat(score, many), flat[place]
+        order = np.lexsort((found, -score, q))
+        q = q[order]
+        keep = order[np.arange(len(q)) - np.searchsorted(q, q) < top]
+        qid = right.column("qid").to_numpy()
+        q = np.repeat(np.arange(len(qid)), np.minimum(np.bincount(q, minlength=len(qid)), top))
+        return pa.table({"qid": pa.array(qid[q], pa.int64()), "id": pa.array(found[keep], pa.int64()), "score": pa.array(score[keep], pa.float64())})
 
     return run
 
 
-def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.97, leaf_rows: int = 1024, most_leaves: int = 2048, sample: int = 65_536, calibration: int = 100) -> DataFrame:
+def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", recall: float = 0.95, leaf_rows: int = 1024, most_leaves: int = 8192, sample: int = 65_536, calibration: int = 100) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for every usable row where ``is_query`` holds, the ``k`` others with the largest inner product found.
 
     score is the inner product of the stored vectors in double precision; ties go to the smaller id.
@@ -183,7 +204,7 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
     if not len(trial):
         return spark.createDataFrame([], out)
     exact = filed.select("leaf", "v").mapInArrow(_exact(trial, k + 1), "q long, score double, leaf long")
-    best = exact.withColumn("n", F.expr("row_number() over (partition by q order by score desc)")).where(F.col("n") <= k + 1).select("q", "leaf").collect()
+    best = exact.withColumn("n", F.expr("row_number() over (partition by q order by score desc, leaf)")).where(F.col("n") <= k + 1).select("q", "leaf").collect()
     orders = [{leaf: p for p, leaf in enumerate(tree.best_leaves(q, tree.leaves))} for q in trial]
     places = np.sort([orders[r.q][r.leaf] for r in best])
     visits = int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1
@@ -198,9 +219,10 @@ def search(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_c
 
     visiting = distinct.select("qid", "v").mapInArrow(visit, f"leaf long, qid long, v {kind}")
     held = {r.leaf: r["count"] for r in filed.groupBy("leaf").count().collect()}  # a row a leaf
-    asked = distinct.count() * visits / tree.leaves
+    # queries are split only so far that a group holds them, so the index is repeated once for 16,384 queries that visit a leaf
+    asked = distinct.count() * min(1.0, 4 * visits / tree.leaves)
     parts = F.element_at(F.array(*(F.lit(-(-held.get(x, 0) // _PART) or 1) for x in range(tree.leaves))), F.col("leaf").cast("int") + 1)
-    blocks = F.lit(max(1, int(asked * 4 / _PART)))
+    blocks = F.lit(max(1, -(-int(asked) // _ASKED)))
     left = filed.withColumn("part", F.pmod(F.xxhash64("v"), parts)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     right = visiting.withColumn("block", F.pmod(F.xxhash64("qid"), blocks).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1)))
     keys = ["leaf", "part", "block"]
