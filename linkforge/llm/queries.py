@@ -22,7 +22,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.remove_repeated_windows(read_table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.remove_repeated_windows(read_table(spark, sf_dir, "documents"), texts=False).drop("kept_text")
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Each window of ``k`` words has a minimiser: the least hash of its ``m``-word substrings.
 Consecutive windows with the same minimiser form a super-k-mer, which travels once, as one
 packed string, to the minimiser's bucket. All copies of a window meet there, and sorting
-the windows groups them exactly, on their bytes. Before the shuffle equal super-k-mers of
-a slice of the input are merged to the one of the smallest document; the others' windows are
-marked at once, so a passage repeated in many documents costs a bucket one string a slice.
+the windows groups them exactly, on their bytes. Word strings that many documents have come last in the order of
+minimisers, so a common phrase doesn't draw all windows around it to one bucket. Before the shuffle equal super-k-mers of
+a task's input are merged to the one of the smallest document; the others' windows are
+marked at once, so a passage repeated in many documents costs a bucket about one string a task.
 """
 
 from __future__ import annotations
@@ -73,11 +74,22 @@ def _word_hashes(flat: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts]), sums, down
 
 
-def minimisers(words: np.ndarray, k: int, m: int) -> np.ndarray:
-    """For each window of ``k`` word hashes, the least mixed hash of its ``m``-word substrings."""
-    grams = np.zeros(len(words) - m + 1, dtype=np.uint64)
+def _grams(words: np.ndarray, m: int) -> np.ndarray:
+    """A hash of each run of ``m`` word hashes."""
+    grams = np.zeros(max(0, len(words) - m + 1), dtype=np.uint64)
     for i in range(m):
-        grams = _mix(grams * _U(_PRIME) + words[i : len(words) - m + 1 + i])
+        grams = _mix(grams * _U(_PRIME) + words[i : i + len(grams)])
+    return grams
+
+
+def minimisers(words: np.ndarray, k: int, m: int, common: np.ndarray) -> np.ndarray:
+    """For each window of ``k`` word hashes, the least of its ``m``-word substrings' hashes, the (sorted) common ones after all others."""
+    grams = _grams(words, m)
+    late = np.zeros(len(grams), dtype=np.uint64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
+        late = (common[at] == grams).astype(np.uint64)
+    grams = (grams >> _U(1)) | (late << _U(63))
     width, least, span = k - m + 1, grams, 1
     while span < width:
         step = min(span, width - span)
@@ -86,6 +98,24 @@ def minimisers(words: np.ndarray, k: int, m: int) -> np.ndarray:
     return least
 
 
+def common_strings(docs: DataFrame, text_col: str, m: int, sample: int = 16_384, least: int = 8, most: int = 100_000) -> np.ndarray:
+    """Sorted hashes of the ``m``-word strings in at least ``least`` of about ``sample`` texts, ``most`` at most.
+
+    They only set which bucket a window goes to: no result depends on them. The driver collects them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", _SLICE):
+            grams = [np.unique(_grams(word_hashes(b" ".join(w))[2], m)) for w in (t.as_py().encode().split() for t in part.column("text")) if len(w) >= m]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams) if grams else np.zeros(0, dtype=np.uint64)).view(pa.int64())], ["h"])
+
+    texts = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    part = max(1, texts.count() // sample)
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0) if part > 1 else texts
+    counts = some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") >= least)
+    return np.array(sorted(r.h % (1 << 64) for r in counts.orderBy(F.desc("count"), "h").limit(most).collect()), dtype=np.uint64)
+
+
 @dataclass
 class SuperKmers:
     """Those of some documents: their parts of ``flat`` (words joined by blanks), documents, first windows, window counts."""
@@ -103,7 +133,7 @@ class SuperKmers:
         return self.flat[self.low[x] : self.high[x]]
 
 
-def super_kmers(docs: list[list[bytes]], k: int, m: int) -> SuperKmers | None:
+def super_kmers(docs: list[list[bytes]], k: int, m: int, common: np.ndarray) -> SuperKmers | None:
     """Each document's runs of windows with one minimiser; the words of all documents are hashed together."""
     sizes = np.array([len(d) for d in docs], dtype=np.int64)
     flat = b" ".join(b" ".join(d) for d in docs if d)
@@ -112,7 +142,7 @@ def super_kmers(docs: list[list[bytes]], k: int, m: int) -> SuperKmers | None:
     starts, ends, words, sums, down = _word_hashes(flat)
     if len(words) < k:
         return None
-    least = minimisers(words, k, m)
+    least = minimisers(words, k, m, common)
     owner = np.repeat(np.arange(len(docs)), sizes)
     # windows within one document, and the first ones of their runs
     inside = owner[: len(least)] == owner[k - 1 :]
@@ -135,11 +165,15 @@ def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(low - shift, size) + np.arange(size.sum())
 
 
-def _merge(found: SuperKmers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, marked): of equal super-k-mers those in the smallest document are kept; the others' windows are repeated."""
+def _merge(found: SuperKmers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[bytes, tuple[int, int]]]:
+    """(kept, marked, repeated): of equal super-k-mers those in the smallest document are kept; the others' windows are repeated.
+
+    ``repeated`` has the hash and that document of each string with several.
+    """
     order = np.argsort(found.key, kind="stable")
     same = found.key[order][1:] == found.key[order][:-1]
     drop = np.zeros(len(order), dtype=bool)
+    repeated: dict[bytes, tuple[int, int]] = {}
     if same.any():
         edges = np.flatnonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))
         for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
@@ -150,7 +184,30 @@ def _merge(found: SuperKmers, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if d < least.get(s, d + 1):
                     least[s] = d
             drop[own] = [d > least[s] for s, d in zip(strings, doc[own].tolist())]
-    return np.flatnonzero(~drop), np.flatnonzero(drop)
+            repeated |= {s: (int(found.key[own[0]]), d) for s, d in least.items()}
+    return np.flatnonzero(~drop), np.flatnonzero(drop), repeated
+
+
+class _Sent:
+    """Strings that a task has found repeated, with the smallest document that it has sent each for; ``most`` at once."""
+
+    def __init__(self, most: int = 100_000) -> None:
+        self.most, self.docs, self.keys = most, {}, np.zeros(0, dtype=np.uint64)
+
+    def known(self, found: SuperKmers, doc: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        """Which of ``kept`` were already sent for a smaller document, so that their windows are repeated."""
+        out = np.zeros(len(kept), dtype=bool)
+        for x in np.flatnonzero(np.isin(found.key[kept], self.keys)).tolist() if len(self.keys) else []:
+            out[x] = self.docs.get(found.packed(kept[x]), (0, _LAST))[1] < doc[kept[x]]
+        return out
+
+    def add(self, repeated: dict[bytes, tuple[int, int]]) -> None:
+        if len(self.docs) + len(repeated) > self.most:
+            self.docs.clear()
+        for s, (key, d) in repeated.items():
+            self.docs[s] = key, min(d, self.docs.get(s, (0, _LAST))[1])
+        if repeated:
+            self.keys = np.array([key for key, _ in self.docs.values()], dtype=np.uint64)
 
 
 def _pack(found: SuperKmers, rows: np.ndarray, doc: np.ndarray, fp: np.ndarray, marks: np.ndarray, flat: np.ndarray) -> bytes:
@@ -177,15 +234,19 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return doc, fp, h, pos, marks, raw[16 + 24 * a + marks.nbytes :]
 
 
-def _scatter(k: int, m: int, buckets: int):
+def _scatter(k: int, m: int, buckets: int, common: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent = _Sent()
         for part in text_slices(batches, "text", _SLICE):
-            found = super_kmers([t.as_py().encode().split() if t.is_valid else [] for t in part.column("text")], k, m)
+            found = super_kmers([t.as_py().encode().split() if t.is_valid else [] for t in part.column("text")], k, m, common)
             if found is None:
                 continue
             doc = part.column("doc").to_numpy()[found.owner]
             fp = part.column("fp").to_numpy()[found.owner]
-            kept, marked = _merge(found, doc)
+            kept, marked, repeated = _merge(found, doc)
+            again = sent.known(found, doc, kept)
+            sent.add(repeated)
+            kept, marked = kept[~again], np.concatenate([marked, kept[again]])
             marks = np.zeros(len(marked), dtype=_MARK)
             marks["doc"], marks["fp"], marks["pos"], marks["n"] = doc[marked], fp[marked], found.pos[marked], found.n[marked]
             to = (found.h[kept] % _U(buckets)).astype(np.int64)
@@ -304,7 +365,7 @@ def _pressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc"), part.column("fp"), pa.array(packed, pa.binary())], ["id", "doc", "fp", "packed"])
 
 
-def _strip(k: int):
+def _strip(k: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
         for part in text_slices(batches, "packed", _SLICE // 4):
@@ -326,14 +387,14 @@ def _strip(k: int):
                 total.append(len(words))
                 gone.append(removed)
                 digests.append(hashlib.sha256(kept).hexdigest())
-                kept_texts.append(kept.decode())
+                kept_texts.append(kept.decode() if texts else None)
             yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digests), pa.array(kept_texts, pa.string())], ["id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
-def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, bucket_bytes: int = 32 << 20) -> DataFrame:
-    """``(id_col, n_words, n_removed, kept_sha256, kept_text)`` of every row.
+def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 13, m: int = 3, bucket_bytes: int = 32 << 20, texts: bool = True) -> DataFrame:
+    """``(id_col, n_words, n_removed, kept_sha256, kept_text)`` of every row; without ``texts`` kept_text is null.
 
     Words are runs of bytes other than \\x20 and \\x09-\\x0D. Each word covered by a window of ``k``
     words whose sequence also starts in a row with a smaller id is removed; windows are judged
@@ -352,9 +413,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), fp.alias("fp"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // bucket_bytes))
-    sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets), "bucket int, blob binary")
+    sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets, common_strings(docs, text_col, m)), "bucket int, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_gather(k), "doc long, fp long, marks binary")
     marks = marks.groupBy("doc", "fp").agg(F.collect_list("marks").alias("marks"))  # at most as long as the document
-    texts = base.mapInArrow(_pressed, f"id {kind}, doc long, fp long, packed binary")
-    joined = texts.join(marks.hint("shuffle_hash"), ["doc", "fp"], "left").select("id", "packed", "marks")
-    return joined.mapInArrow(_strip(k), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)
+    packed = base.mapInArrow(_pressed, f"id {kind}, doc long, fp long, packed binary")
+    joined = packed.join(marks.hint("shuffle_hash"), ["doc", "fp"], "left").select("id", "packed", "marks")
+    return joined.mapInArrow(_strip(k, texts), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept_text string").withColumnRenamed("id", id_col)

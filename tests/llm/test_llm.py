@@ -62,6 +62,28 @@ def test_substring_dedup(spark, odd, none):
     assert substring_dedup.remove_repeated_windows(none).count() == 0
 
 
+def test_common_phrases_and_passages(spark):
+    """A phrase that all texts have doesn't draw windows to one bucket, and a passage in all of them is sent about once a task; results are as ever."""
+    phrase, passage = "all rights reserved", words(5, 40)
+    rows = [(i, f"{words(i, 25)} {phrase} {words(i + 900, 25)}" + (f" {passage} {words(i + 2000, 9)}" if i % 3 == 0 else ""), "en", "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4)
+    common = substring_dedup.common_strings(docs, "text", 3)
+    assert len(common) >= 35
+    assert sorted(map(tuple, substring_dedup.remove_repeated_windows(docs).drop("kept_text").collect()), key=str) == removed(rows)
+    split = [r[1].encode().split() for r in rows]
+    own = lambda c: substring_dedup.super_kmers(split, 13, 3, c).h
+    most = lambda h: np.unique(h, return_counts=True)[1].max()
+    assert most(own(common)) <= most(own(common[:0]))
+    sent, again = substring_dedup._Sent(), 0
+    for at in range(0, 400, 40):
+        found = substring_dedup.super_kmers(split[at : at + 40], 13, 3, common)
+        doc = found.owner + at
+        kept, _, repeated = substring_dedup._merge(found, doc)
+        again += sent.known(found, doc, kept).sum()
+        sent.add(repeated)
+    assert again > 0
+
+
 def test_windows_in_passes(monkeypatch):
     """Several passes, and windows whose hashes collide, give the same windows."""
     rows = [(d, words(d % 3, 60).encode()) for d in range(6)]
