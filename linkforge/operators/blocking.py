@@ -77,7 +77,8 @@ def matched_keys(source: DataFrame, feed: DataFrame, config: LinkConfig) -> Data
     if config.ranked_name_tokens:
         probes = probes.unionByName(ranked_name_tokens(left, counts, shards, config)).distinct()
     probes = probes.select(F.col("entity_id").alias(PAIR[0]), F.col("country").alias("c1"), *keys)
-    postings = right.select(F.col("entity_id").alias(PAIR[1]), F.col("country").alias("c2"), *keys)
+    # only postings of keys that some source record probes are shuffled
+    postings = right.join(probes.select(*keys).distinct(), keys, "left_semi").select(F.col("entity_id").alias(PAIR[1]), F.col("country").alias("c2"), *keys)
     return probes.join(postings, keys).where((F.col("channel") != "cross") | (F.col("c1") != F.col("c2")))
 
 

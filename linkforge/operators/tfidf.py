@@ -27,11 +27,23 @@ def vocabulary(counts: DataFrame, feed: DataFrame, config: LinkConfig) -> DataFr
     return out.join(shards, "country").select("country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
+def raw_weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Sublinear weights of the in-vocabulary grams, before normalisation."""
+    return counts.join(vocab, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+
+
 def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
     """Sublinear, L2-normalised weights; the norm covers in-vocabulary grams only."""
-    raw = counts.join(vocab, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "entity_id").select("entity_id", "country", "gram", "df", (F.col("w") / F.col("norm")).alias("w"))
+    norm = F.sqrt(F.expr("sum(w * w) over (partition by entity_id)"))
+    return raw_weights(counts, vocab).select("entity_id", "country", "gram", "df", (F.col("w") / norm).alias("w"))
+
+
+def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
+    """``(id, country, g, w)``: each record's normalised weights packed in one row, its grams as 64-bit hashes."""
+    terms = F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("terms")
+    packed = raw_weights(counts, vocab).groupBy(F.col("entity_id").alias("id"), "country").agg(terms)
+    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda n, t: n + t["w"] * t["w"]))
+    return packed.withColumn("norm", norm).select("id", "country", F.col("terms.g").alias("g"), F.transform("terms", lambda t: t["w"] / F.col("norm")).alias("w"))
 
 
 def top_k(scores: DataFrame, k: int, prefix: str) -> DataFrame:
@@ -41,62 +53,103 @@ def top_k(scores: DataFrame, k: int, prefix: str) -> DataFrame:
     return ranked.withColumnsRenamed({"similarity": f"{prefix}_similarity", "place": f"{prefix}_rank"})
 
 
-#: Postings that one group of the index holds, and queries that meet it at once.
-_BLOCK_DOCS, _BLOCK_QUERIES = 20_000, 2_000
+#: Records of the index, and queries, that one group holds at most; with few queries, they are cut into up to _SPREAD blocks of _FEW.
+_BLOCK_DOCS, _BLOCK_QUERIES, _SPREAD, _FEW = 50_000, 20_000, 16, 250
+_SCORED = "source1_entity_id string, candidate_entity_id string, similarity double, route_mask int, pool_size int"
 
 
 def _score_block(k: int):
-    """Top-k of each query within one block of documents: postings of its grams summed in an array over the block."""
+    """Top-k of each query within one block of records: postings of its grams summed in an array over the block.
+
+    A query with a list ``only`` is scored against those records alone, and returns their route masks.
+    """
+
+    def flat(column) -> tuple[np.ndarray, np.ndarray]:
+        lists = column.combine_chunks()
+        return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
 
     def run(key, left, right):
-        out = {"source1_entity_id": [], "candidate_entity_id": [], "similarity": []}
+        rows: tuple[list, ...] = ([], [], [], [], [])
         if left.num_rows and right.num_rows:
-            docs = right.column("id").combine_chunks().dictionary_encode()
-            grams = right.column("gram").combine_chunks().dictionary_encode()
-            order = np.argsort(grams.indices.to_numpy(), kind="stable")
-            names, place = docs.dictionary.to_pylist(), docs.indices.to_numpy()[order]
-            value = right.column("w").to_numpy()[order]
-            cuts = np.searchsorted(grams.indices.to_numpy()[order], np.arange(len(grams.dictionary) + 1))
-            number = {g: i for i, g in enumerate(grams.dictionary.to_pylist())}
-            queries: dict[str, list[tuple[int, float]]] = {}
-            for q, g, w in zip(*(left.column(c).to_pylist() for c in ("id", "gram", "w"))):
-                if g in number:
-                    queries.setdefault(q, []).append((number[g], w))
-            for q, terms in queries.items():
-                spans = [slice(cuts[g], cuts[g + 1]) for g, _ in terms]
-                dots = np.bincount(np.concatenate([place[x] for x in spans]), np.concatenate([value[x] * w for x, (_, w) in zip(spans, terms)]), len(names)).round(9)
-                near = np.flatnonzero(dots > 0)
+            ends, grams = flat(right.column("g"))
+            grams, value = grams[ends[0] : ends[-1]], flat(right.column("w"))[1][ends[0] : ends[-1]]
+            order = np.argsort(grams, kind="stable")
+            place, value = np.repeat(np.arange(right.num_rows), np.diff(ends))[order], value[order]
+            known, first = np.unique(grams[order], return_index=True)
+            first = np.append(first, len(grams))
+            names = right.column("id").to_pylist()
+            number = {x: i for i, x in enumerate(names)}
+            ends, grams = flat(left.column("g"))
+            w = flat(left.column("w"))[1]
+            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+            hit = known[at] == grams
+            for i, (q, only, size) in enumerate(zip(*(left.column(c).to_pylist() for c in ("id", "only", "pool_size")))):
+                own = np.arange(ends[i], ends[i + 1])
+                own = own[hit[own]]
+                if not len(own):
+                    continue
+                spans = [slice(first[g], first[g + 1]) for g in at[own].tolist()]
+                dots = np.bincount(np.concatenate([place[x] for x in spans]), np.concatenate([value[x] * y for x, y in zip(spans, w[own].tolist())]), len(names)).round(9)
+                mask = None
+                if only is not None:
+                    mask = {number[x["c"]]: x["m"] for x in only if x["c"] in number}
+                    near = np.array(sorted(mask), dtype=np.int64)
+                    near = near[dots[near] > 0]
+                else:
+                    near = np.flatnonzero(dots > 0)
                 if len(near) > k:  # all that tie with the k-th stay
                     near = near[dots[near] >= np.partition(dots[near], len(near) - k)[len(near) - k]]
-                best = sorted((-dots[x], names[x]) for x in near.tolist())[:k]
-                out["source1_entity_id"] += [q] * len(best)
-                out["candidate_entity_id"] += [x for _, x in best]
-                out["similarity"] += [-s for s, _ in best]
-        return pa.table({"source1_entity_id": pa.array(out["source1_entity_id"], pa.string()), "candidate_entity_id": pa.array(out["candidate_entity_id"], pa.string()), "similarity": pa.array(out["similarity"], pa.float64())})
+                best = sorted((-dots[x], names[x], x) for x in near.tolist())[:k]
+                for column, values in zip(rows, ([q] * len(best), [x for _, x, _ in best], [-s for s, _, _ in best], [mask[x] if mask else 0 for *_, x in best], [size] * len(best))):
+                    column += values
+        kinds = (pa.string(), pa.string(), pa.float64(), pa.int32(), pa.int32())
+        return pa.table([pa.array(c, t) for c, t in zip(rows, kinds)], names=[x.split(" ")[0] for x in _SCORED.split(", ")])
 
     return run
 
 
+def _spread(counts: DataFrame) -> DataFrame:
+    """``(country, doc_blocks, query_blocks)`` from ``(country, docs, queries)``."""
+    blocks = F.greatest(F.ceil(F.col("queries") / _BLOCK_QUERIES), F.least(F.lit(_SPREAD), F.ceil(F.col("queries") / _FEW)), F.lit(1))
+    return counts.select("country", F.greatest(F.ceil(F.col("docs") / _BLOCK_DOCS), F.lit(1)).alias("doc_blocks"), blocks.alias("query_blocks"))
+
+
+def _block(name: str, many: str) -> F.Column:
+    return F.pmod(F.xxhash64(name), F.col(many))
+
+
+def _sizes(source: DataFrame, feed: DataFrame) -> DataFrame:
+    """Blocks of each country of the source, from its numbers of records."""
+    count = lambda frame, name: frame.groupBy(F.col("country_norm").alias("country")).agg(F.count(F.lit(1)).alias(name))
+    return _spread(count(feed, "docs").join(count(source, "queries"), "country"))
+
+
+def _meet(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """Scores of ``queries(id, country, g, w, only, pool_size, q, d)`` against ``docs(id, country, g, w, q, d)`` that share country, q and d."""
+    keys = ["country", "q", "d"]
+    queries, docs = queries.select("id", "g", "w", "only", "pool_size", *keys), docs.select("id", "g", "w", *keys)
+    return queries.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(_score_block(k), _SCORED)
+
+
+def _repeat(many: str) -> F.Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
+
+
 def retrieve(source: DataFrame, feed: DataFrame, column: str, k: int, prefix: str, config: LinkConfig) -> DataFrame:
     """Top-K by TF-IDF cosine within the country.
 
-    The feed's weights are cut into blocks of documents and the queries into blocks of their own; each pair of
-    blocks of a country meets in one task, which returns only its top K, so no row is made for a pair of records.
+    Every record's weights are one packed row. A country's feed and queries are cut into blocks by its own sizes; each pair of
+    blocks meets in one task, which returns only its top K, so no row is made for a pair of records. A feed row travels once for
+    each 20,000 queries of its country (at most 16 times for fewer), a query once for each 50,000 records.
     """
-    docs = gram_counts(feed.where(F.col(column) != ""), column, config)
-    vocab = vocabulary(docs, feed.where(F.col(column) != ""), config)
-    right = weights(docs, vocab).select(F.col("entity_id").alias("id"), "country", "gram", "w")
-    left = weights(gram_counts(source, column, config), vocab).select(F.col("entity_id").alias("id"), "country", "gram", "w")
-    # two single figures fix the number of blocks; a country's share of them is smaller still
-    many = lambda frame, each: max(1, -(-frame.count() // each))
-    doc_blocks, query_blocks = many(feed, _BLOCK_DOCS), many(source, _BLOCK_QUERIES)
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumn("q", block(query_blocks)).withColumn("d", spread(doc_blocks))
-    right = right.withColumn("d", block(doc_blocks)).withColumn("q", spread(query_blocks))
-    keys = ["country", "q", "d"]
-    kinds = "source1_entity_id string, candidate_entity_id string, similarity double"
-    return top_k(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_score_block(k), kinds), k, prefix)
+    kept = feed.where(F.col(column) != "")
+    counts = gram_counts(kept, column, config)
+    vocab = vocabulary(counts, kept, config)
+    sizes = _sizes(source, kept)
+    docs = vectors(counts, vocab).join(sizes, "country").withColumn("d", _block("id", "doc_blocks")).withColumn("q", _repeat("query_blocks"))
+    queries = vectors(gram_counts(source, column, config), vocab).join(sizes, "country").withColumn("q", _block("id", "query_blocks")).withColumn("d", _repeat("doc_blocks"))
+    queries = queries.withColumns({"only": F.lit(None).cast("array<struct<c:string,m:int>>"), "pool_size": F.lit(0)})
+    return top_k(_meet(queries, docs, k).drop("route_mask", "pool_size"), k, prefix)
 
 
 def address_keys(records: DataFrame, config: LinkConfig) -> DataFrame:
@@ -137,20 +190,30 @@ def fallback_pool(source: DataFrame, feed: DataFrame, pool: DataFrame, config: L
     own = own.withColumn("rare", (F.col("df") <= config.fallback_max_df).cast("int")).withColumn("any_rare", F.expr("max(rare) over (partition by entity_id)")).where("rare = any_rare")
     picked = own.withColumn("place", F.expr("row_number() over (partition by entity_id order by df, w desc, gram)")).where(F.col("place") <= config.fallback_features)
     hits = picked.select(F.col("entity_id").alias("source1_entity_id"), "country", "gram", "df").join(docs.select(F.col("entity_id").alias("candidate_entity_id"), "country", "gram"), ["country", "gram"])
-    return hits.groupBy("source1_entity_id", "candidate_entity_id").agg(F.min("df").alias("least_df"))
+    found = hits.groupBy("source1_entity_id", "candidate_entity_id").agg(F.min("df").alias("least_df"))
+    sized = found.withColumn("pool_size", F.expr("count(*) over (partition by source1_entity_id)").cast("int"))
+    order = "row_number() over (partition by source1_entity_id order by least_df, candidate_entity_id)"
+    return sized.withColumn("place", F.expr(order)).where(F.col("place") <= config.pool_cap).drop("place")
 
 
 def retrieve_preblocked(source: DataFrame, feed: DataFrame, config: LinkConfig, routes: tuple[str, ...] = ("postcode", "numeric", "rare_token"), fallback: bool = True) -> DataFrame:
-    """Address TF-IDF top-K over the pool pairs only, with the routes that found each pair."""
+    """Address TF-IDF top-K over the pool pairs only, with the routes that found each pair.
+
+    A query travels to the blocks of the feed that hold some of its pool, with the list of those records, so no vector is sent for a pair.
+    """
     pool = address_pool(source, feed, config, routes)
     if fallback:
-        extra = fallback_pool(source, feed, pool, config).select("source1_entity_id", "candidate_entity_id", F.lit(16).alias("route_mask"), "least_df", F.expr("count(*) over (partition by source1_entity_id)").cast("int").alias("pool_size"))
+        extra = fallback_pool(source, feed, pool, config).select("source1_entity_id", "candidate_entity_id", F.lit(16).alias("route_mask"), "least_df", "pool_size")
         pool = pool.unionByName(extra)
-    docs = gram_counts(feed.where("address_full <> ''"), "address_full", config)
-    vocab = vocabulary(docs, feed.where("address_full <> ''"), config)
-    right = weights(docs, vocab).select(F.col("entity_id").alias("candidate_entity_id"), "gram", F.col("w").alias("wd"))
-    left = weights(gram_counts(source, "address_full", config), vocab).select(F.col("entity_id").alias("source1_entity_id"), "gram", "w")
-    dots = pool.join(left, "source1_entity_id").join(right, ["candidate_entity_id", "gram"]).groupBy("source1_entity_id", "candidate_entity_id", "route_mask", "pool_size").agg(F.sum(F.col("w") * F.col("wd")).alias("similarity"))
-    out = top_k(dots, config.address_k, "address_tfidf")
+    kept = feed.where("address_full <> ''")
+    counts = gram_counts(kept, "address_full", config)
+    vocab = vocabulary(counts, kept, config)
+    sizes = _sizes(source, kept)
+    docs = vectors(counts, vocab).join(sizes, "country").withColumn("d", _block("id", "doc_blocks")).withColumn("q", _repeat("query_blocks"))
+    queries = vectors(gram_counts(source, "address_full", config), vocab).join(sizes, "country").withColumn("q", _block("id", "query_blocks"))
+    # pairs are within a country, so the query's country tells the block of the candidate
+    own = pool.withColumnRenamed("source1_entity_id", "id").join(queries.select("id", "doc_blocks"), "id").withColumn("d", _block("candidate_entity_id", "doc_blocks"))
+    lists = own.groupBy("id", "d").agg(F.max("pool_size").alias("pool_size"), F.collect_list(F.struct(F.col("candidate_entity_id").alias("c"), F.col("route_mask").cast("int").alias("m"))).alias("only"))
+    out = top_k(_meet(queries.join(lists, "id"), docs, config.address_k), config.address_k, "address_tfidf")
     flags = {f"address_route_{name}": F.col("route_mask").bitwiseAND(F.lit(bit)).cast("boolean").cast("int") for name, bit in {**ROUTES, "country_fallback": 16}.items()}
     return out.withColumns(flags).withColumn("address_route_count", F.bit_count("route_mask"))

@@ -60,7 +60,7 @@ def _tfidf(name: str, column: str) -> str:
 {name}_q as materialized (select entity_id, country, gram, df, w / sqrt(sum(w * w) over (partition by entity_id)) as w from (select q.*, df, (1 + ln(tf)) * idf as w from (select entity_id, country_norm as country, gram, count(*) as tf from (select entity_id, country_norm, unnest({_grams(column)}) as gram from s1) group by all) q join {name}_v v using (country, gram)))"""
 
 
-def _top(k: int, inner: str) -> str:
+def _top(k: int | str, inner: str) -> str:
     return f"select {_P}, similarity, place from (select *, row_number() over (partition by source1_entity_id order by similarity desc, candidate_entity_id) as place from ({inner}) where similarity > 0) where place <= {k}"
 
 
@@ -72,17 +72,23 @@ def _pool(routes: str) -> str:
     return f"""(select source1_entity_id, candidate_entity_id, bit_or(bit) as route_mask, min(df) as least_df from (
   select p.entity_id as source1_entity_id, f.entity_id as candidate_entity_id, p.bit, p.df from (
     select a.*, d.df, row_number() over (partition by entity_id, a.route order by d.df, a.key) as place from ak_s a join ad d using (country, route, key)
-    where route in ({routes}) and d.df <= case route when 'postcode_prefix' then 20 when 'numeric' then 10 when 'rare_token' then 10 else 2147483647 end) p
+    where route in ({routes}) and d.df <= case route when 'postcode_prefix' then @prefix_df@ when 'numeric' then @numeric_df@ when 'rare_token' then @rare_df@ else 2147483647 end) p
   join ak_f f using (country, route, key) where p.route <> 'rare_token' or p.place <= 3) group by 1, 2)"""
 
 
 _THREE = "'postcode', 'numeric', 'rare_token'"
 
 
-def _capped(pool: str, k: int) -> str:
+def _capped(pool: str, k: int | str) -> str:
     return f"select * from (select *, row_number() over (partition by source1_entity_id order by bit_count(route_mask) desc, least_df, candidate_entity_id) as place, count(*) over (partition by source1_entity_id) as pool_size from {pool}) where place <= {k}"
 
 
+def _fallback(routes: str) -> str:
+    return f"""(select * from (select *, row_number() over (partition by source1_entity_id order by least_df, candidate_entity_id) as place, count(*) over (partition by source1_entity_id) as pool_size from (
+  select q.entity_id as source1_entity_id, d.entity_id as candidate_entity_id, min(q.df) as least_df from (select *, row_number() over (partition by entity_id order by df, w desc, gram) as place from (select *, (df <= @fallback_df@)::int as rare, max((df <= @fallback_df@)::int) over (partition by entity_id) as any_rare from at_q
+    where entity_id not in (select source1_entity_id from {_pool(routes)})) where rare = any_rare) q join at_c d using (country, gram) where q.place <= 3 group by 1, 2)) where place <= @pool@)"""
+
+
 _CTES = {
     "rec": r"""select case when cast(substr(source, 4) as int) < 4 then 'S1' when cast(substr(source, 4) as int) < 12 then 'S2' else 'S3' end || '-' || doc_id as entity_id,
   array_to_string(string_split_regex(text, '\s+')[1:6], ' ') || case doc_id % 5 when 1 then ' Ltd.' when 2 then ' Pvt Limited' when 3 then ' & Co' when 4 then ' LLC' else '' end as business_name,
@@ -98,12 +104,12 @@ _CTES = {
     "keys": "select entity_id, country_norm as country, 'full' as channel, name_full as key, country_norm as scope from norm where name_full <> '' union all select entity_id, country_norm, 'core', name_core, country_norm from norm where name_core <> '' union all select entity_id, country_norm, 'sorted', name_sorted, country_norm from norm where name_sorted <> '' union all select entity_id, country_norm, 'address', address_full, country_norm from norm where address_full <> '' union all select entity_id, country_norm, 'cross', name_full, '*' from norm where name_full <> '' union all select entity_id, country_norm, 'name_token', unnest("
     + _informative("name_tokens") + "), country_norm from norm union all select entity_id, country_norm, 'address_token', unnest(" + _informative("address_tokens") + "), country_norm from norm",
     "counts": "select channel, scope, key, count(*) as df from keys where entity_id not like 'S1-%' group by all",
-    "allowed": "select * from counts where df <= case channel when 'name_token' then 10 when 'address_token' then 5 else 20 end",
+    "allowed": "select * from counts where df <= case channel when 'name_token' then @name_df@ when 'address_token' then @address_df@ else @cap@ end",
     "matched": "select l.entity_id as source1_entity_id, r.entity_id as candidate_entity_id, channel, key, l.country as c1, r.country as c2 from (select * from keys where entity_id like 'S1-%') l join allowed using (channel, scope, key) join (select * from keys where entity_id not like 'S1-%') r using (channel, scope, key) where channel <> 'cross' or l.country <> r.country",
     "pairs": f"select {_P}, " + ", ".join(f"max((channel = '{c}')::int)::bigint as {f}" for c, f in _FLAGS.items()) + ", sum((channel = 'name_token')::int)::bigint as rare_name_token_hits, sum((channel = 'address_token')::int)::bigint as rare_address_token_hits, max((c1 = c2)::int)::bigint as same_country_block from matched group by 1, 2",
     "scores": "select *, 5.0 * block_exact_full_name + 4.5 * block_exact_core_name + 4.0 * block_exact_sorted_name + least(rare_name_token_hits, 3) + 3.0 * block_exact_address + 0.5 * least(rare_address_token_hits, 3) + 0.5 * same_country_block as cheap_score from pairs",
     "ranked": "select *, row_number() over (partition by source1_entity_id order by cheap_score desc, candidate_entity_id) as cheap_rank, count(*) over (partition by source1_entity_id) as raw_candidate_count from scores",
-    "cand": "select * from ranked where cheap_rank <= 10",
+    "cand": "select * from ranked where cheap_rank <= @k@",
     "ak": "select entity_id, country_norm as country, 'postcode' as route, postcode as key, 1 as bit from norm where postcode <> '' union all select entity_id, country_norm, 'postcode_prefix', left(postcode, 3), 2 from norm where length(postcode) >= 3 union all select entity_id, country_norm, 'numeric', unnest(list_distinct(numbers)), 4 from norm union all select entity_id, country_norm, 'rare_token', unnest(" + _informative("address_tokens") + "), 8 from norm",
     "ak_s": "select * from ak where entity_id like 'S1-%'",
     "ak_f": "select * from ak where entity_id not like 'S1-%'",
@@ -130,10 +136,10 @@ _CTES = {
 }
 _NEEDS = {"nt": _tfidf("nt", "name_core"), "at": _tfidf("at", "address_full")}
 _EXTRA = {
-    "near": _top(10, _dot("nt")),
-    "far": _top(5, _dot("at")),
+    "near": _top("@tk@", _dot("nt")),
+    "far": _top("@ak@", _dot("at")),
     "uni": """select coalesce(c.source1_entity_id, n.source1_entity_id) as source1_entity_id, coalesce(c.candidate_entity_id, n.candidate_entity_id) as candidate_entity_id, coalesce(cheap_rank, 0) as legacy_rank, coalesce(cheap_score, 0)::double as legacy_score, coalesce(place, 0) as tfidf_rank, coalesce(similarity, 0) as tfidf_similarity,
-  (cheap_rank is not null and place is null)::bigint as is_legacy_only, (cheap_rank is null)::bigint as is_tfidf_only, (cheap_rank is not null and place is not null)::bigint as supported_by_both from cand c full join (select * from near where place <= 6) n using (source1_entity_id, candidate_entity_id)""",
+  (cheap_rank is not null and place is null)::bigint as is_legacy_only, (cheap_rank is null)::bigint as is_tfidf_only, (cheap_rank is not null and place is not null)::bigint as supported_by_both from cand c full join (select * from near where place <= @depth@) n using (source1_entity_id, candidate_entity_id)""",
     "uni3": """select coalesce(u.source1_entity_id, f.source1_entity_id) as source1_entity_id, coalesce(u.candidate_entity_id, f.candidate_entity_id) as candidate_entity_id, coalesce(legacy_rank, 0) as legacy_rank, coalesce(tfidf_rank, 0) as tfidf_rank, coalesce(f.place, 0) as address_rank,
   (coalesce(legacy_rank, 0) > 0)::bigint + (coalesce(tfidf_rank, 0) > 0)::bigint + (coalesce(f.place, 0) > 0)::bigint as retrieval_channel_count from uni u full join far f using (source1_entity_id, candidate_entity_id)""",
 }
@@ -161,20 +167,20 @@ _RRF3 = _RRF + " + case when address_rank > 0 then 1.0 / (20.0 + address_rank) e
 _LATE = "case when legacy_rank > 0 then legacy_rank else 65535 end, case when tfidf_rank > 0 then tfidf_rank else 65535 end"
 
 
-def _fuse(score: str, k: int, inner: str = "uni") -> str:
+def _fuse(score: str, k: int | str, inner: str = "uni") -> str:
     return _sql(f"select {_P}, round(fusion_score::double, 5) as fusion_score, fusion_rank from (select *, row_number() over (partition by source1_entity_id order by fusion_score desc, supported_by_both desc, {_LATE}, candidate_entity_id) as fusion_rank from (select *, {score} as fusion_score from {inner})) where fusion_rank <= {k}")
 
 
-def _fuse3(inner: str, k: int) -> str:
+def _fuse3(inner: str, k: int | str) -> str:
     return _sql(f"select {_P}, round(fusion_score::double, 5) as fusion_score, fusion_rank, retrieval_channel_count from (select *, row_number() over (partition by source1_entity_id order by fusion_score desc, retrieval_channel_count desc, {_LATE}, case when address_rank > 0 then address_rank else 65535 end, candidate_entity_id) as fusion_rank from ({inner})) where fusion_rank <= {k}")
 
 
-def _protected(score: str, source: str, tie: str, k: int, least: int) -> str:
+def _protected(score: str, source: str, tie: str, k: int | str, least: int | str) -> str:
     return f"select * exclude (safe, place) from (select *, row_number() over (partition by source1_entity_id order by safe, case when safe = 0 then legacy_rank else 0 end, fusion_score desc, {tie} candidate_entity_id) as place from (select *, {score} as fusion_score, case when legacy_rank between 1 and {least} then 0 else 1 end as safe from {source})) where place <= {k}"
 
 
 _QUOTA = """(select *, count(*) over (partition by source1_entity_id) - place + 1 as fs from (select *, row_number() over (partition by source1_entity_id order by g, case when legacy_rank > 0 then l else o end, candidate_entity_id) as place from (
-  select *, case when legacy_rank > 0 and l <= 3 then 0 when is_tfidf_only = 1 and o <= 2 then 1 when legacy_rank > 0 then 2 else 3 end as g from (select *, row_number() over (partition by source1_entity_id, legacy_rank > 0 order by legacy_rank, candidate_entity_id) as l, row_number() over (partition by source1_entity_id, is_tfidf_only order by tfidf_rank, candidate_entity_id) as o from uni))) where place <= 6)"""
+  select *, case when legacy_rank > 0 and l <= @legacy_quota@ then 0 when is_tfidf_only = 1 and o <= @tfidf_quota@ then 1 when legacy_rank > 0 then 2 else 3 end as g from (select *, row_number() over (partition by source1_entity_id, legacy_rank > 0 order by legacy_rank, candidate_entity_id) as l, row_number() over (partition by source1_entity_id, is_tfidf_only order by tfidf_rank, candidate_entity_id) as o from uni))) where place <= @final_k@)"""
 _MM = "case when {r} > 0 then case when {hi} > {lo} then ({v} - {lo}) / ({hi} - {lo}) else 1.0 end else 0.0 end"
 
 
@@ -200,8 +206,8 @@ _RULES = [0.70, 0.75, 0.80, 0.84, 0.86, 0.88, 0.90, 0.93, 0.95, 0.98]
 _FEATURES = "name_full_exact, name_core_exact, name_sorted_exact, address_exact, round(name_token_jaccard, 5) as name_token_jaccard, round(address_token_jaccard, 5) as address_token_jaccard, name_shared_token_count, address_shared_token_count, name_token_count_difference, round(name_length_ratio, 5) as name_length_ratio, round(address_length_ratio, 5) as address_length_ratio, round(name_prefix_ratio, 5) as name_prefix_ratio, round(name_suffix_ratio, 5) as name_suffix_ratio, numeric_token_equal, round(numeric_token_overlap, 5) as numeric_token_overlap, numeric_token_conflict, address_missing_left, address_missing_right, country_missing_left, country_missing_right, same_country, country_conflict, both_country_present, source_is_s2, source_is_s3"
 
 
-def oracle_sql() -> dict[str, str]:
-    out = {
+def _twins() -> dict[str, str]:
+    return {
         "normalize_names": _sql("select entity_id, name_full, name_core, name_sorted, case when len(string_split(name_core, ' ')) between 2 and 10 then array_to_string(list_transform(string_split(name_core, ' '), lambda t: left(t, 1)), '') else '' end as name_acronym from norm"),
         "normalize_addresses": _sql("select entity_id, address_full, country_norm from norm"),
         "legal_forms": _sql("select legal_form, count(*) as n from norm group by 1"),
@@ -211,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
         "tfidf_blocking_merge": _sql(f"""select {_P}, block_name_tfidf, cheap_rank from (select *, row_number() over (partition by source1_entity_id order by s desc, candidate_entity_id) as cheap_rank from (
   select coalesce(c.source1_entity_id, n.source1_entity_id) as source1_entity_id, coalesce(c.candidate_entity_id, n.candidate_entity_id) as candidate_entity_id, (n.place is not null)::bigint as block_name_tfidf,
     (coalesce(cheap_score, 0)::double - 0.5 * coalesce(same_country_block, 0)::double + 0.5 * (case when n.place is not null then 1 else coalesce(same_country_block, 0) end) + 4.0::double * coalesce(similarity, 0))::float as s
-  from scores c full join near n using (source1_entity_id, candidate_entity_id))) where cheap_rank <= 10"""),
+  from scores c full join near n using (source1_entity_id, candidate_entity_id))) where cheap_rank <= @k@"""),
         "char_ngrams": _sql(f"select country_norm as country, gram, count(*) as n from (select country_norm, unnest({_grams('name_core')}) as gram from s1) group by all"),
         "source_violations": _sql("select unnest(['empty_id', 'wrong_prefix', 'duplicate_id']) as problem, unnest([count(*) filter (entity_id = ''), count(*) filter (entity_id not like 'S2-%'), count(*) - count(distinct entity_id)]) as rows from feed"),
         "truth_explode": _sql("select * from truth"),
@@ -220,26 +226,31 @@ def oracle_sql() -> dict[str, str]:
         "df_eligibility_modes": _sql("select scope, mode, count(*) as tokens from (select c.scope, df, shard from counts c join (select country_norm as scope, count(*) as shard from feed group by 1) s on s.scope = c.scope where channel = 'name_token') x join (values ('absolute'), ('relative'), ('hybrid')) m(mode) on case mode when 'absolute' then df <= 10 when 'relative' then df / shard <= 0.02::double else df <= 3 or df / shard <= 0.02::double end group by all"),
         "posting_cap": _sql("select channel, count(*) as keys, sum(df)::bigint as postings from allowed group by 1"),
         **{f"block_{n}": _block(c) for n, c in (("exact_full", "full"), ("exact_core", "core"), ("exact_sorted", "sorted"), ("exact_address", "address"), ("cross_country", "cross"), ("rare_name", "name_token"), ("rare_address", "address_token"))},
-        "block_ranked_rare": _sql("select entity_id, key from (select k.entity_id, k.key, row_number() over (partition by k.entity_id order by df, k.key) as place from keys k join counts c using (channel, scope, key) where channel = 'name_token' and k.entity_id like 'S1-%' and df <= 20) where place <= 2"),
+        "block_ranked_rare": _sql("select entity_id, key from (select k.entity_id, k.key, row_number() over (partition by k.entity_id order by df, k.key) as place from keys k join counts c using (channel, scope, key) where channel = 'name_token' and k.entity_id like 'S1-%' and df <= @cap@) where place <= 2"),
         "candidates_union": _sql("select * from pairs"),
-        "candidates_topk": _sql(f"select {_P}, cheap_score::double as cheap_score, cheap_rank, raw_candidate_count, least(raw_candidate_count, 10) as final_candidate_count, left(candidate_entity_id, 2) as candidate_source from cand"),
+        "candidates_topk": _sql(f"select {_P}, cheap_score::double as cheap_score, cheap_rank, raw_candidate_count, least(raw_candidate_count, @k@) as final_candidate_count, left(candidate_entity_id, 2) as candidate_source from cand"),
         "candidates_at_k": _sql(f"select {_P}, cheap_rank, least(raw_candidate_count, 3) as final_candidate_count from cand where cheap_rank <= 3"),
         "cheap_margin": _sql(f"select {_P}, (cheap_score - lead(cheap_score, 1, 0) over (partition by source1_entity_id order by cheap_rank))::double as cheap_score_margin_to_next from cand"),
-        "tfidf_name_topk": _sql(f"select {_P}, round(similarity, 5) as name_tfidf_similarity, place as name_tfidf_rank from near"),
-        "tfidf_address_topk": _sql(f"select {_P}, round(similarity, 5) as address_tfidf_similarity, place as address_tfidf_rank from far"),
+        "tfidf_name_topk": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as name_tfidf_similarity, place as name_tfidf_rank from near"),
+        "tfidf_address_topk": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as address_tfidf_similarity, place as address_tfidf_rank from far"),
         "addr_pool": _sql(f"select {_P}, route_mask::bigint as route_mask, least_df, pool_size from ({_capped(_pool(_THREE), 1 << 30)})"),
-        "addr_pool_capped": _sql(f"select {_P}, route_mask::bigint as route_mask, least_df from ({_capped(_pool(_THREE + ', ' + repr('postcode_prefix')), 30)})"),
-        "addr_pool_diagnostics": _sql(f"select count(*) as n, min(n) as minimum, round(quantile_cont(n, 0.25), 5) as p25, round(quantile_cont(n, 0.5), 5) as median, round(quantile_cont(n, 0.75), 5) as p75, round(quantile_cont(n, 0.95), 5) as p95, max(n) as maximum from (select entity_id, count(candidate_entity_id) as n from s1 left join ({_capped(_pool(_THREE), 30)}) p on p.source1_entity_id = entity_id group by 1)"),
-        "addr_fallback": _sql(f"select q.entity_id as source1_entity_id, d.entity_id as candidate_entity_id, min(q.df) as least_df from (select *, row_number() over (partition by entity_id order by df, w desc, gram) as place from (select *, (df <= 20)::int as rare, max((df <= 20)::int) over (partition by entity_id) as any_rare from at_q where entity_id not in (select source1_entity_id from {_pool(repr('postcode'))})) where rare = any_rare) q join at_c d using (country, gram) where q.place <= 3 group by 1, 2"),
+        "addr_pool_capped": _sql(f"select {_P}, route_mask::bigint as route_mask, least_df from ({_capped(_pool(_THREE + ', ' + repr('postcode_prefix')), '@pool@')})"),
+        "addr_pool_diagnostics": _sql(f"select count(*) as n, min(n) as minimum, round(quantile_cont(n, 0.25), 5) as p25, round(quantile_cont(n, 0.5), 5) as median, round(quantile_cont(n, 0.75), 5) as p75, round(quantile_cont(n, 0.95), 5) as p95, max(n) as maximum from (select entity_id, count(candidate_entity_id) as n from s1 left join ({_capped(_pool(_THREE), '@pool@')}) p on p.source1_entity_id = entity_id group by 1)"),
+        "addr_fallback": _sql(f"select {_P}, least_df, pool_size from {_fallback(repr('postcode'))}"),
+        "addr_preblock_topk": _sql(f"""select {_P}, round(similarity::decimal(18, 9), 5)::double as address_tfidf_similarity, place as address_tfidf_rank, bit_count(route_mask)::bigint as address_route_count from (
+  select *, row_number() over (partition by source1_entity_id order by similarity desc, candidate_entity_id) as place from (
+    select p.source1_entity_id, p.candidate_entity_id, any_value(route_mask) as route_mask, round(sum(q.w * d.w), 9) as similarity
+    from (select {_P}, route_mask::int as route_mask from ({_capped(_pool(_THREE), '@pool@')}) union all select {_P}, 16 from {_fallback(_THREE)}) p join at_q q on q.entity_id = p.source1_entity_id join at_w d on d.entity_id = p.candidate_entity_id and d.country = q.country and d.gram = q.gram
+    group by 1, 2) where similarity > 0) where place <= @ak@"""),
         "fusion_universe2": _sql(f"select {_P}, legacy_rank, round(legacy_score, 5) as legacy_score, tfidf_rank, is_legacy_only, is_tfidf_only, supported_by_both from uni"),
         "fusion_universe3": _sql(f"select {_P}, legacy_rank, tfidf_rank, address_rank, retrieval_channel_count from uni3"),
-        "fuse_rrf": _fuse(_RRF, 8),
-        "fuse_quota": _fuse("fs", 6, _QUOTA),
-        "fuse_naive": _fuse("legacy_score + 4.0 * tfidf_similarity + 0.5 * is_tfidf_only", 8),
-        "fuse_normalized": _fuse(f"0.6 * {_minmax('legacy_score', 'legacy_rank')} + 0.4 * {_minmax('tfidf_similarity', 'tfidf_rank')} + 0.1 * supported_by_both", 8),
-        "fuse_hybrid": _fuse("score", 6, "(" + _protected(_RRF, "uni", f"supported_by_both desc, {_LATE},", 6, 3).replace("fusion_score", "score") + ")"),
-        "fuse_rrf3": _fuse3(f"select *, {_RRF3} as fusion_score from uni3", 8),
-        "fuse_protected3": _fuse3(_protected(_RRF3, "uni3", "retrieval_channel_count desc,", 6, 3), 6),
+        "fuse_rrf": _fuse(_RRF, "@final_k@"),
+        "fuse_quota": _fuse("fs", "@final_k@", _QUOTA),
+        "fuse_naive": _fuse("legacy_score + 4.0 * tfidf_similarity + 0.5 * is_tfidf_only", "@final_k@"),
+        "fuse_normalized": _fuse(f"0.6 * {_minmax('legacy_score', 'legacy_rank')} + 0.4 * {_minmax('tfidf_similarity', 'tfidf_rank')} + 0.1 * supported_by_both", "@final_k@"),
+        "fuse_hybrid": _fuse("score", "@final_k@", "(" + _protected(_RRF, "uni", f"supported_by_both desc, {_LATE},", "@final_k@", "@protect@").replace("fusion_score", "score") + ")"),
+        "fuse_rrf3": _fuse3(f"select *, {_RRF3} as fusion_score from uni3", "@final_k@"),
+        "fuse_protected3": _fuse3(_protected(_RRF3, "uni3", "retrieval_channel_count desc,", "@final_k@", "@protect@"), "@final_k@"),
         "pair_features": _sql(f"select {_P}, cheap_rank, {_FEATURES} from feat"),
         "relative_features": _sql(f"""select {_P}, row_number() over (partition by source1_entity_id order by name_token_jaccard desc, candidate_entity_id) as relative_name_rank, round(nb - coalesce(ns, nb), 5) as name_top_margin, round(nb - name_token_jaccard, 5) as name_gap_to_best,
   row_number() over (partition by source1_entity_id order by address_token_jaccard desc, candidate_entity_id) as relative_address_rank, round(ab - coalesce(asec, ab), 5) as address_top_margin, sum((name_token_jaccard >= nb - 0.05::double)::int) over (partition by source1_entity_id)::bigint as close_competitor_count
@@ -271,4 +282,19 @@ def oracle_sql() -> dict[str, str]:
         "submission_candidates": _sql("select entity_id as source1_entity_id, coalesce((select string_agg(candidate_entity_id, ',' order by cheap_rank) from cand t where t.source1_entity_id = entity_id and cheap_rank <= 5), '') as candidate_entity_ids from s1"),
         "tfidf_vocab_cap": "with " + ",\n".join(f"{n} as materialized ({_CTES[n]})" for n in ("rec", "base", "cored", "norm", "feed")) + "," + _vocab("nt", "name_core", 50) + "\nselect country, gram, df, round(idf, 5) as idf from nt_v",
     }
-    return {k: v for k, v in out.items() if v}
+
+
+def oracle_sql() -> dict[str, str]:
+    """The twins of the catalogue's queries, with the limits of its settings put in."""
+    from linkforge.plans.catalog import CAPPED, DEFAULT, SMALL
+
+    def filled(text: str, setting) -> str:
+        c = setting.config
+        values = {"cap": c.posting_cap, "name_df": c.name_token_df, "address_df": c.address_token_df, "k": c.candidate_k, "tk": c.tfidf_k, "ak": c.address_k, "pool": c.pool_cap, "prefix_df": c.prefix_max_df, "numeric_df": c.numeric_max_df, "rare_df": c.rare_token_max_df, "fallback_df": c.fallback_max_df}
+        values |= {k: getattr(setting, k) for k in ("depth", "final_k", "legacy_quota", "tfidf_quota", "protect")}
+        for name, value in values.items():
+            text = text.replace(f"@{name}@", str(value))
+        return text
+
+    twins = _twins()
+    return {**{k: filled(v, DEFAULT) for k, v in twins.items()}, **{f"capped_{k}": filled(twins[k], SMALL) for k in CAPPED if k in twins}}
