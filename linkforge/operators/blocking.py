@@ -49,15 +49,21 @@ def shard_sizes(feed: DataFrame) -> DataFrame:
     return feed.groupBy(F.col("country_norm").alias("scope")).agg(F.count(F.lit(1)).alias("shard"))
 
 
+def key_limits(config: LinkConfig) -> tuple[Column, Column]:
+    """(frequency allows, posting list over the cap) of a key, from ``channel, df, shard``; only tokens have a limit of frequency, and a cap that scales."""
+    df, shard, channel = F.col("df"), F.col("shard"), F.col("channel")
+    name = df_eligible(df, shard, config.name_token_df, config.name_df_fraction, config.df_mode)
+    address = df_eligible(df, shard, config.address_token_df, config.address_df_fraction, config.df_mode)
+    cap = effective_cap(shard, config.posting_cap, config.posting_cap_fraction, config.posting_cap_max)
+    token = channel.isin("name_token", "address_token")
+    return F.when(channel == "name_token", name).when(channel == "address_token", address).otherwise(F.lit(True)), df > F.when(token, cap).otherwise(F.lit(config.posting_cap))
+
+
 def eligible_keys(counts: DataFrame, shards: DataFrame, config: LinkConfig) -> DataFrame:
     """The keys whose posting lists are probed. Longer lists are dropped whole, before the join, so no key can make more than its cap of pairs a query."""
+    frequent, capped = key_limits(config)
     sized = counts.join(shards, "scope", "left").withColumn("shard", F.coalesce("shard", F.lit(0)))
-    cap = effective_cap(F.col("shard"), config.posting_cap, config.posting_cap_fraction, config.posting_cap_max)
-    df, shard = F.col("df"), F.col("shard")
-    name = df_eligible(df, shard, config.name_token_df, config.name_df_fraction, config.df_mode) & (df <= cap)
-    address = df_eligible(df, shard, config.address_token_df, config.address_df_fraction, config.df_mode) & (df <= cap)
-    ok = F.when(F.col("channel") == "name_token", name).when(F.col("channel") == "address_token", address).otherwise(df <= config.posting_cap)
-    return sized.where(ok).select("channel", "scope", "key", "df")
+    return sized.where(frequent & ~capped).select("channel", "scope", "key", "df")
 
 
 def ranked_name_tokens(keys: DataFrame, counts: DataFrame, shards: DataFrame, config: LinkConfig) -> DataFrame:

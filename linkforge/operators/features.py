@@ -65,8 +65,25 @@ def relative_features(pairs: DataFrame, columns: dict[str, str], close: str | No
     return pairs.withColumns(out).drop("best_close")
 
 
+#: Columns of the pre-blocked address channel that a model may use, beside its rank and gap within the source record.
+ADDRESS_EXTRAS = ["address_tfidf_similarity", "address_tfidf_rank", "address_route_postcode", "address_route_postcode_prefix", "address_route_numeric", "address_route_rare_token", "address_route_country_fallback", "address_route_count", "pool_size", "has_address_tfidf", "block_address_tfidf", "is_address_tfidf_only", "retrieval_channel_count"]
+
+
+def address_extras(features: DataFrame, fused: DataFrame, address: DataFrame) -> DataFrame:
+    """``features`` with ``ADDRESS_EXTRAS`` of ``fused`` pairs, ``relative_address_tfidf_rank`` and ``address_tfidf_gap_to_best``; pairs without the channel have zeros."""
+    routes = [c for c in ADDRESS_EXTRAS if c.startswith("address_route") or c == "pool_size"]
+    own = address.select(*PAIR, "address_tfidf_similarity", "address_tfidf_rank", *routes)
+    has = (F.coalesce("address_tfidf_rank", F.lit(0)) > 0).cast("int")
+    rows = fused.select(*PAIR, "legacy_rank", "tfidf_rank", "retrieval_channel_count").join(own, PAIR, "left")
+    rows = rows.withColumns({"has_address_tfidf": has, "block_address_tfidf": has, "is_address_tfidf_only": has * ((F.col("legacy_rank") == 0) & (F.col("tfidf_rank") == 0)).cast("int")})
+    out = features.drop(*ADDRESS_EXTRAS).join(rows.select(*PAIR, *ADDRESS_EXTRAS), PAIR, "left").fillna(0, ADDRESS_EXTRAS)
+    best = "max(address_tfidf_similarity) over (partition by source1_entity_id)"
+    rank = "row_number() over (partition by source1_entity_id order by address_tfidf_similarity desc, candidate_entity_id)"
+    return out.withColumns({"relative_address_tfidf_rank": F.expr(rank).cast("int"), "address_tfidf_gap_to_best": F.expr(f"{best} - address_tfidf_similarity")})
+
+
 def rule_score(features: DataFrame, characters: bool = True) -> DataFrame:
-    """The precision-first score: a weighted base, floors for strong evidence, penalties for conflicts; kept in double.
+    """The precision-first score: a weighted base, floors for strong evidence, penalties for conflicts, all fixed values; kept in double.
 
     Without ``characters`` the base takes the name Jaccard in place of the character ratio.
     """

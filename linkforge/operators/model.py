@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -36,6 +36,28 @@ def fit(frame: DataFrame, features: list[str], validation_col: str | None = None
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), trees]).fit(frame)
 
 
+def fit_second(frame: DataFrame, features: list[str], trees: int = 100, depth: int = 8, subsampling: float = 0.8, min_rows: int = 5, seed: int = 42) -> PipelineModel:
+    """A second, differently biased model for blends: a random forest on the same columns."""
+    check_features(frame, features)
+    forest = RandomForestClassifier(featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, subsamplingRate=subsampling, minInstancesPerNode=min_rows, seed=seed)
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), forest]).fit(frame)
+
+
+#: Groups of features whose shares of the gain are told.
+GAIN_GROUPS = {
+    "country": ("same_country", "country_conflict", "country_missing_left", "country_missing_right"),
+    "exact_name": ("name_full_exact", "name_core_exact", "name_sorted_exact"),
+    "tfidf": ("name_tfidf_similarity", "name_tfidf_rank", "relative_tfidf_rank"),
+    "address_numbers": ("numeric_token_equal", "numeric_token_overlap", "numeric_token_conflict"),
+}
+
+
+def gain_shares(gains: dict[str, float]) -> dict[str, float]:
+    """Each group's share of the total gain; 0 where there is none."""
+    total = sum(gains.values())
+    return {group: sum(gains.get(f, 0.0) for f in own) / total if total else 0.0 for group, own in GAIN_GROUPS.items()}
+
+
 def predict(model: PipelineModel, frame: DataFrame) -> DataFrame:
     return model.transform(frame).withColumn("score", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
@@ -50,3 +72,8 @@ def probability_grid(around: float | None = None) -> list[float]:
     if around is None:
         return sorted({0.001, 0.002, 0.005, *(round(i / 100, 2) for i in range(1, 100)), 0.995, 0.998, 0.999})
     return [round(around + i * 0.0005, 4) for i in range(-40, 41) if 0 < around + i * 0.0005 < 1]
+
+
+def dense_grid(low: float = 0.01, high: float = 0.995, steps: int = 500) -> list[float]:
+    """Evenly spaced thresholds, both ends included."""
+    return [low + (high - low) * i / (steps - 1) for i in range(steps)]

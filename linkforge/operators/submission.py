@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkforge.sources.records import DataValidationError, write_tsv
+
 PAIR = ["source1_entity_id", "candidate_entity_id"]
 
 
@@ -26,3 +28,22 @@ def violations(ids: DataFrame, feed_ids: DataFrame, matched: DataFrame, candidat
     for x in out[1:]:
         total = total.unionByName(x)
     return total
+
+
+def result_frames(ids: DataFrame, candidates: DataFrame, predicted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(matching, candidate) result frames: every candidate, and the predicted ones of them, both in candidate order."""
+    kept = candidates.join(predicted.select(*PAIR).distinct(), PAIR, "left_semi")
+    return result_frame(ids, kept, "cheap_rank", "matched_entity_ids"), result_frame(ids, candidates, "cheap_rank", "candidate_entity_ids")
+
+
+def write_submission(ids: DataFrame, feed_ids: DataFrame, matched: DataFrame, candidates: DataFrame, folder: str) -> tuple[str, str]:
+    """Check both result frames, and write them as matching_results.tsv and candidate_pairs.tsv; refuses to overwrite."""
+    for frame, column in ((matched, "matched_entity_ids"), (candidates, "candidate_entity_ids")):
+        if frame.columns != [PAIR[0], column]:
+            raise DataValidationError(f"expected columns {[PAIR[0], column]}, found {frame.columns}")
+    if bad := {r.problem: r.rows for r in violations(ids, feed_ids, matched, candidates).collect() if r.rows}:
+        raise DataValidationError(f"results break their contract: {bad}")
+    paths = f"{folder}/matching_results.tsv", f"{folder}/candidate_pairs.tsv"
+    write_tsv(matched, paths[0])
+    write_tsv(candidates, paths[1])
+    return paths

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from linkforge.config import RULE_THRESHOLDS, LinkConfig
 from linkforge.functions import text as T
 from linkforge.operators import blocking as B
+from linkforge.operators import diagnosis as D
 from linkforge.operators import evaluation as E
 from linkforge.operators import features as X
 from linkforge.operators import fusion as R
@@ -188,8 +189,62 @@ def catalog(setting: Setting) -> dict:
         return E.blend_sweep(ids(spark, d), IO.document_truth(spark, d), rows, "rule_score", "other", [0.0, 0.5, 1.0], [0.5, 0.8, 0.9])
 
 
-    def _stage(name):
-        return lambda spark, d: stages.STAGES[name](*sides(spark, d), IO.document_truth(spark, d).persist(), CONFIG)
+    def _stage(name, **options):
+        return lambda spark, d: stages.STAGES[name](*sides(spark, d), IO.staged(IO.document_truth(spark, d)), CONFIG, **options)
+
+    def links(spark, d):
+        return D.truth_links(IO.document_truth(spark, d), *sides(spark, d))
+
+    def keys_of_links(spark, d):
+        return D.link_keys(links(spark, d), *sides(spark, d), CONFIG)
+
+    def split_ids(spark, d):
+        return with_country(S.hash_split(ids(spark, d), 0.25, 202603), spark, d)
+
+    def fused2(spark, d):
+        return R.reciprocal_rank(universe2(spark, d), K)
+
+    def fused_features(spark, d):
+        """Features of the fused pairs, in which the name Jaccard stands for the character ratio."""
+        s1, feed = sides(spark, d)
+        rows = X.pair_features(X.join_records(fused2(spark, d), s1, feed), False)
+        return X.relative_features(rows, {"name_token_jaccard": "name", "address_token_jaccard": "address", "tfidf_similarity": "tfidf", "fusion_score": "fusion"}, "name_token_jaccard")
+
+    def address_extras(spark, d):
+        both, far = universe2(spark, d), V.retrieve_preblocked(*sides(spark, d), CONFIG)
+        fused = R.protected3(R.three_channels(both, far), K, setting.protect)
+        return X.address_extras(fused.select(*PAIR), fused, far).select(*PAIR, *X.ADDRESS_EXTRAS, "relative_address_tfidf_rank", "address_tfidf_gap_to_best")
+
+    def cross_country(spark, d):
+        """The cross-country channel on a feed of which every other record has another country."""
+        s1, feed = sides(spark, d)
+        odd = F.regexp_extract("entity_id", "([0-9]+)$", 1).cast("long") % 2 == 1
+        feed = feed.withColumn("country_norm", F.when(odd, F.concat("country_norm", F.lit("x"))).otherwise(F.col("country_norm")))
+        return B.matched_keys(s1, feed, CONFIG).where("channel = 'cross'").select(*PAIR, "key")
+
+    def posting_cap_scaled(spark, d):
+        scaled = replace(CONFIG, posting_cap=5, name_token_df=15, address_token_df=15, posting_cap_fraction=0.04, posting_cap_max=12)
+        feed = sides(spark, d)[1]
+        return B.eligible_keys(B.key_counts(B.keyed(feed, scaled)), B.shard_sizes(feed), scaled).groupBy("channel").agg(F.count(F.lit(1)).alias("keys"), F.sum("df").alias("postings"))
+
+    def country_sweep(spark, d):
+        rows = E.threshold_sweep(with_country(ids(spark, d), spark, d), IO.document_truth(spark, d), scored(spark, d), "rule_score", M.dense_grid(0.5, 0.98, 25), None, ("country",))
+        return E.best_threshold(rows, True, ("country",))
+
+    def blend_by_country(spark, d):
+        rows = labelled(spark, d).withColumn("other", F.col("name_token_jaccard"))
+        return E.blend_sweep(with_country(ids(spark, d), spark, d), IO.document_truth(spark, d), rows, "rule_score", "other", [0.0, 0.25, 1.0], [0.5, 0.8, 0.9], ("country",))
+
+    def fusion_grid(spark, d):
+        some = [v for v in stages.fusion_variants((20, 30)) if v[0] in ("quota 50=35+15", "rrf 2:1/20", "normalized 0.7:0.3+0.1", "hybrid 50>=35") and v[2] == 50]
+        return stages.fusion_sweep(*sides(spark, d), IO.staged(IO.document_truth(spark, d)), CONFIG, some)
+
+    def two_models(spark, d):
+        rows = labelled(spark, d).withColumn("cheap_score", F.col("cheap_score").cast("double")).join(S.hash_split(ids(spark, d), 0.25, 7), PAIR[0])
+        names = ["name_token_jaccard", "address_token_jaccard", "name_length_ratio", "cheap_score", "numeric_token_overlap"]
+        found = M.fit_second(rows.where("not is_validation"), names, trees=10)
+        gains = spark.createDataFrame(M.importances(found, names), "feature string, gain double")
+        return D.importance_change(spark.createDataFrame(M.importances(M.fit(rows.where("not is_validation"), names, rounds=3, min_rows=5), names), "feature string, gain double"), gains)
 
 
     return {
@@ -210,7 +265,28 @@ def catalog(setting: Setting) -> dict:
         "block_exact_core": _block("core"),
         "block_exact_sorted": _block("sorted"),
         "block_exact_address": _block("address"),
-        "block_cross_country": _block("cross"),
+        "block_cross_country": cross_country,
+        "posting_cap_scaled": posting_cap_scaled,
+        "truth_links": lambda s, d: links(s, d).select(*PAIR, "country", "candidate_country", "bucket", F.col("l_name_core").alias("left_name"), F.col("r_name_core").alias("right_name")),
+        "channel_diagnosis": lambda s, d: D.channel_diagnosis(links(s, d), keys_of_links(s, d)),
+        "suppressed_postings": lambda s, d: D.suppressed_postings(keys_of_links(s, d)),
+        "retrieval_bundle": lambda s, d: D.retrieval_bundle(split_ids(s, d), IO.document_truth(s, d), fused2(s, d)),
+        "label_metrics": lambda s, d: D.label_metrics(labelled(s, d), IO.document_truth(s, d), sides(s, d)[0]),
+        "pair_summary": lambda s, d: D.pair_summary(labelled(s, d)),
+        "probability_metrics": lambda s, d: E.probability_metrics(labelled(s, d), "rule_score"),
+        "truth_distribution": lambda s, d: D.truth_distribution(ids(s, d), IO.document_truth(s, d)),
+        "dense_sweep": lambda s, d: E.best_threshold(E.threshold_sweep(ids(s, d), IO.document_truth(s, d), scored(s, d), "rule_score", M.dense_grid()), True),
+        "probability_threshold": lambda s, d: E.best_threshold(E.threshold_sweep(ids(s, d), IO.document_truth(s, d), scored(s, d), "rule_score", M.probability_grid())),
+        "country_sweep": country_sweep,
+        "blend_by_country": blend_by_country,
+        "fused_relative_features": lambda s, d: fused_features(s, d).select(*PAIR, "relative_name_rank", "relative_address_rank", "relative_tfidf_rank", "relative_fusion_rank", "name_top_margin", "address_top_margin", "tfidf_top_margin", "fusion_gap_to_best", "close_competitor_count"),
+        "address_extras": address_extras,
+        "displaced_links": lambda s, d: D.displaced_links(IO.document_truth(s, d), universe2(s, d), R.quota(universe2(s, d), 4, 2, 2), fused2(s, d)),
+        "blocked_out": lambda s, d: D.blocked_out(IO.document_truth(s, d), candidates(s, d, 1), name_tfidf(s, d)),
+        "error_examples": lambda s, d: D.examples(E.decode(labelled(s, d), "rule_score", 0.5).where("label = 0").select(*PAIR, "rule_score"), 15, F.desc("rule_score")),
+        "link_outcomes": lambda s, d: D.link_outcomes(IO.document_truth(s, d), candidates=candidates(s, d), near=name_tfidf(s, d)).groupBy("candidates", "near").agg(F.count(F.lit(1)).alias("links")),
+        "fusion_grid": fusion_grid,
+        "importance_change": two_models,
         "block_rare_name": _block("name_token"),
         "block_rare_address": _block("address_token"),
         "block_ranked_rare": lambda s, d: B.ranked_name_tokens(B.keyed(sides(s, d)[0], CONFIG), B.key_counts(B.keyed(sides(s, d)[1], CONFIG)), B.shard_sizes(sides(s, d)[1]), replace(CONFIG, ranked_name_tokens=2)).select("entity_id", "key"),
@@ -268,8 +344,13 @@ def catalog(setting: Setting) -> dict:
         "submission_candidates": lambda s, d: O.result_frame(ids(s, d), candidates(s, d, 5), "cheap_rank", "candidate_entity_ids"),
         "submission_violations": broken_results,
         "gbt_scores": gbt,
-        "stage_rules": _stage("evaluate"),
+        "stage_rules": _stage("rules"),
+        "stage_retrieval_union": _stage("e1"),
+        "stage_density": _stage("e2.1", totals=(100, 400)),
         "stage_token_policies": _stage("e2.2"),
+        "stage_preblocked": _stage("e2.3"),
+        "stage_smoke": _stage("smoke", distractors=100),
+        "pool_sizes": lambda s, d: stages.pool_sizes(*sides(s, d), CONFIG),
     }
 
 

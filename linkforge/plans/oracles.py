@@ -134,6 +134,10 @@ _CTES = {
   left join (select source1_entity_id, count(*) as tp from pred join truth using (source1_entity_id, candidate_entity_id) group by 1) b on b.source1_entity_id = s.entity_id""",
     "met": f"select *, {_F05} as f05, case when n_predicted = 0 and n_true = 0 then 1.0 when n_predicted = 0 then 0.0 else tp / n_predicted end as precision, case when n_predicted = 0 and n_true = 0 then 1.0 when n_true = 0 then 0.0 else tp / n_true end as recall from ent",
 }
+_CTES |= {
+    "linkkeys": "select t.source1_entity_id, t.candidate_entity_id, l.channel, l.key, case l.channel when 'name_token' then df <= @name_df@ when 'address_token' then df <= @address_df@ else true end as frequent, df > @cap@ as capped from truth t join keys l on l.entity_id = t.source1_entity_id join keys r on r.entity_id = t.candidate_entity_id and r.channel = l.channel and r.scope = l.scope and r.key = l.key join counts c on c.channel = l.channel and c.scope = l.scope and c.key = l.key where l.channel <> 'cross' or l.country <> r.country",
+    "links": "select t.*, l.country_norm as country, r.country_norm as candidate_country, l.name_core as left_name, r.name_core as right_name, case when count(*) over (partition by source1_entity_id) >= 3 then '3+' else (count(*) over (partition by source1_entity_id))::varchar end as bucket from truth t join s1 l on l.entity_id = source1_entity_id join feed r on r.entity_id = candidate_entity_id",
+}
 _NEEDS = {"nt": _tfidf("nt", "name_core"), "at": _tfidf("at", "address_full")}
 _EXTRA = {
     "near": _top("@tk@", _dot("nt")),
@@ -188,11 +192,64 @@ def _minmax(v: str, r: str) -> str:
     return _MM.format(v=v, r=r, **{k: f"{f}(case when {r} > 0 then {v} end) over (partition by source1_entity_id)" for k, f in (("lo", "min"), ("hi", "max"))})
 
 
-def _sweep(score: str, grid: list[float], source: str = "ruled") -> str:
-    grid = "(values " + ", ".join(f"({t})" for t in grid) + ") g(threshold)"
-    return f"""select threshold, round(avg({_F05}), 5) as macro_f05, round(case when sum(n_predicted) = 0 then 0 else sum(tp) / sum(n_predicted) end, 5) as micro_precision from (
-  select threshold, s.entity_id, count(r.candidate_entity_id) as n_predicted, count(t.candidate_entity_id) as tp, any_value(coalesce(nt, 0)) as n_true from {grid} cross join s1 s left join {source} r on r.source1_entity_id = s.entity_id and {score} >= threshold
-  left join truth t on t.source1_entity_id = r.source1_entity_id and t.candidate_entity_id = r.candidate_entity_id left join (select source1_entity_id, count(*) as nt from truth group by 1) n on n.source1_entity_id = s.entity_id group by 1, 2) group by threshold"""
+def _sweep(score: str, grid: list[float], source: str = "ruled", digits: int = 5, by: str = "") -> str:
+    grid = "(values " + ", ".join(f"({t!r}::double)" for t in grid) + ") g(threshold)"
+    return f"""select {by}threshold, round(avg({_F05}), {digits}) as macro_f05, round(case when sum(n_predicted) = 0 then 0 else sum(tp) / sum(n_predicted) end, {digits}) as micro_precision from (
+  select threshold, s.entity_id, any_value(s.country_norm) as country, count(r.candidate_entity_id) as n_predicted, count(t.candidate_entity_id) as tp, any_value(coalesce(nt, 0)) as n_true from {grid} cross join s1 s left join {source} r on r.source1_entity_id = s.entity_id and {score} >= threshold
+  left join truth t on t.source1_entity_id = r.source1_entity_id and t.candidate_entity_id = r.candidate_entity_id left join (select source1_entity_id, count(*) as nt from truth group by 1) n on n.source1_entity_id = s.entity_id group by 1, 2) group by {by}threshold"""
+
+
+def _best(sweep: str, order: str, by: str = "") -> str:
+    parts = f"partition by {by.rstrip(', ')} " if by else ""
+    return f"select {by}round(threshold, 5) as threshold, round(macro_f05, 5) as macro_f05, round(micro_precision, 5) as micro_precision from (select *, row_number() over ({parts}order by macro_f05 desc, {order}) as place from ({sweep})) where place = 1"
+
+
+#: Candidate metrics of rows with nt, nc and hit: numbers of true links, of candidates, and of true links among these.
+_METRICS = "round(case when sum(nt) = 0 then 1.0 else sum(hit) / sum(nt) end, 5) as pair_recall, round(avg(case when nt = 0 then 1.0 else hit / nt end), 5) as entity_recall, round(avg(case when nt = 0 then 1.0 when hit = 0 then 0.0 else 1.25 * hit / (1.25 * hit + 0.25 * (nt - hit)) end), 5) as oracle_f05, round(avg(nc), 5) as mean_candidates, round(quantile_cont(nc, 0.5), 5) as median_candidates, round(quantile_cont(nc, 0.95), 5) as p95_candidates, max(nc) as max_candidates"
+
+
+def _counted(pairs: str) -> str:
+    return f"""(select i.entity_id, i.country_norm as country, coalesce(nt, 0) as nt, coalesce(nc, 0) as nc, coalesce(hit, 0) as hit from s1 i left join (select source1_entity_id as e, count(*) as nt from truth group by 1) a on a.e = i.entity_id
+  left join (select source1_entity_id as e, count(*) as nc from {pairs} group by 1) b on b.e = i.entity_id left join (select source1_entity_id as e, count(*) as hit from {pairs} join truth using (source1_entity_id, candidate_entity_id) group by 1) c on c.e = i.entity_id)"""
+
+
+def _held(seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}:' || entity_id), 1, 12))::bigint / 281474976710656.0::double < 0.25)"
+
+
+def _pool_stats(name: str, routes: str, limits: dict[str, int]) -> str:
+    pool = _pool(routes).replace("p.place <= 3", f"p.place <= {limits['rare_tokens_per_query']}")
+    for token, key in (("prefix_df", "prefix_max_df"), ("numeric_df", "numeric_max_df"), ("rare_df", "rare_token_max_df")):
+        pool = pool.replace(f"@{token}@", str(limits.get(key, 2_000)))
+    return f"select '{name}' as variant, count(*) as n, min(n) as minimum, round(quantile_cont(n, 0.05), 5) as p05, round(quantile_cont(n, 0.25), 5) as p25, round(quantile_cont(n, 0.5), 5) as median, round(quantile_cont(n, 0.75), 5) as p75, round(quantile_cont(n, 0.95), 5) as p95, max(n) as maximum, count(*) filter (n = 0) as empty from (select entity_id, count(candidate_entity_id) as n from s1 left join ({_capped(pool, limits['pool_cap'])}) p on p.source1_entity_id = entity_id group by 1)"
+
+
+def _ranked_fusion(score: str, k: int | str, inner: str) -> str:
+    """Pairs of a fusion with score and rank, as ``_fuse`` returns them rounded."""
+    return f"(select * from (select *, row_number() over (partition by source1_entity_id order by fusion_score desc, supported_by_both desc, {_LATE}, candidate_entity_id) as fusion_rank from (select *, {score} as fusion_score from {inner})) where fusion_rank <= {k})"
+
+
+def _universe(depth: int) -> str:
+    return "(" + _EXTRA["uni"].replace("@depth@", str(depth)) + ")"
+
+
+def _record(name: str, depth: int, k: int, pairs: str) -> str:
+    """One record of the fusion grid."""
+    links = f"(select (c.source1_entity_id is not null) as legacy, (n.source1_entity_id is not null) as near, (f.source1_entity_id is not null) as final from truth left join (select * from ranked where cheap_rank <= 50) c using ({_P}) left join (select * from near where place <= {depth}) n using ({_P}) left join {pairs} f using ({_P}))"
+    return f"""select '{name}' as variant, {depth} as depth, {k} as final_k, m.*, legacy_true, legacy_retained, legacy_displaced, legacy_failures, failures_retrieved, failures_retained, failures_lost, round(case when legacy_true > 0 then legacy_retained / legacy_true else 1.0 end, 5) as retention
+  from (select {_METRICS} from {_counted(pairs)}) m, (select count(*) filter (legacy) as legacy_true, count(*) filter (legacy and final) as legacy_retained, count(*) filter (legacy and not final) as legacy_displaced, count(*) filter (not legacy) as legacy_failures, count(*) filter (not legacy and near) as failures_retrieved, count(*) filter (not legacy and final) as failures_retained, count(*) filter (not legacy and near and not final) as failures_lost from {links})"""
+
+
+def _grid() -> str:
+    rows = []
+    for depth in (20, 30):
+        uni = _universe(depth).replace("from cand c", "from (select * from ranked where cheap_rank <= 50) c")
+        norm = f"0.7 * {_minmax('legacy_score', 'legacy_rank')} + 0.3 * {_minmax('tfidf_similarity', 'tfidf_rank')} + 0.1 * supported_by_both"
+        quota = _QUOTA.replace("@legacy_quota@", "35").replace("@tfidf_quota@", "15").replace("@final_k@", "50").replace("from uni))", f"from {uni}))")
+        rows += [_record("quota 50=35+15", depth, 50, _ranked_fusion("fs", 50, quota)), _record("rrf 2:1/20", depth, 50, _ranked_fusion(_RRF, 50, uni)), _record("normalized 0.7:0.3+0.1", depth, 50, _ranked_fusion(norm, 50, uni))]
+        rows.append(_record("hybrid 50>=35", depth, 50, "(" + _protected(_RRF, uni, f"supported_by_both desc, {_LATE},", 50, 35) + ")"))
+    records = " union all ".join(rows)
+    return f"select * exclude (place), (place = 1)::bigint as best from (select *, row_number() over (order by pair_recall desc, oracle_f05 desc, retention desc, final_k, depth, variant) as place from ({records}))"
 
 
 def _block(channel: str) -> str:
@@ -207,6 +264,9 @@ _FEATURES = "name_full_exact, name_core_exact, name_sorted_exact, address_exact,
 
 
 def _twins() -> dict[str, str]:
+    from linkforge.operators.model import dense_grid, probability_grid
+    from linkforge.plans.stages import STRATEGIES
+
     return {
         "normalize_names": _sql("select entity_id, name_full, name_core, name_sorted, case when len(string_split(name_core, ' ')) between 2 and 10 then array_to_string(list_transform(string_split(name_core, ' '), lambda t: left(t, 1)), '') else '' end as name_acronym from norm"),
         "normalize_addresses": _sql("select entity_id, address_full, country_norm from norm"),
@@ -225,7 +285,8 @@ def _twins() -> dict[str, str]:
         "token_df": _sql("select scope, key, df from counts where channel = 'name_token'"),
         "df_eligibility_modes": _sql("select scope, mode, count(*) as tokens from (select c.scope, df, shard from counts c join (select country_norm as scope, count(*) as shard from feed group by 1) s on s.scope = c.scope where channel = 'name_token') x join (values ('absolute'), ('relative'), ('hybrid')) m(mode) on case mode when 'absolute' then df <= 10 when 'relative' then df / shard <= 0.02::double else df <= 3 or df / shard <= 0.02::double end group by all"),
         "posting_cap": _sql("select channel, count(*) as keys, sum(df)::bigint as postings from allowed group by 1"),
-        **{f"block_{n}": _block(c) for n, c in (("exact_full", "full"), ("exact_core", "core"), ("exact_sorted", "sorted"), ("exact_address", "address"), ("cross_country", "cross"), ("rare_name", "name_token"), ("rare_address", "address_token"))},
+        **{f"block_{n}": _block(c) for n, c in (("exact_full", "full"), ("exact_core", "core"), ("exact_sorted", "sorted"), ("exact_address", "address"), ("rare_name", "name_token"), ("rare_address", "address_token"))},
+        "block_cross_country": _sql("select l.entity_id as source1_entity_id, r.entity_id as candidate_entity_id, l.name_full as key from s1 l join (select *, count(*) over (partition by name_full) as df from feed) r on l.name_full = r.name_full and l.name_full <> '' and df <= @cap@ where l.country_norm <> case when regexp_extract(r.entity_id, '([0-9]+)$', 1)::bigint % 2 = 1 then r.country_norm || 'x' else r.country_norm end"),
         "block_ranked_rare": _sql("select entity_id, key from (select k.entity_id, k.key, row_number() over (partition by k.entity_id order by df, k.key) as place from keys k join counts c using (channel, scope, key) where channel = 'name_token' and k.entity_id like 'S1-%' and df <= @cap@) where place <= 2"),
         "candidates_union": _sql("select * from pairs"),
         "candidates_topk": _sql(f"select {_P}, cheap_score::double as cheap_score, cheap_rank, raw_candidate_count, least(raw_candidate_count, @k@) as final_candidate_count, left(candidate_entity_id, 2) as candidate_source from cand"),
@@ -235,7 +296,7 @@ def _twins() -> dict[str, str]:
         "tfidf_address_topk": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as address_tfidf_similarity, place as address_tfidf_rank from far"),
         "addr_pool": _sql(f"select {_P}, route_mask::bigint as route_mask, least_df, pool_size from ({_capped(_pool(_THREE), 1 << 30)})"),
         "addr_pool_capped": _sql(f"select {_P}, route_mask::bigint as route_mask, least_df from ({_capped(_pool(_THREE + ', ' + repr('postcode_prefix')), '@pool@')})"),
-        "addr_pool_diagnostics": _sql(f"select count(*) as n, min(n) as minimum, round(quantile_cont(n, 0.25), 5) as p25, round(quantile_cont(n, 0.5), 5) as median, round(quantile_cont(n, 0.75), 5) as p75, round(quantile_cont(n, 0.95), 5) as p95, max(n) as maximum from (select entity_id, count(candidate_entity_id) as n from s1 left join ({_capped(_pool(_THREE), '@pool@')}) p on p.source1_entity_id = entity_id group by 1)"),
+        "addr_pool_diagnostics": _sql(f"select count(*) as n, min(n) as minimum, round(quantile_cont(n, 0.05), 5) as p05, round(quantile_cont(n, 0.25), 5) as p25, round(quantile_cont(n, 0.5), 5) as median, round(quantile_cont(n, 0.75), 5) as p75, round(quantile_cont(n, 0.95), 5) as p95, max(n) as maximum from (select entity_id, count(candidate_entity_id) as n from s1 left join ({_capped(_pool(_THREE), '@pool@')}) p on p.source1_entity_id = entity_id group by 1)"),
         "addr_fallback": _sql(f"select {_P}, least_df, pool_size from {_fallback(repr('postcode'))}"),
         "addr_preblock_topk": _sql(f"""select {_P}, round(similarity::decimal(18, 9), 5)::double as address_tfidf_similarity, place as address_tfidf_rank, bit_count(route_mask)::bigint as address_route_count from (
   select *, row_number() over (partition by source1_entity_id order by similarity desc, candidate_entity_id) as place from (
@@ -269,17 +330,42 @@ def _twins() -> dict[str, str]:
   from (select entity_id, (select count(*) from truth t where t.source1_entity_id = entity_id) as nt, (select count(*) from cand c where c.source1_entity_id = entity_id) as nc, (select count(*) from truth t join cand c using (source1_entity_id, candidate_entity_id) where t.source1_entity_id = entity_id) as hit from s1)"""),
         "blocker_recovery": _sql(" union all ".join(f"select '{f}' as channel, coalesce(sum({f}), 0)::bigint as recovered, count(*) filter ({f} = 1 and {_SUM} = 1) as unique_links from lab where label = 1" for f in _FLAG_LIST)),
         "channel_overlap": _sql(" union all ".join(f"select '{a}' as channel, '{b}' as other, count(*) filter ({a} = 1 and {b} = 1) as links from lab where label = 1" for i, a in enumerate(_FLAG_LIST) for b in _FLAG_LIST[i + 1 :])),
-        "threshold_sweep": _sql(_sweep("rule_score", _GRID).replace("select threshold, round", "select threshold::double as threshold, round", 1)),
-        "rule_threshold": _sql("select * from (" + _sweep("rule_score", _RULES).replace("select threshold, round", "select threshold::double as threshold, round", 1) + ") order by macro_f05 desc, micro_precision desc, threshold desc limit 1"),
+        "threshold_sweep": _sql(_sweep("rule_score", _GRID)),
+        "rule_threshold": _sql(_best(_sweep("rule_score", _RULES, digits=12), "micro_precision desc, threshold desc")),
         "country_thresholds": _sql(f"select {_P}, round(rule_score, 5) as rule_score from ruled where rule_score >= case country when 'en' then 0.95 when 'fr' then 0.85 else 0.9 end"),
-        "blend_sweep": _sql(" union all ".join("select *, " + f"{a}::double as alpha from (" + _sweep(f"round(rule_score * {a} + name_token_jaccard * {1 - a}, 9)", [0.5, 0.8, 0.9]).replace("select threshold, round", "select threshold::double as threshold, round", 1) + ")" for a in (0.0, 0.5, 1.0))),
+        "blend_sweep": _sql(" union all ".join("select *, " + f"{a}::double as alpha from (" + _sweep(f"round(rule_score * {a} + name_token_jaccard * {1 - a}, 9)", [0.5, 0.8, 0.9]) + ")" for a in (0.0, 0.5, 1.0))),
         "model_disagreement": _sql("select case when rule_score >= 0.9 and name_token_jaccard >= 0.8 then 'both' when rule_score >= 0.9 then 'only_a' when name_token_jaccard >= 0.8 then 'only_b' else 'neither' end as decision, count(*) as pairs, sum(label)::bigint as true_pairs from lab group by 1"),
         "fn_decomposition": _sql("select s.country_norm as country, case when p.source1_entity_id is not null then 'found' when c.source1_entity_id is not null then 'rejected' else 'not_retrieved' end as outcome, count(*) as links from truth t join s1 s on s.entity_id = t.source1_entity_id left join cand c using (source1_entity_id, candidate_entity_id) left join pred p using (source1_entity_id, candidate_entity_id) group by all"),
         "fp_taxonomy": _sql("select case when name_full_exact = 1 and address_exact = 0 then 'exact name, different address' when numeric_token_conflict = 1 then 'address-number conflict' when address_exact = 1 and name_core_exact = 0 then 'exact address, different name' else 'other similarity collision' end as pattern, count(*) as pairs from lab where label = 0 and rule_score >= 0.5 group by 1"),
         "average_precision": _sql("select round(sum(tp * tps / ns) / sum(tp), 5) as average_precision from (select tp, sum(tp) over (order by rule_score desc)::double as tps, sum(n) over (order by rule_score desc) as ns from (select rule_score, sum(label)::double as tp, count(*) as n from lab group by 1))"),
-        "score_distribution": _sql("select label, count(*) as n, round(min(rule_score), 5) as minimum, round(quantile_cont(rule_score, 0.25), 5) as p25, round(quantile_cont(rule_score, 0.5), 5) as median, round(quantile_cont(rule_score, 0.75), 5) as p75, round(quantile_cont(rule_score, 0.95), 5) as p95, round(max(rule_score), 5) as maximum from lab group by 1"),
+        "score_distribution": _sql("select label, count(*) as n, round(min(rule_score), 5) as minimum, round(quantile_cont(rule_score, 0.05), 5) as p05, round(quantile_cont(rule_score, 0.25), 5) as p25, round(quantile_cont(rule_score, 0.5), 5) as median, round(quantile_cont(rule_score, 0.75), 5) as p75, round(quantile_cont(rule_score, 0.95), 5) as p95, round(max(rule_score), 5) as maximum from lab group by 1"),
         "submission_matching": _sql("select entity_id as source1_entity_id, coalesce((select string_agg(candidate_entity_id, ',' order by candidate_entity_id) from truth t where t.source1_entity_id = entity_id), '') as matched_entity_ids from s1"),
         "submission_candidates": _sql("select entity_id as source1_entity_id, coalesce((select string_agg(candidate_entity_id, ',' order by cheap_rank) from cand t where t.source1_entity_id = entity_id and cheap_rank <= 5), '') as candidate_entity_ids from s1"),
+        "truth_links": _sql(f"select {_P}, country, candidate_country, bucket, left_name, right_name from links"),
+        "channel_diagnosis": _sql(f"""select channel, level, value, count(*) as true_links, count(alone) as recovered, count(*) filter (alone) as unique_links from (
+  select channel, alone, unnest(['all', 'country', 'bucket']) as level, unnest(['all', country, bucket]) as value from (select l.*, channel from links l, (select unnest(['full', 'core', 'sorted', 'address', 'cross', 'name_token', 'address_token']) as channel)) l
+  left join (select *, count(*) over (partition by {_P}) = 1 as alone from (select distinct {_P}, channel from linkkeys where frequent and not capped)) k using ({_P}, channel)) group by 1, 2, 3"""),
+        "suppressed_postings": _sql("select channel, count(*) filter (frequent and capped) as suppressed from linkkeys group by 1"),
+        "retrieval_bundle": _sql(f"select level, value, {_METRICS} from (select c.*, unnest(['overall', 'heldout', 'country']) as level, unnest(['all', case when {_held(202603)} then 'all' end, case when {_held(202603)} then country end]) as value from {_counted(_ranked_fusion(_RRF, '@final_k@', 'uni'))} c) where value is not null group by 1, 2"),
+        "label_metrics": _sql(f"select 'total_candidate_pairs' as metric, 'all' as value, count(*) as n from lab union all select 'recovered_positives', 'all', count(*) from lab where label = 1 having count(*) > 0 union all select 'negatives', 'all', count(*) from lab where label = 0 union all select 'positives_by_source', left(candidate_entity_id, 2), count(*) from lab where label = 1 group by 2 union all select 'positives_by_country', country, count(*) from lab where label = 1 group by 2 union all select 'missed_positives', 'all', count(*) from truth anti join lab using ({_P}) having count(*) > 0"),
+        "pair_summary": _sql("select count(distinct source1_entity_id) as entities, count(*) as pairs, sum(label)::bigint as positive_pairs, count(*) filter (label = 0) as negative_pairs, round(sum(label) / count(*) filter (label = 0), 5) as positive_negative_ratio, round(count(*) / count(distinct source1_entity_id), 5) as average_pairs, sum(source_is_s2)::bigint as pairs_s2, sum(source_is_s3)::bigint as pairs_s3, (sum(label) filter (source_is_s2 = 1))::bigint as positives_s2, (sum(label) filter (source_is_s3 = 1))::bigint as positives_s3 from lab"),
+        "probability_metrics": _sql("select round(sum((n - tp) * (tps - tp + 0.5 * tp)) / (sum(tp) * sum(n - tp)), 5) as roc_auc, round(sum(tp * tps / ns) / sum(tp), 5) as average_precision, round(sum(-(tp * ln(p) + (n - tp) * ln(1 - p))) / sum(n), 5) as log_loss from (select tp, n, greatest(least(rule_score, 1 - 1e-15::double), 1e-15::double) as p, sum(tp) over (order by rule_score desc)::double as tps, sum(n) over (order by rule_score desc)::double as ns from (select rule_score, sum(label)::double as tp, count(*) as n from lab group by 1))"),
+        "truth_distribution": _sql("select case when nt >= 3 then '3+' else nt::varchar end as bucket, count(*) as entities from (select entity_id, (select count(*) from truth where source1_entity_id = entity_id) as nt from s1) group by 1"),
+        "dense_sweep": _sql(_best(_sweep("rule_score", dense_grid(), digits=12), "threshold")),
+        "probability_threshold": _sql(_best(_sweep("rule_score", probability_grid(), digits=12), "micro_precision desc, threshold desc")),
+        "country_sweep": _sql(_best(_sweep("rule_score", dense_grid(0.5, 0.98, 25), digits=12, by="country, "), "threshold", "country, ")),
+        "blend_by_country": _sql(" union all ".join(f"select *, {a}::double as alpha from (" + _sweep(f"round(rule_score * {a} + name_token_jaccard * {1 - a}, 9)", [0.5, 0.8, 0.9], by="country, ") + ")" for a in (0.0, 0.25, 1.0))),
+        "fused_relative_features": _sql(f"""select {_P}, row_number() over (partition by source1_entity_id order by nj desc, candidate_entity_id) as relative_name_rank, row_number() over (partition by source1_entity_id order by aj desc, candidate_entity_id) as relative_address_rank, row_number() over (partition by source1_entity_id order by tfidf_similarity desc, candidate_entity_id) as relative_tfidf_rank, row_number() over (partition by source1_entity_id order by fusion_score desc, candidate_entity_id) as relative_fusion_rank,
+  round(nb[1] - coalesce(nb[2], nb[1]), 5) as name_top_margin, round(ab[1] - coalesce(ab[2], ab[1]), 5) as address_top_margin, round(tb[1] - coalesce(tb[2], tb[1]), 5) as tfidf_top_margin, round(fb - fusion_score, 5) as fusion_gap_to_best, sum((nj >= nb[1] - 0.05::double)::int) over (partition by source1_entity_id)::bigint as close_competitor_count
+  from (select *, list_sort(list(nj) over w, 'desc') as nb, list_sort(list(aj) over w, 'desc') as ab, list_sort(list(tfidf_similarity) over w, 'desc') as tb, max(fusion_score) over w as fb from (select f.* replace (fusion_score::double as fusion_score), {_jaccard('l.name_tokens', 'r.name_tokens')} as nj, {_jaccard('l.address_tokens', 'r.address_tokens')} as aj from {_ranked_fusion(_RRF, '@final_k@', 'uni')} f join s1 l on l.entity_id = source1_entity_id join feed r on r.entity_id = candidate_entity_id) window w as (partition by source1_entity_id))"""),
+        "displaced_links": _sql(f"select {_P}, legacy_rank, round(legacy_score, 5) as legacy_score, tfidf_rank, round(tfidf_similarity::decimal(18, 9), 5)::double as tfidf_similarity, (s.source1_entity_id is not null)::bigint as recovered from truth join uni u using ({_P}) anti join {_ranked_fusion('fs', 4, _QUOTA.replace('@legacy_quota@', '2').replace('@tfidf_quota@', '2').replace('@final_k@', '4'))} q using ({_P}) left join (select {_P}, 1 as one from {_ranked_fusion(_RRF, '@final_k@', 'uni')}) s using ({_P}) where legacy_rank > 0".replace("(s.source1_entity_id is not null)", "(s.one is not null)")),
+        "blocked_out": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as name_tfidf_similarity from truth anti join (select * from ranked where cheap_rank = 1) c using ({_P}) left join near using ({_P})"),
+        "error_examples": _sql(f"select {_P}, round(rule_score, 5) as rule_score from lab where label = 0 and rule_score >= 0.5 order by lab.rule_score desc, {_P} limit 15"),
+        "link_outcomes": _sql(f"select (c.one is not null)::bigint as candidates, (n.one is not null)::bigint as near, count(*) as links from truth left join (select {_P}, 1 as one from cand) c using ({_P}) left join (select {_P}, 1 as one from near) n using ({_P}) group by 1, 2"),
+        "fusion_grid": _sql(_grid()),
+        "posting_cap_scaled": _sql("select channel, count(*) as keys, sum(df)::bigint as postings from (select c.*, coalesce(shard, 0) as shard from counts c left join (select country_norm as scope, count(*) as shard from feed group by 1) s on s.scope = c.scope) where case when channel in ('name_token', 'address_token') then df <= 15 and df <= least(greatest(5, ceil(shard * 0.04::double)), 12) else df <= 5 end group by 1"),
+        "stage_retrieval_union": _sql(" union all ".join(f"select '{n}@{k}' as variant, {_METRICS} from {_counted(t.format(k=k))}" for n, t in (("blocking", "(select * from ranked where cheap_rank <= {k})"), ("union", f"(select {_P} from (select *, row_number() over (partition by source1_entity_id order by s desc, candidate_entity_id) as cheap_rank from (select {_P}, (coalesce(cheap_score, 0)::double - 0.5 * coalesce(same_country_block, 0)::double + 0.5 * (case when n.place is not null then 1 else coalesce(same_country_block, 0) end) + 4.0::double * coalesce(similarity, 0))::float as s from scores c full join near n using ({_P}))) where cheap_rank <= {{k}})")) for k in (20, 30, 50, 75, 100))),
+        "pool_sizes": _sql(" union all ".join(_pool_stats(n, ", ".join(map(repr, routes)), limits) for n, (routes, limits) in STRATEGIES.items())),
         "tfidf_vocab_cap": "with " + ",\n".join(f"{n} as materialized ({_CTES[n]})" for n in ("rec", "base", "cored", "norm", "feed")) + "," + _vocab("nt", "name_core", 50) + "\nselect country, gram, df, round(idf, 5) as idf from nt_v",
     }
 

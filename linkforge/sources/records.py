@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,6 +94,68 @@ def read_cache(spark: SparkSession, path: str, fingerprint: str | None = None) -
     return spark.read.parquet(path)
 
 
+def staged(frame: DataFrame) -> DataFrame:
+    """Write a frame to the folder that driver and executors share and read it again: it is made once, and survives lost executors.
+
+    The folder is that of ``spark.checkpoint.dir``; only in local mode one is made where that is unset.
+    """
+    spark = frame.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if own.isEmpty():
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="linkforge-"))
+            own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        folder = own.get()
+    path = f"{folder.rstrip('/')}/frame-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def latest(spark: SparkSession, pattern: str) -> str:
+    """The path that matches ``pattern`` and was changed last; an error if none does."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    if not found:
+        raise FileNotFoundError(pattern)
+    return max(((f.getModificationTime(), f.getPath().toString()) for f in found))[1]
+
+
+def check_records(records: DataFrame, prefixes: tuple[str, ...]) -> None:
+    """Raises unless the columns that operators read are there and every id has one of the prefixes."""
+    if missing := [c for c in ("entity_id", "name_full", "address_full", "country_norm") if c not in records.columns]:
+        raise DataValidationError(f"missing columns {missing}")
+    known = F.lit(False)
+    for prefix in prefixes:
+        known = known | F.col("entity_id").startswith(prefix)
+    if bad := [r.entity_id for r in records.where(~F.coalesce(known, F.lit(False))).select("entity_id").limit(5).collect()]:
+        raise DataValidationError(f"ids without a prefix of {prefixes}: {bad}")
+
+
+def check_unique(frame: DataFrame, *keys: str) -> None:
+    """Raises if some rows agree in the keys, as a one-to-one or many-to-one join needs them not to."""
+    if bad := [tuple(r)[:-1] for r in frame.groupBy(*keys).count().where("count > 1").limit(5).collect()]:
+        raise DataValidationError(f"repeated {keys}: {bad}")
+
+
+def write_artifacts(frames: dict[str, DataFrame], folder: str, metadata: dict) -> None:
+    """Each frame as a cache of its own under ``folder``; refuses to overwrite any."""
+    for name, frame in frames.items():
+        write_cache(frame, f"{folder}/{name}", {**metadata, "artifact": name})
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A JSON report with sorted keys, as one text file; refuses to overwrite."""
+    spark.createDataFrame([(json.dumps(report, sort_keys=True, default=float),)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+
+
+def event(name: str, **details) -> None:
+    """One line of the event log on standard output."""
+    print(json.dumps({"event": name, **details}, sort_keys=True, default=float), flush=True)
+
+
 def normalize_records(records: DataFrame) -> DataFrame:
     """Source records with their canonical name, address and country views."""
     out = records.withColumns({"name_raw": F.col("business_name"), "name_full": T.canonical(F.col("business_name"), True), "address_raw": F.col("business_address"), "address_full": T.canonical(F.col("business_address")), "country_norm": T.fold_country(F.coalesce("country", F.lit("")))})

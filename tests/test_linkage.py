@@ -1,11 +1,16 @@
 """Behaviour of the record-linkage operators on small frames."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from linkforge.config import LinkConfig
-from linkforge.operators import blocking, evaluation, fusion, sampling, submission
+from linkforge import cli
+from linkforge.operators import blocking, diagnosis, evaluation, features, fusion, model, sampling, submission
+from linkforge.plans import stages
 from linkforge.sources import records
+from linkforge.streaming import incremental
 
 COLUMNS = "entity_id string, business_name string, business_address string, country string"
 
@@ -96,3 +101,177 @@ def test_tsv(spark, tmp_path):
     assert tuple(records.load_source(spark, path, "S2").first()) == ("S2-001", "NA", "", "US")
     with pytest.raises(records.DataValidationError):
         records.load_source(spark, path, "S3")
+
+
+def small(spark):
+    source = frame(spark, [("S1-1", "Blue Harbour Traders Ltd", "12 Mill Road 56001", "US"), ("S1-2", "Maison Rouge", "", "France")])
+    feed = frame(spark, [("S2-1", "Blue Harbour Traders", "12 Mill Road 56001", "US"), ("S2-2", "Harbour Lights", "9 Pier 10002", "US"), ("S3-1", "Maison Rouge SARL", "4 rue X 75001", "France"), ("S3-2", "Other Firm", "", "US")])
+    truth = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S3-1")], "source1_entity_id string, candidate_entity_id string")
+    return source, feed, truth
+
+
+def test_submission_files(spark, tmp_path):
+    source, feed, _ = small(spark)
+    folder = str(tmp_path / "out")
+    paths = stages.submit(source, feed, LinkConfig(), folder)
+    matched = {r[0]: r[1] for r in records.read_tsv(spark, paths[0], ["source1_entity_id", "matched_entity_ids"]).collect()}
+    assert matched == {"S1-1": "S2-1", "S1-2": "S3-1"}
+    with pytest.raises(Exception, match="exists"):
+        stages.submit(source, feed, LinkConfig(), folder)
+    ids, wrong = source.select(F.col("entity_id").alias("source1_entity_id")), spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "S9-9")], "source1_entity_id string, matched_entity_ids string")
+    listed = spark.createDataFrame([("S1-1", "S2-1"), ("S1-2", "")], "source1_entity_id string, candidate_entity_ids string")
+    with pytest.raises(records.DataValidationError, match="wrong_prefix"):
+        submission.write_submission(ids, feed, wrong, listed, str(tmp_path / "bad"))
+    with pytest.raises(records.DataValidationError, match="expected columns"):
+        submission.write_submission(ids, feed, listed, listed, str(tmp_path / "bad"))
+
+
+def test_evaluate_report(spark, tmp_path, capsys):
+    report = stages.evaluate(*small(spark), LinkConfig(), str(tmp_path / "run"))
+    assert report["overall"][0]["macro_f05"] == 1.0 and set(report["seconds"]) == {"normalized", "candidates", "features", "evaluated"}
+    assert [json.loads(x)["event"] for x in capsys.readouterr().out.splitlines()] == ["normalized", "candidates", "features", "evaluated"]
+    saved = json.loads(spark.read.text(str(tmp_path / "run/report")).first()[0])
+    assert saved["config"]["fingerprint"] == LinkConfig().fingerprint()
+    with pytest.raises(records.DataValidationError):
+        records.read_cache(spark, str(tmp_path / "run/features"), "other")
+    assert records.latest(spark, str(tmp_path / "run/*.meta")).endswith(".meta")
+    with pytest.raises(FileNotFoundError):
+        records.latest(spark, str(tmp_path / "none*"))
+
+
+def test_guards(spark):
+    source, feed, truth = small(spark)
+    records.check_records(feed, ("S2-", "S3-"))
+    with pytest.raises(records.DataValidationError, match="S3-1"):
+        records.check_records(feed, ("S2-",))
+    with pytest.raises(records.DataValidationError, match="missing columns"):
+        records.check_records(truth.withColumnRenamed("source1_entity_id", "entity_id"), ("S1-",))
+    records.check_unique(truth, "source1_entity_id", "candidate_entity_id")
+    with pytest.raises(records.DataValidationError):
+        records.check_unique(truth.unionByName(truth), "source1_entity_id")
+    stray = truth.unionByName(spark.createDataFrame([("S1-9", "S2-1")], truth.schema))
+    assert pairs(features.missing_records(stray, source, feed)) == {("S1-9", "S2-1")}
+    rows = spark.createDataFrame([(1, 0.5, None)], "label int, a double, b double")
+    for bad in (["a", "a"], ["label"], ["c"], ["a", "b"]):
+        with pytest.raises(ValueError):
+            model.check_features(rows, bad)
+
+
+def test_files(spark, tmp_path):
+    path = str(tmp_path / "truth.tsv")
+    with open(path, "w") as f:
+        f.write("source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1, S3-2\nS1-2\t\n")
+    truth = records.load_truth(spark, path, validate=False)
+    assert pairs(records.explode_truth(truth)) == {("S1-1", "S2-1"), ("S1-1", "S3-2")}
+    assert records.count_tsv_rows(spark, path) == 2 and records.inspect_tsv(spark, path)["columns"] == records.TRUTH_COLUMNS
+    with open(path, "a") as f:
+        f.write("S1-3\tS2-1,S2-1\n")
+    with pytest.raises(records.DataValidationError):
+        records.load_truth(spark, path)
+    with pytest.raises(records.DataValidationError, match="expected columns"):
+        records.read_tsv(spark, path, ["a", "b"])
+
+
+def test_rule_score_and_ratio(spark):
+    """The score with the character ratio against a direct version of its rules."""
+    import difflib
+
+    source, feed, _ = small(spark)
+    found = blocking.generate_candidates(source, feed, LinkConfig())
+    rows = features.rule_score(features.pair_features(features.join_records(found, source, feed))).collect()
+    names = {r.entity_id: r for r in source.unionByName(feed).collect()}
+    assert len(rows) >= 2
+    for r in rows:
+        l, o = names[r.source1_entity_id], names[r.candidate_entity_id]
+        ratio = difflib.SequenceMatcher(None, l.name_full, o.name_full, autojunk=False).ratio()
+        assert r.name_character_similarity == pytest.approx(ratio)
+        exact = r.name_full_exact or r.name_core_exact or r.name_sorted_exact
+        support = r.address_token_jaccard >= 0.25 or r.numeric_token_overlap > 0 or r.address_exact
+        strong = r.address_token_jaccard >= 0.6 or r.address_exact
+        floors = [0.5 * ratio + 0.25 * r.name_token_jaccard + 0.2 * r.address_token_jaccard + 0.05 * r.name_length_ratio, 0.85 * r.name_sorted_exact, 0.88 * r.name_core_exact, 0.9 * r.name_full_exact, 0.93 * bool(exact and r.same_country)]
+        floors += [0.97 * bool(exact and r.same_country and support), 0.95 * bool(ratio >= 0.92 and strong and r.same_country and not r.numeric_token_conflict), 0.94 * bool(r.address_exact and r.name_token_jaccard >= 0.5 and r.same_country)]
+        assert r.rule_score == pytest.approx(min(1, max(0, max(floors) - 0.35 * r.country_conflict - 0.12 * r.numeric_token_conflict)))
+
+
+def test_sweeps(spark):
+    """The sweep by changes against counting at every threshold, apart by a column and by groups."""
+    import random
+
+    rng = random.Random(5)
+    ids = spark.createDataFrame([(f"a{i}", "x" if i % 2 else "y") for i in range(12)], "source1_entity_id string, country string")
+    scored = [(f"a{rng.randrange(10)}", f"c{i}", round(rng.random(), 2), round(rng.random(), 2)) for i in range(60)]
+    true = {(a, c) for a, c, *_ in scored if rng.random() < 0.4} | {("a11", "z")}
+    truth = spark.createDataFrame(sorted(true), "source1_entity_id string, candidate_entity_id string")
+    rows = spark.createDataFrame(scored, "source1_entity_id string, candidate_entity_id string, p double, q double")
+    grid, alphas = [0.1, 0.25, 0.5, 0.75, 0.99], [0.0, 0.4, 1.0]
+    got = {(r.alpha, r.country, r.threshold): (r.macro_f05, r.micro_precision) for r in evaluation.blend_sweep(ids, truth, rows, "p", "q", alphas, grid, ("country",)).collect()}
+    assert len(got) == 30
+    for (alpha, country, t), found in got.items():
+        total, hits, guesses, own = 0.0, 0, 0, [i for i in range(12) if (i % 2 == 1) == (country == "x")]
+        for i in own:
+            want = {p for p in true if p[0] == f"a{i}"}
+            said = {(a, c) for a, c, p, q in scored if a == f"a{i}" and round(p * alpha + q * (1 - alpha), 9) >= t}
+            tp = len(want & said)
+            total += 1.0 if not want and not said else 1.25 * tp / (1.25 * tp + 0.25 * (len(want) - tp) + len(said) - tp)
+            hits, guesses = hits + tp, guesses + len(said)
+        assert found == pytest.approx((total / len(own), hits / guesses if guesses else 0.0))
+    best = evaluation.best_threshold(evaluation.threshold_sweep(ids, truth, rows, "p", grid), True).collect()
+    assert len(best) == 1 and len(model.dense_grid()) == 500 and model.dense_grid()[-1] == pytest.approx(0.995) and len(model.probability_grid()) == 105
+
+
+def test_taxonomies(spark):
+    columns = "l_name_core string, r_name_core string, l_business_name string, r_business_name string, charsim double, name_jaccard double, address_jaccard double"
+    cases = [(("a b", "c d", "A dba B", "x", 0.9, 0.9, 0.9), "DBA/trade-name mismatch"), (("alpha", "omega", "", "", 0.1, 0.0, 0.5), "address-only evidence"), (("müller", "muller", "", "", 0.8, 0.0, 0.1), "transliteration/script mismatch"), (("blue sky", "sky blue", "", "", 0.5, 1.0, 0.0), "token reordering"), (("big blue sky", "bbs", "", "", 0.2, 0.0, 0.0), "abbreviation"), (("acme1", "acme2", "", "", 0.8, 0.0, 0.0), "very short/generic name"), (("harbour trading", "zarbaur drading", "", "", 0.6, 0.0, 0.0), "severe spelling corruption"), (("harbour trading", "harbour tradings", "", "", 0.9, 0.3, 0.0), "other")]
+    rows = spark.createDataFrame([c for c, _ in cases], columns)
+    assert [r.x for r in rows.select(diagnosis.remaining_failure().alias("x")).collect()] == [k for _, k in cases]
+    marks = "numeric_token_conflict int, name_full_exact int, name_core_exact int, name_sorted_exact int, address_exact int, address_token_jaccard double, name_character_similarity double, name_shared_token_count int, address_missing_left int, address_missing_right int, l_name_core string, r_name_core string"
+    kinds = [((1, 0, 0, 0, 0, 0.0, 0.5, 3, 0, 0, "a", "b"), "numeric-address conflict", "numeric-address conflict"), ((0, 1, 1, 1, 0, 0.1, 1.0, 3, 1, 0, "a", "b"), "same name / different address", "missing address"), ((0, 0, 0, 0, 1, 1.0, 0.6, 3, 0, 0, "ä", "b"), "same address / different business", "transliteration"), ((0, 0, 1, 1, 0, 0.9, 0.9, 3, 0, 0, "a", "b"), "legal suffix only", "other"), ((0, 1, 1, 1, 0, 0.4, 1.0, 3, 0, 0, "a", "b"), "location ambiguity", "other"), ((0, 0, 0, 0, 0, 0.9, 0.5, 3, 0, 0, "a", "b"), "strong lexical noise", "other"), ((0, 0, 0, 0, 0, 0.2, 0.8, 1, 0, 0, "a", "b"), "generic/common business name", "strong name / weak address"), ((0, 0, 0, 0, 0, 0.9, 0.8, 3, 0, 0, "a", "b"), "other high similarity collision", "other")]
+    found = spark.createDataFrame([k[0] for k in kinds], marks).select(diagnosis.model_false_positive().alias("a"), diagnosis.classifier_failure().alias("b")).collect()
+    assert [(r.a, r.b) for r in found] == [k[1:] for k in kinds]
+
+
+def test_models_and_projection(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(f"S1-{i}", "S2-1", x := rng.random(), y := rng.random(), int(x + 0.3 * y > 0.6), i >= 80) for i in range(120)], "source1_entity_id string, candidate_entity_id string, x1 double, x2 double, label int, is_validation boolean")
+    fits = [model.fit(rows.where("not is_validation"), ["x1", "x2"], rounds=5, min_rows=5, seed=7) for _ in range(2)]
+    runs = [[r.score for r in model.predict(m, rows).orderBy("source1_entity_id").collect()] for m in fits]
+    assert runs[0] == runs[1] and all(0 <= s <= 1 for s in runs[0]) and len(set(runs[0])) > 2
+    forest = model.fit_second(rows, ["x1", "x2"], trees=5)
+    shares = [spark.createDataFrame(model.importances(m, ["x1", "x2"]), "feature string, gain double") for m in (fits[0], forest)]
+    change = {r.feature: r for r in diagnosis.importance_change(*shares).collect()}
+    assert sum(r.before for r in change.values()) == pytest.approx(1) and sum(r.change for r in change.values()) == pytest.approx(0)
+    assert model.gain_shares({"same_country": 1.0, "x": 3.0})["country"] == 0.25
+    assert diagnosis.runtime_projection(10, 5, 100, 1000, 100, 2000, 300) == pytest.approx({"feed_scale": 2.0, "query_scale": 3.0, "projected_build_seconds": 20.0, "projected_query_seconds": 15.0, "projected_total_seconds": 35.0, "projected_total_hours": 35 / 3600, "projected_index_bytes": 200})
+    hard = spark.createDataFrame([(1, 1, 1, 1, 0.5, 0.4, 0.3, 2.0)], "fusion_rank int, relative_name_rank int, relative_tfidf_rank int, relative_address_rank int, name_character_similarity double, address_token_jaccard double, name_tfidf_similarity double, legacy_score double")
+    assert hard.select(features.hardness().alias("h")).first().h == pytest.approx(1 + 0.5 + 0.375 + 0.25 + 0.1 + 0.06 + 0.03 + 0.04)
+
+
+def test_first_entities_and_sufficient_k(spark):
+    ids = spark.createDataFrame([(f"S1-{i}",) for i in range(30)], "source1_entity_id string")
+    some = [r[0] for r in sampling.first_entities(ids, 5, 42).collect()]
+    assert some == [r[0] for r in sampling.first_entities(ids.orderBy(F.rand(1)), 5, 42).collect()] and len(some) == 5
+    assert blocking.smallest_sufficient([(10, 0.8), (20, 0.8997), (30, 0.9)], 0.0005) == 20
+
+
+def test_stream(spark, tmp_path):
+    """A feed that arrives as a stream gives the candidates of the same feed at rest."""
+    rows = [("S2-1", "Blue Harbour Traders", "12 Mill Road 56001", "US"), ("S3-1", "Maison Rouge SARL", "", "France")]
+    spark.createDataFrame(rows, COLUMNS).coalesce(1).write.parquet(str(tmp_path / "in"))
+    source, _, _ = small(spark)
+    arriving = spark.readStream.schema(COLUMNS).parquet(str(tmp_path / "in"))
+    incremental.link_stream(arriving, source, str(tmp_path / "out"), str(tmp_path / "state"), LinkConfig()).awaitTermination(120)
+    assert pairs(spark.read.parquet(str(tmp_path / "out"))) == pairs(blocking.generate_candidates(source, frame(spark, rows), LinkConfig()))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    lines = {"s1": ["S1-1\tBlue Harbour\t1 Road 56001\tUS"], "s2": ["S2-1\tBlue Harbour\t1 Road 56001\tUS"], "s3": ["S3-1\tOther\t\tUS"]}
+    for name, own in lines.items():
+        (tmp_path / f"{name}.tsv").write_text("\n".join(["entity_id\tbusiness_name\tbusiness_address\tcountry", *own]) + "\n")
+    args = ["--source1", str(tmp_path / "s1.tsv"), "--feed", str(tmp_path / "s2.tsv"), str(tmp_path / "s3.tsv"), "--out", str(tmp_path / "out")]
+    assert cli.main(["--stage", "audit", *args]) == 0
+    with pytest.raises(SystemExit):
+        cli.main(["--stage", "submit", *args])
+    assert cli.main(["--stage", "submit", "--confirm", *args]) == 0 and cli.main(["--stage", "validate", *args]) == 0
+    assert '"rows": 1' in capsys.readouterr().out
