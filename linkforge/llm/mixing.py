@@ -119,7 +119,7 @@ def shard_quotas(plans: list[SourcePlan], shards: int) -> list[list[int]]:
     return [[b - a for a, b in zip(x, y)] for x, y in zip(sums, sums[1:])]
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, carry: list[str] | None = None, rows_a_bucket: int = 2000) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, carry: list[str] | None = None, rows_a_bucket: int = 256) -> DataFrame:
     """``carry`` columns (by default all) with ``size, source_size, target, taken`` of every row.
 
     size counts words, null text none; taken is how many of the row's words, repeats counted, lie in taken
@@ -166,7 +166,7 @@ def _taken(docs: DataFrame, keep: list[str], stage: bool, id_col: str, text_col:
     return placed.select("carry", "size", "source_size", "target", taken.alias("taken"), "ix", "bucket", "by", "h")
 
 
-def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, rows_a_bucket: int = 2000) -> DataFrame:
+def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, blocks: int = 1 << 17, seed: int = 3, rows_a_bucket: int = 256) -> DataFrame:
     """``docs``, whole rows of a mix, all their columns; wordless ones once.
 
     A document of a share taken/size is due that many copies. The shares are summed along the source's line,
