@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -9,41 +11,101 @@ from pyspark.sql import functions as F
 
 from linkforge.config import LinkConfig
 from linkforge.functions import text as T
+from linkforge.sources.records import staged
 
 ROUTES = {"postcode": 1, "postcode_prefix": 2, "numeric": 4, "rare_token": 8}
 
 
+_U = np.uint64
+
+
 def gram_counts(records: DataFrame, column: str, config: LinkConfig) -> DataFrame:
+    """``(entity_id, country, gram, tf)`` by built-in functions alone."""
     grams = T.char_ngrams(F.col(column), *config.ngrams)
     return records.select("entity_id", F.col("country_norm").alias("country"), F.explode(grams).alias("gram")).groupBy("entity_id", "country", "gram").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def vocabulary(counts: DataFrame, feed: DataFrame, config: LinkConfig) -> DataFrame:
-    """``(country, gram, df, idf)`` of the feed shard, capped to the grams with the largest corpus frequency."""
-    shards = feed.groupBy(F.col("country_norm").alias("country")).agg(F.count(F.lit(1)).alias("n"))
-    out = counts.groupBy("country", "gram").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= config.min_df)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0x9E3779B97F4A7C15)
+    return x ^ (x >> _U(29))
+
+
+def _grams(texts: list[str | None], low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, first code, length) of the n-grams of all words, each padded with a blank on both sides, and the codes."""
+    if low > 3:
+        raise ValueError("n-grams begin at 3 or less: a padded word has at least 3 characters")
+    split = [[w for w in (t or "").split(" ") if w] for t in texts]
+    words = [w for own in split for w in own]
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    end = np.repeat(np.cumsum(sizes), sizes)
+    owner = np.repeat(np.repeat(np.arange(len(texts)), [len(own) for own in split]), sizes)
+    place, out = np.arange(len(codes)), []
+    key = codes.copy()
+    for n in range(1, high + 1):
+        if n > 1:
+            key = _mix(key[: len(codes) - n + 1]) * _U(0x110000) + codes[n - 1 :]
+        if n >= low:
+            ok = np.flatnonzero(place[: len(key)] + n <= end[: len(key)])
+            out.append((owner[ok], _mix(key[ok] + _U(n)), ok, np.full(len(ok), n)))
+    return *(np.concatenate(x) for x in zip(*out)), codes
+
+
+def _runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first of each run of equal keys in it), by the first key, then the next."""
+    order = np.lexsort(keys[::-1])
+    fresh = np.zeros(len(order), dtype=bool)
+    fresh[:1] = True
+    for k in keys:
+        fresh[1:] |= k[order][1:] != k[order][:-1]
+    return order, np.flatnonzero(fresh)
+
+
+def packed_grams(records: DataFrame, column: str, config: LinkConfig) -> DataFrame:
+    """``(id, country, g, tf)``: each record's distinct n-grams, as 64-bit hashes, with their counts in one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, h, _, _, _ = _grams(batch.column("t").to_pylist(), *config.ngrams)
+            order, first = _runs(text, h)
+            own = order[first]
+            offsets = pa.array(np.searchsorted(text[own], np.arange(batch.num_rows + 1)), pa.int32())
+            tf = np.diff(np.append(first, len(order)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("country"), pa.ListArray.from_arrays(offsets, pa.array(h[own].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(tf, pa.int32()))], ["id", "country", "g", "tf"])
+
+    rows = records.select(F.col("entity_id").alias("id"), F.col("country_norm").alias("country"), F.col(column).alias("t"))
+    return rows.mapInArrow(run, "id string, country string, g array<long>, tf array<int>")
+
+
+def vocabulary(feed: DataFrame, column: str, config: LinkConfig) -> DataFrame:
+    """``(country, h, gram, df, idf)`` of the feed shard, capped to the grams with the largest corpus frequency; h is the gram's hash.
+
+    Each batch of records counts its grams before the shuffle.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = batch.column("country").dictionary_encode()
+            text, h, at, n, codes = _grams(batch.column("t").to_pylist(), *config.ngrams)
+            country = shard.indices.to_numpy()[text]
+            order, first = _runs(country, h, text)  # a run for each record, then for each gram
+            own = order[first]
+            tf = np.diff(np.append(first, len(order)))
+            order, first = _runs(country[own], h[own])
+            one = own[order[first]]
+            df = np.diff(np.append(first, len(order)))
+            total = np.add.reduceat(tf[order], first) if len(first) else tf
+            letters = codes.astype("<u4")
+            grams = [letters[a : a + k].tobytes().decode("utf-32-le", "surrogatepass") for a, k in zip(at[one].tolist(), n[one].tolist())]
+            yield pa.RecordBatch.from_arrays([shard.dictionary.take(pa.array(country[one])), pa.array(h[one].view(np.int64)), pa.array(grams, pa.string()), pa.array(df, pa.int64()), pa.array(total, pa.int64())], ["country", "h", "gram", "df", "total"])
+
+    rows = feed.select(F.col("country_norm").alias("country"), F.col(column).alias("t"))
+    shards = rows.groupBy("country").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.mapInArrow(run, "country string, h long, gram string, df long, total long")
+    out = counts.groupBy("country", "h").agg(F.min("gram").alias("gram"), F.sum("df").alias("df"), F.sum("total").alias("total")).where(F.col("df") >= config.min_df)
     if config.max_features is not None:
         out = out.withColumn("place", F.expr("row_number() over (partition by country order by total desc, gram)")).where(F.col("place") <= config.max_features).drop("place")
-    return out.join(shards, "country").select("country", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-
-
-def raw_weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Sublinear weights of the in-vocabulary grams, before normalisation."""
-    return counts.join(vocab, ["country", "gram"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-
-
-def weights(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Sublinear, L2-normalised weights; the norm covers in-vocabulary grams only."""
-    norm = F.sqrt(F.expr("sum(w * w) over (partition by entity_id)"))
-    return raw_weights(counts, vocab).select("entity_id", "country", "gram", "df", (F.col("w") / norm).alias("w"))
-
-
-def vectors(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """``(id, country, g, w)``: each record's normalised weights packed in one row, its grams as 64-bit hashes."""
-    terms = F.collect_list(F.struct(F.xxhash64("gram").alias("g"), "w")).alias("terms")
-    packed = raw_weights(counts, vocab).groupBy(F.col("entity_id").alias("id"), "country").agg(terms)
-    norm = F.sqrt(F.aggregate("terms", F.lit(0.0), lambda n, t: n + t["w"] * t["w"]))
-    return packed.withColumn("norm", norm).select("id", "country", F.col("terms.g").alias("g"), F.transform("terms", lambda t: t["w"] / F.col("norm")).alias("w"))
+    return out.join(shards, "country").select("country", "h", "gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
 def top_k(scores: DataFrame, k: int, prefix: str) -> DataFrame:
@@ -58,37 +120,50 @@ _BLOCK_DOCS, _BLOCK_QUERIES, _SPREAD, _FEW = 50_000, 20_000, 16, 250
 _SCORED = "source1_entity_id string, candidate_entity_id string, similarity double, route_mask int, pool_size int"
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """(ends, values) of a list column."""
+    lists = column.combine_chunks()
+    ends = lists.offsets.to_numpy()
+    return ends - ends[0], lists.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]]
+
+
+def _weigh(rows: pa.Table, grams: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, gram's place in the vocabulary, weight) of all in-vocabulary grams: sublinear, L2-normalised over them."""
+    ends, g = _flat(rows.column("g"))
+    tf = _flat(rows.column("tf"))[1]
+    at = np.minimum(np.searchsorted(grams, g), len(grams) - 1)
+    known = np.flatnonzero(grams[at] == g)
+    row, at = np.repeat(np.arange(rows.num_rows), np.diff(ends))[known], at[known]
+    w = (1 + np.log(tf[known])) * idf[at]
+    return row, at, w / np.sqrt(np.bincount(row, w * w, rows.num_rows))[row]
+
+
 def _score_block(k: int):
     """Top-k of each query within one block of records: postings of its grams summed in an array over the block.
 
-    A query with a list ``only`` is scored against those records alone, and returns their route masks.
+    The row without an id is the country's vocabulary. A query with a list ``only`` is scored against those records alone, and returns their route masks.
     """
 
-    def flat(column) -> tuple[np.ndarray, np.ndarray]:
-        lists = column.combine_chunks()
-        return lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-
     def run(key, left, right):
         rows: tuple[list, ...] = ([], [], [], [], [])
-        if left.num_rows and right.num_rows:
-            ends, grams = flat(right.column("g"))
-            grams, value = grams[ends[0] : ends[-1]], flat(right.column("w"))[1][ends[0] : ends[-1]]
-            order = np.argsort(grams, kind="stable")
-            place, value = np.repeat(np.arange(right.num_rows), np.diff(ends))[order], value[order]
-            known, first = np.unique(grams[order], return_index=True)
-            first = np.append(first, len(grams))
-            names = right.column("id").to_pylist()
+        vocab, docs = right.filter(right.column("id").is_null()), right.filter(right.column("id").is_valid())
+        if left.num_rows and docs.num_rows and vocab.num_rows:
+            grams, idf = _flat(vocab.column("g"))[1], _flat(vocab.column("idf"))[1]
+            order = np.argsort(grams)
+            grams, idf = grams[order], idf[order]
+            place, at, value = _weigh(docs, grams, idf)
+            order = np.argsort(at, kind="stable")
+            place, value = place[order], value[order]
+            first = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(grams)))])
+            names = docs.column("id").to_pylist()
             number = {x: i for i, x in enumerate(names)}
-            ends, grams = flat(left.column("g"))
-            w = flat(left.column("w"))[1]
-            at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-            hit = known[at] == grams
+            row, at, w = _weigh(left, grams, idf)
+            ends = np.searchsorted(row, np.arange(left.num_rows + 1))
             for i, (q, only, size) in enumerate(zip(*(left.column(c).to_pylist() for c in ("id", "only", "pool_size")))):
-                own = np.arange(ends[i], ends[i + 1])
-                own = own[hit[own]]
-                if not len(own):
-                    continue
+                own = slice(ends[i], ends[i + 1])
                 spans = [slice(first[g], first[g + 1]) for g in at[own].tolist()]
+                if not spans:
+                    continue
                 dots = np.bincount(np.concatenate([place[x] for x in spans]), np.concatenate([value[x] * y for x, y in zip(spans, w[own].tolist())]), len(names)).round(9)
                 mask = None
                 if only is not None:
@@ -108,48 +183,49 @@ def _score_block(k: int):
     return run
 
 
-def _spread(counts: DataFrame) -> DataFrame:
-    """``(country, doc_blocks, query_blocks)`` from ``(country, docs, queries)``."""
-    blocks = F.greatest(F.ceil(F.col("queries") / _BLOCK_QUERIES), F.least(F.lit(_SPREAD), F.ceil(F.col("queries") / _FEW)), F.lit(1))
-    return counts.select("country", F.greatest(F.ceil(F.col("docs") / _BLOCK_DOCS), F.lit(1)).alias("doc_blocks"), blocks.alias("query_blocks"))
-
-
 def _block(name: str, many: str) -> F.Column:
     return F.pmod(F.xxhash64(name), F.col(many))
 
 
 def _sizes(source: DataFrame, feed: DataFrame) -> DataFrame:
-    """Blocks of each country of the source, from its numbers of records."""
+    """``(country, doc_blocks, query_blocks)`` of each country of the source, from its numbers of records."""
     count = lambda frame, name: frame.groupBy(F.col("country_norm").alias("country")).agg(F.count(F.lit(1)).alias(name))
-    return _spread(count(feed, "docs").join(count(source, "queries"), "country"))
-
-
-def _meet(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Scores of ``queries(id, country, g, w, only, pool_size, q, d)`` against ``docs(id, country, g, w, q, d)`` that share country, q and d."""
-    keys = ["country", "q", "d"]
-    queries, docs = queries.select("id", "g", "w", "only", "pool_size", *keys), docs.select("id", "g", "w", *keys)
-    return queries.groupBy(*keys).cogroup(docs.groupBy(*keys)).applyInArrow(_score_block(k), _SCORED)
+    counts = count(feed, "docs").join(count(source, "queries"), "country")
+    blocks = F.greatest(F.ceil(F.col("queries") / _BLOCK_QUERIES), F.least(F.lit(_SPREAD), F.ceil(F.col("queries") / _FEW)), F.lit(1))
+    return counts.select("country", F.greatest(F.ceil(F.col("docs") / _BLOCK_DOCS), F.lit(1)).alias("doc_blocks"), blocks.alias("query_blocks"))
 
 
 def _repeat(many: str) -> F.Column:
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(many) - 1))
 
 
+def _meet(queries: DataFrame, feed: DataFrame, column: str, sizes: DataFrame, vocab: DataFrame, k: int, config: LinkConfig) -> DataFrame:
+    """Scores of ``queries(id, country, g, tf, only, pool_size, q, d)`` against the feed records of block d of their country.
+
+    A country's vocabulary, at most ``max_features`` grams, is one row that goes to each of its pairs of blocks.
+    """
+    keys = ["country", "q", "d"]
+    none = F.lit(None)
+    docs = packed_grams(feed, column, config).join(sizes, "country").withColumn("d", _block("id", "doc_blocks")).withColumn("q", _repeat("query_blocks"))
+    docs = docs.select("id", "g", "tf", none.cast("array<double>").alias("idf"), *keys)
+    one = vocab.groupBy("country").agg(F.collect_list(F.struct("h", "idf")).alias("v")).join(sizes, "country").withColumn("q", _repeat("query_blocks")).withColumn("d", _repeat("doc_blocks"))
+    one = one.select(none.cast("string").alias("id"), F.col("v.h").alias("g"), none.cast("array<int>").alias("tf"), F.col("v.idf").alias("idf"), *keys)
+    queries = queries.select("id", "g", "tf", "only", "pool_size", *keys)
+    return queries.groupBy(*keys).cogroup(docs.unionByName(one).groupBy(*keys)).applyInArrow(_score_block(k), _SCORED)
+
+
 def retrieve(source: DataFrame, feed: DataFrame, column: str, k: int, prefix: str, config: LinkConfig) -> DataFrame:
     """Top-K by TF-IDF cosine within the country.
 
-    Every record's weights are one packed row. A country's feed and queries are cut into blocks by its own sizes; each pair of
-    blocks meets in one task, which returns only its top K, so no row is made for a pair of records. A feed row travels once for
+    Every record is one packed row of gram counts. A country's feed and queries are cut into blocks by its own sizes; each pair of
+    blocks meets in one task, which weighs them and returns only its top K, so no row is made for a gram or for a pair of records. A feed row travels once for
     each 20,000 queries of its country (at most 16 times for fewer), a query once for each 50,000 records.
     """
     kept = feed.where(F.col(column) != "")
-    counts = gram_counts(kept, column, config)
-    vocab = vocabulary(counts, kept, config)
     sizes = _sizes(source, kept)
-    docs = vectors(counts, vocab).join(sizes, "country").withColumn("d", _block("id", "doc_blocks")).withColumn("q", _repeat("query_blocks"))
-    queries = vectors(gram_counts(source, column, config), vocab).join(sizes, "country").withColumn("q", _block("id", "query_blocks")).withColumn("d", _repeat("doc_blocks"))
+    queries = packed_grams(source, column, config).join(sizes, "country").withColumn("q", _block("id", "query_blocks")).withColumn("d", _repeat("doc_blocks"))
     queries = queries.withColumns({"only": F.lit(None).cast("array<struct<c:string,m:int>>"), "pool_size": F.lit(0)})
-    return top_k(_meet(queries, docs, k).drop("route_mask", "pool_size"), k, prefix)
+    return top_k(_meet(queries, kept, column, sizes, vocabulary(kept, column, config), k, config).drop("route_mask", "pool_size"), k, prefix)
 
 
 def address_keys(records: DataFrame, config: LinkConfig) -> DataFrame:
@@ -181,16 +257,18 @@ def address_pool(source: DataFrame, feed: DataFrame, config: LinkConfig, routes:
     return sized.withColumn("place", F.expr(order)).where(F.col("place") <= config.pool_cap).drop("place")
 
 
-def fallback_pool(source: DataFrame, feed: DataFrame, pool: DataFrame, config: LinkConfig) -> DataFrame:
-    """Pairs for the addresses without a pool: records that share one of their rarest grams, frequent grams only if there is no other."""
+def fallback_pool(source: DataFrame, feed: DataFrame, pool: DataFrame, config: LinkConfig, vocab: DataFrame | None = None) -> DataFrame:
+    """Pairs for the addresses without a pool: records that share one of their rarest grams, frequent grams only if there is no other; capped a query by (df, id)."""
+    kept = feed.where("address_full <> ''")
+    vocab = vocabulary(kept, "address_full", config) if vocab is None else vocab
     empty = source.where("address_full <> ''").join(pool.select(F.col("source1_entity_id").alias("entity_id")).distinct(), "entity_id", "left_anti")
-    docs = gram_counts(feed.where("address_full <> ''"), "address_full", config)
-    vocab = vocabulary(docs, feed.where("address_full <> ''"), config)
-    own = weights(gram_counts(empty, "address_full", config), vocab)
-    own = own.withColumn("rare", (F.col("df") <= config.fallback_max_df).cast("int")).withColumn("any_rare", F.expr("max(rare) over (partition by entity_id)")).where("rare = any_rare")
-    picked = own.withColumn("place", F.expr("row_number() over (partition by entity_id order by df, w desc, gram)")).where(F.col("place") <= config.fallback_features)
-    hits = picked.select(F.col("entity_id").alias("source1_entity_id"), "country", "gram", "df").join(docs.select(F.col("entity_id").alias("candidate_entity_id"), "country", "gram"), ["country", "gram"])
-    found = hits.groupBy("source1_entity_id", "candidate_entity_id").agg(F.min("df").alias("least_df"))
+    own = packed_grams(empty, "address_full", config).select("id", "country", F.explode(F.arrays_zip("g", "tf")).alias("x")).select("id", "country", F.col("x.g").alias("h"), "x.tf")
+    own = own.join(vocab, ["country", "h"]).withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    own = own.withColumn("rare", (F.col("df") <= config.fallback_max_df).cast("int")).withColumn("any_rare", F.expr("max(rare) over (partition by id)")).where("rare = any_rare")
+    picked = own.withColumn("place", F.expr("row_number() over (partition by id order by df, w desc, gram)")).where(F.col("place") <= config.fallback_features)
+    picked = picked.select(F.col("id").alias("source1_entity_id"), "country", "h", "df")
+    postings = packed_grams(kept, "address_full", config).select(F.col("id").alias("candidate_entity_id"), "country", F.explode("g").alias("h"))
+    found = picked.join(postings, ["country", "h"]).groupBy("source1_entity_id", "candidate_entity_id").agg(F.min("df").alias("least_df"))
     sized = found.withColumn("pool_size", F.expr("count(*) over (partition by source1_entity_id)").cast("int"))
     order = "row_number() over (partition by source1_entity_id order by least_df, candidate_entity_id)"
     return sized.withColumn("place", F.expr(order)).where(F.col("place") <= config.pool_cap).drop("place")
@@ -201,19 +279,18 @@ def retrieve_preblocked(source: DataFrame, feed: DataFrame, config: LinkConfig,
 
     A query travels to the blocks of the feed that hold some of its pool, with the list of those records, so no vector is sent for a pair.
     """
-    pool = address_pool(source, feed, config, routes)
+    kept = feed.where("address_full <> ''")
+    vocab = staged(vocabulary(kept, "address_full", config))
+    pool = staged(address_pool(source, feed, config, routes).select("source1_entity_id", "candidate_entity_id", "route_mask", "pool_size"))
     if fallback:
-        extra = fallback_pool(source, feed, pool, config).select("source1_entity_id", "candidate_entity_id", F.lit(16).alias("route_mask"), "least_df", "pool_size")
+        extra = fallback_pool(source, feed, pool, config, vocab).select("source1_entity_id", "candidate_entity_id", F.lit(16).alias("route_mask"), "pool_size")
         pool = pool.unionByName(extra)
-    kept = feed.where("address_full <> ''")
-    counts = gram_counts(kept, "address_full", config)
-    vocab = vocabulary(counts, kept, config)
     sizes = _sizes(source, kept)
-    docs = vectors(counts, vocab).join(sizes, "country").withColumn("d", _block("id", "doc_blocks")).withColumn("q", _repeat("query_blocks"))
-    queries = vectors(gram_counts(source, "address_full", config), vocab).join(sizes, "country").withColumn("q", _block("id", "query_blocks"))
+    queries = packed_grams(source, "address_full", config).join(sizes, "country").withColumn("q", _block("id", "query_blocks"))
     # pairs are within a country, so the query's country tells the block of the candidate
-    own = pool.withColumnRenamed("source1_entity_id", "id").join(queries.select("id", "doc_blocks"), "id").withColumn("d", _block("candidate_entity_id", "doc_blocks"))
+    blocks = source.select(F.col("entity_id").alias("id"), F.col("country_norm").alias("country")).join(sizes, "country").select("id", F.col("doc_blocks").alias("many"))
+    own = pool.withColumnRenamed("source1_entity_id", "id").join(blocks, "id").withColumn("d", _block("candidate_entity_id", "many"))
     lists = own.groupBy("id", "d").agg(F.max("pool_size").alias("pool_size"), F.collect_list(F.struct(F.col("candidate_entity_id").alias("c"), F.col("route_mask").cast("int").alias("m"))).alias("only"))
-    out = top_k(_meet(queries.join(lists, "id"), docs, config.address_k), config.address_k, "address_tfidf")
+    out = top_k(_meet(queries.join(lists, "id"), kept, "address_full", sizes, vocab, config.address_k, config), config.address_k, "address_tfidf")
     flags = {f"address_route_{name}": F.col("route_mask").bitwiseAND(F.lit(bit)).cast("boolean").cast("int") for name, bit in {**ROUTES, "country_fallback": 16}.items()}
     return out.withColumns(flags).withColumn("address_route_count", F.bit_count("route_mask"))

@@ -46,14 +46,20 @@ _ready: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(S1, feed), normalised once a session and input: every channel reads them several times."""
+    """(S1, feed), normalised once a session and input and written to the shared folder: every channel reads them several times."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _ready:
-        rows = IO.normalize_records(IO.document_records(spark, sf_dir)).persist()
+        rows = IO.staged(IO.normalize_records(IO.document_records(spark, sf_dir)))
         _ready[key] = rows.where(F.col("entity_id").startswith("S1-")), rows.where(~F.col("entity_id").startswith("S1-"))
     return _ready[key]
 
 
+def forget(spark: SparkSession) -> None:
+    """Let the next query normalise its inputs anew."""
+    for key in [k for k in _ready if k[0] == spark.sparkContext.applicationId]:
+        del _ready[key]
+
+
 def tidy(frame: DataFrame) -> DataFrame:
     """One integer type, and doubles rounded to five places, so that results compare exactly."""
     kinds = {"int": "long", "smallint": "long", "tinyint": "long", "boolean": "long"}
@@ -296,7 +302,7 @@ def catalog(setting: Setting) -> dict:
         "cheap_margin": lambda s, d: candidates(s, d).select(*PAIR, "cheap_score_margin_to_next"),
         "tfidf_name_topk": lambda s, d: name_tfidf(s, d).select(*PAIR, "name_tfidf_similarity", "name_tfidf_rank"),
         "tfidf_address_topk": lambda s, d: address_tfidf(s, d).select(*PAIR, "address_tfidf_similarity", "address_tfidf_rank"),
-        "tfidf_vocab_cap": lambda s, d: V.vocabulary(V.gram_counts(sides(s, d)[1], "name_core", CONFIG), sides(s, d)[1], replace(CONFIG, max_features=50)).select("country", "gram", "df", "idf"),
+        "tfidf_vocab_cap": lambda s, d: V.vocabulary(sides(s, d)[1], "name_core", replace(CONFIG, max_features=50)).select("country", "gram", "df", "idf"),
         "tfidf_blocking_merge": lambda s, d: B.generate_candidates(*sides(s, d), CONFIG, None, name_tfidf(s, d)).select(*PAIR, "block_name_tfidf", "cheap_rank"),
         "addr_pool": lambda s, d: V.address_pool(*sides(s, d), replace(CONFIG, pool_cap=1 << 30)).select(*PAIR, "route_mask", "least_df", "pool_size"),
         "addr_pool_capped": lambda s, d: V.address_pool(*sides(s, d), CONFIG, ("postcode", "postcode_prefix", "numeric", "rare_token")).select(*PAIR, "route_mask", "least_df"),

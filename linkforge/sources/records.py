@@ -174,6 +174,16 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.concat(side, F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"), F.concat(F.array_join(F.slice(words, 1, 6), " "), suffix).alias("business_name"), F.when(F.col("doc_id") % 17 == 0, "").otherwise(address).alias("business_address"), F.col("lang").alias("country"))
 
 
+def document_feed(spark: SparkSession, sf_dir: str, copies: int) -> DataFrame:
+    """A larger test feed: the S2 and S3 records of ``document_records``, and up to ``copies`` - 1 more of each document, with the name and address from further on in its text."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("words", F.split("text", r"\s+"))
+    n = F.substring("source", 4, 10).cast("int")
+    rows = docs.where(n >= 4).withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(copies - 1), F.greatest(F.lit(0), F.floor(F.size("words") / 14).cast("int") - 1)))))
+    name, address = F.array_join(F.slice("words", F.col("k") * 14 + 1, 6), " "), F.array_join(F.slice("words", F.col("k") * 14 + 7, 8), " ")
+    number = F.lpad(((F.col("n_chars") + F.col("k")) * 37 % 100000).cast("string"), 5, "0")
+    return rows.select(F.concat(F.when(n < 12, "S2").otherwise("S3"), F.lit("-"), F.col("doc_id"), F.lit("-"), F.col("k")).alias("entity_id"), name.alias("business_name"), F.concat_ws(" ", address, F.col("n_chars"), number).alias("business_address"), F.col("lang").alias("country"))
+
+
 def document_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of the adapter's S1 to the S2 and S3 records whose documents have equal normalised texts."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
