@@ -75,7 +75,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """Root (smallest reachable id) of every node of ``edges``: ``(node, root)``, alternating large- and small-star.
 
     All steps are joins and aggregations on the edge list; each round is staged in the
-    shared folder. Self-loops are dropped, so isolated nodes are not returned.
+    shared folder, and the one before deleted; the result may be discarded like a staged table. Self-loops are dropped, so isolated nodes are not returned.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
 
@@ -95,4 +95,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         discard(now)
         now = after
         if mark == was:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+            out._staged_at = now._staged_at
+            return out

@@ -312,10 +312,16 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         rest = staged(rest.distinct(), "cross-pairs")
         discard(part, members)
         if not rest.isEmpty():
-            roots = connected_components(linked.unionByName(links_of(rest)))
-    discard(table, leaders)
+            more = links_of(rest)
+            discard(roots)
+            roots = connected_components(linked.unionByName(more))
+            discard(more)
+        discard(rest)
+    discard(table, leaders, linked)
     rooted = nodes.select("copy", "node", "least").join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     grouped = rooted.join(first, "root").select("copy", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("_first"))
     is_first = F.col(id_col).cast("long").eqNullSafe(F.col("component_id")) & (F.col("text_hash") == F.col("_first"))
-    return rows.select(id_col, "text_hash", "copy").join(grouped, "copy").select(id_col, "text_hash", "component_id", is_first.alias("is_first"))
+    out = staged(rows.select(id_col, "text_hash", "copy").join(grouped, "copy").select(id_col, "text_hash", "component_id", is_first.alias("is_first")), "groups")
+    discard(rows, nodes, roots)
+    return out

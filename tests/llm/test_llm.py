@@ -275,6 +275,64 @@ def test_sharding(spark, odd, none):
     assert sharding.shard_by_bytes(none, 8).count() == 0
 
 
+def test_sharding_by_hand(spark):
+    """Shards, slots and checksums against one walk along the line of bytes in the operator's order; hot texts and hot rows are cut, small groups are whole."""
+    import zlib
+
+    rows = [(i, words(i, 1 + i % 40)) for i in range(700)] + [(1000 + i, "hot text " * 5) for i in range(900)] + [(5000, "the same row") for _ in range(600)] + [(None, None), (None, ""), (6000, "long " * 2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6).withColumn("slot", F.lit("own"))
+    for ranges in (1, 8, 64):
+        got = sharding.shard_by_bytes(docs, 8, ranges=ranges, sample=60).select("*", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t in rows)
+        assert all(r["size"] == len((r.text or "").encode()) + 1 and r.text_crc32 == zlib.crc32((r.text or "").encode()) for r in got)
+        total, at, group = sum(r["size"] for r in got), 0, {}
+        for r in got:
+            group.setdefault(r.h, []).append(r)
+        order = sorted(got, key=lambda r: (r.h, -(1 << 63) if r.doc_id is None else r.doc_id))
+        place = {}
+        for r in order:
+            place[id(r)], at = at, at + r["size"]
+        for own in group.values():
+            size = sum(r["size"] for r in own)
+            start = min(place[id(r)] for r in own)
+            if size <= 0.01 * total / 8:
+                assert {r.shard for r in own} == {int((start + size / 2) * 8 / total)}
+        for s in range(8):
+            own = [r for r in got if r.shard == s]
+            assert sorted(r["slot"] for r in own) == list(range(len(own)))
+            assert abs(sum(r["size"] for r in own) - total / 8) <= 0.01 * total / 8 + 10_001
+        spans = [(min(place[id(r)] for r in got if r.shard == s), s) for s in range(8)]
+        assert spans == sorted(spans)
+
+
+def test_overfull_ranges(spark):
+    """Ranges that a poor sample leaves overfull are subdivided until they hold at most twice the even size, down to single rows."""
+    keys = spark.createDataFrame([(i // 400, 0, i, 10) for i in range(4000)], "h long, i long, r long, size long")
+    even = 40_000 / 32
+    poor = sharding.sampled_splitters(keys, 40_000, 32, 8, 1)
+    worst = lambda cuts: keys.groupBy(sharding._below(cuts).alias("x")).agg(F.sum("size").alias("s")).agg(F.max("s")).first()[0]
+    assert worst(poor) > 2 * even >= worst(sharding.measured_splitters(keys, 40_000, 32, 8, 1))
+
+
+def test_mixing_by_hand(spark):
+    """The taken words of every row against the blocks that cover it, one by one; null and equal ids spread over buckets."""
+    rows = [(None if i % 3 == 0 else 7, words(i, 1 + i % 50), ["a", "b", None][i % 3 if i < 300 else 0]) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"n": F.lit("own"), "bucket": F.lit("own"), "size": F.lit("own")})
+    taken = mixing._taken(docs, ["doc_id", "text"], False, "doc_id", "text", "source", mixing.WEIGHTS, 1.5, 2.0, 4000, 3, 16).collect()
+    plans = mixing.plan_sources([(s, sum(len(t.split()) for _, t, x in rows if x == s)) for s in ("a", "b", None)], blocks=4000)
+    assert len({r.bucket for r in taken}) > 20
+    for ix, p in enumerate(plans):
+        own = sorted((r for r in taken if r.ix == ix), key=lambda r: (r.bucket, r.by, r.h))
+        counts = [p.quota // p.blocks + ((b * p.step + p.shift) % p.blocks < p.quota % p.blocks) for b in range(p.blocks)]
+        bounds = [-(-b * p.size // p.blocks) for b in range(p.blocks + 1)]
+        per_word = [counts[b] for b in range(p.blocks) for _ in range(bounds[b + 1] - bounds[b])]
+        at = 0
+        for r in own:
+            assert r.taken == sum(per_word[at : at + r["size"]]) and r.source_size == p.size
+            at += r["size"]
+        assert at == p.size and abs(sum(r.taken for r in own) - p.target) <= 0.01 * p.target + 1
+
+
 def test_mixing(spark, odd, none):
     got = {(r.doc_id, r["size"]): r for r in mixing.mix(odd).collect()}
     assert got[0, 0].taken == 0 and all(0 <= r.taken <= 2 * r["size"] for r in got.values())
@@ -350,6 +408,52 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in lang_id.identify(spark.createDataFrame([(1, "abc", None, "a", 1)], DOCS)).collect()} == {"und"}
 
 
+def test_language_accuracy(spark):
+    """Held-out texts of the small tables, whole and joined from two languages; labels of held-out rows have no say."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = lang_id.identify(docs, carry=("doc_id", "lang", "text")).where("held_out").collect()
+    right = [r.lang_pred == r.lang for r in rows]
+    assert len(right) > 200 and sum(right) / len(right) >= 0.99
+    flipped = docs.withColumn("lang", F.when(lang_id.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    again = {r.doc_id: (r.lang_pred, r.score) for r in lang_id.identify(flipped).where("held_out").collect()}
+    assert again == {r.doc_id: (r.lang_pred, r.score) for r in rows}
+    pick = {lang: max((r.text for r in rows if r.lang == lang and r.lang_pred == lang and len(r.text) < 3000), key=len) for lang in ("en", "de", "fr", "es")}
+    mixed = spark.createDataFrame([(i, f"{pick[a]} {pick[b]}", None) for i, (a, b) in enumerate(itertools.permutations(pick, 2))], "doc_id long, text string, lang string")
+    found = lang_id.predict(mixed, lang_id.fit(lang_id.labelled_sample(docs, "text", "lang", 100, 20_000))).collect()
+    assert all(r.n_switches >= 1 and r.score < 0.95 for r in found)
+
+
+def test_sample_with_copies(spark):
+    """A language that is mostly copies of one text still gives all its other texts."""
+    rows = [(i, "same text", "en") for i in range(3000)] + [(5000 + i, f"text {words(i, 9)} {i}", "en") for i in range(40)] + [(9000, "seul", "fr"), (9001, "12", "fr"), (9002, None, "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = lang_id.labelled_sample(docs, "text", "lang", 60, 100_000)
+    assert len(got) == len(set(got)) == 42 and ("seul", "fr") in got and ("same text", "en") in got
+
+
+def test_gradient(spark):
+    """Expected counts are the gradient of the log-partition, by differences."""
+    rng = np.random.default_rng(2)
+    scores, move = rng.normal(size=(2, 4, 3)), rng.normal(size=(3, 3))
+
+    def partition(s, m):
+        total = 0.0
+        for own in s:
+            paths = itertools.product(range(3), repeat=4)
+            total += math.log(sum(math.exp(sum(own[t, y] for t, y in enumerate(p)) + sum(m[a, b] for a, b in zip(p, p[1:]))) for p in paths))
+        return total
+
+    unary, pair = lang_id._expected(scores, move)
+    for at in itertools.product(range(2), range(4), range(3)):
+        step = np.zeros_like(scores)
+        step[at] = 1e-5
+        assert unary[at] == pytest.approx((partition(scores + step, move) - partition(scores - step, move)) / 2e-5, abs=1e-6)
+    for at in itertools.product(range(3), repeat=2):
+        step = np.zeros_like(move)
+        step[at] = 1e-5
+        assert pair[at] == pytest.approx((partition(scores, move + step) - partition(scores, move - step)) / 2e-5, abs=1e-6)
+
+
 def test_forward_backward():
     rng = np.random.default_rng(0)
     scores, move, lengths = rng.normal(size=(170, 3)) * 2, rng.normal(size=(3, 3)), [130, 0, 3, 37]
