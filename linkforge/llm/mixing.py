@@ -137,7 +137,7 @@ def _taken(docs: DataFrame, keep: list[str], stage: bool, id_col: str, text_col:
     """The rows of ``mix``, ``keep`` packed into one column, with the number of their source, their bucket on its line, and their order in it.
 
     A bucket holds rows of one source with sizes of a class (within a factor of 2 of each other), dealt by a hash of id and text; there are as many of a
-    class as give about ``rows_a_bucket`` rows at most, up to 65,536. Rows are ordered by size in it, up and down in turn.
+    class as give about ``rows_a_bucket`` rows at most, up to 65,536. Classes go from the largest down; rows are ordered by size in a bucket, down and up in turn.
     """
     spark = docs.sparkSession
     text = F.col(text_col).cast("string")
@@ -151,7 +151,7 @@ def _taken(docs: DataFrame, keep: list[str], stage: bool, id_col: str, text_col:
     if len(plans) <= _BROADCAST_ROWS:
         table = F.broadcast(table)
     rows = base.join(table, F.col("source").eqNullSafe(F.col("s")))
-    rows = rows.withColumn("bucket", F.expr("length(bin(size)) * 65536L + pmod(h, many)")).withColumn("by", F.expr("if(pmod(bucket, 2) = 0, size, -size)"))
+    rows = rows.withColumn("bucket", F.expr("(64 - length(bin(size))) * 65536L + pmod(h, many)")).withColumn("by", F.expr("if(pmod(bucket, 2) = 0, -size, size)"))
     # a row's place on its source's line: the buckets before its own, then the rows before it there
     sums = rows.groupBy("ix", "bucket").agg(F.sum("size").alias("sum"))
     offsets = sums.select("ix", "bucket", F.expr("sum(sum) over (partition by ix order by bucket) - sum").alias("offset"))
@@ -170,15 +170,15 @@ def materialise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs``, whole rows of a mix, all their columns; wordless ones once.
 
     A document of a share taken/size is due that many copies. The shares are summed along the source's line,
-    from a seeded start below 1, and a document has as many copies as its share
-    passes whole numbers: its share rounded down or up, on average its share, whatever its length. As neighbours on the line are of similar
-    size, a document left out is made up for by the next, and the source's words come near its target.
+    and a document has as many copies as the sum, rounded to a whole number, grows by with it: its share rounded down or up, whatever its length.
+    The line goes from long documents to short ones, so one that is left out is made up for by the next of about its
+    size, and the source's words come near its target.
     """
     unit = 1 << 30  # integer shares, so that sums don't depend on their order
     rows = _taken(docs, docs.columns, False, id_col, text_col, source_col, weights, share, most, blocks, seed, rows_a_bucket)
     rows = rows.withColumn("due", F.expr(f"if(size = 0, 0L, (taken * {unit}L + size div 2) div size)"))
     sums = rows.groupBy("ix", "bucket").agg(F.sum("due").alias("sum"))
-    starts = sums.select("ix", "bucket", F.expr(f"sum(sum) over (partition by ix order by bucket) - sum + pmod(xxhash64(ix, {seed}L), {unit}L)").alias("start"))
+    starts = sums.select("ix", "bucket", F.expr(f"sum(sum) over (partition by ix order by bucket) - sum + {unit}L div 2").alias("start"))
     rows = rows.withColumn("to", F.expr("sum(due) over (partition by ix, bucket order by by, h rows between unbounded preceding and current row)")).join(starts, ["ix", "bucket"])
     times = F.expr(f"if(size = 0, 1, int((start + to) div {unit}L - (start + to - due) div {unit}L))")
     return rows.withColumn("times", times).where("times > 0").select("carry", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("carry.*")
