@@ -234,7 +234,30 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return doc, fp, h, pos, marks, raw[16 + 24 * a + marks.nbytes :]
 
 
-def _scatter(k: int, m: int, buckets: int, common: np.ndarray):
+def _partition_of(keys: np.ndarray, partitions: int) -> np.ndarray:
+    """Where Spark's hash partitioning sends an integer: Murmur3 (x86, 32 bits, seed 42) modulo the number of partitions."""
+    u = np.uint32
+    turn = lambda x, r: (x << u(r)) | (x >> u(32 - r))
+    k = turn(keys.astype(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h = turn(u(42) ^ k, 13) * u(5) + u(0xE6546B64)
+    h ^= u(4)
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> u(shift))) * u(factor)
+    return (h ^ (h >> u(16))).view(np.int32) % partitions
+
+
+def bucket_keys(buckets: int, partitions: int) -> np.ndarray:
+    """A number for each bucket, such that hash partitioning deals the buckets evenly to the partitions."""
+    each = -(-buckets // partitions)
+    keys = np.arange(4 * each * partitions + 64 * partitions, dtype=np.int64)
+    order = np.argsort(_partition_of(keys, partitions), kind="stable")
+    first = np.searchsorted(_partition_of(keys, partitions)[order], np.arange(partitions + 1))
+    if np.diff(first).min() < each:
+        return np.arange(buckets)
+    return np.concatenate([keys[order[first[:-1] + j]] for j in range(each)])[:buckets]
+
+
+def _scatter(k: int, m: int, buckets: int, common: np.ndarray, keys: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent = _Sent()
         for part in text_slices(batches, "text", _SLICE):
@@ -258,7 +281,7 @@ def _scatter(k: int, m: int, buckets: int, common: np.ndarray):
             flat = np.frombuffer(found.flat + b"\n", dtype=np.uint8)
             full = [b for b in range(buckets) if cuts[b + 1] > cuts[b] or mark_cuts[b + 1] > mark_cuts[b]]
             blobs = [_pack(found, kept[cuts[b] : cuts[b + 1]], doc, fp, marks[mark_cuts[b] : mark_cuts[b + 1]], flat) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[full], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     return run
 
@@ -401,7 +424,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     on the input. A null text has no words, so its kept text is empty. A null id counts as larger
     than every other. Rows with equal ids don't remove each other's words; repeated rows are
     kept; other columns are ignored; an empty table gives an empty result.
-    The number of buckets grows with the bytes of text, so that each holds about ``bucket_bytes``.
+    The number of buckets grows with the bytes of text, so that each holds about ``bucket_bytes``; they are dealt evenly to the shuffle's partitions.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -412,8 +435,9 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     fp = F.lit(0).cast("long") if unique else F.xxhash64(text)
     base = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), fp.alias("fp"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-4 * size // bucket_bytes))
-    sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets, common_strings(docs, text_col, m)), "bucket int, blob binary")
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = partitions * max(1, -(-4 * size // (bucket_bytes * partitions)))
+    sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets, common_strings(docs, text_col, m), bucket_keys(buckets, partitions)), "bucket int, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_gather(k), "doc long, fp long, marks binary")
     marks = marks.groupBy("doc", "fp").agg(F.collect_list("marks").alias("marks"))  # at most as long as the document
     packed = base.mapInArrow(_pressed, f"id {kind}, doc long, fp long, packed binary")
