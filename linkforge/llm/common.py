@@ -57,10 +57,16 @@ def n_words(text) -> F.Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"))
 
 
+def column_of(batch: pa.RecordBatch, path: str) -> pa.Array:
+    """A column, or a field of a struct column as ``column.field``."""
+    name, _, field = path.partition(".")
+    return pc.struct_field(batch.column(name), field) if field else batch.column(name)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Zero-copy slices of the batches holding about ``most`` bytes of ``column`` each, one row at least."""
+    """Zero-copy slices of the batches holding about ``most`` bytes of ``column`` (see ``column_of``) each, one row at least."""
     for batch in batches:
-        sizes = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(column_of(batch, column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, n in enumerate(sizes):
             if held and held + n > most:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import text_slices
+from linkforge.llm.common import column_of, text_slices
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -302,16 +302,16 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, per_language:
     return out
 
 
-def _label(model: Crf):
-    """Labels the last column's texts; the others go through."""
+def _label(model: Crf, path: str):
+    """Labels the texts of a column or struct field; all columns but the text's own, if it was only sent for that, go through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab: dict[str, int] = {}
         table = np.zeros((0, len(model.labels)))
-        for part in text_slices(batches, _TEXT, _SLICE):
+        for part in text_slices(batches, path, _SLICE):
             if len(vocab) > 300_000:
                 vocab, table = {}, table[:0]
-            docs = [words_of(t.as_py()) if t.is_valid else [] for t in part.column(_TEXT)]
+            docs = [words_of(t.as_py()) if t.is_valid else [] for t in column_of(part, path)]
             fresh = list(dict.fromkeys(w for d in docs for w in d if w not in vocab))
             vocab.update(zip(fresh, range(len(vocab), len(vocab) + len(fresh))))
             table = np.concatenate([table, model.scores(fresh)])
@@ -327,7 +327,8 @@ def _label(model: Crf):
             pick = mean.argmax(axis=1)
             langs = [model.labels[p] if n else UNDETERMINED for p, n in zip(pick.tolist(), lengths.tolist())]
             score = np.clip(np.where(lengths > 0, mean[np.arange(len(docs)), pick], 0.0), 0.0, 1.0)
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs), pa.array(score), pa.array(lengths, pa.int64()), pa.array(switches, pa.int64())], [*part.schema.names[:-1], "lang_pred", "score", "n_letter_runs", "n_switches"])
+            kept = [c for c in part.schema.names if c != _TEXT]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(langs), pa.array(score), pa.array(lengths, pa.int64()), pa.array(switches, pa.int64())], [*kept, "lang_pred", "score", "n_letter_runs", "n_switches"])
 
     return run
 
@@ -338,13 +339,16 @@ def predict(docs: DataFrame, model: Crf, text_col: str = "text", carry: tuple[st
     lang_pred is the label with the largest mean marginal and score that mean; null texts and texts
     without letters get ``und`` and score 0. Ties go to the first label in code point order.
     With no training text at all there are no labels, and every text gets ``und``. Repeated rows are kept;
-    carried columns may have any name but those of the new ones.
+    carried columns may have any name but those of the new ones. A text that is carried, or a field of a struct that is
+    (``column.field``), is sent once.
     """
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     new = "lang_pred string, score double, n_letter_runs long, n_switches long"
     if not model.labels:
         return docs.select(*carry, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("n_letter_runs"), F.lit(0).cast("long").alias("n_switches"))
-    return docs.select(*carry, F.col(text_col).cast("string").alias(_TEXT)).mapInArrow(_label(model), f"{kinds}, {new}")
+    if text_col.split(".")[0] in carry:
+        return docs.select(*carry).mapInArrow(_label(model, text_col), f"{kinds}, {new}")
+    return docs.select(*carry, F.col(text_col).cast("string").alias(_TEXT)).mapInArrow(_label(model, _TEXT), f"{kinds}, {new}")
 
 
 def held_out(id_col: str = "doc_id") -> F.Column:

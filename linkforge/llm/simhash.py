@@ -204,7 +204,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("shared") >= least * (F.size("sa") + F.size("sb") - F.col("shared"))).select("a", "b")
 
 
-def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sample: int = 4096, least: int = 8, most: int = 100_000) -> list[tuple[int, int]]:
+def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sample: int = 16_384, least: int = 8, most: int = 100_000) -> list[tuple[int, int]]:
     """``(hash, texts)`` of the shingles in at least ``least`` of about ``sample`` texts. They only set the order in which prefixes are cut, so no link depends on them."""
     part = max(1, docs.count() // sample)
     some = docs.where(F.pmod(F.xxhash64(id_col, text_col), F.lit(part)) == 0)

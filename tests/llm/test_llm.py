@@ -791,6 +791,30 @@ def test_remove_contaminated_rows(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.matches(docs, items).collect()} == {(None, None), (1, None)}
 
 
+def test_texts_longer_than_a_slice(spark):
+    """Texts of several MB are read to their end by every operator that streams texts in slices."""
+    import xxhash
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rng = np.random.default_rng(7)
+    long = " ".join(f"v{x}" for x in rng.integers(1 << 30, size=400_000)) + " " + item
+    assert len(long) > 4 << 20
+    docs = spark.createDataFrame([(1, long), (2, "short one"), (3, long + " tail")], "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(9, item)], "item_id long, text string")
+    assert {(r.doc_id, r.start_word) for r in decontaminate.matches(docs, items).collect()} == {(1, 400_000), (3, 400_000)}
+    assert [r.doc_id for r in decontaminate.remove_contaminated(docs, items).collect()] == [2]
+    own = long.split()
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(own[i : i + 3]).encode(), 42) for i in range(len(own) - 2)], dtype=np.uint64)
+    want = sum(1 << b for b in range(64) if 2 * int(((hashes >> np.uint64(b)) & np.uint64(1)).sum()) > len(hashes))
+    assert simhash.fingerprints(docs).where("doc_id = 1").first().fp % (1 << 64) == want
+    model = lang_id.fit([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20, bits=10, epochs=2)
+    spoken = spark.createDataFrame([(1, "the dog and " * 300_000)], "doc_id long, text string")
+    row = lang_id.predict(spoken, model).first()
+    assert row.lang_pred == "en" and row.n_letter_runs == 900_000
+    kept = {r.doc_id: r for r in substring_dedup.remove_repeated_windows(docs).collect()}
+    assert kept[1].n_removed == 0 and kept[3].n_removed == kept[1].n_words and kept[3].kept_text == "tail"
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
