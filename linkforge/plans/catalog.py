@@ -303,7 +303,7 @@ def catalog(setting: Setting) -> dict:
         "tfidf_name_topk": lambda s, d: name_tfidf(s, d).select(*PAIR, "name_tfidf_similarity", "name_tfidf_rank"),
         "tfidf_address_topk": lambda s, d: address_tfidf(s, d).select(*PAIR, "address_tfidf_similarity", "address_tfidf_rank"),
         "tfidf_vocab_cap": lambda s, d: V.vocabulary(sides(s, d)[1], "name_core", replace(CONFIG, max_features=50)).select("country", "gram", "df", "idf"),
-        "tfidf_blocking_merge": lambda s, d: B.generate_candidates(*sides(s, d), CONFIG, None, name_tfidf(s, d)).select(*PAIR, "block_name_tfidf", "cheap_rank"),
+        "tfidf_blocking_merge": lambda s, d: B.generate_candidates(*sides(s, d), CONFIG, None, name_tfidf(s, d)).select(*PAIR, "block_name_tfidf", "name_tfidf_similarity", "cheap_rank"),
         "addr_pool": lambda s, d: V.address_pool(*sides(s, d), replace(CONFIG, pool_cap=1 << 30)).select(*PAIR, "route_mask", "least_df", "pool_size"),
         "addr_pool_capped": lambda s, d: V.address_pool(*sides(s, d), CONFIG, ("postcode", "postcode_prefix", "numeric", "rare_token")).select(*PAIR, "route_mask", "least_df"),
         "addr_fallback": lambda s, d: V.fallback_pool(*sides(s, d), V.address_pool(*sides(s, d), CONFIG, ("postcode",)), CONFIG),
@@ -355,6 +355,8 @@ def catalog(setting: Setting) -> dict:
         "stage_density": _stage("e2.1", totals=(100, 400)),
         "stage_token_policies": _stage("e2.2"),
         "stage_preblocked": _stage("e2.3"),
+        "stage_boosted_trees": _stage("e2", rounds=3),
+        "stage_ensemble": _stage("e2.4", rounds=2, trees=5, alphas=3),
         "stage_smoke": _stage("smoke", distractors=100),
         "pool_sizes": lambda s, d: stages.pool_sizes(*sides(s, d), CONFIG),
     }

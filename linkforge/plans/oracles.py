@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+#: The suffix words that mark a legal form, as a pattern.
 _LEGAL = "co|company|corp|corporation|inc|incorporated|llc|llp|ltd|limited|private|pvt|plc|sa|sas|sarl|eurl|snc|cie"
 _P = "source1_entity_id, candidate_entity_id"
 
@@ -144,6 +145,12 @@ _EXTRA = {
     "far": _top("@ak@", _dot("at")),
     "uni": """select coalesce(c.source1_entity_id, n.source1_entity_id) as source1_entity_id, coalesce(c.candidate_entity_id, n.candidate_entity_id) as candidate_entity_id, coalesce(cheap_rank, 0) as legacy_rank, coalesce(cheap_score, 0)::double as legacy_score, coalesce(place, 0) as tfidf_rank, coalesce(similarity, 0) as tfidf_similarity,
   (cheap_rank is not null and place is null)::bigint as is_legacy_only, (cheap_rank is null)::bigint as is_tfidf_only, (cheap_rank is not null and place is not null)::bigint as supported_by_both from cand c full join (select * from near where place <= @depth@) n using (source1_entity_id, candidate_entity_id)""",
+    "pre": f"""select * from (select *, row_number() over (partition by source1_entity_id order by similarity desc, candidate_entity_id) as place from (
+    select p.source1_entity_id, p.candidate_entity_id, any_value(route_mask) as route_mask, any_value(pool_size) as pool_size, round(sum(q.w * d.w), 9) as similarity
+    from (select {_P}, route_mask::int as route_mask, pool_size from ({_capped(_pool(_THREE), '@pool@')}) union all select {_P}, 16, pool_size from {_fallback(_THREE)}) p join at_q q on q.entity_id = p.source1_entity_id join at_w d on d.entity_id = p.candidate_entity_id and d.country = q.country and d.gram = q.gram
+    group by 1, 2) where similarity > 0) where place <= @ak@""",
+    "uni3p": """select coalesce(u.source1_entity_id, f.source1_entity_id) as source1_entity_id, coalesce(u.candidate_entity_id, f.candidate_entity_id) as candidate_entity_id, coalesce(legacy_rank, 0) as legacy_rank, coalesce(tfidf_rank, 0) as tfidf_rank, coalesce(f.place, 0) as address_rank,
+  (coalesce(legacy_rank, 0) > 0)::bigint + (coalesce(tfidf_rank, 0) > 0)::bigint + (coalesce(f.place, 0) > 0)::bigint as retrieval_channel_count from uni u full join (select source1_entity_id, candidate_entity_id, place from pre) f using (source1_entity_id, candidate_entity_id)""",
     "uni3": """select coalesce(u.source1_entity_id, f.source1_entity_id) as source1_entity_id, coalesce(u.candidate_entity_id, f.candidate_entity_id) as candidate_entity_id, coalesce(legacy_rank, 0) as legacy_rank, coalesce(tfidf_rank, 0) as tfidf_rank, coalesce(f.place, 0) as address_rank,
   (coalesce(legacy_rank, 0) > 0)::bigint + (coalesce(tfidf_rank, 0) > 0)::bigint + (coalesce(f.place, 0) > 0)::bigint as retrieval_channel_count from uni u full join far f using (source1_entity_id, candidate_entity_id)""",
 }
@@ -274,8 +281,8 @@ def _twins() -> dict[str, str]:
         "numeric_tokens": _sql("select entity_id, array_to_string(numbers, ' ') as numbers from norm"),
         "postcode_extract": _sql("select entity_id, postcode from norm"),
         "informative_tokens": _sql(f"select entity_id, array_to_string(list_sort({_informative('name_tokens')}), ' ') as words from norm"),
-        "tfidf_blocking_merge": _sql(f"""select {_P}, block_name_tfidf, cheap_rank from (select *, row_number() over (partition by source1_entity_id order by s desc, candidate_entity_id) as cheap_rank from (
-  select coalesce(c.source1_entity_id, n.source1_entity_id) as source1_entity_id, coalesce(c.candidate_entity_id, n.candidate_entity_id) as candidate_entity_id, (n.place is not null)::bigint as block_name_tfidf,
+        "tfidf_blocking_merge": _sql(f"""select {_P}, block_name_tfidf, round(coalesce(similarity, 0)::decimal(18, 9), 5)::double as name_tfidf_similarity, cheap_rank from (select *, row_number() over (partition by source1_entity_id order by s desc, candidate_entity_id) as cheap_rank from (
+  select coalesce(c.source1_entity_id, n.source1_entity_id) as source1_entity_id, coalesce(c.candidate_entity_id, n.candidate_entity_id) as candidate_entity_id, (n.place is not null)::bigint as block_name_tfidf, similarity,
     (coalesce(cheap_score, 0)::double - 0.5 * coalesce(same_country_block, 0)::double + 0.5 * (case when n.place is not null then 1 else coalesce(same_country_block, 0) end) + 4.0::double * coalesce(similarity, 0))::float as s
   from scores c full join near n using (source1_entity_id, candidate_entity_id))) where cheap_rank <= @k@"""),
         "char_ngrams": _sql(f"select country_norm as country, gram, count(*) as n from (select country_norm, unnest({_grams('name_core')}) as gram from s1) group by all"),
@@ -298,11 +305,7 @@ def _twins() -> dict[str, str]:
         "addr_pool_capped": _sql(f"select {_P}, route_mask::bigint as route_mask, least_df from ({_capped(_pool(_THREE + ', ' + repr('postcode_prefix')), '@pool@')})"),
         "addr_pool_diagnostics": _sql(f"select count(*) as n, min(n) as minimum, round(quantile_cont(n, 0.05), 5) as p05, round(quantile_cont(n, 0.25), 5) as p25, round(quantile_cont(n, 0.5), 5) as median, round(quantile_cont(n, 0.75), 5) as p75, round(quantile_cont(n, 0.95), 5) as p95, max(n) as maximum from (select entity_id, count(candidate_entity_id) as n from s1 left join ({_capped(_pool(_THREE), '@pool@')}) p on p.source1_entity_id = entity_id group by 1)"),
         "addr_fallback": _sql(f"select {_P}, least_df, pool_size from {_fallback(repr('postcode'))}"),
-        "addr_preblock_topk": _sql(f"""select {_P}, round(similarity::decimal(18, 9), 5)::double as address_tfidf_similarity, place as address_tfidf_rank, bit_count(route_mask)::bigint as address_route_count from (
-  select *, row_number() over (partition by source1_entity_id order by similarity desc, candidate_entity_id) as place from (
-    select p.source1_entity_id, p.candidate_entity_id, any_value(route_mask) as route_mask, round(sum(q.w * d.w), 9) as similarity
-    from (select {_P}, route_mask::int as route_mask from ({_capped(_pool(_THREE), '@pool@')}) union all select {_P}, 16 from {_fallback(_THREE)}) p join at_q q on q.entity_id = p.source1_entity_id join at_w d on d.entity_id = p.candidate_entity_id and d.country = q.country and d.gram = q.gram
-    group by 1, 2) where similarity > 0) where place <= @ak@"""),
+        "addr_preblock_topk": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as address_tfidf_similarity, place as address_tfidf_rank, bit_count(route_mask)::bigint as address_route_count from pre"),
         "fusion_universe2": _sql(f"select {_P}, legacy_rank, round(legacy_score, 5) as legacy_score, tfidf_rank, is_legacy_only, is_tfidf_only, supported_by_both from uni"),
         "fusion_universe3": _sql(f"select {_P}, legacy_rank, tfidf_rank, address_rank, retrieval_channel_count from uni3"),
         "fuse_rrf": _fuse(_RRF, "@final_k@"),
@@ -358,6 +361,10 @@ def _twins() -> dict[str, str]:
         "fused_relative_features": _sql(f"""select {_P}, row_number() over (partition by source1_entity_id order by nj desc, candidate_entity_id) as relative_name_rank, row_number() over (partition by source1_entity_id order by aj desc, candidate_entity_id) as relative_address_rank, row_number() over (partition by source1_entity_id order by tfidf_similarity desc, candidate_entity_id) as relative_tfidf_rank, row_number() over (partition by source1_entity_id order by fusion_score desc, candidate_entity_id) as relative_fusion_rank,
   round(nb[1] - coalesce(nb[2], nb[1]), 5) as name_top_margin, round(ab[1] - coalesce(ab[2], ab[1]), 5) as address_top_margin, round(tb[1] - coalesce(tb[2], tb[1]), 5) as tfidf_top_margin, round(fb - fusion_score, 5) as fusion_gap_to_best, sum((nj >= nb[1] - 0.05::double)::int) over (partition by source1_entity_id)::bigint as close_competitor_count
   from (select *, list_sort(list(nj) over w, 'desc') as nb, list_sort(list(aj) over w, 'desc') as ab, list_sort(list(tfidf_similarity) over w, 'desc') as tb, max(fusion_score) over w as fb from (select f.* replace (fusion_score::double as fusion_score), {_jaccard('l.name_tokens', 'r.name_tokens')} as nj, {_jaccard('l.address_tokens', 'r.address_tokens')} as aj from {_ranked_fusion(_RRF, '@final_k@', 'uni')} f join s1 l on l.entity_id = source1_entity_id join feed r on r.entity_id = candidate_entity_id) window w as (partition by source1_entity_id))"""),
+        "address_extras": _sql(f"""select {_P}, round(coalesce(sim, 0)::decimal(18, 9), 5)::double as address_tfidf_similarity, coalesce(pr, 0) as address_tfidf_rank, {', '.join(f"coalesce((mask & {bit} > 0)::bigint, 0) as address_route_{name}" for name, bit in (("postcode", 1), ("postcode_prefix", 2), ("numeric", 4), ("rare_token", 8), ("country_fallback", 16)))},
+  coalesce(bit_count(mask), 0)::bigint as address_route_count, coalesce(pool_size, 0) as pool_size, (pr is not null)::bigint as has_address_tfidf, (pr is not null)::bigint as block_address_tfidf, (pr is not null and legacy_rank = 0 and tfidf_rank = 0)::bigint as is_address_tfidf_only, retrieval_channel_count,
+  row_number() over (partition by source1_entity_id order by coalesce(sim, 0) desc, candidate_entity_id) as relative_address_tfidf_rank, round((max(coalesce(sim, 0)) over (partition by source1_entity_id) - coalesce(sim, 0))::decimal(18, 9), 5)::double as address_tfidf_gap_to_best
+  from ({_protected(_RRF3, "uni3p", "retrieval_channel_count desc,", "@final_k@", "@protect@")}) f left join (select {_P}, place as pr, similarity as sim, route_mask as mask, pool_size from pre) p using ({_P})"""),
         "displaced_links": _sql(f"select {_P}, legacy_rank, round(legacy_score, 5) as legacy_score, tfidf_rank, round(tfidf_similarity::decimal(18, 9), 5)::double as tfidf_similarity, (s.source1_entity_id is not null)::bigint as recovered from truth join uni u using ({_P}) anti join {_ranked_fusion('fs', 4, _QUOTA.replace('@legacy_quota@', '2').replace('@tfidf_quota@', '2').replace('@final_k@', '4'))} q using ({_P}) left join (select {_P}, 1 as one from {_ranked_fusion(_RRF, '@final_k@', 'uni')}) s using ({_P}) where legacy_rank > 0".replace("(s.source1_entity_id is not null)", "(s.one is not null)")),
         "blocked_out": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as name_tfidf_similarity from truth anti join (select * from ranked where cheap_rank = 1) c using ({_P}) left join near using ({_P})"),
         "error_examples": _sql(f"select {_P}, round(rule_score, 5) as rule_score from lab where label = 0 and rule_score >= 0.5 order by lab.rule_score desc, {_P} limit 15"),

@@ -141,12 +141,12 @@ def boosted_trees(source: DataFrame, feed: DataFrame, truth: DataFrame, config:
     return _stack(out)
 
 
-def ensemble(source: DataFrame, feed: DataFrame, truth: DataFrame, config: LinkConfig, rounds: int = 30, alphas: int = 21) -> DataFrame:
+def ensemble(source: DataFrame, feed: DataFrame, truth: DataFrame, config: LinkConfig, rounds: int = 30, trees: int = 100, alphas: int = 21) -> DataFrame:
     """Boosted trees blended with a forest: the best threshold of a dense grid for each share of the former, overall and by country."""
     rows = records.staged(model_rows(source, feed, truth, config))
     train, test = rows.where("not is_validation"), rows.where("is_validation")
     first = model.predict(model.fit(train, MODEL_FEATURES, rounds=rounds), test).select(*PAIR, "label", F.col("score").alias("first"))
-    second = model.predict(model.fit_second(train, MODEL_FEATURES), test).select(*PAIR, F.col("score").alias("second"))
+    second = model.predict(model.fit_second(train, MODEL_FEATURES, trees), test).select(*PAIR, F.col("score").alias("second"))
     both = records.staged(first.join(second, PAIR))
     ids = test.select(PAIR[0]).distinct().join(source.select(F.col("entity_id").alias(PAIR[0]), F.col("country_norm").alias("country")), PAIR[0])
     held = truth.join(ids, PAIR[0], "left_semi")

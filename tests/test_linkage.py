@@ -5,9 +5,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from linkforge.config import LinkConfig
+from linkforge.config import LinkConfig, artifact_hash
+from linkforge.functions import text
 from linkforge import cli
-from linkforge.operators import blocking, diagnosis, evaluation, features, fusion, model, sampling, submission
+from linkforge.operators import blocking, diagnosis, evaluation, features, fusion, model, sampling, submission, tfidf
 from linkforge.plans import stages
 from linkforge.sources import records
 from linkforge.streaming import incremental
@@ -275,3 +276,29 @@ def test_command_line(spark, tmp_path, capsys):
         cli.main(["--stage", "submit", *args])
     assert cli.main(["--stage", "submit", "--confirm", *args]) == 0 and cli.main(["--stage", "validate", *args]) == 0
     assert '"rows": 1' in capsys.readouterr().out
+
+
+def test_stable_fraction_and_config(spark):
+    import hashlib
+
+    got = spark.createDataFrame([("S1-7",)], "id string").select(text.stable_fraction(F.col("id"), 202603).alias("x")).first().x
+    assert got == int.from_bytes(hashlib.blake2b(b"202603:S1-7", digest_size=8).digest(), "big") / 2**64
+    assert LinkConfig().fingerprint() == LinkConfig().fingerprint() != LinkConfig(candidate_k=31).fingerprint()
+    assert artifact_hash("a", {"k": 1}) == artifact_hash("a", {"k": 1}) != artifact_hash("a", {"k": 2})
+    for bad in ({"posting_cap": 0}, {"df_mode": "x"}, {"ngrams": (4, 4)}, {"name_df_fraction": 1.5}, {"max_features": 0}):
+        with pytest.raises(ValueError):
+            LinkConfig(**bad)
+
+
+def test_packed_grams(spark):
+    """The Arrow gram counts against the built-in ones: same grams, counts and vocabulary."""
+    rows = [("S2-1", "blue  harbour a bc"), ("S2-2", ""), ("S2-3", "aa aaa aaaa \u00e9t\u00e9 \U0001f600x"), ("S2-4", "blue blue")]
+    feed = spark.createDataFrame(rows, "entity_id string, name_core string").withColumn("country_norm", F.lit("us"))
+    plain = tfidf.gram_counts(feed, "name_core", LinkConfig()).collect()
+    packed = {r.id: sorted(r.tf) for r in tfidf.packed_grams(feed, "name_core", LinkConfig()).collect()}
+    assert packed == {i: sorted(r.tf for r in plain if r.entity_id == i) for i, _ in rows}
+    df = {}
+    for r in plain:
+        df[r.gram] = df.get(r.gram, 0) + 1
+    vocab = tfidf.vocabulary(feed, "name_core", LinkConfig()).collect()
+    assert {r.gram: r.df for r in vocab} == df and len({r.h for r in vocab}) == len(df)
