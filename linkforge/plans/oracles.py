@@ -365,6 +365,14 @@ def _twins() -> dict[str, str]:
   coalesce(bit_count(mask), 0)::bigint as address_route_count, coalesce(pool_size, 0) as pool_size, (pr is not null)::bigint as has_address_tfidf, (pr is not null)::bigint as block_address_tfidf, (pr is not null and legacy_rank = 0 and tfidf_rank = 0)::bigint as is_address_tfidf_only, retrieval_channel_count,
   row_number() over (partition by source1_entity_id order by coalesce(sim, 0) desc, candidate_entity_id) as relative_address_tfidf_rank, round((max(coalesce(sim, 0)) over (partition by source1_entity_id) - coalesce(sim, 0))::decimal(18, 9), 5)::double as address_tfidf_gap_to_best
   from ({_protected(_RRF3, "uni3p", "retrieval_channel_count desc,", "@final_k@", "@protect@")}) f left join (select {_P}, place as pr, similarity as sim, route_mask as mask, pool_size from pre) p using ({_P})"""),
+        "submission_violations": _sql(f"""select problem, rows from (select unnest(['duplicate_source', 'missing_source', 'unknown_source', 'duplicate_match', 'wrong_prefix', 'unknown_match', 'match_not_candidate']) as problem, unnest([
+    (select count(*) from (select e from (select entity_id as e from s1 union all select distinct source1_entity_id from truth) group by 1 having count(*) > 1)),
+    (select count(*) from s1 where entity_id not in (select entity_id from s1 union all select source1_entity_id from truth)),
+    (select count(*) from truth where source1_entity_id not in (select entity_id from s1)),
+    (select count(*) from (select {_P} from (select * from truth union all select * from truth) group by 1, 2 having count(*) > 1)),
+    (select 2 * count(*) from truth where candidate_entity_id not like 'S2-%' and candidate_entity_id not like 'S3-%'),
+    (select 2 * count(*) from truth where candidate_entity_id not in (select entity_id from feed)),
+    (select 2 * count(*) from truth anti join (select * from ranked where cheap_rank <= 5) c using ({_P}))]) as rows)"""),
         "displaced_links": _sql(f"select {_P}, legacy_rank, round(legacy_score, 5) as legacy_score, tfidf_rank, round(tfidf_similarity::decimal(18, 9), 5)::double as tfidf_similarity, (s.source1_entity_id is not null)::bigint as recovered from truth join uni u using ({_P}) anti join {_ranked_fusion('fs', 4, _QUOTA.replace('@legacy_quota@', '2').replace('@tfidf_quota@', '2').replace('@final_k@', '4'))} q using ({_P}) left join (select {_P}, 1 as one from {_ranked_fusion(_RRF, '@final_k@', 'uni')}) s using ({_P}) where legacy_rank > 0".replace("(s.source1_entity_id is not null)", "(s.one is not null)")),
         "blocked_out": _sql(f"select {_P}, round(similarity::decimal(18, 9), 5)::double as name_tfidf_similarity from truth anti join (select * from ranked where cheap_rank = 1) c using ({_P}) left join near using ({_P})"),
         "error_examples": _sql(f"select {_P}, round(rule_score, 5) as rule_score from lab where label = 0 and rule_score >= 0.5 order by lab.rule_score desc, {_P} limit 15"),
