@@ -436,7 +436,7 @@ def remove_repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: s
     base = docs.select(F.col(id_col).alias("id"), doc.alias("doc"), fp.alias("fp"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = partitions * max(1, -(-4 * size // (bucket_bytes * partitions)))
+    buckets = max(partitions, -(-4 * size // bucket_bytes))
     sent = base.select("doc", "fp", "text").mapInArrow(_scatter(k, m, buckets, common_strings(docs, text_col, m), bucket_keys(buckets, partitions)), "bucket int, blob binary")
     marks = sent.groupBy("bucket").applyInArrow(_gather(k), "doc long, fp long, marks binary")
     marks = marks.groupBy("doc", "fp").agg(F.collect_list("marks").alias("marks"))  # at most as long as the document

@@ -85,10 +85,10 @@ def test_common_phrases_and_passages(spark):
 
 
 def test_bucket_keys(spark):
-    for buckets, partitions in ((51, 51), (102, 51), (211, 211), (12, 12), (3000, 1000), (4, 4)):
+    for buckets, partitions in ((51, 51), (112, 51), (211, 211), (12, 12), (3000, 1000), (4, 4)):
         keys = substring_dedup.bucket_keys(buckets, partitions).tolist()
         rows = spark.createDataFrame([(k,) for k in keys], "k int").groupBy(F.pmod(F.hash("k"), F.lit(partitions)).alias("p")).count().collect()
-        assert len(set(keys)) == buckets and {r["count"] for r in rows} == {buckets // partitions} and len(rows) == partitions
+        assert len(set(keys)) == buckets and {r["count"] for r in rows} <= {buckets // partitions, -(-buckets // partitions)} and len(rows) == partitions
 
 
 def test_windows_in_passes(monkeypatch):
