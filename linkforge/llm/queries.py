@@ -87,7 +87,34 @@ select p.page_id, p.host, p.path, f.rule, coalesce(f.kind, 'allow') as verdict
 from places p join fits f on p.page_id is not distinct from f.page_id and p.host = f.host and p.path = f.path
 """
 
+_DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_BASE32 = " || ".join(f"substr({_DIGITS}, ((('0x' || substr(hex, {1 + 5 * i}, 5))::bigint >> {shift}) & 31)::int + 1, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+_WARC = f"""
+with payloads as (
+  select page_id, coalesce(html, '') as payload, sha1(coalesce(html, '')) as hex from pages
+), marked as (
+  select page_id, strlen(payload) as payload_bytes, {_BASE32} as payload_digest, min(page_id) over (partition by payload) as least from payloads
+)
+select page_id, payload_bytes, payload_digest, case when page_id = least then 'response' else 'revisit' end as record_type, case when page_id <> least then least end as refers_to from marked
+"""
+_SUBSTRINGS = r"""
+with docs as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents
+), windows as (
+  select doc_id, i, min(doc_id) over (partition by w) < doc_id as again from (select doc_id, i, array_to_string(words[i:i + 12], ' ') as w from (select doc_id, words, unnest(range(1, len(words) - 11)) as i from docs))
+), gone as (
+  select distinct doc_id, i + unnest(range(0, 13)) as i from windows where again
+), every as (
+  select doc_id, unnest(range(1, len(words) + 1)) as i, unnest(words) as word from docs
+), kept as (
+  select doc_id, string_agg(word, ' ' order by i) as text, count(*) as n from every anti join gone using (doc_id, i) group by 1
+)
+select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(text, '')) as kept_sha256 from docs left join kept using (doc_id)
+"""
+
 ORACLES = {
+    "op2_warc": _WARC,
+    "op3_substring_dedup": _SUBSTRINGS,
     "op6_url_filter": _URL_FILTER,
     "op9_chat": """
 with turns as (
