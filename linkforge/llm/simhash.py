@@ -67,18 +67,22 @@ def shingle_hashes(data: bytes, width: int, distinct: bool = False) -> list[int]
     return [digest(s, 42) for s in (set(shingles) if distinct else shingles)]
 
 
+def _text_bits(texts: pa.Array, width: int, distinct: bool = False) -> np.ndarray:
+    """The signed 64-bit fingerprint of each text, zero for null or wordless ones."""
+    starts, hashes = [], []
+    for text in texts:
+        starts.append(len(hashes))
+        hashes += shingle_hashes(text.as_py().encode(), width, distinct) if text.is_valid else []
+    return majority_bits(np.array(hashes, dtype=np.uint64), np.array(starts, dtype=np.int64)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, distinct: bool = False) -> DataFrame:
     """``(id_col, fp)`` for every row; fp is the signed 64-bit fingerprint of the whole text, zero for null or wordless texts."""
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "t", _SLICE):
-            starts, hashes = [], []
-            for text in part.column("t"):
-                starts.append(len(hashes))
-                hashes += shingle_hashes(text.as_py().encode(), width, distinct) if text.is_valid else []
-            bits = majority_bits(np.array(hashes, dtype=np.uint64), np.array(starts, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(bits.view(np.int64))], ["i", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(_text_bits(part.column("t"), width, distinct))], ["i", "fp"])
 
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, f"i {kind.simpleString()}, fp long")
     return rows.withColumnRenamed("i", id_col)
@@ -152,6 +156,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
+def fingerprint_pairs(nodes: DataFrame, radius: int = 2, segments: int = 2) -> DataFrame:
+    """Candidate pairs ``(a, b)`` of ``nodes(node, fp)`` from the segment tables of ``links``.
+
+    The smallest node of a fingerprint stands for it in the tables, and is paired with the others of that fingerprint.
+    """
+    hubs = staged(nodes.groupBy("fp").agg(F.min("node").alias("hub")), "fingerprint-hubs")
+    equal = nodes.join(hubs, "fp").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    hub_of = lambda c: hubs.select(F.col("fp").alias(c), F.col("hub").alias(f"hub_{c}"))
+    apart = links(hubs.select("fp"), radius, segments).join(hub_of("a"), "a").join(hub_of("b"), "b")
+    out = staged(equal.unionByName(apart.select(F.least("hub_a", "hub_b").alias("a"), F.greatest("hub_a", "hub_b").alias("b"))).distinct(), "fingerprint-pairs")
+    discard(hubs)
+    return out
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
     """``(node, shingles)``: the sorted distinct XXH64 values of each text's ``width``-word shingles."""
 
@@ -213,11 +231,11 @@ def common_shingles(docs: DataFrame, id_col: str, text_col: str, width: int, sam
 
 
 def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similarity: float, common: list[tuple[int, int]]) -> DataFrame:
-    """``(id_col, text_hash, copy, size, sketch, wide, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
+    """``(id_col, text_hash, copy, fp, size, sketch, wide, keys)``: keys are the first of a text's distinct shingles in one order for all texts, those of ``common`` last.
 
     Two texts with a Jaccard similarity of at least ``similarity`` share ``similarity`` of either's n shingles,
     so they share one of the first n - ceil(similarity * n) + 1. copy is the XXH3-128 digest of the
-    lower-cased words, text_hash XXH64 of the text as it is; for size and sketch see ``odd_sketches``. wide is a sketch of at least half as many bits as
+    lower-cased words, text_hash XXH64 of the text as it is, fp the text's fingerprint as in ``fingerprints``; for size and sketch see ``odd_sketches``. wide is a sketch of at least half as many bits as
     the text has shingles, as one of 1,024 bits rejects little for long texts.
     """
     kind = docs.schema[id_col].dataType
@@ -241,11 +259,11 @@ def prefix_rows(docs: DataFrame, id_col: str, text_col: str, width: int, similar
                     own = own[np.argsort(np.where(hashes[at] == own, texts[at], 0), kind="stable")]
                 # the small number keeps rounding from cutting a prefix short
                 keys.append(own[: len(own) - math.ceil(similarity * len(own) - 1e-6) + 1] if len(own) else own)
-            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array(copies, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "text_hash", "copy", "size", "sketch", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("h"), pa.array(copies, pa.binary()), pa.array(_text_bits(part.column("t"), 3)), pa.array(sizes, pa.int32()), pa.array(sketches, pa.list_(pa.int64())), pa.array(wides, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))], ["i", "text_hash", "copy", "fp", "size", "sketch", "wide", "keys"])
 
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).alias("i"), F.xxhash64(text).alias("h"), text.alias("t"))
-    return rows.mapInArrow(run, f"i {kind.simpleString()}, text_hash long, copy binary, size int, sketch array<long>, wide array<long>, keys array<long>").withColumnRenamed("i", id_col)
+    return rows.mapInArrow(run, f"i {kind.simpleString()}, text_hash long, copy binary, fp long, size int, sketch array<long>, wide array<long>, keys array<long>").withColumnRenamed("i", id_col)
 
 
 def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bucket_cap: int = 32) -> DataFrame:
@@ -253,7 +271,9 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id of the group, null if it has none. The group's first rows, those with that id
     and, if it has several texts, with the smallest text_hash, are flagged; so are rows that repeat them.
-    Candidates are texts that share a shingle of their prefixes (see ``prefix_rows``), which every similar pair
+    Candidates are first the texts whose fingerprints meet in the segment tables of ``links``; the exact check decides
+    on each. Cut and extended texts can differ in more bits, so texts of different components so far are candidates too if they share a
+    shingle of their prefixes (see ``prefix_rows``), which every similar pair
     does, whatever was replaced, cut or added; sizes, places in the prefix and odd sketches rule out only
     what the exact check would. Texts with the same words are one node, whatever their ids. In buckets of up to
     ``bucket_cap`` nodes all candidates are checked. In larger ones every node is checked against the
@@ -267,7 +287,7 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     unique = rows.groupBy(id_col, "text_hash").count().where("count > 1").isEmpty()
     least = F.min(F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).cast("long").alias("id"), "text_hash")).alias("least")
     # the numbers are fixed once the table is written
-    nodes = staged(rows.groupBy("copy").agg(least, *(F.first(c).alias(c) for c in ("size", "sketch", "wide", "keys"))).withColumn("node", F.monotonically_increasing_id()), "copy-nodes")
+    nodes = staged(rows.groupBy("copy").agg(least, *(F.first(c).alias(c) for c in ("fp", "size", "sketch", "wide", "keys"))).withColumn("node", F.monotonically_increasing_id()), "copy-nodes")
     table = nodes.select("node", "size", F.posexplode("keys").alias("pos", "key"))
     table = staged(table.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1"), "postings")
     other = lambda df: df.select(*(c if c == "key" else F.col(c).alias("other" if c == "node" else f"other_{c}") for c in df.columns))
@@ -283,13 +303,17 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = docs.join(some, same).select("node", text_col)
         return texts if unique else texts.dropDuplicates(["node"])
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        def beside(of: DataFrame, *columns: str) -> DataFrame:
-            own = nodes.select("node", *columns)
+    def rooted_by(roots: DataFrame) -> DataFrame:
+        return staged(nodes.select("node", "size", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+
+    def links_of(pairs: DataFrame, part: DataFrame) -> DataFrame:
+        """The similar ones of ``pairs`` whose roots in ``part(node, size, sketch, root)`` differ."""
+
+        def beside(of: DataFrame, own: DataFrame) -> DataFrame:
             return of.join(own.withColumnRenamed("node", "a"), "a").join(other(own).withColumnRenamed("other", "b"), "b")
 
-        left = staged(beside(pairs, "size", "sketch").where(_may_be_similar(similarity)).select("a", "b"), "sketched-pairs")
-        near = staged(beside(left, "size", "wide").where(_wide_may_be_similar(similarity)).select("a", "b"), "pairs")
+        left = staged(beside(pairs, part).where((F.col("root") != F.col("other_root")) & _may_be_similar(similarity)).select("a", "b"), "sketched-pairs")
+        near = staged(beside(left, nodes.select("node", "size", "wide")).where(_wide_may_be_similar(similarity)).select("a", "b"), "pairs")
         sets = staged(shingle_sets(texts_of(near.select(F.explode(F.array("a", "b")).alias("node"))), "node", text_col, width), "shingle-sets")
         found = staged(_similar(near, sets, similarity), "links")
         discard(left, near, sets)
@@ -300,24 +324,30 @@ def verified_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leader = F.min(F.struct(F.xxhash64("node", F.col("key").bitwiseAND(F.lit(7))).alias("h"), F.col("node").alias("other"), F.col("size").alias("other_size"))).alias("x")
     leaders = staged(large.groupBy("key").agg(leader).select("key", "x.other", "x.other_size"), "leaders")
     led = large.join(leaders, "key").where((F.col("node") != F.col("other")) & sizes).select(*ordered)
-    linked = links_of(pairs.unionByName(led).distinct())
+    met = fingerprint_pairs(nodes.select("node", "fp"))
+    linked = links_of(met, nodes.select("node", "size", "sketch", F.col("node").alias("root")))
+    roots = connected_components(linked)
+    part = rooted_by(roots)
+    more = links_of(pairs.unionByName(led).distinct(), part)
+    discard(met, roots, part)
+    linked, found = linked.unionByName(more), (linked, more)
     roots = connected_components(linked)
     if not leaders.isEmpty():
         # a large bucket's main component is its leader's; members of it need no check against one another
-        part = staged(nodes.select("node", "sketch").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "roots")
+        part = rooted_by(roots)
         main = leaders.select("key", F.col("other").alias("node")).join(part, "node").select("key", F.col("root").alias("main"))
-        members = staged(large.join(part, "node").join(main, "key"), "members")
+        members = staged(large.join(part.drop("size"), "node").join(main, "key"), "members")
         apart = (F.col("root") != F.col("other_root")) & fits & _may_be_similar(similarity)
         rest = members.where("root <> main").drop("main").join(other(members.drop("main")), "key").where(apart).select(*ordered)
         rest = staged(rest.distinct(), "cross-pairs")
-        discard(part, members)
+        discard(members)
         if not rest.isEmpty():
-            more = links_of(rest)
+            more = links_of(rest, part)
             discard(roots)
             roots = connected_components(linked.unionByName(more))
             discard(more)
-        discard(rest)
-    discard(table, leaders, linked)
+        discard(part, rest)
+    discard(table, leaders, *found)
     rooted = nodes.select("copy", "node", "least").join(roots, "node", "left").select("copy", "least", F.coalesce("root", "node").alias("root"))
     first = rooted.groupBy("root").agg(F.min("least").alias("first"))
     grouped = rooted.join(first, "root").select("copy", F.col("first.id").alias("component_id"), F.col("first.text_hash").alias("_first"))

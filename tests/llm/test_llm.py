@@ -230,6 +230,23 @@ def test_verified_groups_find_every_edit(spark):
     assert [found[2 * i + 1] == 2 * i for i in range(len(cases))] == similar
 
 
+def test_verified_groups_by_fingerprints(spark, monkeypatch):
+    """Without any prefix, the segment tables find texts with equal or near fingerprints, and the exact check decides on them."""
+    rows, line = [], [f"c{i % 3}" for i in range(150)]
+    for d in range(0, 40, 2):
+        own = words(d, 900).split()
+        rows += [(d, " ".join(own)), (d + 1, " ".join([*own[:-1], "other"]))]
+        rows += [(100 + d, " ".join([*line, *words(100 + d, 20).split()]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = simhash.prefix_rows
+    monkeypatch.setattr(simhash, "prefix_rows", lambda *args: plain(*args).withColumn("keys", F.array().cast("array<long>")))
+    found = {r.doc_id: r.component_id for r in simhash.verified_groups(docs).collect()}
+    fps = {r.doc_id: r.fp % (1 << 64) for r in simhash.fingerprints(docs).collect()}
+    near = [d for d in range(0, 40, 2) if bin(fps[d] ^ fps[d + 1]).count("1") <= 2]
+    assert len(near) > 10 and all(found[d] == found[d + 1] == d for d in near)
+    assert len({fps[100 + d] for d in range(0, 40, 2)}) < 20 and all(found[100 + d] == 100 + d for d in range(0, 40, 2))
+
+
 def test_verified_groups_with_common_passages(spark):
     """Shingles that many texts share decide only the order of the prefixes."""
     rng, line = np.random.default_rng(5), [f"c{i}" for i in range(30)]
