@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import column_of, text_slices
+from linkforge.llm.common import column_of, local_rows, text_slices
 
 UNDETERMINED = "und"
 _WORD = re.compile(r"[^\W\d_]+")
-_SLICE = 2 << 20
+#: Bytes of texts that are labelled at once; words and their letters whose scores a task keeps. A worker's memory follows these, not its batch's size.
+_SLICE = 1 << 18
+_KEPT_WORDS, _KEPT_LETTERS = 100_000, 2 << 20
 _TEXT = "text to be labelled"
 _U = np.uint64
 
@@ -281,7 +283,7 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, per_language:
     open_ = {r.lang: min(1.0, 4 * per_language / r["count"]) for r in texts.groupBy("lang").count().collect()}
     found: dict[str, list[int]] = {}
     while open_:
-        bounds = texts.sparkSession.createDataFrame([(x, round(p * (1 << 62))) for x, p in open_.items()], "lang string, bound long")
+        bounds = local_rows(texts.sparkSession, [(x, round(p * (1 << 62))) for x, p in open_.items()], "lang string, bound long")
         few = texts.select("lang", "h").join(F.broadcast(bounds) if len(open_) <= 10_000 else bounds, "lang").where(F.shiftrightunsigned("h", 2) <= F.col("bound")).select("lang", "h").distinct()
         own: dict[str, list[int]] = {x: [] for x in open_}
         for r in few.collect():
@@ -292,7 +294,7 @@ def labelled_sample(docs: DataFrame, text_col: str, lang_col: str, per_language:
     wanted = [(x, h) for x, own in found.items() for h in own]
     if not wanted:
         return []
-    table = texts.sparkSession.createDataFrame(wanted, "lang string, h long")
+    table = local_rows(texts.sparkSession, wanted, "lang string, h long")
     rows = texts.join(F.broadcast(table) if len(wanted) <= 1_000_000 else table, ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text")).collect()
     out, held = [], {}
     for r in sorted(rows, key=lambda r: (r.lang, r.h)):
@@ -307,14 +309,14 @@ def _label(model: Crf, path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab: dict[str, int] = {}
-        table = np.zeros((0, len(model.labels)))
+        table, letters = np.zeros((0, len(model.labels))), 0
         for part in text_slices(batches, path, _SLICE):
-            if len(vocab) > 300_000:
-                vocab, table = {}, table[:0]
+            if len(vocab) > _KEPT_WORDS or letters > _KEPT_LETTERS:
+                vocab, table, letters = {}, table[:0].copy(), 0
             docs = [words_of(t.as_py()) if t.is_valid else [] for t in column_of(part, path)]
             fresh = list(dict.fromkeys(w for d in docs for w in d if w not in vocab))
             vocab.update(zip(fresh, range(len(vocab), len(vocab) + len(fresh))))
-            table = np.concatenate([table, model.scores(fresh)])
+            table, letters = np.concatenate([table, model.scores(fresh)]), letters + sum(map(len, fresh))
             lengths = np.array([len(d) for d in docs])
             ids = np.fromiter((vocab[w] for d in docs for w in d), dtype=np.int64, count=int(lengths.sum()))
             gamma = marginals(table[ids], lengths, model.transitions)

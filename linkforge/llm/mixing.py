@@ -15,7 +15,7 @@ from math import gcd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.llm.common import n_words, staged
+from linkforge.llm.common import local_rows, n_words, staged
 
 WEIGHTS = (5, 2, 1)
 #: A source whose target is fewer common blocks than this is cut into finer ones of its own.
@@ -147,7 +147,7 @@ def _taken(docs: DataFrame, keep: list[str], stage: bool, id_col: str, text_col:
     totals = base.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     plans = plan_sources([(r.source, r["size"]) for r in totals], weights, share, most, blocks, seed)
     many = {r.source: min(1 << 16, -(-r.n // rows_a_bucket)) for r in totals}
-    table = spark.createDataFrame([(p.source, i, p.size, p.target, p.blocks, p.quota // max(p.blocks, 1), p.quota % max(p.blocks, 1), p.step, p.shift, many[p.source]) for i, p in enumerate(plans)], "s string, ix int, source_size long, target double, n long, full long, rest long, step long, shift long, many long")
+    table = local_rows(spark, [(p.source, i, p.size, p.target, p.blocks, p.quota // max(p.blocks, 1), p.quota % max(p.blocks, 1), p.step, p.shift, many[p.source]) for i, p in enumerate(plans)], "s string, ix int, source_size long, target double, n long, full long, rest long, step long, shift long, many long")
     if len(plans) <= _BROADCAST_ROWS:
         table = F.broadcast(table)
     rows = base.join(table, F.col("source").eqNullSafe(F.col("s")))

@@ -7,6 +7,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -447,6 +448,53 @@ def test_language_accuracy(spark):
     assert all(r.n_switches >= 1 and r.score < 0.95 for r in found)
 
 
+def label_all(model, texts):
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    for part in lang_id._label(model, "text")(iter([batch])):
+        yield from zip(*(part.column(c).to_pylist() for c in ("lang_pred", "score", "n_letter_runs", "n_switches")))
+
+
+def test_labelling_memory():
+    """What labelling takes beside its batch follows neither the batch's size nor the number or length of its words."""
+    import tracemalloc
+
+    model = lang_id.fit([("the cat and the dog", "en"), ("der hund und die katze", "de")] * 20, bits=10, epochs=2)
+    rng = np.random.default_rng(4)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    many = [" ".join(map("".join, letters[rng.integers(26, size=(250, 7))].tolist())) for _ in range(2_000)]
+    long = ["".join(letters[rng.integers(26, size=200_000)]) for _ in range(100)]
+    for texts, n in ((many, 250), (long, 1)):
+        tracemalloc.start()
+        assert sum(r[2] == n for r in label_all(model, texts)) == len(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 72 << 20
+
+
+def test_labels_by_any_slices(monkeypatch):
+    """Slices and forgotten words have no say: each text has the labels that it has by itself."""
+    model = lang_id.fit([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr")] * 20, bits=10, epochs=4)
+    texts = [t and f"the {t} katze le {words(i, 30)} der hund" for i, t in enumerate(["cat", "", None, "chien et", "12"] * 30)]
+    want = [next(label_all(model, [t])) for t in texts]
+    assert len({r[0] for r in want}) > 1
+    for size, n_kept, n_letters in ((1, 1, 1 << 20), (300, 40, 1 << 20), (300, 1 << 20, 100), (1 << 20, 1 << 20, 1 << 20)):
+        monkeypatch.setattr(lang_id, "_SLICE", size)
+        monkeypatch.setattr(lang_id, "_KEPT_WORDS", n_kept)
+        monkeypatch.setattr(lang_id, "_KEPT_LETTERS", n_letters)
+        got = list(label_all(model, texts))
+        assert [(r[0], *r[2:]) for r in got] == [(r[0], *r[2:]) for r in want]
+        assert np.allclose([r[1] for r in got], [r[1] for r in want], rtol=0, atol=1e-9)
+
+
+def test_local_rows(spark):
+    """They need no Python worker of an executor."""
+    rows = [("a", 1, -(1 << 63), 0.5), (None, None, (1 << 63) - 1, None)]
+    made = common.local_rows(spark, rows, "s string, i int, l long, d double")
+    assert made.dtypes == [("s", "string"), ("i", "int"), ("l", "bigint"), ("d", "double")] and [tuple(r) for r in made.collect()] == rows
+    assert "LocalTableScan" in made._jdf.queryExecution().executedPlan().toString()
+    assert common.local_rows(spark, [], "s string, l long").dtypes == [("s", "string"), ("l", "bigint")]
+
+
 def test_sample_with_copies(spark):
     """A language that is mostly copies of one text still gives all its other texts."""
     rows = [(i, "same text", "en") for i in range(3000)] + [(5000 + i, f"text {words(i, 9)} {i}", "en") for i in range(40)] + [(9000, "seul", "fr"), (9001, "12", "fr"), (9002, None, "de")]
