@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from linkforge.llm.common import discard, shared_dir, staged, text_slices
 from linkforge.llm.substring_dedup import _mix, word_hashes
 
-_SLICE = 2 << 20
+#: Bytes of texts that are searched at once: a worker's memory is many times that.
+_SLICE = 512 << 10
 _U = np.uint64
 _WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
@@ -178,6 +179,11 @@ def _texts(column) -> list[np.ndarray]:
     return [flat[e - len(t) : e] for t, e in zip(split, ends)]
 
 
+def _at_once(paths: list[str], most: int = 4) -> int:
+    """Bytes of texts for a pass over the seed tables: more once they are too many to be kept and are read again for each slice."""
+    return _SLICE if len(paths) <= most else 4 * _SLICE * min(8, len(paths))
+
+
 def _tables(paths: list[str], most: int = 4):
     """A function that gives the seed tables of the files, of which a task holds ``most`` at once."""
     held: dict[str, Seeds] = {}
@@ -200,7 +206,7 @@ def _scan(paths: list[str], threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(paths)
-        for part in text_slices(batches, "t", _SLICE * min(8, len(paths))):
+        for part in text_slices(batches, "t", _at_once(paths)):
             texts, docs = _texts(part.column("t")), part.column("i").to_pylist()
             rows = [(docs[d], seeds.ids[k], *x) for seeds in tables() for d, k, *x in _aligned(texts, seeds, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, kinds)], names)
@@ -211,7 +217,7 @@ def _scan(paths: list[str], threshold: float):
 def _clean(paths: list[str], threshold: float, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(paths)
-        for part in text_slices(batches, text_col, _SLICE * min(8, len(paths))):
+        for part in text_slices(batches, text_col, _at_once(paths)):
             texts, clean = _texts(part.column(text_col)), np.ones(part.num_rows, dtype=bool)
             for seeds in tables():
                 left = np.flatnonzero(clean)

@@ -844,6 +844,22 @@ def test_decontaminate_against_all_pairs(spark):
         assert got == pytest.approx(want) and len(want) > 100 and got[200, 41] == pytest.approx(7 / 9)
 
 
+def test_decontamination_memory(tmp_path):
+    """What searching takes beside its batch doesn't follow the batch's size."""
+    import pickle
+    import tracemalloc
+
+    seeds = decontaminate.seed_table([(1, " ".join(f"q{i}" for i in range(20)))], 3, np.zeros(0, dtype=np.uint64), 2, 0.5)
+    (tmp_path / "seeds").write_bytes(pickle.dumps(vars(seeds)))
+    rng = np.random.default_rng(5)
+    batch = pa.record_batch({"t": [" ".join(f"v{x}" for x in rng.integers(1 << 20, size=250)) for _ in range(2_500)]})
+    tracemalloc.start()
+    assert sum(part.num_rows for part in decontaminate._clean([f"file://{tmp_path}/seeds"], 0.5, "t")(iter([batch]))) == 2_500
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+
+
 def test_remove_contaminated_rows(spark):
     """Rows go by their own text: null and repeated ids, and columns named like the operator's, are no matter."""
     item = "alpha beta gamma delta epsilon zeta eta theta"
